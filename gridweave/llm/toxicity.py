@@ -6,7 +6,8 @@ the second term is the risk on negatives as the unlabelled text shows it, and wh
 falls below zero a step undoes it instead of following it.
 
 Features are words and word beginnings (PREFIXES bytes) by presence, chosen from those that
-are more frequent in toxic than in unlabelled text.  Fitting takes at most about MAX_TOXIC
+MIN_SHARE of the toxic documents have, and MIN_RATIO times the share in unlabelled text.
+Equal texts count once in fitting.  Fitting takes at most about MAX_TOXIC
 and MAX_UNLABELLED documents, chosen by a hash of the id, whole texts each; scoring reads
 every whole text once.  The prior is the share of toxic among all labelled training rows.
 
@@ -30,7 +31,8 @@ MAX_TOXIC = 4000
 MAX_UNLABELLED = 12000
 MAX_FEATURES = 4096
 MIN_DOCS = 4
-MIN_RATIO = 2.0
+MIN_SHARE = 0.01
+MIN_RATIO = 4.0
 PREFIXES = (4, 5, 6)
 _WORD = bytes(x if x >= 0x80 or 0x61 <= x <= 0x7A else 0x20 for x in range(256))
 
@@ -126,15 +128,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = chosen.select("doc_id", F.coalesce(F.col("label") == 1, F.lit(False)).alias("positive"))
     text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     # The sample's size is bounded by max_toxic and max_unlabelled, so its ids can be broadcast.
-    ids = cut(ids)
-    sample = cut(text.join(F.broadcast(ids), "doc_id").select("text", "positive"))
-    sizes = {r.positive: r["count"] for r in ids.groupBy("positive").count().collect()}
+    sample = cut(text.join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("positive").alias("positive")))
+    sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
     p, u = sizes.get(True, 0), sizes.get(False, 0)
     if not p or not u:
         return Classifier({}, bias)
     counted = sample.mapInArrow(_counts, "feature binary, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = (F.col("toxic") / p) / ((F.col("other") + 1) / u)
-    picked = counted.where((F.col("toxic") >= MIN_DOCS) & (lift >= MIN_RATIO)).orderBy(F.desc(F.col("toxic") * F.log(lift)), "feature").limit(MAX_FEATURES).select("feature").collect()
+    picked = counted.where((F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * p)) & (lift >= MIN_RATIO)).orderBy(F.desc(F.col("toxic") * F.log(lift)), "feature").limit(MAX_FEATURES).select("feature").collect()
     number = {bytes(r.feature): i for i, r in enumerate(picked)}
     if not number:
         return Classifier({}, bias)
