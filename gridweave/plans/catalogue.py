@@ -1,14 +1,304 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the relational test tables, and their SQL.
+
+Each query builds document tables from relations and reads them back with a pattern; the SQL
+states the same result on the relations.  Every value of a record is a string.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridweave.operators import transforms
+from gridweave.operators.extract import extract, matching
+from gridweave.operators.items import items
+from gridweave.operators.records import Options
+from gridweave.plans import dsl as d
+from gridweave.plans.rtl import Bindings, compile_pattern
+from gridweave.sources.grids import cells, csv_grid, grid_of_rows, grid_of_text
+from gridweave.sources.sinks import csv_line
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+STATUSES = ("F", "O", "P")
+
+
+def _query(sql: str):
+    def registered(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return registered
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _named(df: DataFrame, *names: str) -> DataFrame:
+    """table_id and the fields under these names."""
+    return df.drop("rec_no").toDF("table_id", *names)
+
+
+def crosstab_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer a crosstab of order counts: priorities down, statuses across."""
+    orders = _read(spark, sf_dir, "orders")
+    count = lambda p, s: F.count_if((F.col("o_orderpriority") == p) & (F.col("o_orderstatus") == s)).cast("string")
+    wide = orders.groupBy("o_custkey").agg(*(count(p, s).alias(f"n{i}{j}") for i, p in enumerate(PRIORITIES) for j, s in enumerate(STATUSES)))
+    head = F.array(F.lit(""), *map(F.lit, STATUSES))
+    rows = (F.array(F.lit(p), *(F.col(f"n{i}{j}") for j in range(len(STATUSES)))) for i, p in enumerate(PRIORITIES))
+    return wide.select(F.col("o_custkey").alias("table_id"), F.array(head, *rows).alias("grid"))
+
+
+CROSSTAB = """
+    [ [] [VAL : 'STATUS'->AVP]+ ]
+    [ [VAL : 'PRIORITY'->AVP] [VAL : 'N'->AVP, (COL, ROW)->REC]+ ]+"""
+
+
+@_query("""select c.o_custkey as table_id, count(o.o_orderkey)::varchar as n, s.status, p.priority
+    from (select distinct o_custkey from orders) c cross join (select unnest(['F', 'O', 'P']) as status) s
+    cross join (select unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) as priority) p
+    left join orders o on o.o_custkey = c.o_custkey and o.o_orderstatus = s.status and o.o_orderpriority = p.priority
+    group by all""")
+def crosstab_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(extract(crosstab_grids(spark, sf_dir), CROSSTAB, ["N", "STATUS", "PRIORITY"]), "n", "status", "priority")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return crosstab_unpivot(spark, sf_dir)
+
+
+@_query("select o_orderkey as table_id, o_orderkey::varchar as orderkey, o_orderstatus as status, o_orderpriority as priority from orders")
+def rec_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = grid_of_rows(_read(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    found = extract(grids, "[ [VAL : 'KEY'->AVP, RT*->REC] [VAL : 'STATUS'->AVP] [VAL : 'PRIORITY'->AVP] ]", ["KEY", "STATUS", "PRIORITY"])
+    return _named(found, "orderkey", "status", "priority")
+
+
+@_query("select r_regionkey as table_id, n_nationkey::varchar as nationkey, n_name as name from nation join region on n_regionkey = r_regionkey")
+def header_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = grid_of_rows(_read(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"], header=True)
+    found = extract(grids, "[ [ATTR]+ ] [ [VAL : COL->AVP, RT*->REC] [VAL : COL->AVP]+ ]+", ["n_nationkey", "n_name"])
+    return _named(found, "nationkey", "name")
+
+
+@_query("select user_id as table_id, event_id::varchar as event, event_type as type from events")
+def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types are written only where they change; FILL takes the nearest one above."""
+    from pyspark.sql import Window
+
+    events = _read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    ditto = events.withColumn("shown", F.when(F.col("event_type").eqNullSafe(before), "").otherwise(F.col("event_type")))
+    grids = grid_of_rows(ditto, ["user_id"], ["event_id"], ["event_id", "shown"])
+    found = extract(grids, "[ [VAL : 'EVENT'->AVP, RT->REC] [BLANK ? VAL : -AV&!BLANK->FILL, 'TYPE'->AVP | VAL : 'TYPE'->AVP] ]+", ["EVENT", "TYPE"])
+    return _named(found, "event", "type")
+
+
+@_query("""select conv_id as table_id, turn::varchar as turn,
+    coalesce(lag(role) over w || '<', '') || role || coalesce('>' || lead(role) over w, '') as roles
+    from conversations window w as (partition by conv_id order by turn)""")
+def prefix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = grid_of_rows(_read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], ["turn", "role"])
+    found = extract(grids, "[ [VAL : 'TURN'->AVP, RT->REC] [VAL : -AV->PREFIX('<'), BW->SUFFIX('>'), 'ROLES'->AVP] ]+", ["TURN", "ROLES"])
+    return _named(found, "turn", "roles")
+
+
+_PARTS = [f"$a_{i}" for i in range(1, 15)]
+
+
+@_query("""with r as (select l_orderkey, l_returnflag, l_linenumber, l_partkey, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber, l_partkey) as n
+        from lineitem)
+    select l_orderkey as table_id, l_returnflag as flag,
+    """ + ", ".join(f"max(case when n = {i} then l_partkey::varchar end) as part{i}" for i in range(1, 14)) + " from r group by 1, 2")
+def join_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of an order, one row each, become one record for each return flag."""
+    grids = grid_of_rows(_read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], ["l_returnflag", "l_partkey"])
+    found = extract(grids, "[ [VAL : RT->REC, (BW&STR)*->JOIN(0)] [VAL] ]+", _PARTS)
+    return _named(found, "flag", *(f"part{i}" for i in range(1, 14)))
+
+
+@_query("select p_partkey as table_id, split_part(p_brand, '#', 1) as make, split_part(p_brand, '#', 2) as number from part")
+def compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = grid_of_rows(_read(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey"], ["p_brand"])
+    return _named(extract(grids, "[ [VAL : 'MAKE'->AVP, CL->REC '#' VAL : 'NUMBER'->AVP] ]", ["MAKE", "NUMBER"]), "make", "number")
+
+
+@_query("""select p_partkey as table_id, w as word, p_partkey::varchar as part, (i - 1)::int as place
+    from (select p_partkey, unnest(string_split(p_name, ' ')) as w, generate_subscripts(string_split(p_name, ' '), 1) as i from part) where trim(w) <> ''""")
+def delimited_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = grid_of_rows(_read(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey"], ["p_partkey", "p_name"])
+    found = extract(grids, "[ [VAL : 'PART'->AVP] [(VAL : 'WORD'->AVP, (ROW&C0)->REC){' '}] ]", ["WORD", "PART"])
+    return found.select("table_id", F.col("WORD").alias("word"), F.col("PART").alias("part"), F.col("rec_no").cast("int").alias("place"))
+
+
+@_query("""select s_suppkey as table_id, upper(s_name) as up, lower(s_name) as low, substr(s_name, 1, 4) as cut, regexp_replace(s_name, '0+', '', 'g') as repl, s_name as trimmed,
+    s_name || ' ' || s_nationkey::varchar as norm from supplier""")
+def extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("s_name")
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", *(name.alias(f"n{i}") for i in range(4)), F.concat(F.lit(" \t"), name, F.lit("  ")).alias("n4"), F.concat(F.lit("  "), name, F.lit(" \n "), F.col("s_nationkey").cast("string"), F.lit(" ")).alias("n5"))
+    grids = grid_of_rows(rows, ["s_suppkey"], ["s_suppkey"], [f"n{i}" for i in range(6)])
+    pattern = "[ [VAL = UC : RT*->REC] [VAL = LC] [VAL = SUBSTR(0,4)] [VAL = REPL('0+', '')] [VAL = TRIM] [VAL = NORM] ]"
+    return _named(extract(grids, pattern, [f"$a_{i}" for i in range(1, 7)]), "up", "low", "cut", "repl", "trimmed", "norm")
+
+
+@_query("""with n as (select o_custkey, count(*) as n from orders group by 1)
+    select o_custkey as table_id, n = 3 as matched from n""")
+def exact_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with exactly three rows match; the others are found not to."""
+    grids = grid_of_rows(_read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    return matching(grids, "[ [VAL] [VAL] ]{3}").select("table_id", "matched")
+
+
+@_query("""with r as (select o_custkey, o_orderkey, o_orderstatus from orders),
+    ok as (select o_custkey from r group by 1 having bool_and(o_orderstatus in ('F', 'O')))
+    select r.o_custkey as table_id, o_orderkey::varchar as orderkey, o_orderstatus as status from r join ok using (o_custkey)""")
+def table_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A guard must hold for every cell: customers with finished and open orders only."""
+    grids = grid_of_rows(_read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    found = extract(grids, r"""'\d+|[FO]' ? [ [VAL : 'KEY'->AVP, RT->REC] [VAL : 'STATUS'->AVP] ]+""", ["KEY", "STATUS"])
+    return _named(found, "orderkey", "status")
+
+
+@_query("""select event_id as table_id, case when event_type = 'error' then null else event_type end as kind, case when event_type = 'error' then event_type end as fault, event_id::varchar as event from events""")
+def conditional_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = grid_of_rows(_read(spark, sf_dir, "events"), ["event_id"], ["event_id"], ["event_id", "event_type"])
+    found = extract(grids, "[ [VAL : 'EVENT'->AVP, RT->REC] ['error' ? VAL : 'FAULT'->AVP | VAL : 'KIND'->AVP] ]", ["EVENT", "FAULT", "KIND"])
+    return _named(found.select("table_id", "rec_no", "KIND", "FAULT", "EVENT"), "kind", "fault", "event")
+
+
+@_query("""with n as (select n_regionkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) as i from nation)
+    select a.n_regionkey as table_id, a.n_name as name, b.n_name || '/' || c.n_name || coalesce('|' || d.n_name, '') as others
+    from n a join n b on a.n_regionkey = b.n_regionkey and b.i = a.i - 1 join n c on a.n_regionkey = c.n_regionkey and c.i = a.i - 2
+    left join n d on a.n_regionkey = d.n_regionkey and d.i = 2 and a.i <> 2
+    where a.i > 2""")
+def ordered_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest above, nearest first, and a fixed row, from the third row on."""
+    grids = grid_of_rows(_read(spark, sf_dir, "nation").withColumn("copy", F.col("n_name")), ["n_regionkey"], ["n_nationkey"], ["copy", "n_name"])
+    found = extract(grids, "[ [VAL] [VAL] ]{2} [ [VAL : RT->REC] [VAL : -AV{2}->FILL('/'), (COL&R1)->SUFFIX('|')] ]+", ["$a_1", "$a_2"])
+    return _named(found, "name", "others")
+
+
+@_query("""with n as (select n_regionkey, n_name, n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) as i, count(*) over (partition by n_regionkey) as k from nation)
+    select a.n_regionkey as table_id, a.n_name as name, b.n_name as first, e.n_name as last
+    from n a join n b on a.n_regionkey = b.n_regionkey and b.i = 1 join n e on a.n_regionkey = e.n_regionkey and e.i = e.k where a.i > 1 and a.i < a.k""")
+def column_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last of the others by column order and its reverse; tags tell the rows apart."""
+    grids = grid_of_rows(_read(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_name", "n_nationkey"])
+    found = extract(grids, "[ [VAL #'N'] [] ] [ [VAL #'N' : (^(NCL&#'N'), -^(NCL&#'N'))->REC] [] ]{3} [ [VAL #'N'] [] ]", ["$a_1", "$a_2", "$a_3"])
+    return _named(found, "name", "first", "last")
+
+
+@_query("""with n as (select n_regionkey, n_name, n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as i from nation)
+    select a.n_regionkey as table_id, a.n_name as name, coalesce(string_agg(b.n_name, '+' order by b.i), '') as others
+    from n a left join n b on a.n_regionkey = b.n_regionkey and a.i <> b.i and (b.i between 1 and 2 or b.n_name like '%1%') group by 1, 2""")
+def disjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 1 to 2, or names with a 1, joined into one text."""
+    grids = grid_of_rows(_read(spark, sf_dir, "nation").withColumn("copy", F.col("n_name")), ["n_regionkey"], ["n_nationkey"], ["copy", "n_name"])
+    found = extract(grids, "[ [VAL : ROW->REC] [VAL : (COL&(R1..2|~'1'))*->FILL('+')] ]+", ["$a_1", "$a_2"])
+    return _named(found, "name", "others")
+
+
+@_query("select o_orderkey as table_id, o_orderstatus as status, o_orderkey::varchar as orderkey, 'orders' as source, '7' as kind from orders")
+def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constant pairs and literals as members, and REC(1), which moves the anchor to position 1."""
+    grids = grid_of_rows(_read(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    found = extract(grids, "[ [VAL] [VAL : (LT, @'SOURCE'='orders', '7')->REC(1)] ]", ["$a_1", "$a_2", "SOURCE", "$a_4"])
+    return _named(found, "orderkey", "status", "source", "kind").select("table_id", "status", "orderkey", "source", "kind")
+
+
+@_query("""select r_regionkey as table_id, n_regionkey_name as region, string_agg(n_name, '/' order by n_nationkey) as nations
+    from (select r_regionkey, r_name as n_regionkey_name, n_name, n_nationkey from region join nation on n_regionkey = r_regionkey) group by 1, 2""")
+def suffix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = _read(spark, sf_dir, "nation").join(F.broadcast(_read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    grids = grid_of_rows(nations, ["r_regionkey"], ["n_nationkey"], ["r_name", "n_name"])
+    found = extract(grids, "[ [VAL : RT->REC] [VAL : BW*->SUFFIX('/')] ] [ [] [AUX] ]*", ["$a_1", "$a_2"])
+    return _named(found, "region", "nations")
+
+
+@_query("""select p_partkey as table_id, split_part(p_name, ' ', 1) as first, split_part(p_name, ' ', 2) as second, p_type as type from part""")
+def split_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPLIT makes columns of delimited values."""
+    grids = grid_of_rows(_read(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey"], ["p_name", "p_type"])
+    return _named(extract(grids, "<SPLIT(' ')> [ [VAL : RT->REC] [VAL] ]", ["$a_1", "$a_2"]), "first", "second", "type")
+
+
+@_query("""select p_partkey as table_id, p_type as type, regexp_extract(p_brand, '^([A-Za-z]+)', 1) as make, regexp_extract(p_brand, '([0-9]+)$', 1) as number from part""")
+def regex_split_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = grid_of_rows(_read(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey"], ["p_brand", "p_type"])
+    found = extract(grids, "[ [VAL : 'BRAND'->AVP, RT->REC] [VAL : 'TYPE'->AVP] ]", ["BRAND", "TYPE"])
+    found = transforms.reordered(transforms.field_split(found, "BRAND", "[^A-Za-z0-9]+", ["MAKE", "NUMBER"]), ["TYPE"])
+    return _named(found, "type", "make", "number")
+
+
+@_query("""select event_id as table_id, event_id::varchar as event, case when event_type = 'purchase' then 'yes' else 'no' end as bought from events""")
+def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absent fields get what a handler says for their attribute."""
+    grids = grid_of_rows(_read(spark, sf_dir, "events"), ["event_id"], ["event_id"], ["event_id", "event_type"])
+    pattern = "[ [VAL : 'EVENT'->AVP, RT->REC] ['purchase' ? VAL = REPL('purchase', 'yes') : 'BOUGHT'->AVP | SKIP] ]"
+    return _named(extract(grids, pattern, ["EVENT", "BOUGHT"], missing=lambda a: "no" if a == "BOUGHT" else None), "event", "bought")
+
+
+@_query("""select o_orderkey as table_id, o_orderkey::varchar as orderkey, o_orderstatus as status from orders where o_orderpriority <> '5-LOW'""")
+def bound_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT names a function given with the pattern: of a cell's Column, and of an anchor and a candidate."""
+    grids = grid_of_rows(_read(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    own = Bindings().cell("pressing", lambda text: text != "5-LOW", columnar=True).pair("next", lambda a, c: c("col") == a("col") + 1, columnar=True)
+    found = extract(grids, "[ [VAL : 'KEY'->AVP, (ROW&EXT('next'))->REC] [VAL : 'STATUS'->AVP] [EXT('pressing')] ]", ["KEY", "STATUS"], bindings=own)
+    return _named(found, "orderkey", "status")
+
+
+@_query("select r_regionkey as table_id, r_name as region, n_name as nation from region join nation on n_regionkey = r_regionkey")
+def inherited_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtables and actions that all their atoms inherit."""
+    nations = _read(spark, sf_dir, "nation").join(F.broadcast(_read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    grids = grid_of_rows(nations, ["r_regionkey"], ["n_nationkey"], ["r_name", "n_name"])
+    found = extract(grids, "{ [ [VAL : 'REGION'->AVP] { 'NATION'->AVP [VAL : ROW->REC] } ] }+", ["NATION", "REGION"])
+    return _named(found.select("table_id", "rec_no", "REGION", "NATION"), "region", "nation")
+
+
+@_query("select n_regionkey as table_id, n_nationkey::varchar as key, n_name as name from nation")
+def dsl_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a text pattern, built in Python, with fields in order of position."""
+    grids = grid_of_rows(_read(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"])
+    pattern = d.table(d.row(d.cell(d.VAL, d.rec(d.RT)), d.cell(d.VAL)).one_or_more())
+    assert pattern == compile_pattern("[ [VAL : RT->REC] [VAL] ]+")
+    return _named(extract(grids, pattern, options=Options(schema_by="position", actions_by="column")), "key", "name")
+
+
+@_query("""select c_custkey as table_id, c_custkey::varchar as key, c_name as name, c_mktsegment as segment from customer""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as CSV texts and read back as grids."""
+    customers = _read(spark, sf_dir, "customer")
+    line = csv_line(F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.concat(F.col("c_mktsegment"), F.lit(', "x"'))))
+    grids = customers.select(F.col("c_custkey").alias("table_id"), csv_grid(line).alias("grid"))
+    found = extract(grids, "[ [VAL : RT*->REC] [VAL] [VAL = REPL(', .*', '')] ]", ["$a_1", "$a_2", "$a_3"])
+    return _named(found, "key", "name", "segment")
+
+
+@_query("""select event_id as table_id, 'k' as name, regexp_extract(props, '([0-9]+)', 1) as value from events""")
+def text_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited texts as grids: `{"k": 69}` is one row of two cells."""
+    events = _read(spark, sf_dir, "events")
+    grids = events.select(F.col("event_id").alias("table_id"), grid_of_text(F.col("props"), ",", ":").alias("grid"))
+    pattern = r"""[ [VAL = REPL('[^a-z]', '') : RT->REC] [VAL = REPL('[^0-9]', '')] ]+"""
+    return _named(extract(grids, pattern, ["$a_1", "$a_2"]), "name", "value")
+
+
+@_query("""select n_regionkey as table_id, (row_number() over (partition by n_regionkey order by n_nationkey) - 1)::int as row, unnest([0, 1])::int as col, unnest([n_nationkey::varchar, n_name]) as text from nation""")
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = grid_of_rows(_read(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"])
+    return cells(grids).select("table_id", "row", "col", "text")
+
+
+@_query("""select p_partkey as table_id, 0 as start, length(split_part(p_brand, '#', 1))::int as "end", split_part(p_brand, '#', 1) as s, 0 as idx from part
+    union all select p_partkey, length(split_part(p_brand, '#', 1))::int + 1, length(p_brand)::int, split_part(p_brand, '#', 2), 1 from part""")
+def item_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of compound cells with the part of the text they come from."""
+    grids = grid_of_rows(_read(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey"], ["p_brand"])
+    return items(grids, compile_pattern("[ [VAL '#' VAL] ]")).select("table_id", "start", "end", "s", "idx")
