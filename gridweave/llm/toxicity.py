@@ -6,8 +6,8 @@ the second term is the risk on negatives as the unlabelled text shows it, and wh
 falls below zero a step undoes it instead of following it.
 
 Features are words and word beginnings (PREFIXES bytes) by presence, chosen from those that
-MIN_SHARE of the toxic documents have, and MIN_RATIO times the share in unlabelled text.
-Equal texts count once in fitting.  Fitting takes at most about MAX_TOXIC
+MIN_SHARE of the toxic documents have and whose holders, by the prior and the shares in
+toxic and unlabelled text, are toxic with MIN_PRECISION.  Equal texts count once in fitting.  Fitting takes at most about MAX_TOXIC
 and MAX_UNLABELLED documents, chosen by a hash of the id, whole texts each; scoring reads
 every whole text once.  The prior is the share of toxic among all labelled training rows.
 
@@ -31,8 +31,8 @@ MAX_TOXIC = 4000
 MAX_UNLABELLED = 12000
 MAX_FEATURES = 4096
 MIN_DOCS = 4
-MIN_SHARE = 0.01
-MIN_RATIO = 4.0
+MIN_SHARE = 0.02
+MIN_PRECISION = 0.6
 PREFIXES = (4, 5, 6)
 _WORD = bytes(x if x >= 0x80 or 0x61 <= x <= 0x7A else 0x20 for x in range(256))
 
@@ -76,7 +76,7 @@ class Classifier:
         return float(1 / (1 + np.exp(-(self.bias + sum(self.weights[f] for f in sorted(found))))))
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 800, rate: float = 0.1, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Non-negative PU risk minimised by Adam.  rows: the feature numbers of each document;
     positive: whether it is a confirmed positive (else unlabelled)."""
     index = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -134,8 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not p or not u:
         return Classifier({}, bias)
     counted = sample.mapInArrow(_counts, "feature binary, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    lift = (F.col("toxic") / p) / ((F.col("other") + 1) / u)
-    picked = counted.where((F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * p)) & (lift >= MIN_RATIO)).orderBy(F.desc(F.col("toxic") * F.log(lift)), "feature").limit(MAX_FEATURES).select("feature").collect()
+    precision = prior * (F.col("toxic") / p) / ((F.col("other") + 1) / u)
+    picked = counted.where((F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * p)) & (precision >= MIN_PRECISION)).orderBy(F.desc(F.col("toxic") * precision), "feature").limit(MAX_FEATURES).select("feature").collect()
     number = {bytes(r.feature): i for i, r in enumerate(picked)}
     if not number:
         return Classifier({}, bias)
