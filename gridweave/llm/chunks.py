@@ -111,11 +111,11 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_cut_rows, "doc_id long, digest long, start int, end int, words int")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, later_only: bool = False) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc): every passage that other documents have, too.
 
-    Every chunk of it occurs in first_doc or before; where that is the document itself, it
-    brings something new, and this occurrence is the one that stays.
+    first_doc is the document in which most of its chunks occur first, maybe the document
+    itself.  later_only: passages whose chunks all occur in a document of smaller id.
     """
     pieces = chunk_rows(docs, id_col, text_col)
     seen = pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
@@ -125,17 +125,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     packed = pieces.select("doc_id", "digest", place.alias("place")).join(repeated, "digest")
     rows = packed.select("doc_id", "first_doc", F.shiftright("place", 24).alias("start"), F.shiftright("place", 12).bitwiseAND(4095).alias("length"), F.col("place").bitwiseAND(4095).alias("words"))
     rows = rows.withColumn("end", F.col("start") + F.col("length"))
+    if later_only:
+        rows = rows.where("first_doc < doc_id")
     order = Window.partitionBy("doc_id").orderBy("start")
     fresh = F.when(F.col("start") == F.lag("end").over(order), 0).otherwise(1)
     runs = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.max("first_doc").alias("first_doc"))
+    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.mode("first_doc", True).alias("first_doc"))
     return found.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "first_doc")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without passages that a document of smaller id has, too."""
     name = "__passages"
-    spans = repeated_passages(docs, id_col, text_col, min_words).where("first_doc < doc_id")
+    spans = repeated_passages(docs, id_col, text_col, min_words, later_only=True)
     by_doc = spans.groupBy(F.col("doc_id").alias(id_col)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name))
     text = F.col(f"`{text_col}`")
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))

@@ -8,6 +8,8 @@ the places that use them, through other names too; and a literal is reported whe
 target's parts (camelCase and snake_case are taken apart) and the literal's own look score
 SCORE or more together.
 
+Lexing is linear: an unquoted value is read up to 4096 characters for that.
+
 Texts are screened as bytes: without `=` or `:` there is nothing to lex, and a run of
 hexadecimal digits or an access key id is found before any pattern runs.
 
@@ -56,7 +58,7 @@ _TARGET = re.compile(
     r"""(?::[ \t]*+[A-Za-z_][\w.<>\[\], ]{0,40}?[ \t]*+(?==))?(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*+""",
     re.A,
 )
-_TERM = re.compile(r'''(?:"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'|`(?P<tick>[^`\n]*+)`|(?P<bare>[^\s"'`,;(){}\[\]<>]++))''')
+_TERM = re.compile(r'''(?:"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'|`(?P<tick>[^`\n]*+)`|(?P<bare>[^\s"'`,;(){}\[\]<>]{1,4096}+))''')
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*", re.A)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
