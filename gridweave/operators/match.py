@@ -108,7 +108,10 @@ def repeated(elements, one: Callable, at: int) -> tuple[int, list] | None:
         reached, found = [at], []
         while high is None or len(found) < high:
             step = one(elements[k], reached[-1])
-            if step is None or step[0] == reached[-1]:
+            if step is None:
+                break
+            if step[0] == reached[-1]:
+                low = 0  # it matches nothing, as often as is asked for
                 break
             reached.append(step[0])
             found.append(step[1])

@@ -37,7 +37,7 @@ def csv_grid(text: Column, strict: bool = True) -> Column:
 
 def read_csv_grids(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(table_id, grid): one table for each file, named by its path."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("table_id"), csv_grid(F.col("value"), strict).alias("grid"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("table_id"), csv_grid(F.col("value"), strict).alias("grid"))
 
 
 def grid_of_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[str], header: bool = False) -> DataFrame:
