@@ -26,10 +26,12 @@ def csv_lines(records: DataFrame, sep: str = ",", missing: str = "", keys: tuple
 
 
 def write_csv(records: DataFrame, path: str, sep: str = ",", missing: str = "", keys: tuple[str, ...] = KEYS) -> None:
-    """CSV files with a header each, CRLF line ends, in the order of tables and records within each file."""
+    """Files that, one after the other, are one CSV text: the header, then the records in the order of tables and records; CRLF line ends."""
     names = [c for c in records.columns if c not in keys]
-    lines = csv_lines(records, sep, missing, keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    lines.select(F.col("line").alias(_header(names, sep))).write.option("header", True).option("quote", "").option("lineSep", "\n").option("sep", "\x00").option("escape", "\x00").csv(path)
+    lines = csv_lines(records, sep, missing, keys)
+    # Null keys sort first, so the header begins the first file.
+    head = records.sparkSession.range(1).select(*(F.lit(None).cast(lines.schema[k].dataType).alias(k) for k in keys), F.lit(_header(names, sep)).alias("line"))
+    head.union(lines).repartitionByRange(*keys).sortWithinPartitions(*keys).select("line").write.text(path, lineSep="\r\n")
 
 
 def _header(names: list[str], sep: str) -> str:
