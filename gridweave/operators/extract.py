@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators import transforms
-from gridweave.operators.records import Options, record_fields
+from gridweave.operators.items import Atoms
+from gridweave.operators.records import Options, fields, records, static_names
 from gridweave.plans import spec as S
 from gridweave.plans.rtl import Bindings, compile_pattern
 
@@ -19,6 +20,14 @@ def attributes(fields: DataFrame) -> list[str]:
     return [r.attr for r in first.orderBy("met").select("attr").collect()]
 
 
+def wide_members(found: DataFrame, schema: list[str]) -> DataFrame:
+    """A column for each attribute of the schema, read from each record's own members."""
+    last = lambda a: F.element_at(F.filter("members", lambda m: m["attr"] == a), -1)["val"]
+    has = lambda a: F.exists("members", lambda m: m["attr"] == a)
+    values = [F.when(has(a), last(a)).alias(f"c{i}") for i, a in enumerate(schema)]
+    return found.select("table_id", "rec_no", *values).toDF("table_id", "rec_no", *schema)
+
+
 def wide(fields: DataFrame, schema: list[str]) -> DataFrame:
     """A column for each attribute of the schema; of members with one attribute the last counts."""
     names = [f"c{i}" for i in range(len(schema))]
@@ -47,11 +56,11 @@ def extract(
     """
     options = options or Options()
     pattern = compile_pattern(pattern, bindings) if isinstance(pattern, str) else pattern
-    fields = record_fields(tables, pattern, options, table_id, grid, keep)
+    found = records(tables, pattern, options, table_id, grid, keep)
     if schema is None:
-        fields = fields.persist() if keep else fields
-        schema = attributes(fields) or [options.template.replace("%i", "1")]
-    out = wide(fields, schema)
+        found = found.persist() if keep else found
+        schema = attributes(fields(found, options)) or [options.template.replace("%i", "1")]
+    out = wide_members(found, schema) if static_names(Atoms(pattern).atoms) else wide(fields(found, options), schema)
     if missing:
         out = transforms.with_missing(out, missing)
     return transforms.applied(out, pattern.settings)

@@ -117,8 +117,8 @@ def kinds_for(op: str) -> tuple[tuple[str, ...], str | None]:
     return (S.VAL,), S.ATTR if op == "AVP" else S.VAL
 
 
-def uses(atoms: list[S.Atom]) -> dict[tuple[S.Lookup, str | None], dict[int, list[tuple[int, int]]]]:
-    """Each lookup and candidate kind -> for each atom using it, the action and provider numbers.
+def uses(atoms: list[S.Atom], ops: tuple[str, ...]) -> dict[tuple[S.Lookup, str | None], dict[int, list[tuple[int, int]]]]:
+    """Each lookup and candidate kind of these operations -> for each atom using it, the action and provider numbers.
 
     An action that its atom's kind doesn't allow is left out if it was inherited; else it is an error.
     """
@@ -126,6 +126,8 @@ def uses(atoms: list[S.Atom]) -> dict[tuple[S.Lookup, str | None], dict[int, lis
     for n, atom in enumerate(atoms):
         for act, action in enumerate(atom.actions):
             anchors, wanted = kinds_for(action.op)
+            if action.op not in ops:
+                continue
             if atom.kind == S.SKIP or atom.kind not in anchors and action.inherited:
                 continue
             if atom.kind not in anchors:
@@ -138,24 +140,36 @@ def uses(atoms: list[S.Atom]) -> dict[tuple[S.Lookup, str | None], dict[int, lis
     return out
 
 
-OPERAND = "struct<act:int,prov:int,o1:int,o2:int,o3:int,seq:bigint,s:string>"
-
+def operands(items: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame | None:
+    """(table_id, seq, ops): for each item that finds others, what the providers of these operations found, in order.
 
-def operands(items: DataFrame, atoms: list[S.Atom]) -> DataFrame:
-    """(table_id, seq, ops): for each item that finds others, what each action's providers found, in order."""
+    An entry has the numbers of action and provider, its place in the order, and the columns
+    to carry.  None if the operations have no lookups.
+    """
     found = []
-    for (lookup, wanted), by_atom in uses(atoms).items():
+    for (lookup, wanted), by_atom in uses(atoms, ops).items():
         anchors = items.where(F.col("atom").isin(list(by_atom)))
         anchors = anchors.select(*(F.col(c).alias(ANCHOR + c) for c in ("table_id", "seq", "atom", "row", "col", "subtable", "subrow", "idx", "s", "kind", "tags")))
         candidates = items if wanted is None else items.where(F.col("kind") == wanted)
-        pairs = candidates.join(anchors, join_condition(lookup.condition)).select(F.col(ANCHOR + "table_id").alias("table_id"), F.col(ANCHOR + "seq").alias("anchor"), F.col(ANCHOR + "atom").alias("atom"), *_order(lookup), F.col("idx").alias("o3"), "seq", "s")
+        pairs = candidates.join(anchors, join_condition(lookup.condition)).select(
+            F.col(ANCHOR + "table_id").alias("table_id"), F.col(ANCHOR + "seq").alias("anchor"), F.col(ANCHOR + "atom").alias("atom"), *_order(lookup), F.col("idx").alias("o3"), F.col("seq").alias("o4"), F.struct(*carry).alias("found")
+        )
         if lookup.most is not None:
-            order = Window.partitionBy("table_id", "anchor").orderBy("o1", "o2", "o3", "seq")
+            order = Window.partitionBy("table_id", "anchor").orderBy("o1", "o2", "o3", "o4")
             pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= lookup.most)
-        places = {n: F.array(*(F.struct(F.lit(a).alias("act"), F.lit(p).alias("prov")) for a, p in at)) for n, at in by_atom.items()}
-        serves = reduce(lambda x, kv: x.when(F.col("atom") == kv[0], kv[1]), list(places.items())[1:], F.when(F.col("atom") == next(iter(places)), places[next(iter(places))]))
-        found.append(pairs.select("table_id", "anchor", "o1", "o2", "o3", "seq", "s", F.inline(serves)))
+        places = [(n, F.array(*(F.struct(F.lit(a).alias("act"), F.lit(p).alias("prov")) for a, p in at))) for n, at in by_atom.items()]
+        serves = reduce(lambda x, kv: x.when(F.col("atom") == kv[0], kv[1]), places[1:], F.when(F.col("atom") == places[0][0], places[0][1]))
+        found.append(pairs.select("table_id", "anchor", "o1", "o2", "o3", "o4", "found", F.inline(serves)))
     if not found:
-        return items.sparkSession.createDataFrame([], f"table_id {items.schema['table_id'].dataType.simpleString()}, seq long, ops array<{OPERAND}>")
+        return None
     every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("table_id", F.col("anchor").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("act", "prov", "o1", "o2", "o3", F.col("seq"), "s"))).alias("ops"))
+    return every.groupBy("table_id", F.col("anchor").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("act", "prov", "o1", "o2", "o3", "o4", "found"))).alias("ops"))
+
+
+def with_operands(items: DataFrame, anchors: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
+    """The anchors with a column `ops`, null where nothing was found."""
+    found = operands(items, atoms, ops, carry)
+    if found is None:
+        entry = F.struct(*(F.lit(0).alias(c) for c in ("act", "prov", "o1", "o2", "o3", "o4")), F.struct(*carry).alias("found"))
+        return anchors.withColumn("ops", F.when(F.lit(False), F.array(entry)))
+    return anchors.join(found, ["table_id", "seq"], "left")

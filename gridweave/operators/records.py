@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.operators.items import Atoms, items
-from gridweave.operators.lookups import OPERAND, operands
+from gridweave.operators.lookups import with_operands
 from gridweave.plans import spec as S
 
 _STRING_OPS = ("FILL", "PREFIX", "SUFFIX")
@@ -47,46 +47,33 @@ def _by_atom(atoms: list[S.Atom], of, default: Column) -> Column:
     return reduce(lambda a, ne: a.when(F.col("atom") == ne[0], ne[1]), own[1:], F.when(F.col("atom") == own[0][0], own[0][1])).otherwise(default) if own else default
 
 
+def _literals(atoms: list[S.Atom]) -> dict[str, int]:
+    texts = (p.text for a in atoms for x in a.actions for p in x.providers if isinstance(p, S.Literal))
+    return {t: i for i, t in enumerate(dict.fromkeys(texts))}
+
+
 def _found(act: int, prov: int) -> Column:
     """What one provider of an action found, in order."""
-    own = F.filter(F.coalesce("ops", F.array().cast(f"array<{OPERAND}>")), lambda o: (o["act"] == act) & (o["prov"] == prov))
-    return F.transform(own, lambda o: F.struct(o["seq"], o["s"], F.lit(None).cast("string").alias("attr")))
-
-
-def _of_action(atom: S.Atom, act: int, literals: dict[str, int]) -> Column:
-    """The operands of one action in order, literals and constant pairs in their places: array of (seq, s, attr)."""
-    action = atom.actions[act]
-    kind = "array<struct<seq:bigint,s:string,attr:string>>"
-    parts = []
-    for prov, p in enumerate(action.providers):
-        match p:
-            case S.Literal(text):
-                parts.append(F.array(F.struct(F.lit(-1 - literals[text]).cast("long").alias("seq"), F.lit(text).alias("s"), F.lit(None).cast("string").alias("attr"))).cast(kind))
-            case S.Pair(attr, value):
-                parts.append(F.array(F.struct(F.lit(None).cast("long").alias("seq"), F.lit(value).alias("s"), F.lit(attr).alias("attr"))).cast(kind))
-            case _:
-                parts.append(_found(act, prov).cast(kind))
-    return F.concat(*parts) if parts else F.array().cast(kind)
+    return F.transform(F.filter("ops", lambda o: (o["act"] == act) & (o["prov"] == prov)), lambda o: o["found"])
 
 
-def _literals(atoms: list[S.Atom]) -> dict[str, int]:
-    texts = (p.text for a in atoms for x in a.actions for p in x.providers if isinstance(p, S.Literal))
-    return {t: i for i, t in enumerate(dict.fromkeys(texts))}
+def _strings(atom: S.Atom, act: int) -> Column:
+    """The strings that a string action joins."""
+    each = [F.array(F.lit(p.text)) if isinstance(p, S.Literal) else F.coalesce(F.transform(_found(act, prov), lambda o: o["s"]), F.array().cast("array<string>")) for prov, p in enumerate(atom.actions[act].providers)]
+    return F.concat(*each) if each else F.array().cast("array<string>")
 
 
-def valued(found: DataFrame, ops: DataFrame, atoms: list[S.Atom]) -> DataFrame:
-    """The items with `ops`, and with `val`: the string after its FILL, PREFIX and SUFFIX actions."""
-    literals = _literals(atoms)
+def valued(found: DataFrame, atoms: list[S.Atom]) -> DataFrame:
+    """The items with `val`: the string after the FILL, PREFIX and SUFFIX actions, which read other items' first strings."""
 
     def value(atom: S.Atom) -> Column | None:
-        if not any(a.op in _STRING_OPS for a in atom.actions):
+        acts = [(i, a) for i, a in enumerate(atom.actions) if a.op in _STRING_OPS]
+        if not acts or atom.kind not in (S.VAL, S.ATTR):
             return None
         out = F.col("s")
-        for act, action in enumerate(atom.actions):
-            if action.op not in _STRING_OPS or atom.kind not in (S.VAL, S.ATTR):
-                continue
-            own = _of_action(atom, act, literals)
-            text = F.array_join(F.transform(own, lambda o: o["s"]), action.text)
+        for act, action in acts:
+            own = _strings(atom, act)
+            text = F.array_join(own, action.text)
             match action.op:
                 case "FILL":
                     out = text
@@ -96,65 +83,68 @@ def valued(found: DataFrame, ops: DataFrame, atoms: list[S.Atom]) -> DataFrame:
                     out = F.when(F.size(own) > 0, F.concat(out, F.lit(action.text), text)).otherwise(out)
         return out
 
-    return found.join(ops, ["table_id", "seq"], "left").withColumn("val", _by_atom(atoms, value, F.col("s")))
+    if not any(a.op in _STRING_OPS for atom in atoms for a in atom.actions):
+        return found.withColumn("val", F.col("s"))
+    return with_operands(found, found, atoms, _STRING_OPS, ("s",)).withColumn("val", _by_atom(atoms, value, F.col("s"))).drop("ops")
 
 
 def attributed(values: DataFrame, atoms: list[S.Atom]) -> DataFrame:
-    """The items with `attr`: the attribute that the first AVP action with an operand gives, by its final value."""
-    literals = _literals(atoms)
-    texts = F.array(*map(F.lit, literals)) if literals else F.array().cast("array<string>")
+    """The items with `attr`: what the first AVP action with an operand gives, by the operand's final value."""
 
     def attribute(atom: S.Atom) -> Column | None:
-        acts = [act for act, a in enumerate(atom.actions) if a.op == "AVP"]
-        if atom.kind != S.VAL or not acts:
+        if atom.kind != S.VAL:
             return None
-        return F.coalesce(*(F.get(_of_action(atom, act, literals), F.lit(0))["seq"] for act in acts))
+        given = [F.lit(a.providers[0].text) if isinstance(a.providers[0], S.Literal) else F.get(_found(act, 0), F.lit(0))["val"] for act, a in enumerate(atom.actions) if a.op == "AVP"]
+        return F.coalesce(*given) if given else None
+
+    if any(isinstance(p, S.Lookup) for atom in atoms for a in atom.actions if a.op == "AVP" for p in a.providers):
+        values = with_operands(values, values, atoms, ("AVP",), ("val",))
+    return values.withColumn("attr", _by_atom(atoms, attribute, F.lit(None).cast("string"))).drop("ops")
+
 
-    pointed = values.withColumn("attr_seq", _by_atom(atoms, attribute, F.lit(None).cast("long")))
-    static = F.when(F.col("attr_seq") < 0, F.get(texts, (-1 - F.col("attr_seq")).cast("int")))
-    if not any(isinstance(p, S.Lookup) for a in atoms for x in a.actions if x.op == "AVP" for p in x.providers):
-        return pointed.withColumn("attr", static).drop("attr_seq")
-    names = values.where(F.col("kind") == S.ATTR).select("table_id", F.col("seq").alias("attr_seq"), F.col("val").alias("named"))
-    return pointed.join(names, ["table_id", "attr_seq"], "left").withColumn("attr", F.coalesce(static, "named")).drop("attr_seq", "named")
+def first_record(atom: S.Atom) -> int | None:
+    """The action that makes the atom's record: its first REC."""
+    return next((i for i, a in enumerate(atom.actions) if a.op == "REC"), None) if atom.kind == S.VAL else None
 
 
 def made(named: DataFrame, atoms: list[S.Atom], options: Options) -> DataFrame:
     """(table_id, o1, o2, seq, members, joins): the records in the order of their anchors, members with attribute and value.
 
-    joins: for each JOIN action of the anchor its number and the anchors it found.
+    joins: for each JOIN action of the anchor the anchors it found, and the positions it leaves out.
     """
     literals = _literals(atoms)
-
-    def first_rec(atom: S.Atom) -> int | None:
-        return next((i for i, a in enumerate(atom.actions) if a.op == "REC"), None) if atom.kind == S.VAL else None
+    kind = f"array<{_MEMBER}>"
 
     def members(atom: S.Atom) -> Column | None:
-        act = first_rec(atom)
+        act = first_record(atom)
         if act is None:
             return None
-        own = F.array(F.struct("seq", F.col("val").alias("s"), F.col("attr").alias("attr")))
-        return F.concat(own, _of_action(atom, act, literals))
+        parts = [F.array(F.struct("seq", "attr", "val"))]
+        for prov, p in enumerate(atom.actions[act].providers):
+            match p:
+                case S.Literal(text):
+                    one = F.struct(F.lit(-1 - literals[text]).cast("long").alias("seq"), F.lit(None).cast("string").alias("attr"), F.lit(text).alias("val"))
+                    parts.append(F.array(one))
+                case S.Pair(attr, value):
+                    parts.append(F.array(F.struct(F.lit(None).cast("long").alias("seq"), F.lit(attr).alias("attr"), F.lit(value).alias("val"))))
+                case _:
+                    parts.append(F.coalesce(_found(act, prov), F.array()))
+        return F.concat(*(p.cast(kind) for p in parts))
 
     def joins(atom: S.Atom) -> Column | None:
         acts = [i for i, a in enumerate(atom.actions) if a.op == "JOIN"]
-        if first_rec(atom) is None or not acts:
+        if first_record(atom) is None or not acts:
             return None
+        found = lambda act: F.flatten(F.array(*(F.transform(_found(act, prov), lambda o: o["seq"]) for prov in range(len(atom.actions[act].providers)))))
         drop = lambda act: F.array(*map(F.lit, atom.actions[act].drop)).cast("array<int>")
-        return F.array(*(F.struct(F.transform(_of_action(atom, act, literals), lambda o: o["seq"]).alias("found"), drop(act).alias("drop")) for act in acts))
+        return F.array(*(F.struct(F.coalesce(found(act), F.array().cast("array<bigint>")).alias("found"), drop(act).alias("drop")) for act in acts))
 
-    has = [n for n, a in enumerate(atoms) if first_rec(a) is not None]
-    places = ("row", "col") if options.actions_by == "row" else ("col", "row")
+    has = [n for n, a in enumerate(atoms) if first_record(a) is not None]
     anchors = named.where(F.col("atom").isin(has)) if has else named.where("false")
-    kind = "array<struct<seq:bigint,s:string,attr:string>>"
+    places = ("row", "col") if options.actions_by == "row" else ("col", "row")
     nothing = F.array().cast("array<struct<found:array<bigint>,drop:array<int>>>")
-    rows = anchors.select("table_id", F.col(places[0]).alias("o1"), F.col(places[1]).alias("o2"), "seq", _by_atom(atoms, members, F.array().cast(kind)).alias("m"), _by_atom(atoms, joins, nothing).alias("joins"))
-    # Members other than literals and pairs take their final value and attribute from the items.
-    each = rows.select("table_id", "o1", "o2", F.col("seq").alias("rec"), "joins", F.posexplode("m").alias("pos", "x")).select("table_id", "o1", "o2", "rec", "joins", "pos", F.col("x.seq").alias("seq"), "x.s", F.col("x.attr").alias("given"))
-    known = named.where(F.col("kind") == S.VAL).select("table_id", "seq", "val", "attr")
-    full = each.join(known, ["table_id", "seq"], "left")
-    member = F.struct("pos", "seq", F.coalesce("given", "attr").alias("attr"), F.coalesce("val", "s").alias("val"))
-    records = full.groupBy("table_id", "o1", "o2", "rec").agg(F.first("joins").alias("joins"), F.sort_array(F.collect_list(member)).alias("m"))
-    return records.select("table_id", "o1", "o2", F.col("rec").alias("seq"), F.transform("m", lambda x: x.dropFields("pos")).cast(f"array<{_MEMBER}>").alias("members"), "joins")
+    full = with_operands(named, anchors, atoms, ("REC", "JOIN"), ("seq", "attr", "val"))
+    return full.select("table_id", F.col(places[0]).alias("o1"), F.col(places[1]).alias("o2"), "seq", _by_atom(atoms, members, F.array().cast(kind)).alias("members"), _by_atom(atoms, joins, nothing).alias("joins"))
 
 
 def _fold(records: list[dict]) -> list[dict]:
@@ -218,27 +208,52 @@ def fields(records: DataFrame, options: Options) -> DataFrame:
         F.when(F.col("pos") > 0, F.when(F.col("lone") & F.col("seq").isNotNull(), options.name(F.lit(1))).otherwise(options.name(F.col("met") + 1))),
     )
     named = each.withColumn("attr", attr).where("attr is not null")
-    twice = F.count("given").over(Window.partitionBy("table_id", "rec_no", "given"))
-    wrong = F.when(F.col("low") != F.col("high"), F.raise_error(F.concat(F.lit("anchors have different attributes: "), F.col("low"), F.lit(", "), F.col("high")))).when((F.col("given").isNotNull()) & (twice > 1), F.raise_error(F.concat(F.lit("an attribute occurs twice in a record: "), F.col("given"))))
+    wrong = F.when(F.col("low") != F.col("high"), F.raise_error(F.concat(F.lit("anchors have different attributes: "), F.col("low"), F.lit(", "), F.col("high"))))
     # Anchors come first in a schema, then attributes as they are met.
     first, second = ("rec_no", "pos") if options.schema_by == "record" else ("pos", "rec_no")
     met_at = F.when(F.col("pos") == 0, F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))).otherwise(F.struct(F.col(first).alias("a"), F.col(second).alias("b")))
     return named.select("table_id", "rec_no", "pos", "attr", F.coalesce(wrong.cast("string"), F.col("val")).alias("val"), met_at.alias("visit"))
 
 
-def record_fields(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True) -> DataFrame:
-    """The records of all matching tables in long form: (table_id, rec_no, pos, attr, val, visit).
+def checked(records: DataFrame) -> DataFrame:
+    """The records; one with two members of the same attribute is an error."""
+    names = F.transform(F.filter("members", lambda m: m["attr"].isNotNull()), lambda m: m["attr"])
+    twice = F.size(names) != F.size(F.array_distinct(names))
+    return records.withColumn("members", F.when(twice, F.raise_error(F.concat(F.lit("an attribute occurs twice in a record: "), F.array_join(names, ", "))).cast(f"array<{_MEMBER}>")).otherwise(F.col("members")))
+
+
+def static_names(atoms: list[S.Atom]) -> bool:
+    """Whether the pattern itself names every member, and all anchors alike: then records need no naming."""
+    names = []
+    for atom in atoms:
+        if atom.kind != S.VAL:
+            continue
+        given = [a.providers[0] for a in atom.actions if a.op == "AVP"]
+        if not given or not isinstance(given[-1], S.Literal):
+            return False
+        if first_record(atom) is not None:
+            names.append(given[0].text if isinstance(given[0], S.Literal) else None)
+    literal_members = any(isinstance(p, S.Literal) for a in atoms for x in a.actions if x.op == "REC" for p in x.providers)
+    return not literal_members and None not in names and len(set(names)) <= 1
 
-    keep: the items and their values are persisted, as several joins read them.
+
+def records(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True) -> DataFrame:
+    """(table_id, rec_no, members) of all matching tables; members not named by the pattern have no attribute yet.
+
+    keep: the items are persisted where several joins read them.
     """
     options = options or Options()
     atoms = Atoms(pattern).atoms
-    hold = (lambda df: df.persist()) if keep else (lambda df: df)
+    hold = (lambda df: df.persist()) if keep and any(isinstance(p, S.Lookup) for a in atoms for x in a.actions for p in x.providers) else (lambda df: df)
     found = hold(items(tables, pattern, table_id, grid).repartition("table_id"))
-    values = valued(found, operands(found, atoms), atoms)
-    if any(isinstance(p, S.Lookup) for a in atoms for x in a.actions if x.op == "AVP" for p in x.providers):
-        values = hold(values)
-    named = hold(attributed(values, atoms))
-    records = made(named, atoms, options)
+    named = attributed(valued(found, atoms), atoms)
+    if any(a.op in _STRING_OPS or a.op == "AVP" and isinstance(a.providers[0], S.Lookup) for atom in atoms for a in atom.actions):
+        named = hold(named)
+    out = made(named, atoms, options)
     has_joins = any(x.op == "JOIN" for a in atoms for x in a.actions)
-    return fields(joined(records) if has_joins else numbered(records), options)
+    return checked(joined(out) if has_joins else numbered(out))
+
+
+def record_fields(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True) -> DataFrame:
+    """The records of all matching tables in long form: (table_id, rec_no, pos, attr, val, visit)."""
+    return fields(records(tables, pattern, options, table_id, grid, keep), options or Options())
