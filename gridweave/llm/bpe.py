@@ -19,7 +19,6 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import ahocorasick
@@ -31,9 +30,10 @@ from pyspark.sql import functions as F
 
 from gridweave.llm.common import ids_and_text
 
-MEMO = 1 << 18
-PAIR_MEMO = 1 << 20
+MEMO = 3 << 16
+PAIR_MEMO = 1 << 18
 _STEP = 1 << 16
+_PACK = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,10 +88,20 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
-        self.compatible = lru_cache(PAIR_MEMO)(self._compatible)
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def compatible(self, a: int, b: int) -> bool:
+        """_compatible, memoised up to PAIR_MEMO pairs."""
+        key = a << 24 | b
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= PAIR_MEMO:
+                self.pairs.clear()
+            found = self.pairs[key] = self._compatible(a, b)
+        return found
+
     def _compatible(self, a: int, b: int) -> bool:
         """Whether exact merging of a's bytes and b's bytes, side by side, leaves a and b as they are.
 
@@ -165,7 +175,7 @@ class Codec:
             found = self.older.get(piece)
             if found is None:
                 ids = self.piece(piece.encode())
-                found = struct.pack(f"<{len(ids)}I", *ids)
+                found = (_PACK[len(ids)] if len(ids) < len(_PACK) else struct.Struct(f"<{len(ids)}I")).pack(*ids)
             if len(self.memo) >= MEMO:
                 self.older, self.memo = self.memo, {}
             if len(piece) <= 64:
