@@ -1,0 +1,170 @@
+"""Near duplicates by word shingles: groups of documents whose Jaccard similarity is high.
+
+Two documents are linked when the sets of their SHINGLE-word shingles have a Jaccard
+similarity of SIMILARITY or more; groups are the connected components of all such links.
+
+Candidates come from MinHash: BANDS bands of ROWS minima each, and sets that agree in one
+band are candidates.  SimHash can't serve here: at similarity 0.8 fingerprints of 64 bits
+differ in ten bits on average and in twenty at times, and so wide a radius leaves bands of
+three bits.  A pair of similarity s is a candidate with 1 - (1 - s^ROWS)^BANDS: a pair at
+0.8 is missed once in 190,000, one at 0.85 once in 10^9.  Groups of candidates are then
+compared as a whole, all with all, by their exact sets, so that a pair is lost only if
+nothing else joins its two candidates either.
+
+Equal sets are compared once, by digest.  The texts of candidates alone are dealt to their
+groups; a crowded group is cut into blocks and each pair of blocks becomes a task group of
+its own, so no group exceeds 2 * BLOCK rows and no pair is lost.  Links come back as a
+spanning forest, never as pairs.
+
+Defined cases: null, empty and blank texts have the empty set and are equal; a text of fewer
+words than a shingle is one shingle.  Rows without an id take no part and stay.  Repeated
+rows count once.  Shingles and sets are told apart by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gridweave.llm.common import cut, ids_and_text, utf8
+from gridweave.llm.simhash import components, shingle_hashes
+
+SHINGLE = 5
+SIMILARITY = 0.8
+ROWS = 6
+BANDS = 40
+BLOCK = 256
+_PIECE = 1 << 10
+_RANDOM = np.random.default_rng(20240301)
+_TURN = _RANDOM.integers(0, 1 << 32, (ROWS * BANDS, 1), np.uint32)
+_TIMES = _RANDOM.integers(0, 1 << 32, (ROWS * BANDS, 1), np.uint32) | np.uint32(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit number for each band of the MinHash signature of a set; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(low), _PIECE):
+        np.minimum(least, ((low[at : at + _PIECE] ^ _TURN) * _TIMES).min(axis=1), out=least)
+    raw = least.astype("<u4").tobytes()
+    wide = 4 * ROWS
+    return np.array([xxhash.xxh3_64_intdigest(raw[i * wide : (i + 1) * wide], i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
+def prints(text: Column | str, size: int = SHINGLE) -> Column:
+    """The digest of a text's shingle set and its bands."""
+
+    @F.arrow_udf("struct<key:long,bands:array<long>>")
+    def prints_of(texts: pa.Array) -> pa.Array:
+        keys, found = [], []
+        for x in utf8(texts):
+            hashes = np.unique(shingle_hashes(x, size))
+            keys.append(xxhash.xxh3_64_intdigest(hashes.astype("<u8").tobytes()))
+            found.append(bands(hashes))
+        return pa.StructArray.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))], ["key", "bands"])
+
+    return prints_of(text)
+
+
+def linked(sets: list[frozenset], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect what pairs of the similarity or more connect, and nothing else."""
+    out: list[tuple[int, int]] = []
+    # Each part has its members by size; sets come by size, so a set too small for one is too small for all after it.
+    parts: list[list[int]] = []
+    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        own, n = sets[x], len(sets[x])
+        near, rest = [], []
+        for part in parts:
+            if n and len(sets[part[-1]]) / n < similarity:
+                continue
+            for y in reversed(part):
+                if n and len(sets[y]) / n < similarity:
+                    rest.append(part)
+                    break
+                shared = len(own & sets[y])
+                whole = n + len(sets[y]) - shared
+                if not whole or shared / whole >= similarity:
+                    out.append((x, y))
+                    near += part
+                    break
+            else:
+                rest.append(part)
+        parts = [*rest, [*sorted(near, key=lambda i: len(sets[i])), x]]
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by root and block pair; a group may span batches."""
+    group, keys, sets = None, [], []
+
+    def out() -> pa.RecordBatch:
+        found = linked(sets, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([keys[e[i]] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        names = zip(*(batch.column(k).to_pylist() for k in ("root", "first", "second")), strict=True)
+        for name, key, text in zip(names, batch.column("key").to_pylist(), utf8(batch.column("text")), strict=True):
+            if name != group:
+                if len(keys) > 1:
+                    yield out()
+                group, keys, sets = name, [], []
+            keys.append(key)
+            sets.append(frozenset(shingle_hashes(text, size).tolist()))
+    if len(keys) > 1:
+        yield out()
+
+
+def links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(a, b) for candidates (root, key, text), each key once: links enough to connect all similar ones of a root."""
+    crowded = cut(texts.groupBy("root").count().where(F.col("count") > 2 * block))
+    blocks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    # With more than one block each pair of different blocks compares its own rows, too.
+    other = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("own"))).otherwise(F.array(F.lit(0)))
+    rows = (
+        texts.join(F.broadcast(crowded), "root", "left")
+        .select("root", "key", "text", blocks.alias("blocks"))
+        .withColumn("own", own)
+        .select("root", "key", "text", "own", F.explode(other).alias("other"))
+        .select("root", "key", "text", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    )
+    dealt = rows.repartition("root", "first", "second").sortWithinPartitions("root", "first", "second")
+    return dealt.mapInArrow(partial(_compare, size=size, similarity=similarity), "a long, b long")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id): the near-duplicate group of every document with an id, named by its smallest id."""
+    rows = ids_and_text(docs, id_col, text_col).where("doc_id is not null")
+    printed = cut(rows.select("doc_id", prints("text", size).alias("p")).select("doc_id", "p.*"))
+    distinct = cut(printed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    banded = distinct.select("key", F.explode("bands").alias("value"))
+    # Written first, so that the join deals both sides anew and can split a frequent value.
+    shared = cut(banded.groupBy("value").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("value", "least"))
+    candidates = components(banded.join(shared, "value").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    chosen = cut(candidates.withColumnRenamed("node", "key").join(distinct.select("key", "rep"), "key"))
+    # A repeated id may stand for several texts: the digest says which of them is meant.
+    # Written first, so that only candidates' texts are hashed again, not all before the join.
+    held = cut(rows.join(chosen, rows["doc_id"] == chosen["rep"]).select("root", "key", "text"))
+    own = held.select("root", "key", "text", prints("text", size)["key"].alias("own"))
+    texts = cut(own.where("own = key").select("root", "key", "text").dropDuplicates(["key"]))
+    found = components(links(texts, size, similarity, block)).withColumnRenamed("node", "key")
+    named = found.join(distinct.select("key", "rep"), "key")
+    least = cut(named.groupBy("root").agg(F.min("rep").alias("component_id")))
+    moved = named.join(least, "root").select("key", "component_id")
+    parts = cut(distinct.join(moved, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")))
+    return printed.join(parts, "key").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents with one of each group left: that with the smallest id, once.  Documents without an id stay."""
+    keep = groups(docs, id_col, text_col, size, similarity).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
