@@ -104,7 +104,16 @@ def _range_of(key: Column, edges: list[int], pieces: int) -> Column:
     if pieces == 1:
         return stretch
     low, high = F.get(longs(edges), stretch), F.get(longs(edges), stretch + 1)
-    return stretch * pieces + F.floor((key - low) * pieces / (high - low)).cast("int")
+    # In doubles: differences and products of longs overflow.  Rounding keeps the order of keys, but could reach the next stretch.
+    share = (key.cast("double") - low.cast("double")) / (high.cast("double") - low.cast("double"))
+    return stretch * pieces + F.greatest(F.lit(0), F.least(F.lit(pieces - 1), F.floor(share * pieces).cast("int")))
+
+
+def _part_of(late: Column, key: Column, edges: list[int], pieces: int, late_pieces: int) -> Column:
+    """The number of a row's range: rows without an id have theirs after all others, equal stretches of the hash."""
+    share = (key.cast("double") + float(1 << 63)) / float(1 << 64)
+    piece = F.least(F.lit(max(0, late_pieces - 1)), F.floor(share * late_pieces).cast("int"))
+    return F.when(late, F.lit(len(edges) * pieces) + piece).otherwise(_range_of(key, edges, pieces))
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, size: int = SHINGLE, rows: int = RANGE_ROWS) -> DataFrame:
@@ -113,18 +122,21 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The next document is the one with the next higher id, and the first one after the last.
     The edited text has the last floor(n/2) of n code points replaced by the next document's
     first as many, or all.  Texts are shuffled once, by id range; the first document of each
-    range also goes to the range before it.  Rows without an id come last.
+    range also goes to the range before it.  Rows without an id come last, in the order of
+    their texts' hashes and in ranges of their own.
     """
     own = ids_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    ids = cut(own.select(F.coalesce("doc_id", F.lit((1 << 62))).alias("key")))
-    edges, pieces = _edges(ids, rows)
-    part = _range_of(F.col("key"), edges, pieces)
+    late, key = F.col("doc_id").isNull(), F.coalesce("doc_id", F.xxhash64("text"))
+    ids = cut(own.select(late.alias("late"), key.alias("key")))
+    edges, pieces = _edges(ids.where("not late"), rows)
+    n_late = ids.where("late").count()
+    part = _part_of(F.col("late"), F.col("key"), edges, pieces, min(MAX_RANGES, -(-n_late // rows)))
     every = Window.partitionBy()
     heads = ids.groupBy(part.alias("own_part")).agg(F.min("key").alias("head"))  # a row for each range
-    heads = heads.select("head", F.coalesce(F.lag("own_part").over(Window.orderBy("own_part")), F.max("own_part").over(every)).alias("before"))
-    keyed = own.withColumn("key", F.coalesce("doc_id", F.lit((1 << 62)))).withColumn("part", part)
-    # The ranges' number is bounded by MAX_RANGES, so their heads can be broadcast.
-    seen = keyed.join(F.broadcast(heads), F.col("key") == F.col("head"), "left")
+    heads = heads.select("own_part", "head", F.coalesce(F.lag("own_part").over(Window.orderBy("own_part")), F.max("own_part").over(every)).alias("before"))
+    keyed = own.withColumn("late", late).withColumn("key", key).withColumn("part", part)
+    # The ranges' number is bounded by twice MAX_RANGES, so their heads can be broadcast.
+    seen = keyed.join(F.broadcast(heads), (F.col("part") == F.col("own_part")) & (F.col("key") == F.col("head")), "left")
     both = F.array(F.struct("part", F.lit(False).alias("guest")), F.struct(F.col("before").alias("part"), F.lit(True).alias("guest")))
     dealt = seen.select("doc_id", "text", "key", F.inline(F.when(F.col("before").isNull(), F.slice(both, 1, 1)).otherwise(both)))
     order = Window.partitionBy("part").orderBy("guest", "key", "text")
