@@ -6,8 +6,10 @@ the second term is the risk on negatives as the unlabelled text shows it, and wh
 falls below zero a step undoes it instead of following it.
 
 Features are words and word beginnings (PREFIXES bytes) by presence, chosen from those that
-MIN_SHARE of the toxic documents have and whose holders, by the prior and the shares in
-toxic and unlabelled text, are toxic with MIN_PRECISION.  Equal texts count once in fitting.  Fitting takes at most about MAX_TOXIC
+MIN_DOCS toxic documents have and whose holders, by the prior and the shares in toxic and
+unlabelled text (one more unlabelled holder is assumed), are toxic with MIN_PRECISION.  The
+count is fixed, whatever the number of toxic documents, so that words of languages with a
+small part of them are learned as data grow.  Equal texts count once in fitting.  Fitting takes at most about MAX_TOXIC
 and MAX_UNLABELLED documents, chosen by a hash of the id, whole texts each; scoring reads
 every whole text once.  The prior is the share of toxic among all labelled training rows.
 
@@ -29,9 +31,8 @@ from gridweave.llm.common import cut
 
 MAX_TOXIC = 4000
 MAX_UNLABELLED = 12000
-MAX_FEATURES = 4096
+MAX_FEATURES = 1 << 16
 MIN_DOCS = 4
-MIN_SHARE = 0.02
 MIN_PRECISION = 0.6
 PREFIXES = (4, 5, 6)
 _WORD = bytes(x if x >= 0x80 or 0x61 <= x <= 0x7A else 0x20 for x in range(256))
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Classifier({}, bias)
     counted = sample.mapInArrow(_counts, "feature binary, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     precision = prior * (F.col("toxic") / p) / ((F.col("other") + 1) / u)
-    picked = counted.where((F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * p)) & (precision >= MIN_PRECISION)).orderBy(F.desc(F.col("toxic") * precision), "feature").limit(MAX_FEATURES).select("feature").collect()
+    picked = counted.where((F.col("toxic") >= MIN_DOCS) & (precision >= MIN_PRECISION)).orderBy(F.desc(F.col("toxic") * precision), "feature").limit(MAX_FEATURES).select("feature").collect()
     number = {bytes(r.feature): i for i, r in enumerate(picked)}
     if not number:
         return Classifier({}, bias)
