@@ -8,7 +8,9 @@ the places that use them, through other names too; and a literal is reported whe
 target's parts (camelCase and snake_case are taken apart) and the literal's own look score
 SCORE or more together.
 
-Lexing is linear: an unquoted value is read up to 4096 characters for that.
+Strings may be triple-quoted or go over several lines; what such a string holds is lexed,
+too.  Values have any length: the end of an unquoted run is found once for all targets in
+it, and values that end together are scored together, which keeps lexing linear.
 
 Texts are screened as bytes: without `=` or `:` there is nothing to lex, and a run of
 hexadecimal digits or an access key id is found before any pattern runs.
@@ -19,6 +21,7 @@ end exclusive, ordered by start, then by kind as listed.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -53,12 +56,22 @@ _PARTS = {
 }
 _STEMS = tuple(sorted({k.split()[-1].encode() for k in _PARTS} | {b"pass", b"pwd"}, key=len))
 _PLACEHOLDER = re.compile(r"(?i)(x{4,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|change_?me|example|placeholder|your[_-].*|none|null|true|false|undefined)")
+_LONG = re.compile(r"(?i)your[_-]")
+_X = re.compile(r"(?i)x{4,}|\*{3,}")
 _TARGET = re.compile(
     r"""(?<![\w$.-])(?P<quote>["'`]?)(?P<name>[A-Za-z_$][\w$.-]*+)(?P=quote)[ \t]*+"""
-    r"""(?::[ \t]*+[A-Za-z_][\w.<>\[\], ]{0,40}?[ \t]*+(?==))?(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*+""",
+    r"""(?::[ \t]*+(?P<type>[A-Za-z_][\w.<>\[\], \t]*+)(?==))?(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*+""",
     re.A,
 )
-_TERM = re.compile(r'''(?:"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'|`(?P<tick>[^`\n]*+)`|(?P<bare>[^\s"'`,;(){}\[\]<>]{1,4096}+))''')
+_TERM = re.compile(
+    r"""(?:\"{3}(?P<double3>(?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}(?P<single3>(?:[^'\\]|\\.|'(?!''))*+)'{3}|`(?P<tick>[^`]*+)`"""
+    r"""|"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'"""
+    r"""|"(?P<key2>-----BEGIN [^"]*+)"|'(?P<key1>-----BEGIN [^']*+)')""",
+    re.S,
+)
+_BARE = re.compile(r'''[^\s"'`,;(){}\[\]<>]++''')
+_PROSE = re.compile(r"[\w>\]][ \t]++\w")
+_PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*", re.A)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -75,10 +88,10 @@ class Span(NamedTuple):
 
 
 class Pair(NamedTuple):
-    """A target name and its value: literals with their place, and names it refers to."""
+    """A target name and its value: the places of literals, whether quoted, and names it refers to."""
 
     name: str
-    literals: list[tuple[str, int, int, bool]]
+    literals: list[tuple[int, int, bool]]
     names: list[str]
     at: int
 
@@ -104,24 +117,50 @@ def ordered(spans: Iterable[Span]) -> list[Span]:
 
 def lex(text: str) -> list[Pair]:
     """The assignments of a text in order."""
-    out, at = [], 0
+    out, words, at = [], [], 0
+    run = (0, 0)
     while m := _TARGET.search(text, at):
         literals, names, end = [], [], m.end()
-        while term := _TERM.match(text, end):
-            kind = term.lastgroup
-            value = term[kind]
-            if kind == "bare" and _NAME.fullmatch(value) and not any(c.isdigit() for c in value):
-                names.append(value)
+        inside = None
+        while True:
+            if term := _TERM.match(text, end):
+                first, last = term.span(term.lastgroup)
+                literals.append((first, last, True))
+                if inside is None and text.find("\n", first, last) >= 0:
+                    inside = first
+                end = term.end()
             else:
-                literals.append((value, *term.span(kind), kind != "bare"))
-            end = term.end()
+                if not run[0] <= end < run[1]:
+                    bare = _BARE.match(text, end)
+                    if not bare:
+                        break
+                    run = bare.span()
+                if not (word := _NAME.fullmatch(text, end, run[1])):
+                    literals.append((end, run[1], False))
+                elif any(c.isdigit() for c in word[0]):
+                    words.append((word[0], end, literals, names))
+                else:
+                    names.append(word[0])
+                end = run[1]
             plus = _PLUS.match(text, end)
             if not plus:
                 break
             end = plus.end()
         out.append(Pair(m["name"], literals, names, m.start()))
-        # A bare value may itself be a target ("a=b=c"), a quoted one is done with.
-        at = max(m.end(), end if literals and literals[-1][3] else m.end())
+        # A bare value may itself be a target ("a=b=c"), and so may what looks like a type but is prose, and lines of a string.
+        if m["type"] and _PROSE.search(m["type"].rstrip()):
+            at = m.start("type")
+        elif inside is not None:
+            at = inside
+        else:
+            at = max(m.end(), end if literals and literals[-1][2] else m.end())
+    # A bare word with digits is a name when the text assigns it, else a literal.
+    assigned = {p.name for p in out}
+    for word, start, literals, names in words:
+        if word in assigned:
+            names.append(word)
+        else:
+            literals.append((start, start + len(word), False))
     return out
 
 
@@ -133,41 +172,75 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str, quoted: bool) -> float:
     """How much the literal looks like a secret, 0 to 1: long, mixed, not a placeholder; unquoted prose is none."""
+    if quoted:
+        if _PRIVATE.match(value.lstrip()):
+            return 1.0
+        lines = value.split("\n") if "\n" in value else []
+        if lines:
+            # Over several lines only what is wrapped at one width is a single word.
+            lines = [x for x in (x.strip().removesuffix("\\") for x in lines) if x]
+            if not lines or any(len(x) != len(lines[0]) or len(x) < 16 for x in lines[:-1]):
+                return 0.0
+            value = "".join(lines)
     if len(value) < 6 or any(c.isspace() for c in value) or _PLACEHOLDER.fullmatch(value):
         return 0.0
-    letters, digits = any(c.isalpha() for c in value), any(c.isdigit() for c in value)
+    return _look(Counter(value), len(value), quoted)
+
+
+def _look(count: Counter, n: int, quoted: bool) -> float:
+    letters, digits = any(c.isalpha() for c in count), any(c.isdigit() for c in count)
     if not quoted and not (letters and digits):
         return 0.0
-    n = len(value)
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    bits = -sum(k / n * math.log2(k / n) for k in count.values())
     return min(1.0, 0.3 + 0.2 * (n >= 8) + 0.5 * min(1.0, bits / 3))
 
 
+def _scores(text: str, literals: set[tuple[int, int, bool]]) -> dict[tuple[int, int, bool], float]:
+    """The scores of literals; unquoted ones that end together are counted in one go, from the last."""
+    out, end, at = {}, None, 0
+    count: Counter = Counter()
+    for place in sorted(literals, key=lambda x: (x[1], x[0]), reverse=True):
+        first, last, quoted = place
+        if quoted:
+            out[place] = literal_score(text[first:last], True)
+            continue
+        if last != end:
+            end = at = last
+            count = Counter()
+        count.update(text[first:at])
+        at = first
+        # A bare run has no blanks, and of placeholders those that are long begin alike.
+        empty = last - first < 6 or _LONG.match(text, first, last) or (last - first < 64 and _PLACEHOLDER.fullmatch(text, first, last)) or _X.fullmatch(text, first, last)
+        out[place] = 0.0 if empty else _look(count, last - first, False)
+    return out
+
+
 def literal_spans(text: str, threshold: float = SCORE) -> list[Span]:
     """The literals that reach a sensitive target, directly or through constants."""
     pairs = lex(text)
     before: dict[str, list[Pair]] = {}
     for p in pairs:
         before.setdefault(p.name, []).append(p)
-    out = []
-    for pair in pairs:
-        weight = name_score(pair.name)
+    places = {name: [p.at for p in known] for name, known in before.items()}
+    reached: list[tuple[float, tuple[int, int, bool]]] = []
+    seen: set[int] = set()
+    # The most telling targets come first, so that what they reach need not be reached again.
+    weighed = sorted(((name_score(p.name), p) for p in pairs), key=lambda x: -x[0])
+    for weight, pair in weighed:
         if weight < threshold:
-            continue
-        todo, seen, literals = [pair], set(), []
+            break
+        todo = [pair]
         while todo:
             p = todo.pop()
             if p.at in seen:
                 continue
             seen.add(p.at)
-            literals += p.literals
+            reached += [(weight, place) for place in p.literals]
             for name in p.names:
                 if known := before.get(name):
-                    todo.append(max((k for k in known if k.at < p.at), key=lambda k: k.at, default=known[0]))
-        for value, start, end, quoted in literals:
-            if weight * literal_score(value, quoted) >= threshold:
-                out.append(Span("literal", start, end, start, end))
-    return out
+                    todo.append(known[max(0, bisect.bisect_left(places[name], p.at) - 1)])
+    scores = _scores(text, {place for _, place in reached})
+    return [Span("literal", start, end, start, end) for weight, (start, end, quoted) in reached if weight * scores[start, end, quoted] >= threshold]
 
 
 def secrets_in(text: str | None, threshold: float = SCORE) -> list[Span]:
