@@ -7,7 +7,8 @@ one is cut into blocks of that size, and each row passes all blocks in turn (no
 
 Defined cases: null and wordless texts have no words and no hits; an item without words
 has no window; an item with fewer words than a window is one window; repeated items count
-once.  Empty tables give empty results, an empty item set gives no hits.
+once; items without an id count as one item together, hit like any other, and are left out
+of the ids.  Empty tables give empty results, an empty item set gives no hits.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ def words(text: bytes | None) -> list[bytes]:
 class WindowSet:
     """Windows of the items by length: the marked hashes, and the exact words and items behind each."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        by_size: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+        by_size: dict[int, dict[tuple[int, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
         for name, text in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text))
             size = min(window, len(ids))
@@ -62,13 +63,13 @@ class WindowSet:
             total = total * np.uint64(_BASE) + ids[i : len(ids) - size + 1 + i]
         return total
 
-    def scan(self, text: bytes | None) -> tuple[list[tuple[int, int]], set[str], int]:
+    def scan(self, text: bytes | None) -> tuple[list[tuple[int, int]], set[str | None], int]:
         """Word spans covered by occurring windows (merged), the items, and the number of words."""
         tokens = words(text)
         n = len(tokens)
         ids = np.fromiter(map(self.vocabulary.get, tokens, repeat(0)), np.uint64, n)
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         for size, marked, exact in self.sizes:
             if n < size:
                 continue
@@ -89,12 +90,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes | None]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str | None, bytes | None]]]:
     """The items in blocks of at most block_bytes each (a longer item makes a block of its own).
 
     The size is checked first: up to one block is read at once, more is read block by block.
     """
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("binary").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     if total <= block_bytes:
         return [[(r.item, bytes(r.text)) for r in items.collect()]]
@@ -112,7 +113,7 @@ def _scanner(windows):
             if old:
                 spans = merged(spans + [(x["start"], x["end"]) for x in old["hits"]])
                 items |= set(old["items"])
-            out.append({"hits": [{"start": s, "end": e} for s, e in spans], "items": sorted(items), "n_words": n})
+            out.append({"hits": [{"start": s, "end": e} for s, e in spans], "items": sorted(items, key=lambda x: (x is None, x)), "n_words": n})
         item = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         return pa.array(out, pa.struct([("hits", pa.list_(item)), ("items", pa.list_(pa.string())), ("n_words", pa.int32())]))
 
@@ -120,7 +121,7 @@ def _scanner(windows):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: Column | str = "text", into: str = "scan", window: int = WINDOW, item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with a column `into`: hit word spans, item ids (sorted as strings), number of words."""
+    """The documents with a column `into`: hit word spans, item ids (sorted as strings, then null for items without one), number of words."""
     sc = docs.sparkSession.sparkContext
     found = F.lit(None).cast(SPANS)
     out = docs
@@ -134,7 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per document: n_words, n_hit, n_items, items, contaminated."""
     found = scan(ids_and_text(docs, id_col, text_col), benchmark, **options)
     hit = F.aggregate("scan.hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.select("doc_id", F.col("scan.n_words").cast("long").alias("n_words"), hit.alias("n_hit"), F.size("scan.items").cast("long").alias("n_items"), F.col("scan.items").alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
+    return found.select("doc_id", F.col("scan.n_words").cast("long").alias("n_words"), hit.alias("n_hit"), F.size("scan.items").cast("long").alias("n_items"), F.array_compact("scan.items").alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: str = "documents", **options) -> DataFrame:
