@@ -127,7 +127,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("end", F.col("start") + F.col("length"))
     if later_only:
         rows = rows.where("first_doc < doc_id")
-    order = Window.partitionBy("doc_id").orderBy("start")
+    # A chunk within one character has no length in code points and comes before the one that starts with it.
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
     fresh = F.when(F.col("start") == F.lag("end").over(order), 0).otherwise(1)
     runs = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.mode("first_doc", True).alias("first_doc"))
