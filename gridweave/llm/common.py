@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,12 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to this many rows of ids a join's side is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1 << 20
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder all executors share.  The cluster names it in spark.checkpoint.dir;
-    only where that is unset (tests, a laptop) does a local folder take its place."""
+    only where that is unset and the master is local (tests, a laptop) does a local folder
+    take its place, which goes with the process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
@@ -34,6 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of few columns for a join with a wide one: broadcast if it has at most so many rows."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that other columns can't clash and aren't scanned."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from gridweave.llm import neardup, simhash
+from gridweave.llm import simhash
 
 
 def _shingles(text, size=5):
@@ -69,7 +69,7 @@ def test_stage_equals_brute_force(spark):
 def test_blocks_lose_nothing(spark):
     rows = _rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.component_id for r in neardup.groups(docs, block=4).collect()} == _kept(rows)
+    assert {r.component_id for r in simhash.similar_groups(docs, block=4, block_shingles=300).collect()} == _kept(rows)
 
 
 def test_candidates_at_the_threshold():
@@ -79,5 +79,15 @@ def test_candidates_at_the_threshold():
     for _ in range(300):
         own = rng.integers(0, 1 << 63, 100).astype(np.uint64)
         a, b = own[:90], np.concatenate([own[:80], own[90:]])
-        missed += not set(neardup.bands(a)) & set(neardup.bands(b))
+        missed += not set(simhash.set_bands(a)) & set(simhash.set_bands(b))
     assert missed == 0
+
+
+def test_rows_of_one_id(spark):
+    """Of several rows with one id one stays, whatever the order they come in."""
+    rows = [(1, "b c d", "x"), (1, "a b c", "y"), (1, "a b c", "w"), (2, "a b c", "z"), (3, None, "v"), (3, None, "v"), (None, "a b c", "u")]
+    kept = [(1, "a b c", "w"), (3, None, "v"), (None, "a b c", "u")]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string, r string")
+        for way in (simhash.deduplicate, simhash.deduplicate_similar):
+            assert sorted(map(tuple, way(docs).collect()), key=str) == sorted(kept, key=str)
