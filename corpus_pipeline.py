@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, decontam, langid, neardup, secrets
+from gridweave.llm import bpe, decontam, langid, secrets, simhash
 from gridweave.llm.common import scratch, table
 from gridweave.llm.queries import tokenizer
 
@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word Jaccard similarity of 0.8 or more) the document with the smallest id stays."""
-    return neardup.deduplicate(docs)
+    return simhash.deduplicate_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
