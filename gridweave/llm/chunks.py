@@ -1,25 +1,34 @@
 """Repeated passages by content-defined chunking (operator 5).
 
-A gear hash rolls over a text's bytes; a chunk ends where its top bits are zero, and after
-MAX_BYTES without such a place.  The hash depends on the last 32 bytes only, so after an
-insertion the same borders come back with the same content.  Chunks are deduplicated by
-digest: a digest that two documents have is repeated.  A passage is a run of neighbouring
-repeated chunks with MIN_WORDS words or more.
+A gear hash rolls over a text's bytes; a chunk ends where it is small, and after MAX_BYTES
+without such a place.  The hash depends on the last 32 bytes only, so after an insertion the
+same borders come back with the same content.  Chunks are deduplicated by digest: the
+digests of WINDOW neighbouring chunks are taken together, of each two such windows the one
+with the smaller digest is kept as a seed, and a seed that two documents have is repeated.
 
-With chunks of 32 bytes on average a passage of over 50 words spans many; the run misses at
-most a partial chunk at either end, which MIN_WORDS allows for.  The 64-bit digests may
-collide in very large corpora, but a passage needs a whole run of chunks to be repeated.
+Seeds only say where to look.  A repeated seed aligns its document with the first document
+that has it (that one with the last); seeds of one offset are one alignment.  The texts on
+either side of each alignment are then compared character by character, and a passage is a
+stretch of MIN_WORDS whole words or more that both have.  So every passage is one that a
+single other document has as a whole, however its chunks are cut, and digests may collide.
+A passage of over 50 words has a seed inside with odds of some 98.6 % or more.
 
-Chunks are cut twice rather than kept: hashing a text costs less than writing its chunks.
-Digests are reduced to the least and the greatest document before they are shuffled.
+Texts are cut twice rather than their seeds kept: hashing a text costs less than writing
+them.  Digests are reduced to the first and the last document before they are shuffled, and
+of texts only the parts around alignments go on.
 
 Defined cases: null and empty texts have no chunks; repeats within one document alone
-don't count; rows without an id take no part.  Repeated rows of one id count as one document.
+don't count; rows without an id take no part.  Rows of one id are one document: repeated
+ones count once, and of different texts that with the least hash is the document's, the
+others are left as they are.  A passage that lies within another of the same document is
+left out.  Where each part of a passage is in another document of smaller id, parts shorter
+than MIN_WORDS are looked up there alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +36,22 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import cut, ids_and_text, utf8
+from gridweave.llm.common import cut, ids_and_text, sized, utf8
 
-CUT_BITS = 5
+#: The mean number of bytes between borders.
+MEAN_BYTES = 24
 MAX_BYTES = 96
-MIN_WORDS = 25
+#: How many chunks a seed has.
+WINDOW = 3
+#: Passages of over 50 words have as many whole ones, even if both end words are cut.
+MIN_WORDS = 49
+#: How far beyond its seeds an alignment is compared, in code points.
+MARGIN = 512
 _ROWS = 200_000
 _PIECE = 1 << 20
-_WINDOW = 32
+_MEMORY = 32
+_LIMIT = np.uint32((1 << 32) // MEAN_BYTES)
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: One random number for each byte value, from a fixed seed.
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -43,7 +60,7 @@ def gear(data: np.ndarray) -> np.ndarray:
     """The rolling hash after each byte: the sum of the last 32 bytes' gears, each shifted by its age."""
     h = _GEAR[data]
     shift = 1
-    while shift < _WINDOW:
+    while shift < _MEMORY:
         older = np.zeros_like(h)
         older[shift:] = h[:-shift] << np.uint32(shift)
         h = h + older
@@ -56,9 +73,9 @@ def borders(text: bytes) -> np.ndarray:
     data = np.frombuffer(text, np.uint8)
     ends = []
     for at in range(0, len(data), _PIECE):
-        lead = min(at, _WINDOW - 1)
+        lead = min(at, _MEMORY - 1)
         h = gear(data[at - lead : at + _PIECE])[lead:]
-        ends.append(np.flatnonzero(h < np.uint32(1 << (32 - CUT_BITS))) + at + 1)
+        ends.append(np.flatnonzero(h < _LIMIT) + at + 1)
     found = np.concatenate([*ends, [len(data)]]) if len(data) else np.empty(0, np.int64)
     found = np.unique(found)
     starts = np.concatenate(([0], found[:-1])) if len(found) else found
@@ -69,18 +86,33 @@ def borders(text: bytes) -> np.ndarray:
     return found
 
 
-def chunks(text: bytes) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, start, end (code points) and number of words begun of each chunk."""
+def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, start and end (code points) of each chunk."""
     ends = borders(text)
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    data = np.frombuffer(text, np.uint8)
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    blank = (data == 0x20) | ((data >= 9) & (data <= 13))
-    first = ~blank
-    first[1:] &= blank[:-1]
-    begun = np.concatenate(([0], np.cumsum(first)))
-    digests = list(map(xxhash.xxh3_64_intdigest, map(text.__getitem__, map(slice, starts.tolist(), ends.tolist()))))
-    return digests, points[starts], points[ends], begun[ends] - begun[starts]
+    points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+    digests = map(xxhash.xxh3_64_intdigest, map(text.__getitem__, map(slice, starts.tolist(), ends.tolist())))
+    return np.fromiter(digests, np.uint64, len(ends)), points[starts], points[ends]
+
+
+def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, start, end (code points) of the windows kept, and whether it is the text's first with its digest."""
+    digests, starts, ends = chunks(text)
+    n = max(1, len(digests) - WINDOW + 1) if len(digests) else 0
+    mixed = np.zeros(n, np.uint64)
+    for i in range(min(WINDOW, len(digests))):
+        mixed = mixed * np.uint64(_MIX[0]) + digests[i : i + n]
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(_MIX[1])
+    kept = np.zeros(n, bool)
+    smaller = mixed[1:] < mixed[:-1]
+    kept[1:] |= smaller
+    kept[:-1] |= ~smaller
+    at = np.flatnonzero(kept) if n > 1 else np.arange(n)
+    found = mixed[at]
+    first = np.zeros(len(at), bool)
+    first[np.unique(found, return_index=True)[1]] = True
+    return found, starts[at], ends[np.minimum(at + WINDOW, len(ends)) - 1], first
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +120,15 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def out() -> pa.RecordBatch:
-        digests = np.concatenate([np.array(k[1], np.uint64) for k in kept]).view(np.int64)
+        digests = np.concatenate([k[1] for k in kept]).view(np.int64)
         ids = np.repeat(np.array([k[0] for k in kept], np.int64), [len(k[1]) for k in kept])
-        rest = [np.concatenate([k[i] for k in kept]).astype(np.int32) for i in (2, 3, 4)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, digests, *rest)], ["doc_id", "digest", "start", "end", "words"])
+        places = [np.concatenate([k[i] for k in kept]).astype(np.int32) for i in (2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, digests, *places, np.concatenate([k[4] for k in kept]))], ["doc_id", "digest", "start", "end", "first"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
             if text:
-                kept.append((doc_id, *chunks(text)))
+                kept.append((doc_id, *seeds(text)))
                 size += len(kept[-1][1])
                 if size >= _ROWS:
                     yield out()
@@ -105,43 +137,123 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, start, end, words) for every chunk of every document."""
-    rows = ids_and_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(_cut_rows, "doc_id long, digest long, start int, end int, words int")
+def seed_rows(texts: DataFrame) -> DataFrame:
+    """(doc_id, digest, start, end, first) for the seeds of every text."""
+    return texts.mapInArrow(_cut_rows, "doc_id long, digest long, start int, end int, first boolean")
+
+
+def one_text_each(texts: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) with one left of several that have the same id: of its texts that with the least hash."""
+    by_id = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("least"))
+    several = cut(by_id.where("n > 1").select("doc_id", "least"))
+    if several.isEmpty():
+        return texts
+    # A frequent id is reduced before it is shuffled.
+    chosen = texts.join(sized(several), "doc_id").where(F.xxhash64("text") == F.col("least")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(sized(several), "doc_id", "left_anti").union(chosen)
+
+
+def alignments(texts: DataFrame, later_only: bool = False) -> DataFrame:
+    """(doc_id, other, shift, low, high): where a document has seeds of another one, `shift` code points further on."""
+    rows = seed_rows(texts)
+    lead = F.when(F.col("first"), F.col("doc_id"))
+    seen = rows.groupBy("digest").agg(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("start", lead).alias("first_start"), F.max_by("start", lead).alias("last_start")
+    )
+    # Written first, so that the join deals both sides anew and can split a frequent seed.
+    repeated = cut(seen.where("first_doc <> last_doc"))
+    met = rows.select("doc_id", "digest", "start", "end").join(repeated, "digest")
+    is_first = F.col("doc_id") == F.col("first_doc")
+    if later_only:
+        met = met.where(~is_first)
+    other = F.when(is_first, F.col("last_doc")).otherwise(F.col("first_doc"))
+    shift = F.col("start") - F.when(is_first, F.col("last_start")).otherwise(F.col("first_start"))
+    return met.select("doc_id", other.alias("other"), shift.alias("shift"), "start", "end").groupBy("doc_id", "other", "shift").agg(F.min("start").alias("low"), F.max("end").alias("high"))
+
+
+def whole_words(text: np.ndarray, begin: int, end: int, at_start: bool, at_end: bool) -> tuple[int, int, int]:
+    """First start, last end and number of the words that lie between two places of a text (code points).
+
+    at_start, at_end: whether a word can begin with the text's first code point and end with its last.
+    """
+    blank = np.concatenate(([at_start], (text == 32) | ((text >= 9) & (text <= 13)), [at_end]))
+    starts = np.flatnonzero(blank[begin:end] & ~blank[begin + 1 : end + 1]) + begin
+    ends = np.flatnonzero(~blank[begin + 1 : end + 1] & blank[begin + 2 : end + 2]) + begin + 1
+    ends = ends[np.searchsorted(ends, starts[0], "right") :] if len(starts) else ends[:0]
+    return (int(starts[0]), int(ends[-1]), len(ends)) if len(ends) else (0, 0, 0)
+
+
+def common(own: str, other: str, at_start: bool, at_end: bool, min_words: int) -> list[tuple[int, int, int]]:
+    """Stretches of two texts, laid side by side, that are equal and have enough whole words: start, end, words."""
+    a, b = (np.frombuffer(x.encode("utf-32-le"), "<u4") for x in (own, other))
+    n = min(len(a), len(b))
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], a[:n] == b[:n], [0]))))
+    out = []
+    for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if end - begin >= 2 * min_words - 1:
+            first, last, words = whole_words(a, begin, end, at_start, at_end)
+            if words >= min_words:
+                out.append((first, last, words))
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = ("doc_id", "print", "first_doc", "from", "begins", "ends", "own", "text")
+        out = []
+        for doc_id, print_, first, at, begins, ends, own, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            out += [(doc_id, print_, at + s, at + e, n, first) for s, e, n in common(own, text, begins, ends, min_words)]
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()], strict=True)], ["doc_id", "print", "start", "end", "n_words", "first_doc"])
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, later_only: bool) -> DataFrame:
+    """(doc_id, print, start, end, n_words, first_doc); print is the hash of the document's text."""
+    texts = one_text_each(ids_and_text(docs, id_col, text_col).where("doc_id is not null and text is not null"))
+    aligned = alignments(texts, later_only)
+    begin = F.greatest(F.lit(0), F.col("low") - MARGIN, F.col("shift"))
+    aligned = cut(aligned.select("doc_id", "other", "shift", begin.alias("from"), (F.col("high") + MARGIN).alias("to")))
+    # Each alignment takes its part of both texts.
+    side = lambda own, start: F.struct(F.lit(own).alias("own"), F.col("doc_id" if own else "other").alias("id"), start.alias("at"))
+    asked = aligned.withColumn("side", F.explode(F.array(side(True, F.col("from")), side(False, F.col("from") - F.col("shift")))))
+    ids = cut(asked.select(F.col("side.id").alias("doc_id")).distinct())
+    held = texts.join(sized(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
+    part = F.substring(F.col("text"), F.col("side.at") + 1, F.col("to") - F.col("from"))
+    key = ["doc_id", "other", "shift"]
+    # Whether the code point before a place (the first, or the one after the last) is blank or missing.
+    open_at = lambda place: (place <= 0) | (place > F.length("text")) | F.substring(F.col("text"), place, F.lit(1)).isin([" ", *"\t\n\x0b\x0c\r"])
+    edges = [F.when(F.col("side.own"), F.xxhash64("text")).alias("print"), open_at(F.col("from")).alias("begins"), open_at(F.col("to") + 1).alias("ends")]
+    taken = asked.join(held, F.col("side.id") == F.col("id")).select(*key, "from", "side.own", *edges, part.alias("part"))
+    taken = cut(taken)
+    left = taken.where("own").select(*key, "from", "print", "begins", "ends", F.col("part").alias("own"))
+    right = taken.where("not own").select(*key, F.col("part").alias("text"))
+    both = left.join(right, key).select("doc_id", "print", F.col("other").alias("first_doc"), "from", "begins", "ends", "own", "text")
+    found = both.mapInArrow(partial(_verify, min_words=min_words), "doc_id long, print long, start int, end int, n_words int, first_doc long")
+    order = Window.partitionBy("doc_id", "print").orderBy("start", F.desc("end"), "first_doc")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("before", before).where("before is null or end > before").drop("before")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, later_only: bool = False) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc): every passage that other documents have, too.
+    """(doc_id, start, end, n_words, first_doc): every passage that another document, first_doc, has as a whole.
 
-    first_doc is the document in which most of its chunks occur first, maybe the document
-    itself.  later_only: passages whose chunks all occur in a document of smaller id.
+    first_doc is the document of smallest id that has the seed the passage was found by, or
+    for that document itself the one of greatest id.  later_only: passages that a document
+    of smaller id has.
     """
-    pieces = chunk_rows(docs, id_col, text_col)
-    seen = pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    # Written first, so that the join deals both sides anew and can split a frequent chunk.
-    repeated = cut(seen.where("first_doc <> last_doc").select("digest", "first_doc"))
-    place = F.col("start").cast("long") * (1 << 24) + (F.col("end") - F.col("start")) * (1 << 12) + F.col("words")
-    packed = pieces.select("doc_id", "digest", place.alias("place")).join(repeated, "digest")
-    rows = packed.select("doc_id", "first_doc", F.shiftright("place", 24).alias("start"), F.shiftright("place", 12).bitwiseAND(4095).alias("length"), F.col("place").bitwiseAND(4095).alias("words"))
-    rows = rows.withColumn("end", F.col("start") + F.col("length"))
-    if later_only:
-        rows = rows.where("first_doc < doc_id")
-    # A chunk within one character has no length in code points and comes before the one that starts with it.
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    fresh = F.when(F.col("start") == F.lag("end").over(order), 0).otherwise(1)
-    runs = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.mode("first_doc", True).alias("first_doc"))
-    return found.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "first_doc")
+    return _passages(docs, id_col, text_col, min_words, later_only).drop("print")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without passages that a document of smaller id has, too."""
-    name = "__passages"
-    spans = repeated_passages(docs, id_col, text_col, min_words, later_only=True)
-    by_doc = spans.groupBy(F.col("doc_id").alias(id_col)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name))
-    text = F.col(f"`{text_col}`")
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    step = lambda a, s: F.struct(F.concat(a["text"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("text"), s["end"].alias("at"))
-    rest = F.aggregate(F.col(name), start, step, lambda a: F.concat(a["text"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return docs.join(by_doc, id_col, "left").withColumn(text_col, F.when(F.col(name).isNull(), text).otherwise(rest)).select(docs.columns)
+    spans = _passages(docs, id_col, text_col, min_words, later_only=True)
+    by_doc = spans.groupBy("doc_id", "print").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col("text")
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    # Passages may overlap: what follows one begins where the last of those so far ends.
+    piece = lambda a, to: F.substring(text, a["at"] + 1, F.greatest(F.lit(0), to - a["at"]))
+    step = lambda a, s: F.struct(F.concat(a["text"], piece(a, s["start"])).alias("text"), F.greatest(a["at"], s["end"]).alias("at"))
+    rest = F.aggregate("spans", start, step, lambda a: F.concat(a["text"], piece(a, F.length(text))))
+    found = row.join(by_doc, (F.col("id") == F.col("doc_id")) & (F.xxhash64("text") == F.col("print")), "left")
+    return found.select(F.when(F.col("spans").isNull(), F.col("r")).otherwise(F.col("r").withField(f"`{text_col}`", rest)).alias("r")).select("r.*")

@@ -11,7 +11,7 @@ def test_runs_are_not_broken_within_a_character(spark):
     rows = []
     while len(rows) < 60:
         shared = " ".join("".join(rng.choice(letters, 6)) for _ in range(60))
-        _, start, end, _ = chunks.chunks(shared.encode())
+        _, start, end = chunks.chunks(shared.encode())
         if (start[1:-1] == end[1:-1])[5:-5].any():
             for _ in range(2):
                 head = " ".join("".join(rng.choice(letters, 6)) for _ in range(12))

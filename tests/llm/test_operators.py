@@ -209,15 +209,60 @@ def test_repeated_passages(spark, docs):
     rows = [(1, "ä " + " ".join(words[100:200]) + " " + shared + " " + " ".join(words[200:300])), (2, " ".join(words[300:333]) + " " + shared), (3, " ".join(words[400:700])), (4, None), (5, shared + " " + shared)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = chunks.repeated_passages(df).collect()
-    assert {r.doc_id for r in got} == {1, 2, 5}
     text = dict(rows)
+    assert {r.doc_id for r in got} == {1, 2, 5}
     for r in got:
-        assert text[r.doc_id][r.start : r.end] in " " + shared + " " + shared + " " or r.doc_id == 1
-        assert r.n_words >= chunks.MIN_WORDS
+        assert text[r.doc_id][r.start : r.end] == shared and r.n_words == 60 and r.first_doc == (5 if r.doc_id == 1 else 1)
     left = {r.doc_id: r.text for r in chunks.remove_repeats(df).collect()}
     assert left[1] == text[1] and left[3] == text[3] and left[4] is None
-    assert len(left[2]) < len(text[2]) - 200 and left[2].startswith(words[300])
-    assert chunks.repeated_passages(docs).where("doc_id in (3, 4, 5, 6)").count() == 0
+    assert left[2] == text[2].removesuffix(shared) and left[5] == " "
+    # The long text is one line over and over, and no other document has it.
+    found = chunks.repeated_passages(docs)
+    assert found.count() == 0 and chunks.remove_repeats(docs).columns == docs.columns
+    assert sorted(map(str, chunks.remove_repeats(docs).collect())) == sorted(map(str, docs.collect()))
+    assert chunks.repeated_passages(docs.where("false")).count() == 0
+
+
+def test_passages_are_of_one_document(spark):
+    """Sentences side by side that are in other documents one by one, or two by two, make no passage."""
+    rng = np.random.default_rng(12)
+    sentences = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(14)) for _ in range(12)]
+    rows = [(0, " ".join(sentences)), *((i + 1, f"own{i} {sentences[i]} {sentences[i + 1]} end{i}") for i in range(11))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert chunks.repeated_passages(df).count() == 0
+    assert {r.doc_id: r.text for r in chunks.remove_repeats(df).collect()} == dict(rows)
+    short = chunks.repeated_passages(df, min_words=25).where("doc_id = 0").collect()
+    assert short and max(r.n_words for r in short) == 28
+
+
+def test_passages_of_repeated_rows(spark):
+    rng = np.random.default_rng(13)
+    text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(80))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, "some text"), (3, "other text")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.start, r.end, r.n_words, r.first_doc) for r in chunks.repeated_passages(df).collect()) == [(1, 0, len(text), 80, 2), (2, 0, len(text), 80, 1)]
+    assert sorted((r.doc_id, r.text) for r in chunks.remove_repeats(df).where("doc_id is not null").collect()) == [(1, text), (1, text), (2, ""), (3, "other text"), (3, "some text")]
+
+
+def test_passages_equal_brute_force(spark):
+    """Every document that has 51 words or more of another one is found, and nothing that no other document has."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def sharing(size):
+        seen = defaultdict(set)
+        for i, t in text.items():
+            w = t.split()
+            for k in range(len(w) - size + 1):
+                seen[" ".join(w[k : k + size])].add(i)
+        return {i for ids in seen.values() if len(ids) > 1 for i in ids}
+
+    got = chunks.repeated_passages(docs).collect()
+    found = {r.doc_id for r in got}
+    must = sharing(51)
+    assert len(must - found) <= 0.02 * len(must) and found <= sharing(chunks.MIN_WORDS)
+    for r in got:
+        passage = text[r.doc_id][r.start : r.end]
+        assert len(passage.split()) == r.n_words >= chunks.MIN_WORDS and passage in text[r.first_doc] and r.first_doc != r.doc_id
 
 
 # -- 6: sketches
