@@ -327,8 +327,8 @@ def _words(text):
 def test_contamination(spark, docs):
     items = [(1, "QUICK brown-fox jumps over; the lazy dog and runs away from the"), (2, "lorem ipsum"), (3, None), (4, "!!"), (5, "über den"), (5, "über den"), (6, "not there at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (1 << 20, 150):
-        got = decontam.contamination(docs, bench, block_bytes=size).collect()
+    for size in (1 << 20, 3):
+        got = decontam.contamination(docs, bench, set_windows=size).collect()
         assert len(got) == len(ROWS)
         for r in got:
             text = next(t for i, t in ROWS if i == r.doc_id)
@@ -345,6 +345,7 @@ def test_contamination(spark, docs):
             assert (r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) == (len(w), len(hit), len(names), sorted(names), bool(hit))
     assert decontam.contamination(docs, bench.where("false")).where("contaminated").count() == 0
     assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {3, 4, 5, 6, None, 9}
+    assert decontam.decontaminate(docs, bench, set_windows=3).count() == 6
     spans = decontam.decontaminate(docs, bench, remove="spans")
     assert spans.columns == docs.columns
     by = {r.doc_id: r.text for r in spans.collect()}
