@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 
 import ahocorasick
@@ -28,9 +28,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import ids_and_text
+from gridweave.llm.common import ids_and_text, strings
 
-MEMO = 3 << 16
+MEMO = 1 << 16
 PAIR_MEMO = 1 << 18
 _STEP = 1 << 16
 _PACK = [struct.Struct(f"<{n}I") for n in range(64)]
@@ -216,26 +216,23 @@ class Tokenizer:
                 _codecs[name] = Codec(shared.value)
             return _codecs[name]
 
-        def strings(texts: pa.Array) -> Iterable[str]:
-            return (x or "" for x in texts.to_pylist())
-
         @F.arrow_udf("binary")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = codec()
             for texts in batches:
-                yield pa.array((own.encode(x) for x in strings(texts)), pa.binary())
+                yield pa.array((own.encode(x or "") for x in strings(texts)), pa.binary())
 
         @F.arrow_udf("binary")
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = codec()
             for packed in batches:
-                yield pa.array((own.decode(x or b"") for x in packed.to_pylist()), pa.binary())
+                yield pa.array((own.decode(x or b"") for x in strings(packed)), pa.binary())
 
         @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
         def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own, sha = codec(), lambda x: hashlib.sha256(x).hexdigest()
             for texts in batches:
-                packed = [own.encode(x) for x in strings(texts)]
+                packed = [own.encode(x or "") for x in strings(texts)]
                 yield pa.StructArray.from_arrays(
                     [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(map(sha, packed), pa.string()), pa.array((sha(own.decode(x)) for x in packed), pa.string())],
                     ["n_tokens", "ids_sha256", "decoded_sha256"],

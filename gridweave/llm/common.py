@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,10 +59,14 @@ def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
-def utf8(texts: pa.Array) -> list[bytes | None]:
-    """The UTF-8 bytes of a string array, without making Python strings of them."""
-    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
-    return texts.cast(kind).to_pylist()
+def utf8(texts: pa.Array) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of a string array, one after the other, without making Python strings of them."""
+    return (x.as_buffer().to_pybytes() if x.is_valid else None for x in texts)
+
+
+def strings(texts: pa.Array) -> Iterator[str | None]:
+    """The strings of an array, one after the other."""
+    return (x.as_py() for x in texts)
 
 
 def train_share(doc_id: Column, modulus: int) -> Column:

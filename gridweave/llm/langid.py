@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.llm.common import strings
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 2000
 MIN_SHARE = 0.02
@@ -137,7 +139,7 @@ def predict(model: Filter, text: Column | str, spark) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     def predicted(texts: pa.Array) -> pa.Array:
-        out = [shared.value.predict(x) for x in texts.to_pylist()]
+        out = [shared.value.predict(x) for x in strings(texts)]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["lang", "score"])
 
     return F.arrow_udf(predicted, "struct<lang:string,score:double>")(text)

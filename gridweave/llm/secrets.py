@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import ids_and_text
+from gridweave.llm.common import ids_and_text, strings
 
 KINDS = ("assign", "access", "hex", "literal")
 SCORE = 0.5
@@ -276,12 +276,12 @@ _ROW = pa.list_(pa.struct([("kind", pa.string()), *((k, pa.int32()) for k in ("s
 
 
 def _find(texts: pa.Array) -> pa.Array:
-    return pa.array(([s._asdict() for s in secrets_in(x)] for x in texts.to_pylist()), _ROW)
+    return pa.array(([s._asdict() for s in secrets_in(x)] for x in strings(texts)), _ROW)
 
 
 def _digest(texts: pa.Array) -> pa.Array:
     rows = []
-    for text in texts.to_pylist():
+    for text in strings(texts):
         spans = secrets_in(text)
         base = [s for s in spans if s.kind != "literal"]
         count = Counter(s.kind for s in base)
@@ -292,7 +292,7 @@ def _digest(texts: pa.Array) -> pa.Array:
 
 
 def _redact(texts: pa.Array) -> pa.Array:
-    return pa.array((redact(x, secrets_in(x)) if x else x for x in texts.to_pylist()), pa.string())
+    return pa.array((redact(x, secrets_in(x)) if x else x for x in strings(texts)), pa.string())
 
 
 def find_secrets(text: Column | str) -> Column:

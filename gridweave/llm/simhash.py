@@ -14,8 +14,9 @@ At a similarity of 0.8 fingerprints of 64 bits differ in ten bits on average and
 at times; so wide a radius leaves bands of three bits, which deal nothing apart.  For that
 case, similar_groups(), rows are dealt by MinHash bands of their shingle sets instead
 (SET_BANDS of SET_ROWS minima: a pair at 0.8 shares none once in 70,000 pairs, one at 0.85
-once in 10^7), the same tiles compare them within SET_RADIUS, and the exact Jaccard
-similarity of the sets confirms each link.  Equal sets are compared once, by digest.
+once in 10^7), the same tiles compare fingerprints of 256 bits within SET_RADIUS (a pair at
+0.8 differs in 39 bits on average, with a deviation of 6), and the exact Jaccard similarity
+of the sets confirms each link.  Equal sets are compared once, by digest.
 
 Defined cases: null, empty and blank texts have no words, hence fingerprint zero, and link
 like any other.  Repeated rows share a fingerprint.  Null ids are never the name of a group
@@ -27,7 +28,7 @@ text, and of these the least as JSON.  An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,8 @@ BLOCK = 1024
 #: For groups by similarity of shingle sets.
 SET_SHINGLE = 5
 SIMILARITY = 0.8
-SET_RADIUS = 26
+SET_RADIUS = 66
+SET_WORDS = ("fp0", "fp1", "fp2", "fp3")
 SET_ROWS = 5
 SET_BANDS = 28
 #: How many shingles a block of texts that are confirmed together has.
@@ -90,6 +92,26 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide_prints(hashes: np.ndarray) -> list[int]:
+    """The fingerprint of a shingle set, signed 64-bit words: that of the hashes, and of the hashes mixed anew."""
+    out = []
+    for i in range(len(SET_WORDS)):
+        if i:
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+            hashes = hashes ^ (hashes >> np.uint64(32))
+        found = majority(hashes)
+        out.append(found - (1 << 64) if found >> 63 else found)
+    return out
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers of differing bits of each row of `a` and each of `b`; rows are fingerprints of some words."""
+    out = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    for i in range(1, a.shape[1]):
+        out = out.astype(np.int16) + np.bitwise_count(a[:, None, i] ^ b[None, :, i])
+    return out
+
+
 def fingerprint(text: Column | str, size: int = SHINGLE) -> Column:
     """The fingerprint of a text column as a signed long."""
 
@@ -118,7 +140,7 @@ def spanning_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def tile_links(group: np.ndarray, ones: np.ndarray, prints: np.ndarray, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as a spanning forest of positions) among rows ordered by group and population count."""
+    """Links (as a spanning forest of positions) among rows ordered by group and population count; a row of `prints` is a fingerprint."""
     n, left, right = len(prints), [], []
     for i in range(0, n, tile):
         here = slice(i, min(n, i + tile))
@@ -129,7 +151,7 @@ def tile_links(group: np.ndarray, ones: np.ndarray, prints: np.ndarray, radius:
                 break
             if int(ones[there].min()) - int(high) > radius or int(low) - int(ones[there].max()) > radius:
                 continue
-            near = np.bitwise_count(prints[here, None] ^ prints[None, there]) <= radius
+            near = distances(prints[here], prints[there]) <= radius
             r, c = np.nonzero(np.triu(near, 1) if i == j else near)
             if len(r):
                 left.append(r + i)
@@ -141,7 +163,7 @@ def tile_links(group: np.ndarray, ones: np.ndarray, prints: np.ndarray, radius:
     return linked, label[linked]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int, node: str) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], radius: int, words: tuple[str, ...], node: str) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by band, value, block pair and population count; a group may span batches.  Links are given by the column `node`."""
     keys = ("band", "value", "first", "second")
     kept: list[np.ndarray] | None = None
@@ -152,13 +174,13 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, node: str) -> Itera
         alone = np.ones(upto, bool)
         alone[1:] &= group[1:] != group[:-1]
         alone[:-1] &= group[1:] != group[:-1]
-        group, ones, prints, nodes = (x[:upto][~alone] for x in cols[4:])
-        a, b = tile_links(group, ones, prints, radius)
+        group, ones, nodes, *prints = (x[:upto][~alone] for x in cols[4:])
+        a, b = tile_links(group, ones, np.stack([x.view(np.uint64) for x in prints], axis=1), radius)
         return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], ["a", "b"])
 
     for batch in batches:
         new = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new += [np.zeros(batch.num_rows, np.int64), batch.column("ones").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), batch.column(node).to_numpy(zero_copy_only=False)]
+        new += [np.zeros(batch.num_rows, np.int64), *(batch.column(k).to_numpy(zero_copy_only=False) for k in ("ones", node, *words))]
         cols = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
         if not len(cols[0]):
             continue
@@ -174,22 +196,23 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, node: str) -> Itera
         yield links(kept, len(kept[0]))
 
 
-def tiled(banded: DataFrame, radius: int, block: int, node: str = "fp") -> DataFrame:
-    """(a, b) for rows (band, value, fp, and node): links enough to connect all rows of one band value within the radius."""
+def tiled(banded: DataFrame, radius: int, block: int, words: tuple[str, ...] = ("fp",), node: str = "fp") -> DataFrame:
+    """(a, b) for rows (band, value, the words of a fingerprint, node): links enough to connect all rows of one band value within the radius."""
     # Small tables that are joined to frequent keys are written first: a join then deals both
     # sides anew and can split what a frequent key has.
     crowded = cut(banded.groupBy("band", "value").count().where(F.col("count") > 2 * block))
-    names = ["fp"] if node == "fp" else ["fp", node]
+    names = list(dict.fromkeys([*words, node]))
     blocks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+    ones = reduce(Column.__add__, map(F.bit_count, words))
     rows = (
         banded.join(crowded, ["band", "value"], "left")
         .select(*names, "band", "value", blocks.alias("blocks"))
         .select(*names, "band", "value", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(*names, "band", "value", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.bit_count("fp").alias("ones"))
+        .select(*names, "band", "value", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), ones.alias("ones"))
     )
     dealt = rows.repartition("band", "value", "first", "second").sortWithinPartitions("band", "value", "first", "second", "ones")
-    return dealt.mapInArrow(partial(_compare, radius=radius, node=node), "a long, b long")
+    return dealt.mapInArrow(partial(_compare, radius=radius, words=words, node=node), "a long, b long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -284,19 +307,18 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 def set_prints(text: Column | str, size: int = SET_SHINGLE) -> Column:
-    """The digest of a text's shingle set, its fingerprint, its size and its bands."""
+    """The digest of a text's shingle set, its size, its fingerprint and its bands."""
+    words = ",".join(f"{x}:long" for x in SET_WORDS)
 
-    @F.arrow_udf("struct<key:long,fp:long,n:int,bands:array<long>>")
+    @F.arrow_udf(f"struct<key:long,n:int,{words},bands:array<long>>")
     def prints_of(texts: pa.Array) -> pa.Array:
-        keys, fps, sizes, found = [], [], [], []
+        rows = []
         for x in utf8(texts):
             hashes = set_hashes(x, size)
-            keys.append(set_key(hashes))
-            fps.append(majority(hashes))
-            sizes.append(len(hashes))
-            found.append(set_bands(hashes))
-        columns = [pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(columns, ["key", "fp", "n", "bands"])
+            rows.append((set_key(hashes), len(hashes), *wide_prints(hashes), set_bands(hashes)))
+        columns = list(zip(*rows, strict=True)) or [()] * (3 + len(SET_WORDS))
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * len(SET_WORDS), pa.list_(pa.int64())]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "n", *SET_WORDS, "bands"])
 
     return prints_of(text)
 
@@ -315,7 +337,7 @@ def similar_links(sets: list[np.ndarray], prints: np.ndarray, similarity: float
             # Rows come by size: beyond this tile none is small enough.
             if sizes[here[-1]] < similarity * sizes[there[0]]:
                 break
-            near = np.bitwise_count(prints[here, None] ^ prints[None, there]) <= radius
+            near = distances(prints[here], prints[there]) <= radius
             near &= sizes[here, None] >= similarity * sizes[None, there]
             near &= label[here, None] != label[None, there]
             for r in np.flatnonzero(near.any(axis=1)).tolist():
@@ -347,16 +369,16 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, similarity: float, ra
                 if len(keys) > 1:
                     yield out()
                 group, keys, sets, prints = name, [], [], []
-            hashes = set_hashes(utf8(batch.column("text").slice(i, 1))[0], size)
+            hashes = set_hashes(batch.column("text")[i].as_buffer().to_pybytes(), size)
             keys.append(batch.column("key")[i].as_py())
-            prints.append(batch.column("fp")[i].as_py())
+            prints.append(wide_prints(hashes))
             sets.append(hashes)
     if len(keys) > 1:
         yield out()
 
 
 def confirmed(texts: DataFrame, size: int, similarity: float, radius: int, block_shingles: int) -> DataFrame:
-    """(a, b) for candidates (root, key, fp, n, text), each key once: links enough to connect all similar ones of a root.
+    """(a, b) for candidates (root, key, n, text), each key once: links enough to connect all similar ones of a root.
 
     Roots with many shingles are cut into blocks by hash, and each pair of blocks becomes a
     task group of its own.
@@ -367,10 +389,10 @@ def confirmed(texts: DataFrame, size: int, similarity: float, radius: int, block
     other = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("own"))).otherwise(F.array(F.lit(0)))
     rows = (
         texts.join(crowded, "root", "left")
-        .select("root", "key", "fp", "text", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+        .select("root", "key", "text", F.coalesce("blocks", F.lit(1)).alias("blocks"))
         .withColumn("own", own)
-        .select("root", "key", "fp", "text", "own", F.explode(other).alias("other"))
-        .select("root", "key", "fp", "text", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+        .select("root", "key", "text", "own", F.explode(other).alias("other"))
+        .select("root", "key", "text", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
     )
     dealt = rows.repartition("root", "first", "second").sortWithinPartitions("root", "first", "second")
     return dealt.mapInArrow(partial(_confirm, size=size, similarity=similarity, radius=radius), "a long, b long")
@@ -383,17 +405,17 @@ def similar_groups(
     sets have the Jaccard similarity or more, named by its smallest id."""
     rows = ids_and_text(docs, id_col, text_col).where("doc_id is not null")
     printed = cut(rows.select("doc_id", set_prints("text", shingle).alias("p")).select("doc_id", "p.*"))
-    distinct = cut(printed.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "n", "bands"))))
-    banded = distinct.select("key", "fp", F.explode("bands").alias("value"))
+    distinct = cut(printed.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", *SET_WORDS, "bands"))))
+    banded = distinct.select("key", F.explode("bands").alias("value"))
     # A band value of a single set links nothing.
     shared = cut(banded.groupBy("value").count().where("count > 1").select("value"))
-    met = banded.join(shared, "value").select(F.lit(0).alias("band"), "value", "key", "fp")
-    candidates = components(tiled(met, radius, block, "key")).withColumnRenamed("node", "key")
-    chosen = cut(candidates.join(distinct.select("key", "rep", "fp", "n"), "key").select("root", F.col("key").alias("wanted"), "fp", "n", F.col("rep").alias("doc_id")))
+    met = cut(banded.join(shared, "value")).join(distinct.select("key", *SET_WORDS), "key").select(F.lit(0).alias("band"), "value", "key", *SET_WORDS)
+    candidates = components(tiled(met, radius, block, SET_WORDS, "key")).withColumnRenamed("node", "key")
+    chosen = cut(candidates.join(distinct.select("key", "rep", "n"), "key").select("root", F.col("key").alias("wanted"), "n", F.col("rep").alias("doc_id")))
     # Only candidates' texts are read again.  A repeated id may stand for several: the digest says which is meant.
     key_of = F.arrow_udf(lambda texts: pa.array([set_key(set_hashes(x, shingle)) for x in utf8(texts)], pa.int64()), "long")
     held = rows.join(sized(chosen), "doc_id").withColumn("key", key_of("text"))
-    texts = cut(held.where("key = wanted").select("root", "key", "fp", "n", "text").dropDuplicates(["key"]))
+    texts = cut(held.where("key = wanted").select("root", "key", "n", "text").dropDuplicates(["key"]))
     found = components(confirmed(texts, shingle, similarity, radius, block_shingles)).withColumnRenamed("node", "key")
     linked = found.join(distinct.select("key", "rep"), "key")
     least = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id")))

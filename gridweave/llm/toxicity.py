@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import cut
+from gridweave.llm.common import cut, strings
 
 MAX_TOXIC = 4000
 MAX_UNLABELLED = 12000
@@ -159,6 +159,6 @@ def score(model: Classifier, text: Column | str, spark) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array((shared.value.score(x) for x in texts.to_pylist()), pa.float64())
+        return pa.array((shared.value.score(x) for x in strings(texts)), pa.float64())
 
     return F.arrow_udf(scored, "double")(text)
