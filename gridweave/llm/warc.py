@@ -2,19 +2,22 @@
 
 Writing: of captures with equal payloads of at least REVISIT_BYTES bytes the one with the
 smallest id becomes a response record, the others revisit records without the payload.
-Records are built as columns and written by Spark's text writer, whose separator is the
-two line ends that close a record, so archives go to any store Spark writes to.
+Records are built as columns, dealt to archives of about ARCHIVE_BYTES of payload, and
+written by Spark's text writer, whose separator is the two line ends that close a record, so
+archives go to any store Spark writes to.
 
 Reading: each archive is parsed by its records' Content-Length; a response's payload is
 held against its digest.  Each archive gives one locally sorted run of captures.  Runs are
 cut at key borders; each key range gets a sorted slice of every run, and a loser tree
 merges the slices by URL key, time and id, so the ranges in order are the globally ordered
-capture history.  Borders are quantiles of the whole sort key, time and id included, so the
+capture history.  A task merges its ranges one after the other and holds the slices of one,
+as Arrow columns.  Borders are quantiles of the whole sort key, time and id included, so the
 captures of a frequent URL spread over several ranges.
 
 Defined cases: a null payload counts as empty; a null URL or time is written as an empty
-field; ties are ordered by id; repeated rows are records of their own; empty tables write
-and read no archive.
+field; a null id is written as an empty one and sorts first; ties are ordered by id; repeated
+rows are records of their own, and all rows with the smallest id of a payload are responses;
+empty tables write and read no archive.
 """
 
 from __future__ import annotations
@@ -25,17 +28,22 @@ import io
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import cut
+from gridweave.llm.common import cut, sized
 
 REVISIT_BYTES = 100
 RECORDS_A_FILE = 2000
+ARCHIVE_BYTES = 64 << 20
+#: About how many rows a key range has, unless there would be more than MAX_RANGES.
 RANGE_ROWS = 2000
 MAX_RANGES = 1 << 14
+_KEYS = 512
+_OUT = 1 << 13
 _END = "\r\n"
 CAPTURE = "page_id long, url string, url_key string, captured string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 _FIELDS = ("page_id", "url", "url_key", "captured", "record_type", "refers_to", "payload_bytes", "payload_digest")
@@ -50,13 +58,14 @@ def url_key(url: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", captured: Column | None = None, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """One column `record`: the WARC record of every page, without the line ends that close it."""
+    """(deal, record): the WARC record of every page, without the line ends that close it, and its row's number."""
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"[\r\n]", "").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), (F.lit("") if captured is None else F.coalesce(captured, F.lit(""))).alias("captured"))
+    # The number says where a record goes; it is given before anything is shuffled.
+    rows = pages.select(F.monotonically_increasing_id().alias("deal"), F.col(f"`{id_col}`").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"[\r\n]", "").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), (F.lit("") if captured is None else F.coalesce(captured, F.lit(""))).alias("captured"))
     first = rows.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     # Written first, so that the join deals both sides anew and can split a frequent payload.
     first = cut(first)
-    known = rows.join(first, "digest", "left")
+    known = rows.join(sized(first), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("")), F.lit(">"))
     body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
@@ -67,12 +76,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         F.when(revisit, F.concat(F.lit(f"{_END}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_END}WARC-Refers-To: "), name(F.col("first")))).otherwise(""),
         F.lit(f"{_END}Content-Type: text/html{_END}Content-Length: "), F.octet_length(body).cast("string"), F.lit(_END + _END),
     )
-    return known.select(F.concat(header.cast("binary"), body).cast("string").alias("record"))
+    return known.select("deal", F.concat(header.cast("binary"), body).cast("string").alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, **options) -> None:
-    """Write the pages as gzip-compressed WARC files under `path`."""
-    records(pages, **options).write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, archive_bytes: int = ARCHIVE_BYTES, payload_col: str = "html", **options) -> None:
+    """Write the pages as gzip-compressed WARC files under `path`, of about so many bytes of payload and so many records at most."""
+    total = pages.agg(F.sum(F.octet_length(F.col(f"`{payload_col}`")))).first()[0] or 0
+    archives = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // archive_bytes))
+    dealt = records(pages, payload_col=payload_col, **options).repartition(archives, "deal").select("record")
+    dealt.write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
@@ -97,15 +109,14 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
     for batch in batches:
         for i in range(batch.num_rows):
             path, content = batch.column("path")[i].as_py(), batch.column("content")[i].as_buffer()
-            stream = io.BufferedReader(pa.BufferReader(content)) if not path.endswith(".gz") else gzip.GzipFile(fileobj=pa.BufferReader(content))
-            rows = list(parse(stream))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *arrays], ["run", "page_id", "url", "captured", "record_type", "refers_to", "payload_bytes", "payload_digest"])
+            captures = parse(io.BufferedReader(pa.BufferReader(content)) if not path.endswith(".gz") else gzip.GzipFile(fileobj=pa.BufferReader(content)))
+            while rows := list(islice(captures, _OUT)):
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *arrays], ["run", "page_id", "url", "captured", "record_type", "refers_to", "payload_bytes", "payload_digest"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -184,16 +195,38 @@ def _slices(batches: Iterator[pa.RecordBatch], borders: list[tuple]) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.list_(_PLACE))], ["part", "run", "rows"])
 
 
+def _keys(rows: pa.StructArray, at: int) -> Iterator[tuple]:
+    """(sort key, number) of each row of a slice whose first has the number `at`; only some are made at once."""
+    for low in range(0, len(rows), _KEYS):
+        part = rows.slice(low, _KEYS)
+        fields = zip(*(part.field(f).to_pylist() for f in ("url_key", "captured", "page_id")), strict=True)
+        yield from (((key, time, page is not None, page or 0), at + low + i) for i, (key, time, page) in enumerate(fields))
+
+
+def _merged(part: int, slices: list[pa.StructArray]) -> Iterator[pa.RecordBatch]:
+    """One range: its slices merged and numbered."""
+    starts = accumulate(map(len, slices), initial=0)
+    order = [number for _, number in LoserTree([_keys(s, at) for s, at in zip(slices, starts)], lambda x: x[0])]
+    rows = pa.concat_arrays(slices)
+    for low in range(0, len(order), _OUT):
+        taken = rows.take(pa.array(order[low : low + _OUT], pa.int64()))
+        places = pa.array(range(low, low + len(taken)), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(taken), pa.int32()), places, *(taken.field(f) for f in _FIELDS)], ["part", "place", *_FIELDS])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slices of whole ranges come in; they go out merged and numbered."""
-    by_part: dict[int, list[list[dict]]] = {}
+    """The slices come in the order of their ranges; each range goes out as soon as the next begins."""
+    current, slices = None, []
     for batch in batches:
-        for part, rows in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-            by_part.setdefault(part, []).append(rows)
-    for part in sorted(by_part):
-        merged = list(LoserTree(by_part.pop(part), sort_key))
-        columns = [pa.array([row[f] for row in merged], _PLACE.field(f).type) for f in _FIELDS]
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(merged), pa.int32()), pa.array(range(len(merged)), pa.int64()), *columns], ["part", "place", *_FIELDS])
+        parts, rows = batch.column("part").to_pylist(), batch.column("rows")
+        for i, part in enumerate(parts):
+            if part != current:
+                if slices:
+                    yield from _merged(current, slices)
+                current, slices = part, []
+            slices.append(rows[i].values)
+    if slices:
+        yield from _merged(current, slices)
 
 
 def merge_index(captures: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
@@ -208,7 +241,7 @@ def merge_index(captures: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
         some = sorted((r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in captures.where(chance < 8 * parts / n).select("url_key", "captured", "page_id").collect())
         borders = sorted({some[i * len(some) // parts] for i in range(1, parts)}) if some else []
     sliced = captures.mapInArrow(partial(_slices, borders=borders), f"part int, run string, rows array<struct<{_ddl()}>>")
-    return sliced.repartition("part").mapInArrow(_merge, f"part int, place long, {CAPTURE}")
+    return sliced.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, f"part int, place long, {CAPTURE}")
 
 
 def _ddl() -> str:
