@@ -9,12 +9,16 @@ Features are words and word beginnings (PREFIXES bytes) by presence, chosen from
 MIN_DOCS toxic documents have and whose holders, by the prior and the shares in toxic and
 unlabelled text (one more unlabelled holder is assumed), are toxic with MIN_PRECISION.  The
 count is fixed, whatever the number of toxic documents, so that words of languages with a
-small part of them are learned as data grow.  Equal texts count once in fitting.  Fitting takes at most about MAX_TOXIC
-and MAX_UNLABELLED documents, chosen by a hash of the id, whole texts each; scoring reads
-every whole text once.  The prior is the share of toxic among all labelled training rows.
-
-Defined cases: null and empty texts have no features and score as such; without a toxic
-training row, or without a feature, every score is the prior.
+small part of them are learned as data grow.  The unlabelled text is a sample of all
+training documents, whatever their labels, as the risk asks for; so a confirmed toxic
+document may serve on both sides.  Equal texts count once on each side.  Fitting takes at
+most about MAX_TOXIC and MAX_UNLABELLED documents, chosen by a hash of the id, whole texts
+each, and the MAX_FEATURES most telling features; scoring reads every whole text once.  The
+prior is the share of toxic among all labelled training rows.
+
+Defined cases: null and empty texts have no features and score as such; of several labels
+of a document the greatest counts; without a toxic training row, or without a feature, every
+score is the prior.
 """
 
 from __future__ import annotations
@@ -113,23 +117,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED) -> Classifier:
     """Fit from the documents given.  labels: rows (id, 0 or 1) for some of them; only the
-    toxic ones serve as examples, documents without a label are the unlabelled text."""
+    toxic ones serve as examples, all documents as the unlabelled text."""
     spark = docs.sparkSession
     marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     marked = docs.select(F.col(f"`{id_col}`").alias("doc_id")).distinct().join(marks, "doc_id", "left")
-    n = marked.agg(*(F.count_if(F.expr(x)) for x in ("label = 1", "label = 0", "label is null")), F.count("*")).first()
-    n_toxic, n_clean, n_free, n_all = n
+    n_toxic, n_clean, n_all = marked.agg(*(F.count_if(F.expr(x)) for x in ("label = 1", "label = 0")), F.count("*")).first()
     prior = min(0.99, max(0.001, n_toxic / max(1, n_toxic + n_clean)))
     bias = float(np.log(prior / (1 - prior)))
     if not n_toxic:
         return Classifier({}, bias)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
-    free = F.col("label").isNull() if n_free else F.lit(True)
-    chosen = marked.where(((F.col("label") == 1) & (chance < max_toxic / n_toxic)) | (free & (chance < max_unlabelled / (n_free or n_all))))
-    ids = chosen.select("doc_id", F.coalesce(F.col("label") == 1, F.lit(False)).alias("positive"))
+    chance = lambda what: F.pmod(F.xxhash64("doc_id", F.lit(what)), F.lit(1 << 20)) / float(1 << 20)
+    toxic = marked.where((F.col("label") == 1) & (chance("toxicity") < max_toxic / n_toxic)).select("doc_id", F.lit(True).alias("positive"))
+    free = marked.where(chance("unlabelled") < max_unlabelled / n_all).select("doc_id", F.lit(False).alias("positive"))
+    ids = toxic.union(free)
     text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     # The sample's size is bounded by max_toxic and max_unlabelled, so its ids can be broadcast.
-    sample = cut(text.join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("positive").alias("positive")))
+    sample = cut(text.join(F.broadcast(ids), "doc_id").select("text", "positive").distinct())
     sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
     p, u = sizes.get(True, 0), sizes.get(False, 0)
     if not p or not u:
