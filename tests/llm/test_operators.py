@@ -38,6 +38,42 @@ def test_warc_round_trip(spark, tmp_path):
     assert keys == sorted(keys)
 
 
+def test_warc_odd_rows(spark, tmp_path):
+    """A null id, a very long payload, and repeated rows of the smallest id."""
+    long = "x" * 3_000_000
+    rows = [(None, "http://b.org/", "null id " * 20), (1, "http://a.org/", long), (2, "http://a.org/", long), (1, "http://a.org/", long), (None, "http://b.org/", None)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"), archive_bytes=1 << 20)
+    got = warc.merge_index(warc.read_archives(spark, str(tmp_path / "w"))).orderBy("part", "place").collect()
+    assert [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got] == [(1, 3_000_000, "response", None), (1, 3_000_000, "response", None), (2, 3_000_000, "revisit", 1), *[(None, n, "response", None) for n in (got[3].payload_bytes, got[4].payload_bytes)]]
+    assert {r.payload_bytes for r in got[3:]} == {0, 160}
+
+
+def test_merge_holds_one_range():
+    """The memory of a merging task depends on a range, not on how many there are."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches(ranges):
+        for part in range(ranges):
+            rows = [[{"page_id": i, "url": "u", "url_key": f"k{i:05d}", "captured": "", "record_type": "response", "refers_to": None, "payload_bytes": 1, "payload_digest": "d"} for i in range(run, 200, 4)] for run in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * 4, pa.int32()), pa.array(rows, pa.list_(warc._PLACE))], ["part", "rows"])
+
+    peaks = []
+    for ranges in (20, 400):
+        tracemalloc.start()
+        before = pa.total_allocated_bytes()
+        n = most = 0
+        for out in warc._merge(batches(ranges)):
+            n += out.num_rows
+            most = max(most, pa.total_allocated_bytes() - before)
+            assert out.column("page_id").to_pylist() == list(range(200))
+        peaks.append(tracemalloc.get_traced_memory()[1] + most)
+        tracemalloc.stop()
+        assert n == 200 * ranges
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_warc_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"))
@@ -153,6 +189,53 @@ def test_ring_growth_moves_little(spark):
     assert sum(a[k] != b[k] for k in a) < 4000 * 3 / 11
 
 
+def _walk(keys, shards, cells):
+    """The ring by definition: every row asks one virtual node a round, clockwise, cell by cell."""
+    taken = ring.ring(shards)
+    places = sorted(taken)
+    room = ring.bounds(len(keys), shards)
+    full = [0] * shards
+    by_cell = Counter(cells)
+    at = {c: next((i for i, p in enumerate(places) if p >= c), 0) for c in by_cell}
+    waiting = [[c, at[c], n] for c, n in sorted(by_cell.items())]
+    taken_by = defaultdict(Counter)
+    while waiting:
+        for w in waiting:
+            shard = taken[places[w[1] % len(places)]]
+            take = min(w[2], room[shard] - full[shard])
+            taken_by[w[0]][shard] += take
+            full[shard] += take
+            w[2] -= take
+            w[1] += 1
+            while w[2] and full[taken[places[w[1] % len(places)]]] >= room[taken[places[w[1] % len(places)]]]:
+                w[1] += 1
+        waiting = [w for w in waiting if w[2]]
+    return {c: +n for c, n in taken_by.items()}
+
+
+def test_ring_is_determined_by_its_rows(spark):
+    """However the rows are partitioned: a third has one key, a sixth is one row, and a tenth has no key."""
+    n = 3000
+    i = F.col("id")
+    rows = spark.range(n).select(F.when(i % 3 == 0, 7).when(i % 10 == 1, None).otherwise(i).alias("k"), F.when(i % 6 == 0, 1).otherwise(i).alias("v"))
+    a = [tuple(r) for r in ring.assign(rows.repartition(3, "v"), "k", 40, groups=64).collect()]
+    b = [tuple(r) for r in ring.assign(rows.orderBy(F.desc("v")).repartition(7), "k", 40, groups=64).collect()]
+    assert Counter(a) == Counter(b) and len(a) == n
+    cells = {r.k: r.c for r in rows.select("k", ring.cell_of(F.col("k")).alias("c")).distinct().collect()}
+    got = defaultdict(Counter)
+    for k, _, shard, _ in a:
+        got[cells[k]][shard] += 1
+    assert got == _walk([x[0] for x in a], 40, [cells[x[0]] for x in a])
+
+
+def test_ring_movement_without_slack(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "k")
+    a = {r.k: r.shard for r in ring.assign(rows, "k", 40).collect()}
+    b = {r.k: r.shard for r in ring.assign(rows, "k", 41).collect()}
+    moved = sum(a[k] != b[k] for k in a)
+    assert 20_000 // 41 <= moved < 0.09 * 20_000
+
+
 def test_shard_documents(docs):
     got = ring.shard_documents(docs, 3).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in ROWS)
