@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.operators import transforms
 from gridweave.operators.items import Atoms
-from gridweave.operators.records import Options, fields, records, static_names
+from gridweave.operators.records import LOCAL_CELLS, Options, fields, records, static_names
 from gridweave.plans import spec as S
 from gridweave.plans.rtl import Bindings, compile_pattern
 
@@ -46,6 +46,7 @@ def extract(
     table_id: str = "table_id",
     grid: str = "grid",
     keep: bool = True,
+    local_cells: int = LOCAL_CELLS,
 ) -> DataFrame:
     """The records of all tables that match: table_id, rec_no and a string column for each attribute.
 
@@ -56,7 +57,7 @@ def extract(
     """
     options = options or Options()
     pattern = compile_pattern(pattern, bindings) if isinstance(pattern, str) else pattern
-    found = records(tables, pattern, options, table_id, grid, keep)
+    found = records(tables, pattern, options, table_id, grid, keep, local_cells)
     if schema is None:
         found = found.persist() if keep else found
         schema = attributes(fields(found, options)) or [options.template.replace("%i", "1")]

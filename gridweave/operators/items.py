@@ -34,15 +34,19 @@ def _item(text: Column, atom: S.Atom, number: int, index: Column, start: Column,
 
 def _parts(text: Column, content: S.Delimited, number: int, offset: Column) -> Column:
     """The parts of a delimited text that aren't blank, each with its place in the list."""
-    split = T.split(text, content.by)
     width = len(content.by)
 
-    def part(p: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(split, 1, i), offset.cast("int"), lambda a, x: a + F.length(x) + width)
-        return _item(T.trimmed(p), content.atom, number, i, before, before + F.length(p))
+    start = F.struct(offset.cast("int").alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + width).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
 
-    whole = F.transform(split, lambda p, i: F.struct(T.is_blank(T.trimmed(p)).alias("blank"), part(p, i).alias("item")))
-    return F.transform(F.filter(whole, lambda x: ~x["blank"]), lambda x: x["item"])
+    def parts(split: Column) -> Column:
+        starts = F.aggregate(split, start, step, lambda a: a["starts"])
+        one = lambda p, i: F.struct(p.alias("text"), i.alias("i"), F.get(starts, i).alias("start"))
+        kept = F.filter(F.transform(split, one), lambda x: ~T.is_blank(T.trimmed(x["text"])))
+        return F.transform(kept, lambda x: _item(T.trimmed(x["text"]), content.atom, number, x["i"], x["start"], x["start"] + F.length(x["text"])))
+
+    # A one-element array binds the parts, so that the text is split once.
+    return F.element_at(F.transform(F.array(T.split(text, content.by)), parts), 1)
 
 
 def _leaf_items(text: Column, k: int, leaf: S.Content, atoms: Atoms) -> Column:
@@ -67,6 +71,31 @@ def _leaf_items(text: Column, k: int, leaf: S.Content, atoms: Atoms) -> Column:
     return F.filter(numbered, lambda x: ~x["atom"].isin(skipped)) if skipped else numbered
 
 
+def item_arrays(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid: str = "grid") -> DataFrame:
+    """(table_id, items): what items() gives for each matching table, as an array in the same order, without places in the text."""
+    atoms = Atoms(pattern)
+    named = tables.select(F.col(f"`{table_id}`").alias("table_id"), F.col(f"`{grid}`").alias("grid"))
+    placed = match(named, pattern).where("cells is not null")
+    kinds = F.array(*(F.lit(a.kind) for a in atoms.atoms))
+    tags = F.array(*(F.array(*map(F.lit, a.tags)).cast("array<string>") for a in atoms.atoms))
+
+    def of_cell(cell: Column, place: Column) -> Column:
+        def of_text(text: Column) -> Column:
+            given = [(k, _leaf_items(text, k, leaf, atoms)) for k, leaf in enumerate(atoms.leaves)]
+            return reduce(lambda a, kv: a.when(cell["leaf"] == kv[0], kv[1]), given[1:], F.when(cell["leaf"] == given[0][0], given[0][1]))
+
+        def item(i: Column, n: Column) -> Column:
+            number = place.cast("long") * STRIDE + n
+            own = [number.alias("seq"), *(i[c].alias(c) for c in ("atom", "idx", "s")), F.get(kinds, i["atom"]).alias("kind"), F.get(tags, i["atom"]).alias("tags")]
+            return F.struct(*own, *(cell[c].alias(c) for c in ("row", "col", "subtable", "subrow")))
+
+        text = F.coalesce(F.get(F.get("grid", cell["row"]), cell["col"]), F.lit(""))
+        return F.transform(F.element_at(F.transform(F.array(text), of_text), 1), item)
+
+    nothing = F.array().cast("array<struct<seq:bigint,atom:int,idx:int,s:string,kind:string,tags:array<string>,row:int,col:int,subtable:int,subrow:int>>")
+    return placed.select("table_id", (F.flatten(F.transform("cells", of_cell)) if atoms.leaves else nothing).alias("items"))
+
+
 def items(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid: str = "grid") -> DataFrame:
     """(table_id, seq, atom, idx, s, kind, tags, row, col, subtable, subrow, start, end) for every item of the matching tables.
 

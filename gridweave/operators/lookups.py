@@ -1,9 +1,11 @@
 """Providers: for each item with actions, the items its lookups find.
 
-A lookup is a self-join of the items.  Every lookup stays within a table, and terms on rows,
-columns, subrows, subtables, offsets and equal strings become equi-join keys when all
-branches of the condition share them; the rest is the join's condition.  Limits are ranks in
-the lookup's order.
+Every lookup stays within a table.  In tables of up to some cells it is an expression on the
+array of the table's items (module `local`).  In larger ones a lookup of one item left,
+right, above or below is a running minimum or maximum along each line, any other a self-join
+of the items: terms on rows, columns, subrows, subtables, offsets and equal strings become
+equi-join keys when all branches of the condition share them; the rest is the join's
+condition.  Limits are ranks in the lookup's order.
 """
 
 from __future__ import annotations
@@ -76,31 +78,35 @@ def _rest(term: S.Term, a, c) -> Column | None:
             found = F.array_contains(c("tags"), name)
             return ~found if negated else found
         case S.Test("ext") if not term.columnar:
-            return F.udf(lambda s: bool(term.call(s)) != term.negated, "boolean")(c("s"))
+            return F.udf(lambda s: bool(term.call(s)) != term.negated, "boolean", useArrow=True)(c("s"))
         case S.Test():
             return test_column(term, c("s"))
         case S.PairTest(_, call, True):
             return call(a, c)
         case S.PairTest(_, call, False):
             item = lambda x: F.struct(*(x(n).alias(n) for n in ("s", "row", "col", "idx", "subtable", "subrow", "kind", "tags")))
-            return F.udf(lambda x, y: bool(call(x, y)), "boolean")(item(a), item(c))
+            return F.udf(lambda x, y: bool(call(x, y)), "boolean", useArrow=True)(item(a), item(c))
     return None
 
 
-def join_condition(condition: S.Condition) -> Column:
-    """The condition of the self-join, with the equalities that all branches share in front."""
-    a, c = (lambda n: F.col(ANCHOR + n)), (lambda n: F.col(n))
+def condition_of(condition: S.Condition, a, c) -> Column:
+    """Whether a candidate meets the condition for an anchor of its table, with the equalities that all branches share in front."""
     keys = [set().union(*map(_keys, branch)) for branch in condition]
     shared = set.intersection(*keys)
     equal = lambda k: c(k[1]) == (a(k[0]) + k[2] if k[2] else a(k[0]))
 
     def branch(terms, own) -> Column:
         parts = [equal(k) for k in sorted(own - shared)] + [r for t in terms if (r := _rest(t, a, c)) is not None]
-        return reduce(Column.__and__, parts, F.lit(True))
+        return reduce(Column.__and__, parts) if parts else F.lit(True)
 
     either = reduce(Column.__or__, [branch(t, k) for t, k in zip(condition, keys, strict=True)])
-    out = reduce(Column.__and__, map(equal, sorted(shared)), F.col("table_id") == F.col(ANCHOR + "table_id"))
-    return out & (F.col("seq") != F.col(ANCHOR + "seq")) & either
+    return reduce(Column.__and__, [*map(equal, sorted(shared)), c("seq") != a("seq"), either])
+
+
+def join_condition(condition: S.Condition) -> Column:
+    """The condition of the self-join."""
+    a, c = (lambda n: F.col(ANCHOR + n)), (lambda n: F.col(n))
+    return (F.col("table_id") == F.col(ANCHOR + "table_id")) & condition_of(condition, a, c)
 
 
 def _order(lookup: S.Lookup) -> list[Column]:
@@ -110,6 +116,35 @@ def _order(lookup: S.Lookup) -> list[Column]:
     return [(F.col(c) * sign).alias(f"o{i}") for i, c in enumerate(cells, 1)]
 
 
+#: Terms that leave one line of cells to one side of the anchor: what is equal on it, what grows along it, whether it lies before.
+_SIDES = {"LT": (("row", "subrow"), "col", True), "RT": (("row", "subrow"), "col", False), "AV": (("subtable", "col"), "row", True), "BW": (("subtable", "col"), "row", False)}
+
+
+def one_on_a_line(lookup: S.Lookup) -> tuple[S.Spatial, list[S.Test]] | None:
+    """The term and the tests of a lookup that asks for one item on a line and of it only what its own string and tags tell."""
+    if lookup.most != 1 or len(lookup.condition) != 1:
+        return None
+    sides = [t for t in lookup.condition[0] if isinstance(t, S.Spatial)]
+    tests = [t for t in lookup.condition[0] if isinstance(t, S.Test)]
+    if len(sides) != 1 or sides[0].name not in _SIDES or len(sides) + len(tests) < len(lookup.condition[0]):
+        return None
+    return sides[0], tests
+
+
+def nearest(items: DataFrame, lookup: S.Lookup, wanted: str | None, carry: tuple[str, ...]) -> DataFrame:
+    """The items with `best`: what such a lookup finds, by a running extremum along each line instead of pairs."""
+    side, tests = one_on_a_line(lookup)
+    same, along, before = _SIDES[side.name]
+    fits = [r for t in tests if (r := _rest(t, F.col, F.col)) is not None] + ([F.col("kind") == wanted] if wanted else [])
+    # In a cell the first item counts, whichever way the line is read.
+    last = lookup.order.startswith("-")
+    sign = -1 if last else 1
+    place = [F.col(along).alias("along"), (F.col("idx") * sign).alias("idx"), (F.col("seq") * sign).alias("seq"), F.struct(*carry).alias("found")]
+    own = F.when(reduce(Column.__and__, fits, F.lit(True)), F.struct(*place))
+    line = Window.partitionBy("table_id", *same).orderBy(F.col(along) if before else F.desc(along)).rangeBetween(Window.unboundedPreceding, -1)
+    return items.withColumn("best", (F.max if last else F.min)(own).over(line))
+
+
 def kinds_for(op: str) -> tuple[tuple[str, ...], str | None]:
     """Kinds that may be anchors of an action, and the kind its candidates must have."""
     if op in _STRING_OPS:
@@ -148,6 +183,13 @@ def operands(items: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], carry:
     """
     found = []
     for (lookup, wanted), by_atom in uses(atoms, ops).items():
+        places = [(n, F.array(*(F.struct(F.lit(a).alias("act"), F.lit(p).alias("prov")) for a, p in at))) for n, at in by_atom.items()]
+        serves = reduce(lambda x, kv: x.when(F.col("atom") == kv[0], kv[1]), places[1:], F.when(F.col("atom") == places[0][0], places[0][1]))
+        if one_on_a_line(lookup):
+            best = nearest(items, lookup, wanted, carry).where(F.col("atom").isin(list(by_atom)) & F.col("best").isNotNull())
+            at = [F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.lit(0).cast("long").alias("o4")]
+            found.append(best.select("table_id", F.col("seq").alias("anchor"), *at, F.col("best.found").alias("found"), F.inline(serves)))
+            continue
         anchors = items.where(F.col("atom").isin(list(by_atom)))
         anchors = anchors.select(*(F.col(c).alias(ANCHOR + c) for c in ("table_id", "seq", "atom", "row", "col", "subtable", "subrow", "idx", "s", "kind", "tags")))
         candidates = items if wanted is None else items.where(F.col("kind") == wanted)
@@ -157,8 +199,6 @@ def operands(items: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], carry:
         if lookup.most is not None:
             order = Window.partitionBy("table_id", "anchor").orderBy("o1", "o2", "o3", "o4")
             pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= lookup.most)
-        places = [(n, F.array(*(F.struct(F.lit(a).alias("act"), F.lit(p).alias("prov")) for a, p in at))) for n, at in by_atom.items()]
-        serves = reduce(lambda x, kv: x.when(F.col("atom") == kv[0], kv[1]), places[1:], F.when(F.col("atom") == places[0][0], places[0][1]))
         found.append(pairs.select("table_id", "anchor", "o1", "o2", "o3", "o4", "found", F.inline(serves)))
     if not found:
         return None

@@ -8,9 +8,11 @@ left for a later one, is folded within each table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from gridweave.plans import spec as S
 
 _STRING_OPS = ("FILL", "PREFIX", "SUFFIX")
 _MEMBER = "struct<seq:bigint,attr:string,val:string>"
+MEMBERS = f"array<{_MEMBER}>"
+JOINS = "array<struct<found:array<bigint>,drop:array<int>>>"
 
 
 @dataclass(frozen=True)
@@ -41,65 +45,78 @@ class Options:
         return F.replace(F.lit(self.template), F.lit("%i"), n.cast("string"))
 
 
-def _by_atom(atoms: list[S.Atom], of, default: Column) -> Column:
-    """An expression for each atom that has one."""
+def by_atom(atoms: list[S.Atom], of, default: Column, x=F.col) -> Column:
+    """An expression for each atom that has one; x gives an item's columns."""
     own = [(n, e) for n, atom in enumerate(atoms) if (e := of(atom)) is not None]
-    return reduce(lambda a, ne: a.when(F.col("atom") == ne[0], ne[1]), own[1:], F.when(F.col("atom") == own[0][0], own[0][1])).otherwise(default) if own else default
+    return reduce(lambda a, ne: a.when(x("atom") == ne[0], ne[1]), own[1:], F.when(x("atom") == own[0][0], own[0][1])).otherwise(default) if own else default
 
 
-def _literals(atoms: list[S.Atom]) -> dict[str, int]:
+def literals_of(atoms: list[S.Atom]) -> dict[str, int]:
     texts = (p.text for a in atoms for x in a.actions for p in x.providers if isinstance(p, S.Literal))
     return {t: i for i, t in enumerate(dict.fromkeys(texts))}
 
 
-def _found(act: int, prov: int) -> Column:
-    """What one provider of an action found, in order."""
+def _in_ops(atom: S.Atom, act: int, prov: int) -> Column:
+    """What one provider of an action found, in order, read from column `ops`."""
     return F.transform(F.filter("ops", lambda o: (o["act"] == act) & (o["prov"] == prov)), lambda o: o["found"])
 
 
-def _strings(atom: S.Atom, act: int) -> Column:
+def _strings(atom: S.Atom, act: int, found) -> Column:
     """The strings that a string action joins."""
-    each = [F.array(F.lit(p.text)) if isinstance(p, S.Literal) else F.coalesce(F.transform(_found(act, prov), lambda o: o["s"]), F.array().cast("array<string>")) for prov, p in enumerate(atom.actions[act].providers)]
+    each = []
+    for prov, p in enumerate(atom.actions[act].providers):
+        each.append(F.array(F.lit(p.text)) if isinstance(p, S.Literal) else F.coalesce(F.transform(found(atom, act, prov), lambda o: o["s"]), F.array().cast("array<string>")))
     return F.concat(*each) if each else F.array().cast("array<string>")
 
 
+def has_strings(atoms: list[S.Atom]) -> bool:
+    return any(a.op in _STRING_OPS for atom in atoms for a in atom.actions)
+
+
+def has_found_attributes(atoms: list[S.Atom]) -> bool:
+    return any(isinstance(p, S.Lookup) for atom in atoms for a in atom.actions if a.op == "AVP" for p in a.providers)
+
+
+def value_of(atom: S.Atom, x, found) -> Column | None:
+    """An item's string after the FILL, PREFIX and SUFFIX actions, which read other items' first strings."""
+    acts = [(i, a) for i, a in enumerate(atom.actions) if a.op in _STRING_OPS]
+    if not acts or atom.kind not in (S.VAL, S.ATTR):
+        return None
+    out = x("s")
+    for act, action in acts:
+        own = _strings(atom, act, found)
+        text = F.array_join(own, action.text)
+        match action.op:
+            case "FILL":
+                out = text
+            case "PREFIX":
+                out = F.when(F.size(own) > 0, F.concat(text, F.lit(action.text), out)).otherwise(out)
+            case "SUFFIX":
+                out = F.when(F.size(own) > 0, F.concat(out, F.lit(action.text), text)).otherwise(out)
+    return out
+
+
+def attribute_of(atom: S.Atom, found) -> Column | None:
+    """What the first AVP action with an operand gives, by the operand's final value."""
+    if atom.kind != S.VAL:
+        return None
+    given = [F.lit(a.providers[0].text) if isinstance(a.providers[0], S.Literal) else F.get(found(atom, act, 0), F.lit(0))["val"] for act, a in enumerate(atom.actions) if a.op == "AVP"]
+    return F.coalesce(*given) if given else None
+
+
 def valued(found: DataFrame, atoms: list[S.Atom]) -> DataFrame:
-    """The items with `val`: the string after the FILL, PREFIX and SUFFIX actions, which read other items' first strings."""
-
-    def value(atom: S.Atom) -> Column | None:
-        acts = [(i, a) for i, a in enumerate(atom.actions) if a.op in _STRING_OPS]
-        if not acts or atom.kind not in (S.VAL, S.ATTR):
-            return None
-        out = F.col("s")
-        for act, action in acts:
-            own = _strings(atom, act)
-            text = F.array_join(own, action.text)
-            match action.op:
-                case "FILL":
-                    out = text
-                case "PREFIX":
-                    out = F.when(F.size(own) > 0, F.concat(text, F.lit(action.text), out)).otherwise(out)
-                case "SUFFIX":
-                    out = F.when(F.size(own) > 0, F.concat(out, F.lit(action.text), text)).otherwise(out)
-        return out
-
-    if not any(a.op in _STRING_OPS for atom in atoms for a in atom.actions):
+    """The items with `val`, their final string."""
+    if not has_strings(atoms):
         return found.withColumn("val", F.col("s"))
-    return with_operands(found, found, atoms, _STRING_OPS, ("s",)).withColumn("val", _by_atom(atoms, value, F.col("s"))).drop("ops")
+    value = by_atom(atoms, lambda a: value_of(a, F.col, _in_ops), F.col("s"))
+    return with_operands(found, found, atoms, _STRING_OPS, ("s",)).withColumn("val", value).drop("ops")
 
 
 def attributed(values: DataFrame, atoms: list[S.Atom]) -> DataFrame:
-    """The items with `attr`: what the first AVP action with an operand gives, by the operand's final value."""
-
-    def attribute(atom: S.Atom) -> Column | None:
-        if atom.kind != S.VAL:
-            return None
-        given = [F.lit(a.providers[0].text) if isinstance(a.providers[0], S.Literal) else F.get(_found(act, 0), F.lit(0))["val"] for act, a in enumerate(atom.actions) if a.op == "AVP"]
-        return F.coalesce(*given) if given else None
-
-    if any(isinstance(p, S.Lookup) for atom in atoms for a in atom.actions if a.op == "AVP" for p in a.providers):
+    """The items with `attr`."""
+    if has_found_attributes(atoms):
         values = with_operands(values, values, atoms, ("AVP",), ("val",))
-    return values.withColumn("attr", _by_atom(atoms, attribute, F.lit(None).cast("string"))).drop("ops")
+    return values.withColumn("attr", by_atom(atoms, lambda a: attribute_of(a, _in_ops), F.lit(None).cast("string"))).drop("ops")
 
 
 def first_record(atom: S.Atom) -> int | None:
@@ -107,44 +124,86 @@ def first_record(atom: S.Atom) -> int | None:
     return next((i for i, a in enumerate(atom.actions) if a.op == "REC"), None) if atom.kind == S.VAL else None
 
 
-def made(named: DataFrame, atoms: list[S.Atom], options: Options) -> DataFrame:
+def members_of(atom: S.Atom, x, found, literals: dict[str, int]) -> Column | None:
+    """The members of the record that an item of this atom makes, itself first."""
+    act = first_record(atom)
+    if act is None:
+        return None
+    member = lambda seq, attr, val: F.struct(seq.cast("long").alias("seq"), attr.cast("string").alias("attr"), val.alias("val"))
+    parts = [F.array(member(x("seq"), x("attr"), x("val")))]
+    for prov, p in enumerate(atom.actions[act].providers):
+        match p:
+            case S.Literal(text):
+                parts.append(F.array(member(F.lit(-1 - literals[text]), F.lit(None), F.lit(text))))
+            case S.Pair(attr, value):
+                parts.append(F.array(member(F.lit(None), F.lit(attr), F.lit(value))))
+            case _:
+                parts.append(F.coalesce(found(atom, act, prov), F.array()))
+    return F.concat(*(p.cast(MEMBERS) for p in parts))
+
+
+def joins_of(atom: S.Atom, found) -> Column | None:
+    """For each JOIN action of a record's anchor: what it found, and the positions it leaves out."""
+    acts = [i for i, a in enumerate(atom.actions) if a.op == "JOIN"]
+    if first_record(atom) is None or not acts:
+        return None
+    others = lambda act: F.flatten(F.array(*(F.transform(found(atom, act, prov), lambda o: o["seq"]) for prov in range(len(atom.actions[act].providers)))))
+    drop = lambda act: F.array(*map(F.lit, atom.actions[act].drop)).cast("array<int>")
+    return F.array(*(F.struct(F.coalesce(others(act), F.array().cast("array<bigint>")).alias("found"), drop(act).alias("drop")) for act in acts))
+
+
+def joins_by_key(pattern: S.Table) -> S.Action | None:
+    """The JOIN of a pattern whose records all come from one atom, one to a cell, and each take in all those below with their string.
+
+    Such records fall into groups by line and string, of which the first takes in the others.
+    """
+    anchors = [(c, a) for c in S.contents(pattern) for a in S.atoms_of(c) if first_record(a) is not None]
+    makers = [a for _, a in anchors]
+    joins = [x for a in makers for x in a.actions if x.op == "JOIN"]
+    if len(makers) != 1 or len(joins) != 1 or not isinstance(anchors[0][0], S.Atom | S.Conditional) or len(joins[0].providers) != 1:
+        return None
+    lookup = joins[0].providers[0]
+    if not isinstance(lookup, S.Lookup) or lookup.most is not None or lookup.order != S.ROW_MAJOR or len(lookup.condition) != 1:
+        return None
+    terms = list(lookup.condition[0])
+    return joins[0] if len(terms) == 2 and S.Spatial("BW") in terms and S.SameText() in terms else None
+
+
+def merged_members(first: Column, others: Column, drop: tuple[int, ...]) -> Column:
+    """The members of a record that takes in others: theirs but for some positions, and of each attribute the first."""
+    kept = (lambda r: F.filter(r["members"], lambda m, i: ~i.isin(list(drop)))) if drop else (lambda r: r["members"])
+    every = F.concat(first["members"], F.flatten(F.transform(others, kept)))
+
+    def fresh(members: Column) -> Column:
+        attrs = F.transform(members, lambda m: m["attr"])
+        named = F.exists(members, lambda m: m["attr"].isNotNull())
+        return F.when(named, F.filter(members, lambda m, i: m["attr"].isNull() | (F.array_position(attrs, m["attr"]) == i + 1))).otherwise(members)
+
+    return F.element_at(F.transform(F.array(every), fresh), 1)
+
+
+def made(named: DataFrame, atoms: list[S.Atom], options: Options, join: S.Action | None = None) -> DataFrame:
     """(table_id, o1, o2, seq, members, joins): the records in the order of their anchors, members with attribute and value.
 
-    joins: for each JOIN action of the anchor the anchors it found, and the positions it leaves out.
+    With `join`, a join by key, these have columns subtable, col and s instead of joins.
     """
-    literals = _literals(atoms)
-    kind = f"array<{_MEMBER}>"
-
-    def members(atom: S.Atom) -> Column | None:
-        act = first_record(atom)
-        if act is None:
-            return None
-        parts = [F.array(F.struct("seq", "attr", "val"))]
-        for prov, p in enumerate(atom.actions[act].providers):
-            match p:
-                case S.Literal(text):
-                    one = F.struct(F.lit(-1 - literals[text]).cast("long").alias("seq"), F.lit(None).cast("string").alias("attr"), F.lit(text).alias("val"))
-                    parts.append(F.array(one))
-                case S.Pair(attr, value):
-                    parts.append(F.array(F.struct(F.lit(None).cast("long").alias("seq"), F.lit(attr).alias("attr"), F.lit(value).alias("val"))))
-                case _:
-                    parts.append(F.coalesce(_found(act, prov), F.array()))
-        return F.concat(*(p.cast(kind) for p in parts))
-
-    def joins(atom: S.Atom) -> Column | None:
-        acts = [i for i, a in enumerate(atom.actions) if a.op == "JOIN"]
-        if first_record(atom) is None or not acts:
-            return None
-        found = lambda act: F.flatten(F.array(*(F.transform(_found(act, prov), lambda o: o["seq"]) for prov in range(len(atom.actions[act].providers)))))
-        drop = lambda act: F.array(*map(F.lit, atom.actions[act].drop)).cast("array<int>")
-        return F.array(*(F.struct(F.coalesce(found(act), F.array().cast("array<bigint>")).alias("found"), drop(act).alias("drop")) for act in acts))
-
+    literals = literals_of(atoms)
     has = [n for n, a in enumerate(atoms) if first_record(a) is not None]
     anchors = named.where(F.col("atom").isin(has)) if has else named.where("false")
     places = ("row", "col") if options.actions_by == "row" else ("col", "row")
-    nothing = F.array().cast("array<struct<found:array<bigint>,drop:array<int>>>")
-    full = with_operands(named, anchors, atoms, ("REC", "JOIN"), ("seq", "attr", "val"))
-    return full.select("table_id", F.col(places[0]).alias("o1"), F.col(places[1]).alias("o2"), "seq", _by_atom(atoms, members, F.array().cast(kind)).alias("members"), _by_atom(atoms, joins, nothing).alias("joins"))
+    full = with_operands(named, anchors, atoms, ("REC",) if join else ("REC", "JOIN"), ("seq", "attr", "val"))
+    members = by_atom(atoms, lambda a: members_of(a, F.col, _in_ops, literals), F.array().cast(MEMBERS))
+    rest = ["subtable", "col", "s"] if join else [by_atom(atoms, lambda a: joins_of(a, _in_ops), F.array().cast(JOINS)).alias("joins")]
+    return full.select("table_id", F.col(places[0]).alias("o1"), F.col(places[1]).alias("o2"), "seq", members.alias("members"), *rest)
+
+
+def joined_by_key(records: DataFrame, join: S.Action) -> DataFrame:
+    """(table_id, rec_no, members) after a join by key: a group for each line and string."""
+    row = F.struct("o1", "o2", "seq", "members")
+    groups = records.groupBy("table_id", "subtable", "col", "s").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    first = F.col("rows")[0]
+    others = F.slice("rows", 2, F.greatest(F.lit(1), F.size("rows")))
+    return numbered(groups.select("table_id", first["o1"].alias("o1"), first["o2"].alias("o2"), first["seq"].alias("seq"), merged_members(first, others, join.drop).alias("members")))
 
 
 def _fold(records: list[dict]) -> list[dict]:
@@ -154,29 +213,34 @@ def _fold(records: list[dict]) -> list[dict]:
         for join in record["joins"] or []:
             if record["seq"] not in alive:
                 break
+            own = alive[record["seq"]]
             for other in join["found"]:
                 if other in alive and other != record["seq"]:
-                    alive[record["seq"]] = alive[record["seq"]] + [m for i, m in enumerate(alive.pop(other)) if i not in join["drop"]]
+                    own += [m for i, m in enumerate(alive.pop(other)) if i not in join["drop"]]
             seen: set[str] = set()
-            kept = []
-            for m in alive[record["seq"]]:
-                if m["attr"] is None or m["attr"] not in seen:
-                    kept.append(m)
-                    seen.add(m["attr"])
-            alive[record["seq"]] = kept
+            alive[record["seq"]] = [m for m in own if m["attr"] is None or not (m["attr"] in seen or seen.add(m["attr"]))]
     return [{"seq": r["seq"], "members": alive[r["seq"]]} for r in records if r["seq"] in alive]
 
 
-def joined(records: DataFrame) -> DataFrame:
-    """(table_id, rec_no, members) after the joins."""
-    schema = f"array<struct<seq:bigint,members:array<{_MEMBER}>>>"
-    kind = pa.list_(pa.struct([("seq", pa.int64()), ("members", pa.list_(pa.struct([("seq", pa.int64()), ("attr", pa.string()), ("val", pa.string())])))]))
+def joined_tables(tables: DataFrame) -> DataFrame:
+    """(table_id, rec_no, members) after the joins of tables (table_id, records), the records in order."""
+    member = pa.struct([("seq", pa.int64()), ("attr", pa.string()), ("val", pa.string())])
+
+    def joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_fold(t.as_py() or []) for t in batch.column("records")]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            numbers = pa.array([i for f in found for i in range(len(f))], pa.int32())
+            members = pa.array([r["members"] for f in found for r in f], pa.list_(member))
+            yield pa.RecordBatch.from_arrays([batch.column("table_id").take(pa.array(at)), numbers, members], ["table_id", "rec_no", "members"])
 
-    def folded(tables: pa.Array) -> pa.Array:
-        return pa.array([_fold(t) for t in tables.to_pylist()], kind)
+    kind = tables.schema["table_id"].dataType.simpleString()
+    return tables.select("table_id", "records").mapInArrow(joined_batches, f"table_id {kind}, rec_no int, members {MEMBERS}")
 
-    by_table = records.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("o1", "o2", "seq", "members", "joins"))).alias("records"))
-    return by_table.select("table_id", F.posexplode(F.arrow_udf(folded, schema)("records")).alias("rec_no", "r")).select("table_id", "rec_no", "r.members")
+
+def joined(records: DataFrame) -> DataFrame:
+    """(table_id, rec_no, members) after the joins."""
+    return joined_tables(records.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("o1", "o2", "seq", "members", "joins"))).alias("records")))
 
 
 def numbered(records: DataFrame) -> DataFrame:
@@ -237,23 +301,43 @@ def static_names(atoms: list[S.Atom]) -> bool:
     return not literal_members and None not in names and len(set(names)) <= 1
 
 
-def records(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True) -> DataFrame:
+#: Tables of up to so many cells are worked on as arrays, larger ones as rows.
+LOCAL_CELLS = 100
+
+
+def records(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """(table_id, rec_no, members) of all matching tables; members not named by the pattern have no attribute yet.
 
-    keep: the items are persisted where several joins read them.
+    A table of up to `local_cells` cells stays one row: its items and records are arrays, and
+    nothing is shuffled.  The items of larger tables become rows, which lookups join.  Both
+    give the same; 0 has all tables done as rows.  keep: the items are persisted where
+    several joins read them.
     """
+    from gridweave.operators import local
+
     options = options or Options()
+    if local_cells <= 0 or not local.possible(pattern):
+        return checked(_by_rows(tables, pattern, options, table_id, grid, keep))
+    cells = F.size(F.col(grid)) * F.coalesce(F.size(F.get(F.col(grid), F.lit(0))), F.lit(0))
+    small = F.coalesce(cells <= local_cells, F.lit(True))
+    own = local.records(tables.where(small), pattern, options, table_id, grid)
+    return checked(own.union(_by_rows(tables.where(~small), pattern, options, table_id, grid, keep)))
+
+
+def _by_rows(tables: DataFrame, pattern: S.Table, options: Options, table_id: str, grid: str, keep: bool) -> DataFrame:
     atoms = Atoms(pattern).atoms
     hold = (lambda df: df.persist()) if keep and any(isinstance(p, S.Lookup) for a in atoms for x in a.actions for p in x.providers) else (lambda df: df)
     found = hold(items(tables, pattern, table_id, grid).repartition("table_id"))
     named = attributed(valued(found, atoms), atoms)
-    if any(a.op in _STRING_OPS or a.op == "AVP" and isinstance(a.providers[0], S.Lookup) for atom in atoms for a in atom.actions):
+    if has_strings(atoms) or has_found_attributes(atoms):
         named = hold(named)
-    out = made(named, atoms, options)
-    has_joins = any(x.op == "JOIN" for a in atoms for x in a.actions)
-    return checked(joined(out) if has_joins else numbered(out))
+    join = joins_by_key(pattern) if options.actions_by == "row" else None
+    out = made(named, atoms, options, join)
+    if join:
+        return joined_by_key(out, join)
+    return joined(out) if any(x.op == "JOIN" for a in atoms for x in a.actions) else numbered(out)
 
 
-def record_fields(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True) -> DataFrame:
+def record_fields(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """The records of all matching tables in long form: (table_id, rec_no, pos, attr, val, visit)."""
-    return fields(records(tables, pattern, options, table_id, grid, keep), options or Options())
+    return fields(records(tables, pattern, options, table_id, grid, keep, local_cells), options or Options())
