@@ -72,10 +72,10 @@ def _leaf_items(text: Column, k: int, leaf: S.Content, atoms: Atoms) -> Column:
 
 
 def item_arrays(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid: str = "grid") -> DataFrame:
-    """(table_id, items): what items() gives for each matching table, as an array in the same order, without places in the text."""
+    """(table_id, items): what items() gives for each table, as an array in the same order, without places in the text; null for tables that don't match."""
     atoms = Atoms(pattern)
     named = tables.select(F.col(f"`{table_id}`").alias("table_id"), F.col(f"`{grid}`").alias("grid"))
-    placed = match(named, pattern).where("cells is not null")
+    placed = match(named, pattern)
     kinds = F.array(*(F.lit(a.kind) for a in atoms.atoms))
     tags = F.array(*(F.array(*map(F.lit, a.tags)).cast("array<string>") for a in atoms.atoms))
 
@@ -104,7 +104,8 @@ def items(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid:
     """
     atoms = Atoms(pattern)
     named = tables.select(F.col(f"`{table_id}`").alias("table_id"), F.col(f"`{grid}`").alias("grid"))
-    placed = match(named, pattern).where("cells is not null").select("table_id", "grid", F.posexplode("cells").alias("place", "cell"))
+    # An outer one, so that no filter on the cells is derived, for which they would be matched twice.
+    placed = match(named, pattern).select("table_id", "grid", F.posexplode_outer("cells").alias("place", "cell")).where("cell is not null")
     text = F.coalesce(F.get(F.get("grid", F.col("cell.row")), F.col("cell.col")), F.lit(""))
     cells = placed.select("table_id", "place", "cell.*", text.alias("text"))
     given = [(k, _leaf_items(F.col("text"), k, leaf, atoms)) for k, leaf in enumerate(atoms.leaves)]

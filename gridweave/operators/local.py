@@ -106,4 +106,4 @@ def records(tables: DataFrame, pattern: S.Table, options: R.Options, table_id: s
         out = out.withColumn("records", F.transform(heads, lambda r: F.struct(r["seq"].alias("seq"), R.merged_members(r, F.filter(all_, lambda q: same(q, r) & (q["seq"] > r["seq"])), join.drop).alias("members"))))
     elif has_joins:
         return R.joined_tables(out)
-    return out.select("table_id", F.posexplode("records").alias("rec_no", "r")).select("table_id", "rec_no", "r.members")
+    return out.select("table_id", F.posexplode_outer("records").alias("rec_no", "r")).where("r is not null").select("table_id", "rec_no", "r.members")

@@ -17,7 +17,7 @@ from gridweave.operators.items import items
 from gridweave.operators.records import Options
 from gridweave.plans import dsl as d
 from gridweave.plans.rtl import Bindings, compile_pattern
-from gridweave.sources.grids import cells, csv_grid, grid_of_rows, grid_of_text
+from gridweave.sources.grids import cells, csv_grid, dealt, grid_of_rows, grid_of_text
 from gridweave.sources.sinks import csv_line
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,7 @@ def crosstab_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer a crosstab of order counts: priorities down, statuses across."""
     orders = _read(spark, sf_dir, "orders")
     count = lambda p, s: F.count_if((F.col("o_orderpriority") == p) & (F.col("o_orderstatus") == s)).cast("string")
-    wide = orders.groupBy("o_custkey").agg(*(count(p, s).alias(f"n{i}{j}") for i, p in enumerate(PRIORITIES) for j, s in enumerate(STATUSES)))
+    wide = dealt(orders.select("o_custkey", "o_orderpriority", "o_orderstatus"), "o_custkey").groupBy("o_custkey").agg(*(count(p, s).alias(f"n{i}{j}") for i, p in enumerate(PRIORITIES) for j, s in enumerate(STATUSES)))
     head = F.array(F.lit(""), *map(F.lit, STATUSES))
     rows = (F.array(F.lit(p), *(F.col(f"n{i}{j}") for j in range(len(STATUSES)))) for i, p in enumerate(PRIORITIES))
     return wide.select(F.col("o_custkey").alias("table_id"), F.array(head, *rows).alias("grid"))

@@ -1,4 +1,4 @@
-"""Tables as rows of (table_id, grid): from CSV files, HTML, delimited texts and DataFrames."""
+"""Tables as rows of (table_id, grid): from CSV files, delimited texts and DataFrames."""
 
 from __future__ import annotations
 
@@ -40,13 +40,21 @@ def read_csv_grids(spark: SparkSession, path: str, strict: bool = True) -> DataF
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("table_id"), csv_grid(F.col("value"), strict).alias("grid"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by key to as many partitions as the session has for shuffles.
+
+    Their number stays, as tables are few bytes and much work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def grid_of_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[str], header: bool = False) -> DataFrame:
     """One table for each key: its rows in order, the given columns as texts; null is the empty text.
 
     With a header the first row holds the columns' names.
     """
     row = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    made = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, row.alias("_row")))).alias("_rows"))
+    made = dealt(df, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, row.alias("_row")))).alias("_rows"))
     grid = F.transform("_rows", lambda r: r["_row"])
     head = F.array(F.array(*map(F.lit, columns)))
     key = F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys))
