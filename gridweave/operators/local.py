@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridweave.operators import records as R
 from gridweave.operators.items import Atoms, item_arrays
-from gridweave.operators.lookups import condition_of, kinds_for, uses
+from gridweave.operators.lookups import condition_of, uses, wanted_kind
 from gridweave.plans import spec as S
 
 
@@ -34,7 +34,7 @@ def _finder(items: Column, x, atoms: list[S.Atom], ops: tuple[str, ...], carry:
         lookup = allowed.get((numbers[id(atom)], act, prov))
         if lookup is None:
             return nothing
-        _, wanted = kinds_for(atom.actions[act].op)
+        wanted = wanted_kind(lookup, atom.actions[act].op)
         kinds = [n for n, a in enumerate(atoms) if wanted is None or a.kind == wanted]
         sign = -1 if lookup.order.startswith("-") else 1
         places = ("col", "row") if lookup.order.endswith("^") else ("row", "col")

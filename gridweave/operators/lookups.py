@@ -152,6 +152,13 @@ def kinds_for(op: str) -> tuple[tuple[str, ...], str | None]:
     return (S.VAL,), S.ATTR if op == "AVP" else S.VAL
 
 
+def wanted_kind(lookup: S.Lookup, op: str) -> str | None:
+    """The kind of the items a lookup of an action may find; None for any."""
+    if lookup.kind is None:
+        return kinds_for(op)[1]
+    return None if lookup.kind == S.ANY_KIND else lookup.kind
+
+
 def uses(atoms: list[S.Atom], ops: tuple[str, ...]) -> dict[tuple[S.Lookup, str | None], dict[int, list[tuple[int, int]]]]:
     """Each lookup and candidate kind of these operations -> for each atom using it, the action and provider numbers.
 
@@ -160,7 +167,7 @@ def uses(atoms: list[S.Atom], ops: tuple[str, ...]) -> dict[tuple[S.Lookup, str
     out: dict[tuple[S.Lookup, str | None], dict[int, list[tuple[int, int]]]] = {}
     for n, atom in enumerate(atoms):
         for act, action in enumerate(atom.actions):
-            anchors, wanted = kinds_for(action.op)
+            anchors, _ = kinds_for(action.op)
             if action.op not in ops:
                 continue
             if atom.kind == S.SKIP or atom.kind not in anchors and action.inherited:
@@ -171,7 +178,7 @@ def uses(atoms: list[S.Atom], ops: tuple[str, ...]) -> dict[tuple[S.Lookup, str
                 continue
             for prov, provider in enumerate(action.providers):
                 if isinstance(provider, S.Lookup):
-                    out.setdefault((provider, wanted), {}).setdefault(n, []).append((act, prov))
+                    out.setdefault((provider, wanted_kind(provider, action.op)), {}).setdefault(n, []).append((act, prov))
     return out
 
 

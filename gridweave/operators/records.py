@@ -21,6 +21,8 @@ from gridweave.operators.items import Atoms, items
 from gridweave.operators.lookups import with_operands
 from gridweave.plans import spec as S
 
+#: The field that says what is wrong with a record, if errors don't fail the query.
+ERROR = "_error"
 _STRING_OPS = ("FILL", "PREFIX", "SUFFIX")
 _MEMBER = "struct<seq:bigint,attr:string,val:string>"
 MEMBERS = f"array<{_MEMBER}>"
@@ -29,17 +31,24 @@ JOINS = "array<struct<found:array<bigint>,drop:array<int>>>"
 
 @dataclass(frozen=True)
 class Options:
-    """How records are made: `actions_by` and `schema_by` are "row" or "column", and "record" or "position"."""
+    """How records are made: `actions_by` and `schema_by` are "row" or "column", and "record" or "position".
+
+    on_error: "raise" lets records that contradict each other (an attribute twice, anchors of
+    different names) fail the query; with "null" such a record has no fields but ERROR.
+    """
 
     actions_by: str = "row"
     schema_by: str = "record"
     template: str = "$a_%i"
+    on_error: str = "raise"
 
     def __post_init__(self):
         if "%i" not in self.template:
             raise ValueError("a template holds %i")
         if self.actions_by not in ("row", "column") or self.schema_by not in ("record", "position"):
             raise ValueError("actions_by is row or column, schema_by record or position")
+        if self.on_error not in ("raise", "null"):
+            raise ValueError("on_error is raise or null")
 
     def name(self, n: Column) -> Column:
         return F.replace(F.lit(self.template), F.lit("%i"), n.cast("string"))
@@ -272,18 +281,30 @@ def fields(records: DataFrame, options: Options) -> DataFrame:
         F.when(F.col("pos") > 0, F.when(F.col("lone") & F.col("seq").isNotNull(), options.name(F.lit(1))).otherwise(options.name(F.col("met") + 1))),
     )
     named = each.withColumn("attr", attr).where("attr is not null")
-    wrong = F.when(F.col("low") != F.col("high"), F.raise_error(F.concat(F.lit("anchors have different attributes: "), F.col("low"), F.lit(", "), F.col("high"))))
+    differ, message = F.col("low") != F.col("high"), F.concat(F.lit("anchors have different attributes: "), F.col("low"), F.lit(", "), F.col("high"))
+    if options.on_error == "null":
+        known = F.col("given") == ERROR
+        first = named.where(~F.coalesce(differ, F.lit(False)) | known | (F.col("pos") == 0))
+        named = first.withColumn("val", F.when(differ & ~F.coalesce(known, F.lit(False)), message).otherwise(F.col("val"))).withColumn("attr", F.when(differ, F.lit(ERROR)).otherwise(F.col("attr")))
+        wrong = F.lit(None)
+    else:
+        wrong = F.when(differ, F.raise_error(message))
     # Anchors come first in a schema, then attributes as they are met.
     first, second = ("rec_no", "pos") if options.schema_by == "record" else ("pos", "rec_no")
     met_at = F.when(F.col("pos") == 0, F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))).otherwise(F.struct(F.col(first).alias("a"), F.col(second).alias("b")))
     return named.select("table_id", "rec_no", "pos", "attr", F.coalesce(wrong.cast("string"), F.col("val")).alias("val"), met_at.alias("visit"))
 
 
-def checked(records: DataFrame) -> DataFrame:
+def checked(records: DataFrame, options: Options) -> DataFrame:
     """The records; one with two members of the same attribute is an error."""
     names = F.transform(F.filter("members", lambda m: m["attr"].isNotNull()), lambda m: m["attr"])
     twice = F.size(names) != F.size(F.array_distinct(names))
-    return records.withColumn("members", F.when(twice, F.raise_error(F.concat(F.lit("an attribute occurs twice in a record: "), F.array_join(names, ", "))).cast(f"array<{_MEMBER}>")).otherwise(F.col("members")))
+    message = F.concat(F.lit("an attribute occurs twice in a record: "), F.array_join(names, ", "))
+    if options.on_error == "null":
+        wrong = F.array(F.struct(F.lit(None).cast("long").alias("seq"), F.lit(ERROR).alias("attr"), message.alias("val")))
+    else:
+        wrong = F.raise_error(message)
+    return records.withColumn("members", F.when(twice, wrong.cast(MEMBERS)).otherwise(F.col("members")))
 
 
 def static_names(atoms: list[S.Atom]) -> bool:
@@ -297,8 +318,9 @@ def static_names(atoms: list[S.Atom]) -> bool:
             return False
         if first_record(atom) is not None:
             names.append(given[0].text if isinstance(given[0], S.Literal) else None)
-    literal_members = any(isinstance(p, S.Literal) for a in atoms for x in a.actions if x.op == "REC" for p in x.providers)
-    return not literal_members and None not in names and len(set(names)) <= 1
+    providers = [p for a in atoms for x in a.actions if x.op == "REC" for p in x.providers]
+    others = any(isinstance(p, S.Literal) or isinstance(p, S.Lookup) and p.kind not in (None, S.VAL) for p in providers)
+    return not others and None not in names and len(set(names)) <= 1
 
 
 #: Tables of up to so many cells are worked on as arrays, larger ones as rows.
@@ -317,11 +339,11 @@ def records(tables: DataFrame, pattern: S.Table, options: Options | None = None,
 
     options = options or Options()
     if local_cells <= 0 or not local.possible(pattern):
-        return checked(_by_rows(tables, pattern, options, table_id, grid, keep))
+        return checked(_by_rows(tables, pattern, options, table_id, grid, keep), options)
     cells = F.size(F.col(grid)) * F.coalesce(F.size(F.get(F.col(grid), F.lit(0))), F.lit(0))
     small = F.coalesce(cells <= local_cells, F.lit(True))
     own = local.records(tables.where(small), pattern, options, table_id, grid)
-    return checked(own.union(_by_rows(tables.where(~small), pattern, options, table_id, grid, keep)))
+    return checked(own.union(_by_rows(tables.where(~small), pattern, options, table_id, grid, keep)), options)
 
 
 def _by_rows(tables: DataFrame, pattern: S.Table, options: Options, table_id: str, grid: str, keep: bool) -> DataFrame:

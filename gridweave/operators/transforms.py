@@ -96,4 +96,8 @@ def applied(df: DataFrame, settings: tuple[tuple, ...], keys: tuple[str, ...] =
                 df = anchor_at(df, n, keys)
             case ("SPLIT", by):
                 df = delimited_split(df, by, keys=keys)
+            case ("FIELD", attr, pattern, names):
+                df = field_split(df, attr, pattern, list(names) if names else None, keys)
+            case ("ORDER", names):
+                df = reordered(df, list(names), keys)
     return df

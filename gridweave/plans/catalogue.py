@@ -302,3 +302,77 @@ def item_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of compound cells with the part of the text they come from."""
     grids = grid_of_rows(_read(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey"], ["p_brand"])
     return items(grids, compile_pattern("[ [VAL '#' VAL] ]")).select("table_id", "start", "end", "s", "idx")
+
+
+@_query("""select o_orderkey as table_id, o_orderkey::varchar as orderkey, o_orderstatus as next, o_orderpriority as second, o_custkey::varchar as before, o_orderstatus || '+' || o_orderpriority as range, o_orderpriority || '+' || o_custkey::varchar as rest from orders""")
+def column_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns counted from the anchor's, single and in ranges, and ranges of fixed columns."""
+    last = F.col("o_custkey").cast("string")
+    orders = _read(spark, sf_dir, "orders").select("*", last.alias("last"), F.lit("r").alias("range"), F.lit("s").alias("rest"))
+    grids = grid_of_rows(orders, ["o_orderkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_orderpriority", "last", "range", "rest"])
+    pattern = """[ [VAL : 'KEY'->AVP, (ROW&C+1, ROW&C2, ROW&#'b', ROW&C4, ROW&C5)->REC] [VAL : 'NEXT'->AVP] [VAL : 'SECOND'->AVP] [VAL #'b' : 'BEFORE'->AVP]
+        [VAL : (ROW&C1..2)*->FILL('+'), 'RANGE'->AVP] [VAL : (ROW&C-3|ROW&C-2)*->FILL('+'), 'REST'->AVP] ]"""
+    return _named(extract(grids, pattern, ["KEY", "NEXT", "SECOND", "BEFORE", "RANGE", "REST"]), "orderkey", "next", "second", "before", "range", "rest")
+
+
+@_query("""with n as (select n_regionkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as i from nation)
+    select a.n_regionkey as table_id, a.n_name as name, coalesce(b.n_name, '') as after, coalesce(c.n_name, '') as ahead, coalesce(string_agg(d.n_name, '+' order by d.i), '') as early
+    from n a left join n b on a.n_regionkey = b.n_regionkey and b.i = a.i + 1 left join n c on a.n_regionkey = c.n_regionkey and c.i = a.i - 1
+    left join n d on a.n_regionkey = d.n_regionkey and d.i between 0 and 1 and d.i <> a.i group by 1, 2, 3, 4""")
+def row_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows counted from the anchor's, and a range of fixed rows."""
+    nations = _read(spark, sf_dir, "nation").select("*", *(F.col("n_name").alias(f"n{i}") for i in range(3)))
+    grids = grid_of_rows(nations, ["n_regionkey"], ["n_nationkey"], ["n_name", "n0", "n1", "n2"])
+    found = extract(grids, "[ [VAL : RT*->REC] [VAL : (COL&R+1)->FILL] [VAL : (COL&R-1)->FILL] [VAL : (COL&R0..1)*->FILL('+')] ]+", ["$a_1", "$a_2", "$a_3", "$a_4"])
+    return _named(found, "name", "after", "ahead", "early")
+
+
+@_query("""select p_partkey as table_id, split_part(p_name, ' ', 1) as first, split_part(p_name, ' ', 2) as second,
+    split_part(p_name, ' ', 2) as following, split_part(p_name, ' ', 1) || '+' || split_part(p_name, ' ', 2) as range from part where len(string_split(p_name, ' ')) = 2""")
+def item_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a delimited text by their place: fixed, counted from another's, and a range."""
+    two = F.size(F.split("p_name", " ")) == 2
+    parts = _read(spark, sf_dir, "part").where(two).select("p_partkey", "p_name", *(F.lit("x").alias(f"x{i}") for i in range(2)))
+    grids = grid_of_rows(parts, ["p_partkey"], ["p_partkey"], ["p_name", "x0", "x1"])
+    pattern = """[ [VAL : 'FIRST'->AVP, (CL&P1, ROW&C1, ROW&C2)->REC ' ' VAL : 'SECOND'->AVP] [VAL : (LT&P1)->FILL, 'FOLLOWING'->AVP] [VAL : (ROW&C0&P0..1)*->FILL('+'), 'RANGE'->AVP] ]"""
+    return _named(extract(grids, pattern, ["FIRST", "SECOND", "FOLLOWING", "RANGE"]), "first", "second", "following", "range")
+
+
+@_query("""select p_partkey as table_id, split_part(p_brand, '#', 1) as make, split_part(p_brand, '#', 2) as number from part""")
+def next_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item one place after the anchor."""
+    grids = grid_of_rows(_read(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey"], ["p_brand"])
+    return _named(extract(grids, "[ [VAL : 'MAKE'->AVP, (CL&P+1)->REC '#' VAL : 'NUMBER'->AVP] ]", ["MAKE", "NUMBER"]), "make", "number")
+
+
+@_query("""with n as (select r_regionkey, r_name, n_name, n_nationkey, row_number() over (partition by r_regionkey order by n_nationkey) as i from region join nation on n_regionkey = r_regionkey)
+    select a.r_regionkey as table_id, a.n_name as nation, a.r_name as beside, b.n_name as below, b.n_name || '+' || b.r_name as others
+    from n a join n b on a.r_regionkey = b.r_regionkey and b.i = a.i + 1 where a.i % 2 = 1 and a.i < 5""")
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups bound to a subrow, to a column of a subtable, and to a subtable: two nations make a block."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_nationkey"))
+    nations = _read(spark, sf_dir, "nation").join(F.broadcast(_read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("i", number).where("i <= 4")
+    rows = nations.select("r_regionkey", "n_nationkey", "n_name", "r_name", F.lit("x").alias("x"))
+    grids = grid_of_rows(rows, ["r_regionkey"], ["n_nationkey"], ["n_name", "r_name", "x"])
+    pattern = """{ [ { [VAL : 'NATION'->AVP, (SR, SC, ROW&C2)->REC] [VAL : 'BESIDE'->AVP] } { [VAL : (ST&R+1)*->FILL('+'), 'OTHERS'->AVP] } ] [ { [VAL : 'BELOW'->AVP] [VAL] } { [] } ] }+"""
+    return _named(extract(grids, pattern, ["NATION", "BESIDE", "BELOW", "OTHERS"]), "nation", "beside", "below", "others")
+
+
+@_query("""select s_suppkey as table_id, lower(replace(s_name, '#', ' ')) as name, s_nationkey::varchar as nation from supplier where contains(s_name, '1') and s_nationkey < 10""")
+def item_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell that contains a text, an item by a regular expression, and a chain of extractors; NORM tidies the records."""
+    grids = grid_of_rows(_read(spark, sf_dir, "supplier").withColumn("copy", F.concat(F.lit("  "), F.col("s_nationkey").cast("string"), F.lit(" "))), ["s_suppkey"], ["s_suppkey"], ["s_name", "copy"])
+    found = extract(grids, r"""<NORM> [ [~'1' ? VAL = REPL('#', '  ').LC : (ROW&'\s*\d\s*')->REC | SKIP] [VAL] ]""", ["$a_1", "$a_2"])
+    return _named(found.where("`$a_2` is not null"), "name", "nation")
+
+
+@_query("""select c_custkey as table_id, c_name as name, c_mktsegment as segment, c_custkey::varchar as source from customer""")
+def kinds_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider of auxiliary items, and settings that only the Python vocabulary has."""
+    grids = grid_of_rows(_read(spark, sf_dir, "customer").withColumn("both", F.concat_ws("/", "c_name", "c_mktsegment")), ["c_custkey"], ["c_custkey"], ["c_custkey", "both"])
+    aux = d.ROW.of_kind("AUX")
+    pattern = d.table(d.row(d.cell(d.AUX), d.cell(d.val(d.avp("BOTH"), d.rec(aux)))))
+    pattern = pattern.with_transformations(d.field_splitting("BOTH", "/", ["NAME", "SEGMENT"]), d.schema_reordering("NAME", "SEGMENT"))
+    return _named(extract(grids, pattern, ["BOTH", "$a_2"]), "name", "segment", "source")

@@ -59,6 +59,11 @@ class Prov:
     condition: S.Condition
     most: int | None = 1
     order: str = S.ROW_MAJOR
+    kind: str | None = None
+
+    def of_kind(self, kind: str) -> Prov:
+        """Only items of this kind: S.VAL, S.ATTR, S.AUX, or S.ANY_KIND for all; otherwise the action says which."""
+        return replace(self, kind=kind)
 
     def and_(self, *others: Prov) -> Prov:
         found = self.condition
@@ -89,7 +94,7 @@ class Prov:
 
     @property
     def lookup(self) -> S.Lookup:
-        return S.Lookup(self.condition, self.most, self.order)
+        return S.Lookup(self.condition, self.most, self.order, self.kind)
 
 
 def _prov(term: S.Term) -> Prov:
@@ -188,6 +193,19 @@ def _providers(given: tuple) -> tuple[S.Provider, ...]:
     return tuple(p.lookup if isinstance(p, Prov) else S.Literal(p) if isinstance(p, str) else p for p in given)
 
 
+# -- settings without a text form
+
+
+def field_splitting(attr: str, pattern: str, names: list[str] | None = None) -> tuple:
+    """A setting: one field split by a regular expression."""
+    return "FIELD", attr, pattern, tuple(names) if names else None
+
+
+def schema_reordering(*names: str) -> tuple:
+    """A setting: these fields first."""
+    return "ORDER", names
+
+
 # -- actions
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 VAL, ATTR, AUX, SKIP = "VAL", "ATTR", "AUX", "SKIP"
+ANY_KIND = "ANY"
 UNBOUNDED = None
 #: The upper number of a range without an end.
 NO_END = 1 << 31
@@ -103,6 +104,12 @@ class Lookup:
     condition: Condition
     most: int | None = 1
     order: str = ROW_MAJOR
+    #: VAL, ATTR, AUX, ANY_KIND, or None for what its action asks for.
+    kind: str | None = None
+
+    def __post_init__(self):
+        if self.kind not in (None, VAL, ATTR, AUX, ANY_KIND):
+            raise PatternError(f"no kind of item: {self.kind}")
 
 
 @dataclass(frozen=True)
@@ -213,12 +220,20 @@ class Subtable:
 
 @dataclass(frozen=True)
 class Table:
-    """settings: ("NORM",), ("ANCH", n), ("SPLIT", s) in order, applied to the finished records."""
+    """settings, in order, are applied to the finished records: ("NORM",), ("ANCH", n), ("SPLIT", s),
+    and, without a text form, ("FIELD", attribute, regex, names or None) and ("ORDER", names)."""
 
     subtables: tuple[Subtable, ...]
     guard: Test | None = None
     settings: tuple[tuple, ...] = ()
 
+    def with_transformations(self, *settings: tuple) -> Table:
+        """The pattern with these settings in place of its own."""
+        for s in settings:
+            if not s or s[0] not in ("NORM", "ANCH", "SPLIT", "FIELD", "ORDER"):
+                raise PatternError(f"no setting: {s!r}")
+        return replace(self, settings=settings)
+
 
 def atoms_of(content: Content | None) -> list[Atom]:
     """The atoms of a content, left to right."""

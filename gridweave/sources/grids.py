@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ def _lenient(text: str | None) -> list[list[str]] | None:
 
 def csv_grid(text: Column, strict: bool = True) -> Column:
     """The grid of a CSV text; a text that isn't a table fails, or is null if not strict."""
-    return F.udf(parse_csv if strict else _lenient, GRID, useArrow=True)(text)
+    parse = parse_csv if strict else _lenient
+    return F.arrow_udf(lambda texts: pa.array((parse(x.as_py()) for x in texts), pa.list_(pa.list_(pa.string()))), GRID)(text)
 
 
 def read_csv_grids(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -40,6 +42,17 @@ def read_csv_grids(spark: SparkSession, path: str, strict: bool = True) -> DataF
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("table_id"), csv_grid(F.col("value"), strict).alias("grid"))
 
 
+def read_csv_records(spark: SparkSession, path: str, schema: list[str] | None = None) -> DataFrame:
+    """Records from CSV files, all of one schema: given, or from the first row of each.  What a short row lacks is empty."""
+    read = spark.read.options(multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE")
+    if schema is not None:
+        found = read.schema(", ".join(f"c{i} string" for i in range(len(schema)))).csv(path)
+    else:
+        found = read.option("header", True).csv(path)
+        schema = [c.strip() for c in found.columns]
+    return found.fillna("").toDF(*schema)
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """The rows dealt by key to as many partitions as the session has for shuffles.
 
