@@ -238,7 +238,17 @@ class Tokenizer:
                     ["n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-        self._encode, self._decode, self._round_trip = encode, decode, round_trip
+        @F.arrow_udf("struct<ids:binary,same:boolean>")
+        def checked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = codec()
+            for texts in batches:
+                ids, same = [], []
+                for text in strings(texts):
+                    ids.append(own.encode(text or ""))
+                    same.append(own.decode(ids[-1]) == (text or "").encode())
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], ["ids", "same"])
+
+        self._encode, self._decode, self._round_trip, self._checked = encode, decode, round_trip, checked
 
     def encode(self, text: Column | str) -> Column:
         """The ids, packed as little-endian unsigned 32-bit integers."""
@@ -248,6 +258,10 @@ class Tokenizer:
         """The bytes that packed ids stand for."""
         return self._decode(packed)
 
+    def checked(self, text: Column | str) -> Column:
+        """Struct of the packed ids and whether they decode to the text's bytes: both in one Python worker."""
+        return self._checked(text)
+
     def round_trip(self, text: Column | str) -> Column:
         """Struct of the number of tokens and digests of the ids and of the bytes decoded from them."""
         return self._round_trip(text)
@@ -258,6 +272,12 @@ def token_digests(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id",
     return ids_and_text(docs, id_col, text_col).select("doc_id", tokenizer.round_trip("text").alias("r")).select("doc_id", "r.*")
 
 
-def tokenize(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
-    """The documents with their packed ids and number of tokens; columns of these names are replaced."""
-    return docs.withColumn(ids, tokenizer.encode(F.col(f"`{text_col}`"))).withColumn(count, (F.octet_length(ids) / 4).cast("long"))
+def tokenize(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ids: str = "token_ids", count: str = "n_tokens", same: str | None = None) -> DataFrame:
+    """The documents with their packed ids and number of tokens, and, if `same` names a column
+    for it, whether these decode to the text; columns of these names are replaced."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col(f"`{text_col}`").alias("text"))
+    made = rows.select("r", (tokenizer.encode("text") if same is None else tokenizer.checked("text")).alias("made"))
+    packed = F.col("made") if same is None else F.col("made.ids")
+    added = {ids: packed, count: (F.octet_length(packed) / 4).cast("long")} | ({} if same is None else {same: F.col("made.same")})
+    kept = [F.col("r").getField(c).alias(c) for c in docs.columns if c not in added]
+    return made.select(*kept, *(c.alias(n) for n, c in added.items()))
