@@ -38,7 +38,7 @@ from gridweave.llm.common import cut, sized
 
 REVISIT_BYTES = 100
 RECORDS_A_FILE = 2000
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES = 16 << 20
 #: About how many rows a key range has, unless there would be more than MAX_RANGES.
 RANGE_ROWS = 2000
 MAX_RANGES = 1 << 14
