@@ -324,7 +324,7 @@ def static_names(atoms: list[S.Atom]) -> bool:
 
 
 #: Tables of up to so many cells are worked on as arrays, larger ones as rows.
-LOCAL_CELLS = 100
+LOCAL_CELLS = 64
 
 
 def records(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
