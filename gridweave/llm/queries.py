@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import bpe, chunks, decontam, langid, ring, secrets, simhash, sketch, toxicity, warc
+from gridweave.llm import align, bpe, chunks, decontam, langid, mixing, negatives, ring, secrets, simhash, sketch, toxicity, warc
 from gridweave.llm.common import cut, scratch, table, train_share
 
 SHARDS = 40
@@ -82,6 +82,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pair = align.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.alignment_digests(table(spark, sf_dir, "documents"), pair)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_simhash, op3_ring, op4_langid, op5_chunks, op6_sketch, op7_decontam, op8_toxicity, op9_bpe, op10_secrets, pipeline)
+    f.__name__: f for f in (op1_warc, op2_simhash, op3_ring, op4_langid, op5_chunks, op6_sketch, op7_decontam, op8_toxicity, op9_bpe, op10_secrets, op11_negatives, op12_mixing, op13_align, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +130,17 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
                sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from word left join covered using (doc_id) left join items using (doc_id)""",
+    "op11_negatives": """
+        with e as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                          [floor(256 * x::double) for x in embedding] as v
+                   from embeddings where vec_id is not null and label is not null and embedding is not null
+                   and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+        pair as (select a.r, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+                 from e a join e b on a.r <> b.r where a.vec_id % 100 = 0),
+        pos as (select *, row_number() over (partition by r order by score desc, vec_id) as w from pair where same qualify w <= 5)
+        select pos.anchor_id, pos.vec_id as positive_id,
+               row_number() over (partition by pos.r, pos.w order by neg.score desc, neg.vec_id)::int as rank, neg.vec_id as negative_id,
+               pos.score as positive_score, neg.score as negative_score
+        from pos join pair neg on pos.r = neg.r and not neg.same and 80 * pos.score <= 100 * neg.score and neg.score <= pos.score
+        qualify rank <= 5""",
 }
