@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.operators import transforms
 from gridweave.operators.items import Atoms
-from gridweave.operators.records import ERROR, LOCAL_CELLS, Options, fields, records, static_names
+from gridweave.operators.records import ERROR, LOCAL_CELLS, Options, fields, identified, named_again, records_of, static_names
 from gridweave.plans import spec as S
 from gridweave.plans.rtl import Bindings, compile_pattern
 
@@ -50,20 +50,22 @@ def extract(
 ) -> DataFrame:
     """The records of all tables that match: table_id, rec_no and a string column for each attribute.
 
-    tables has a row for each table: an id and the grid, array<array<string>>.  With a
+    tables has a row for each table: an id and the grid, array<array<string>>.  Rows whose
+    ids are null or repeated are tables of their own, each with records from 0 on.  With a
     schema nothing runs before the result is used; without, one job finds the attributes.
     Tables that don't match give no records.  If no table gives any, the only attribute is
     the template's first.  With options of on_error="null" the last column is _error.
     """
     options = options or Options()
     pattern = compile_pattern(pattern, bindings) if isinstance(pattern, str) else pattern
-    found = records(tables, pattern, options, table_id, grid, keep, local_cells)
+    found = records_of(identified(tables, table_id, grid), pattern, options, keep, local_cells)
     if schema is None:
         found = found.persist() if keep else found
         schema = attributes(fields(found, options)) or [options.template.replace("%i", "1")]
     if options.on_error == "null":
         schema = [*(a for a in schema if a != ERROR), ERROR]
     out = wide_members(found, schema) if static_names(Atoms(pattern).atoms) else wide(fields(found, options), schema)
+    out = named_again(out)
     if missing:
         out = transforms.with_missing(out, missing)
     return transforms.applied(out, pattern.settings)

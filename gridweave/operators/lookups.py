@@ -1,15 +1,25 @@
 """Providers: for each item with actions, the items its lookups find.
 
 Every lookup stays within a table.  In tables of up to some cells it is an expression on the
-array of the table's items (module `local`).  In larger ones a lookup of one item left,
-right, above or below is a running minimum or maximum along each line, any other a self-join
-of the items: terms on rows, columns, subrows, subtables, offsets and equal strings become
+array of the table's items (module `local`).  In larger ones most lookups look along a line
+of items: a row, a column, a subtable, a cell, the whole table, or the items of one string
+in these; what else they ask of an item its own string, tags and place tell.  Of such
+
+- one item to one side is a running minimum or maximum along the line (`nearest`);
+- a few items are bounded lists carried along the line: the first so many of it that lie
+  before an item, and the next so many behind it (`few`);
+- all items, or many, are a list for each line, collected once and shared by its items,
+  each of which takes its part (`shared_lines`).
+
+No pairs of items are made for these.  Others (alternatives, offsets, tests of two items)
+are self-joins: terms on rows, columns, subrows, subtables, offsets and equal strings become
 equi-join keys when all branches of the condition share them; the rest is the join's
-condition.  Limits are ranks in the lookup's order.
+condition, and limits are ranks in the lookup's order.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -182,41 +192,170 @@ def uses(atoms: list[S.Atom], ops: tuple[str, ...]) -> dict[tuple[S.Lookup, str
     return out
 
 
-def operands(items: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame | None:
-    """(table_id, seq, ops): for each item that finds others, what the providers of these operations found, in order.
+@dataclass(frozen=True)
+class Scope:
+    """A line of items that a lookup looks along, and what it asks of an item on it.
 
-    An entry has the numbers of action and provider, its place in the order, and the columns
-    to carry.  None if the operations have no lookups.
+    same: columns that an anchor and its candidates have in common.  before, after: whether
+    candidates may lie before and after the anchor in table order; by_item: by their place
+    in the order of items, else in another cell.
     """
-    found = []
-    for (lookup, wanted), by_atom in uses(atoms, ops).items():
-        places = [(n, F.array(*(F.struct(F.lit(a).alias("act"), F.lit(p).alias("prov")) for a, p in at))) for n, at in by_atom.items()]
-        serves = reduce(lambda x, kv: x.when(F.col("atom") == kv[0], kv[1]), places[1:], F.when(F.col("atom") == places[0][0], places[0][1]))
-        if one_on_a_line(lookup):
-            best = nearest(items, lookup, wanted, carry).where(F.col("atom").isin(list(by_atom)) & F.col("best").isNotNull())
-            at = [F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.lit(0).cast("long").alias("o4")]
-            found.append(best.select("table_id", F.col("seq").alias("anchor"), *at, F.col("best.found").alias("found"), F.inline(serves)))
-            continue
-        anchors = items.where(F.col("atom").isin(list(by_atom)))
-        anchors = anchors.select(*(F.col(c).alias(ANCHOR + c) for c in ("table_id", "seq", "atom", "row", "col", "subtable", "subrow", "idx", "s", "kind", "tags")))
-        candidates = items if wanted is None else items.where(F.col("kind") == wanted)
-        pairs = candidates.join(anchors, join_condition(lookup.condition)).select(
-            F.col(ANCHOR + "table_id").alias("table_id"), F.col(ANCHOR + "seq").alias("anchor"), F.col(ANCHOR + "atom").alias("atom"), *_order(lookup), F.col("idx").alias("o3"), F.col("seq").alias("o4"), F.struct(*carry).alias("found")
-        )
-        if lookup.most is not None:
-            order = Window.partitionBy("table_id", "anchor").orderBy("o1", "o2", "o3", "o4")
-            pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= lookup.most)
-        found.append(pairs.select("table_id", "anchor", "o1", "o2", "o3", "o4", "found", F.inline(serves)))
-    if not found:
-        return None
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("table_id", F.col("anchor").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("act", "prov", "o1", "o2", "o3", "o4", "found"))).alias("ops"))
+
+    same: tuple[str, ...]
+    before: bool
+    after: bool
+    by_item: bool
+    tests: tuple[S.Term, ...]
+
+
+_LINES = {
+    "LT": (("row", "subrow"), True, False), "RT": (("row", "subrow"), False, True), "SR": (("row", "subrow"), True, True),
+    "AV": (("subtable", "col"), True, False), "BW": (("subtable", "col"), False, True), "SC": (("subtable", "col"), True, True),
+    "ROW": (("row",), True, True), "COL": (("col",), True, True), "ST": (("subtable",), True, True), "NCL": ((), True, True),
+}
 
 
-def with_operands(items: DataFrame, anchors: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
-    """The anchors with a column `ops`, null where nothing was found."""
-    found = operands(items, atoms, ops, carry)
-    if found is None:
-        entry = F.struct(*(F.lit(0).alias(c) for c in ("act", "prov", "o1", "o2", "o3", "o4")), F.struct(*carry).alias("found"))
-        return anchors.withColumn("ops", F.when(F.lit(False), F.array(entry)))
-    return anchors.join(found, ["table_id", "seq"], "left")
+def scope_of(lookup: S.Lookup) -> Scope | None:
+    """The line a lookup looks along; None if it can't be said of a candidate alone whether it is on it and fits."""
+    if len(lookup.condition) != 1:
+        return None
+    terms = lookup.condition[0]
+    lines = [t.name for t in terms if isinstance(t, S.Spatial)]
+    tests = tuple(t for t in terms if isinstance(t, S.Test) or isinstance(t, S.Place) and not t.relative)
+    strings = any(isinstance(t, S.SameText) for t in terms)
+    if len(lines) > 1 or len(lines) + len(tests) + sum(isinstance(t, S.SameText) for t in terms) < len(terms):
+        return None
+    line = lines[0] if lines else None
+    own = ("s",) if strings else ()
+    if line in (None, "CL"):
+        return Scope((("row", "col") if line else ()) + own, True, True, True, tests)
+    same, before, after = _LINES[line]
+    return Scope(same + own, before, after, False, tests)
+
+
+#: Up to this many items a lookup's finds are carried along the line.
+FEW = 64
+
+
+def _fits(scope: Scope, wanted: str | None) -> Column:
+    """Whether an item can be found at all, wherever the anchor is."""
+    asked = [r for t in scope.tests if (r := _rest(t, F.col, F.col)) is not None] + ([F.col("kind") == wanted] if wanted else [])
+    return F.coalesce(reduce(Column.__and__, asked, F.lit(True)), F.lit(False))
+
+
+def _cell_number(lookup: S.Lookup) -> Column:
+    """The place of an item's cell in the lookup's order."""
+    first, second = ("col", "row") if lookup.order.endswith("^") else ("row", "col")
+    number = F.col(first).cast("long") * (1 << 32) + F.col(second)
+    return -number if lookup.order.startswith("-") else number
+
+
+def _sides(lookup: S.Lookup, scope: Scope) -> tuple[bool, bool]:
+    """Whether candidates may come earlier and later than the anchor in the lookup's order."""
+    return (scope.after, scope.before) if lookup.order.startswith("-") else (scope.before, scope.after)
+
+
+def _entry(carry: tuple[str, ...]) -> Column:
+    return F.struct("cell_no", "idx", "seq", F.struct(*carry).alias("found"))
+
+
+def few(items: DataFrame, lookup: S.Lookup, scope: Scope, wanted: str | None, carry: tuple[str, ...], name: str) -> DataFrame:
+    """The items with what a lookup of up to FEW items finds, by lists of that length carried along each line."""
+    line = ["table_id", *scope.same]
+    order = [F.col("cell_no"), F.col("idx"), F.col("seq")]
+    back = [c.desc() for c in order]
+    out = items.withColumn("cell_no", _cell_number(lookup)).withColumn("fits", _fits(scope, wanted))
+    by_item = scope.by_item
+    whole = lambda w, o: w.orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) if by_item else w.orderBy(o[0]).rangeBetween(Window.unboundedPreceding, -1)
+    fitting = Window.partitionBy(*line, "fits").orderBy(*order)
+    earlier, later = _sides(lookup, scope)
+    parts = []
+    if earlier:
+        # The line's first fitting items, of which those before the anchor count.
+        out = out.withColumn("head", F.when(F.col("fits") & (F.row_number().over(fitting) <= lookup.most), _entry(carry)))
+        parts.append(F.array_sort(F.collect_list("head").over(whole(Window.partitionBy(*line), order))))
+    if later:
+        # Each fitting item with the next ones; the first one behind the anchor has them all.
+        following = F.collect_list(_entry(carry)).over(fitting.rowsBetween(0, lookup.most - 1))
+        out = out.withColumn("tail", F.when(F.col("fits"), F.struct("cell_no", "idx", "seq", following.alias("next"))))
+        parts.append(F.coalesce(F.min("tail").over(whole(Window.partitionBy(*line), back))["next"], F.array().cast(_entries_type(items, carry))))
+    found = F.slice(F.concat(*parts), 1, lookup.most)
+    return out.withColumn(name, F.transform(found, lambda e: e["found"])).drop("cell_no", "fits", "head", "tail")
+
+
+def _entries_type(items: DataFrame, carry: tuple[str, ...]) -> str:
+    kinds = ",".join(f"{c}:{items.schema[c].dataType.simpleString()}" for c in carry)
+    return f"array<struct<cell_no:bigint,idx:int,seq:bigint,found:struct<{kinds}>>>"
+
+
+def shared_lines(items: DataFrame, lookup: S.Lookup, scope: Scope, wanted: str | None, carry: tuple[str, ...], name: str, atoms: list[int]) -> DataFrame:
+    """The items with what an unlimited lookup finds: a list for each line, collected once; each anchor takes its part."""
+    line = ["table_id", *scope.same]
+    placed = items.withColumn("cell_no", _cell_number(lookup))
+    lists = placed.where(_fits(scope, wanted)).groupBy(*(F.col(c).alias(f"line_{c}") for c in line)).agg(F.array_sort(F.collect_list(_entry(carry))).alias("line"))
+    on = reduce(Column.__and__, [F.col(c) == F.col(f"line_{c}") for c in line])
+    met = placed.join(lists, on & F.col("atom").isin(atoms), "left")
+    if scope.by_item:
+        own = F.filter("line", lambda e: e["seq"] != F.col("seq"))
+    else:
+        earlier, later = _sides(lookup, scope)
+        here = F.col("cell_no")
+        own = F.filter("line", lambda e: (e["cell_no"] != here) if earlier and later else (e["cell_no"] < here) if earlier else (e["cell_no"] > here))
+    found = F.transform(own if lookup.most is None else F.slice(own, 1, lookup.most), lambda e: e["found"])
+    return met.withColumn(name, found).drop("cell_no", "line", *(f"line_{c}" for c in line))
+
+
+def paired(items: DataFrame, lookup: S.Lookup, wanted: str | None, carry: tuple[str, ...], name: str, atoms: list[int]) -> DataFrame:
+    """The items with what any lookup finds, by a self-join."""
+    anchors = items.where(F.col("atom").isin(atoms))
+    anchors = anchors.select(*(F.col(c).alias(ANCHOR + c) for c in ("table_id", "seq", "row", "col", "subtable", "subrow", "idx", "s", "kind", "tags")))
+    candidates = items if wanted is None else items.where(F.col("kind") == wanted)
+    pairs = candidates.join(anchors, join_condition(lookup.condition)).select(
+        F.col(ANCHOR + "table_id").alias("table_id"), F.col(ANCHOR + "seq").alias("anchor"), *_order(lookup), F.col("idx").alias("o3"), F.col("seq").alias("o4"), F.struct(*carry).alias("found")
+    )
+    if lookup.most is not None:
+        order = Window.partitionBy("table_id", "anchor").orderBy("o1", "o2", "o3", "o4")
+        pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= lookup.most)
+    entries = F.sort_array(F.collect_list(F.struct("o1", "o2", "o3", "o4", "found")))
+    grouped = pairs.groupBy("table_id", F.col("anchor").alias("seq")).agg(F.transform(entries, lambda e: e["found"]).alias(name))
+    return items.join(grouped, ["table_id", "seq"], "left")
+
+
+def looked_up(items: DataFrame, lookup: S.Lookup, wanted: str | None, carry: tuple[str, ...], name: str, atoms: list[int]) -> DataFrame:
+    """The items with a column of what the lookup finds for those of some atoms, in order; null or empty for nothing."""
+    if one_on_a_line(lookup):
+        best = F.col("best.found")
+        return nearest(items, lookup, wanted, carry).withColumn(name, F.when(F.col("best").isNotNull(), F.array(best))).drop("best")
+    scope = scope_of(lookup)
+    if scope is None:
+        return paired(items, lookup, wanted, carry, name, atoms)
+    if lookup.most is not None and lookup.most <= FEW:
+        return few(items, lookup, scope, wanted, carry, name)
+    return shared_lines(items, lookup, scope, wanted, carry, name, atoms)
+
+
+def _served(name: str, act: int, prov: int) -> Column:
+    """What a lookup found, as entries of one provider."""
+    return F.transform(name, lambda f: F.struct(F.lit(act).alias("act"), F.lit(prov).alias("prov"), f.alias("found")))
+
+
+def with_operands(items: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], carry: tuple[str, ...], only: Column | None = None) -> DataFrame:
+    """The items (`only` some of them) with a column `ops` of what the providers of these operations found.
+
+    An entry has the numbers of action and provider and the columns to carry; entries of one
+    provider are in its order.
+    """
+    parts: dict[int, list[Column]] = {}
+    names = []
+    for i, ((lookup, wanted), by_atom) in enumerate(uses(atoms, ops).items()):
+        names.append(name := f"found_{i}")
+        items = looked_up(items, lookup, wanted, carry, name, list(by_atom))
+        for n, at in by_atom.items():
+            parts.setdefault(n, []).extend(_served(name, act, prov) for act, prov in at)
+    if only is not None:
+        items = items.where(only)
+    kinds = ",".join(f"{c}:{items.schema[c].dataType.simpleString()}" for c in carry)
+    kind = f"array<struct<act:int,prov:int,found:struct<{kinds}>>>"
+    each = [(n, F.concat(*(F.coalesce(p.cast(kind), F.array().cast(kind)) for p in own))) for n, own in parts.items()]
+    found = reduce(lambda a, ne: a.when(F.col("atom") == ne[0], ne[1]), each[1:], F.when(F.col("atom") == each[0][0], each[0][1])) if each else F.lit(None).cast(kind)
+    return items.withColumn("ops", found).drop(*names)

@@ -118,13 +118,13 @@ def valued(found: DataFrame, atoms: list[S.Atom]) -> DataFrame:
     if not has_strings(atoms):
         return found.withColumn("val", F.col("s"))
     value = by_atom(atoms, lambda a: value_of(a, F.col, _in_ops), F.col("s"))
-    return with_operands(found, found, atoms, _STRING_OPS, ("s",)).withColumn("val", value).drop("ops")
+    return with_operands(found, atoms, _STRING_OPS, ("s",)).withColumn("val", value).drop("ops")
 
 
 def attributed(values: DataFrame, atoms: list[S.Atom]) -> DataFrame:
     """The items with `attr`."""
     if has_found_attributes(atoms):
-        values = with_operands(values, values, atoms, ("AVP",), ("val",))
+        values = with_operands(values, atoms, ("AVP",), ("val",))
     return values.withColumn("attr", by_atom(atoms, lambda a: attribute_of(a, _in_ops), F.lit(None).cast("string"))).drop("ops")
 
 
@@ -198,9 +198,8 @@ def made(named: DataFrame, atoms: list[S.Atom], options: Options, join: S.Action
     """
     literals = literals_of(atoms)
     has = [n for n, a in enumerate(atoms) if first_record(a) is not None]
-    anchors = named.where(F.col("atom").isin(has)) if has else named.where("false")
     places = ("row", "col") if options.actions_by == "row" else ("col", "row")
-    full = with_operands(named, anchors, atoms, ("REC",) if join else ("REC", "JOIN"), ("seq", "attr", "val"))
+    full = with_operands(named, atoms, ("REC",) if join else ("REC", "JOIN"), ("seq", "attr", "val"), F.col("atom").isin(has) if has else F.lit(False))
     members = by_atom(atoms, lambda a: members_of(a, F.col, _in_ops, literals), F.array().cast(MEMBERS))
     rest = ["subtable", "col", "s"] if join else [by_atom(atoms, lambda a: joins_of(a, _in_ops), F.array().cast(JOINS)).alias("joins")]
     return full.select("table_id", F.col(places[0]).alias("o1"), F.col(places[1]).alias("o2"), "seq", members.alias("members"), *rest)
@@ -327,17 +326,38 @@ def static_names(atoms: list[S.Atom]) -> bool:
 LOCAL_CELLS = 64
 
 
+def identified(tables: DataFrame, table_id: str, grid: str) -> DataFrame:
+    """(table_id, grid) of each input row, table_id a struct of the row's id and a number that no other row has.
+
+    Lookups, joins and windows go by both, so rows whose ids are null or equal are tables of
+    their own.  The number comes from the row's place in its input partition.
+    """
+    key = F.struct(F.col(f"`{table_id}`").alias("id"), F.monotonically_increasing_id().alias("row"))
+    return tables.select(key.alias("table_id"), F.col(f"`{grid}`").alias("grid"))
+
+
+def named_again(df: DataFrame) -> DataFrame:
+    """The rows with the tables' ids as they were given."""
+    return df.withColumn("table_id", F.col("table_id.id"))
+
+
 def records(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """(table_id, rec_no, members) of all matching tables; members not named by the pattern have no attribute yet.
 
     A table of up to `local_cells` cells stays one row: its items and records are arrays, and
     nothing is shuffled.  The items of larger tables become rows, which lookups join.  Both
     give the same; 0 has all tables done as rows.  keep: the items are persisted where
-    several joins read them.
+    several joins read them.  Every input row is a table, whatever its id.
     """
+    return named_again(records_of(identified(tables, table_id, grid), pattern, options, keep, local_cells))
+
+
+def records_of(tables: DataFrame, pattern: S.Table, options: Options | None = None, keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """What `records` gives for tables (table_id, grid) of different ids."""
     from gridweave.operators import local
 
     options = options or Options()
+    table_id, grid = "table_id", "grid"
     if local_cells <= 0 or not local.possible(pattern):
         return checked(_by_rows(tables, pattern, options, table_id, grid, keep), options)
     cells = F.size(F.col(grid)) * F.coalesce(F.size(F.get(F.col(grid), F.lit(0))), F.lit(0))
@@ -362,4 +382,4 @@ def _by_rows(tables: DataFrame, pattern: S.Table, options: Options, table_id: st
 
 def record_fields(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """The records of all matching tables in long form: (table_id, rec_no, pos, attr, val, visit)."""
-    return fields(records(tables, pattern, options, table_id, grid, keep, local_cells), options or Options())
+    return named_again(fields(records_of(identified(tables, table_id, grid), pattern, options, keep, local_cells), options or Options()))
