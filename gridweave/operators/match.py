@@ -1,10 +1,11 @@
 """Matching: which cell of a table is which cell of the pattern.
 
-Tests of cells are evaluated once per cell as Columns and packed into one number; a small
-matcher per table works on these numbers only.  Elements are matched greedily and for good:
-an element that matched is never entered again, only the number of repetitions of an element
-that isn't the last of its list is lowered, one by one.  A repetition of nothing ends the
-repetition.
+Tests of cells are evaluated once per cell as Columns and packed into one number.  Elements
+are matched greedily and for good: an element that matched is never entered again, only the
+number of repetitions of an element that isn't the last of its list is lowered, one by one.
+A repetition of nothing ends the repetition.  Patterns that are regular are matched in the
+JVM by regular expressions (module `rowmatch`); for others a small matcher per table works
+on the numbers, and on texts only where a test calls Python.
 
 Null cells count as empty strings; ragged tables, empty tables and null grids don't match.
 """
@@ -19,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import text as T
+from gridweave.operators.rowmatch import CELLS, Automaton
 from gridweave.plans import spec as S
 
-CELLS = "array<struct<row:int,col:int,leaf:int,subtable:int,subrow:int>>"
 _CELL = pa.struct([(k, pa.int32()) for k in ("row", "col", "leaf", "subtable", "subrow")])
 MAX_TESTS = 62
 
@@ -179,23 +180,33 @@ def _matcher(shape: Shape, calls):
     tests = Shape.__new__(Shape)
     tests.guard, tests.subtables = shape.guard, shape.subtables
 
-    def matched(numbers: pa.Array, grids: pa.Array) -> pa.Array:
+    def numbered(numbers: pa.Array) -> pa.Array:
+        return pa.array((match_grid(tests, grid) if grid else None for grid in numbers.to_pylist()), pa.list_(_CELL))
+
+    def called(numbers: pa.Array, grids: pa.Array) -> pa.Array:
         out = []
-        texts = grids.to_pylist() if calls else [None] * len(grids)
-        for grid, text in zip(numbers.to_pylist(), texts, strict=True):
-            if grid and calls:
+        for grid, text in zip(numbers.to_pylist(), grids.to_pylist(), strict=True):
+            if grid:
                 grid = [[x | sum(bit for bit, call, negated in calls if bool(call(t or "")) != negated) for x, t in zip(a, b, strict=True)] for a, b in zip(grid, text, strict=True)]
             out.append(match_grid(tests, grid) if grid else None)
         return pa.array(out, pa.list_(_CELL))
 
-    return F.arrow_udf(matched, CELLS)
+    if not calls:
+        return lambda numbers, grid: F.arrow_udf(numbered, CELLS)(numbers)
+    return F.arrow_udf(called, CELLS)
+
 
+def match(tables: DataFrame, pattern: S.Table, grid: str = "grid", in_python: bool = False) -> DataFrame:
+    """The tables with a column `cells`: the cells that have content and where in the pattern they are; null for tables that don't match.
 
-def match(tables: DataFrame, pattern: S.Table, grid: str = "grid") -> DataFrame:
-    """The tables with a column `cells`: the cells that have content and where in the pattern they are; null for tables that don't match."""
+    in_python: match regular patterns there, too.
+    """
     shape = Shape(pattern)
-    cells = _matcher(shape, shape.calls)
-    out = tables.withColumn("cells", cells(shape.numbers(F.col(grid)), F.col(grid)))
+    automaton = Automaton(shape)
+    if automaton.possible and not in_python:
+        out = tables.withColumn("cells", automaton.cells(F.col(grid)))
+    else:
+        out = tables.withColumn("cells", _matcher(shape, shape.calls)(shape.numbers(F.col(grid)), F.col(grid)))
     required = [(k, leaf) for k, leaf in enumerate(shape.leaves) if isinstance(leaf, S.Compound)]
     if required:
         # A text without one of its delimiters fails the whole table.
