@@ -12,11 +12,13 @@ Strings may be triple-quoted or go over several lines; what such a string holds
 too.  Values have any length: the end of an unquoted run is found once for all targets in
 it, and values that end together are scored together, which keeps lexing linear.
 
-Texts are screened as bytes: without `=` or `:` there is nothing to lex, and a run of
+Texts are screened as bytes: without `=`, `:` or `</` there is nothing to lex, and a run of
 hexadecimal digits or an access key id is found before any pattern runs.
 
 Defined cases: null counts as empty; empty texts have no spans.  Spans are code points,
-end exclusive, ordered by start, then by kind as listed.
+end exclusive, ordered by start, then by kind as listed.  Each row is scanned by itself:
+repeated rows have equal spans, null and repeated ids don't matter, an empty table gives an
+empty result, and a very long text takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -59,12 +61,12 @@ _PLACEHOLDER = re.compile(r"(?i)(x{4,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|
 _LONG = re.compile(r"(?i)your[_-]")
 _X = re.compile(r"(?i)x{4,}|\*{3,}")
 _TARGET = re.compile(
-    r"""(?<![\w$.-])(?P<quote>["'`]?)(?P<name>[A-Za-z_$][\w$.-]*+)(?P=quote)[ \t]*+"""
+    r"""(?<![\w$.-])(?P<quote>["'`]?)(?P<name>[A-Za-z_$][\w$.-]*+)(?P=quote)(?:[ \t]*+[\]}])?[ \t]*+"""
     r"""(?::[ \t]*+(?P<type>[A-Za-z_][\w.<>\[\], \t]*+)(?==))?(?P<op>:=|=>|=(?!=)|:(?![:/]))[ \t]*+""",
     re.A,
 )
 _TERM = re.compile(
-    r"""(?:\"{3}(?P<double3>(?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}(?P<single3>(?:[^'\\]|\\.|'(?!''))*+)'{3}|`(?P<tick>[^`]*+)`"""
+    r"""(?:[A-Za-z@$]{1,2}+(?=["'`]))?(?:\"{3}(?P<double3>(?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}(?P<single3>(?:[^'\\]|\\.|'(?!''))*+)'{3}|`(?P<tick>[^`]*+)`"""
     r"""|"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'"""
     r"""|"(?P<key2>-----BEGIN [^"]*+)"|'(?P<key1>-----BEGIN [^']*+)')""",
     re.S,
@@ -73,6 +75,18 @@ _BARE = re.compile(r'''[^\s"'`,;(){}\[\]<>]++''')
 _PROSE = re.compile(r"[\w>\]][ \t]++\w")
 _PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
+#: Within brackets: what opens more of them, what parts and joins values, what closes.
+_OPEN, _NEXT, _CLOSE = re.compile(r"(?:[(\[]\s*+)++"), re.compile(r"\s*+[,+]\s*+(?:[(\[]\s*+)*+|\s++(?=[\"'`])"), re.compile(r"(?:\s*+[)\]])++")
+_CALL = re.compile(r"\(\s*+(?:[(\[]\s*+)*+")
+_KEYWORD = re.compile(r"(?:new|await)[ \t]++(?=[\w$])")
+#: Calls whose first argument is the name of what they give.
+_KEYED = re.compile(r"(?:^|[._])(?:get|getenv|getproperty|getstring|environ|env|fetch|lookup|setdefault|pop|var|dig|require|config)$", re.I)
+_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]{0,100}+)(?:\s[^<>]{0,200}+)?>(?P<value>[^<>\s]{6,}+)</(?P=name)>", re.A)
+_ATTRIBUTES = re.compile(
+    r"""(?<![\w.-])["']?(?:key|name|id|var|variable|setting|property)["']?\s{0,20}+[=:]\s{0,20}+(?P<q>["'])(?P<name>[\w.$-]{1,200}+)(?P=q)"""
+    r"""\s{0,20}+,?\s{0,20}+["']?(?:value|val|content|default)["']?\s{0,20}+[=:]\s{0,20}+(?=["'])""",
+    re.I | re.A,
+)
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*", re.A)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -121,11 +135,16 @@ def lex(text: str) -> list[Pair]:
     run = (0, 0)
     while m := _TARGET.search(text, at):
         literals, names, end = [], [], m.end()
-        inside = None
+        inside, depth, keyed = None, 0, False
+        if opened := _OPEN.match(text, end):
+            depth, end = _brackets(opened[0]), opened.end()
+        if keyword := _KEYWORD.match(text, end):
+            end = keyword.end()
         while True:
             if term := _TERM.match(text, end):
                 first, last = term.span(term.lastgroup)
-                literals.append((first, last, True))
+                if not keyed:
+                    literals.append((first, last, True))
                 if inside is None and text.find("\n", first, last) >= 0:
                     inside = first
                 end = term.end()
@@ -135,17 +154,28 @@ def lex(text: str) -> list[Pair]:
                     if not bare:
                         break
                     run = bare.span()
-                if not (word := _NAME.fullmatch(text, end, run[1])):
+                word = _NAME.fullmatch(text, end, run[1])
+                if word and (call := _CALL.match(text, run[1])):
+                    depth, keyed, end = depth + _brackets(call[0]), bool(_KEYED.search(word[0])), call.end()
+                    continue
+                if keyed:
+                    pass
+                elif not word:
                     literals.append((end, run[1], False))
                 elif any(c.isdigit() for c in word[0]):
                     words.append((word[0], end, literals, names))
                 else:
                     names.append(word[0])
                 end = run[1]
-            plus = _PLUS.match(text, end)
+            keyed = False
+            if depth and (closed := _CLOSE.match(text, end)):
+                depth, end = depth - _brackets(closed[0]), closed.end()
+            plus = _PLUS.match(text, end) if depth <= 0 else _NEXT.match(text, end)
             if not plus:
                 break
-            end = plus.end()
+            depth, end = max(depth, 0) + _brackets(plus[0]), plus.end()
+            if opened := _OPEN.match(text, end):
+                depth, end = depth + _brackets(opened[0]), opened.end()
         out.append(Pair(m["name"], literals, names, m.start()))
         # A bare value may itself be a target ("a=b=c"), and so may what looks like a type but is prose, and lines of a string.
         if m["type"] and _PROSE.search(m["type"].rstrip()):
@@ -154,6 +184,13 @@ def lex(text: str) -> list[Pair]:
             at = inside
         else:
             at = max(m.end(), end if literals and literals[-1][2] else m.end())
+    if "</" in text:
+        # An element's text is known by its tag.
+        out += [Pair(m["name"], [(*m.span("value"), False)], [], m.start("value")) for m in _ELEMENT.finditer(text)]
+    for m in _ATTRIBUTES.finditer(text):
+        if term := _TERM.match(text, m.end()):
+            out.append(Pair(m["name"], [(*term.span(term.lastgroup), True)], [], m.start("name")))
+    out.sort(key=lambda p: p.at)
     # A bare word with digits is a name when the text assigns it, else a literal.
     assigned = {p.name for p in out}
     for word, start, literals, names in words:
@@ -164,6 +201,10 @@ def lex(text: str) -> list[Pair]:
     return out
 
 
+def _brackets(text: str) -> int:
+    return sum(c in "()[]" for c in text)
+
+
 def name_score(name: str) -> float:
     """How much the name speaks for a secret, 0 to 1."""
     parts = [p.lower() for p in _PART.findall(name)]
@@ -249,7 +290,7 @@ def secrets_in(text: str | None, threshold: float = SCORE) -> list[Span]:
         return []
     raw = text.encode()
     found = base_spans(text, raw)
-    if b"=" in raw or b":" in raw:
+    if b"=" in raw or b":" in raw or b"</" in raw:
         low = raw.lower()
         if any(s in low for s in _STEMS):
             found += literal_spans(text, threshold)
