@@ -6,12 +6,16 @@ same borders come back with the same content.  Chunks are deduplicated by digest
 digests of WINDOW neighbouring chunks are taken together, of each two such windows the one
 with the smaller digest is kept as a seed, and a seed that two documents have is repeated.
 
-Seeds only say where to look.  A repeated seed aligns its document with the first document
-that has it (that one with the last); seeds of one offset are one alignment.  The texts on
-either side of each alignment are then compared character by character, and a passage is a
-stretch of MIN_WORDS whole words or more that both have.  So every passage is one that a
-single other document has as a whole, however its chunks are cut, and digests may collide.
-A passage of over 50 words has a seed inside with odds of some 98.6 % or more.
+Equal texts are found first, by 128 bits of hash: each is one passage, and one of them
+stands for all in what follows.  For the others seeds say where to look.  A repeated seed
+aligns its document with the first document that has it (that one with the last); seeds of
+one offset are one alignment.  The texts on either side of each alignment are then compared
+character by character until they differ: MARGIN code points beyond the seeds at first, and
+where they are still equal there, again with GROWTH times as many, as often as it takes.  A
+passage is a stretch of MIN_WORDS whole words or more that both have.  So every passage is
+one that a single other document has as a whole, as long as it is there, however its chunks
+are cut, and digests may collide.  A passage of over 50 words has a seed inside with odds of
+some 98.6 % or more.
 
 Texts are cut twice rather than their seeds kept: hashing a text costs less than writing
 them.  Digests are reduced to the first and the last document before they are shuffled, and
@@ -21,14 +25,14 @@ Defined cases: null and empty texts have no chunks; repeats within one document
 don't count; rows without an id take no part.  Rows of one id are one document: repeated
 ones count once, and of different texts that with the least hash is the document's, the
 others are left as they are.  A passage that lies within another of the same document is
-left out.  Where each part of a passage is in another document of smaller id, parts shorter
-than MIN_WORDS are looked up there alone.
+left out.  A document is compared with the first documents of its seeds: where each part of
+a passage is in another document of smaller id, parts are looked up there alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +49,9 @@ MAX_BYTES = 96
 WINDOW = 3
 #: Passages of over 50 words have as many whole ones, even if both end words are cut.
 MIN_WORDS = 49
-#: How far beyond its seeds an alignment is compared, in code points.
+#: How far beyond its seeds an alignment is compared at first, in code points, and how much farther each further time.
 MARGIN = 512
+GROWTH = 16
 _ROWS = 200_000
 _PIECE = 1 << 20
 _MEMORY = 32
@@ -183,13 +188,18 @@ def whole_words(text: np.ndarray, begin: int, end: int, at_start: bool, at_end:
     return (int(starts[0]), int(ends[-1]), len(ends)) if len(ends) else (0, 0, 0)
 
 
-def common(own: str, other: str, at_start: bool, at_end: bool, min_words: int) -> list[tuple[int, int, int]]:
-    """Stretches of two texts, laid side by side, that are equal and have enough whole words: start, end, words."""
+def common(own: str, other: str, at_start: bool, at_end: bool, more_before: bool, more_after: bool, min_words: int) -> list[tuple[int, int, int]] | None:
+    """Stretches of two texts, laid side by side, that are equal and have enough whole words: start, end, words.
+
+    None if one reaches an end of these parts of texts beyond which both texts go on.
+    """
     a, b = (np.frombuffer(x.encode("utf-32-le"), "<u4") for x in (own, other))
     n = min(len(a), len(b))
     edges = np.flatnonzero(np.diff(np.concatenate(([0], a[:n] == b[:n], [0]))))
     out = []
     for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if more_before and begin == 0 or more_after and end == n:
+            return None
         if end - begin >= 2 * min_words - 1:
             first, last, words = whole_words(a, begin, end, at_start, at_end)
             if words >= min_words:
@@ -197,22 +207,29 @@ def common(own: str, other: str, at_start: bool, at_end: bool, min_words: int) -
     return out
 
 
+_FOUND = "doc_id long, print long, start int, end int, n_words int, first_doc long, shift int, low int, high int"
+
+
 def _verify(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """The passages of alignments; an alignment that has to be compared farther out gives itself, without words."""
+    names = ("doc_id", "print", "other", "shift", "low", "high", "from", "begins", "ends", "before", "after", "own", "text")
     for batch in batches:
-        names = ("doc_id", "print", "first_doc", "from", "begins", "ends", "own", "text")
         out = []
-        for doc_id, print_, first, at, begins, ends, own, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            out += [(doc_id, print_, at + s, at + e, n, first) for s, e, n in common(own, text, begins, ends, min_words)]
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()], strict=True)], ["doc_id", "print", "start", "end", "n_words", "first_doc"])
-
-
-def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, later_only: bool) -> DataFrame:
-    """(doc_id, print, start, end, n_words, first_doc); print is the hash of the document's text."""
-    texts = one_text_each(ids_and_text(docs, id_col, text_col).where("doc_id is not null and text is not null"))
-    aligned = alignments(texts, later_only)
-    begin = F.greatest(F.lit(0), F.col("low") - MARGIN, F.col("shift"))
-    aligned = cut(aligned.select("doc_id", "other", "shift", begin.alias("from"), (F.col("high") + MARGIN).alias("to")))
+        for doc_id, print_, first, shift, low, high, at, begins, ends, before, after, own, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            found = common(own, text, begins, ends, before, after, min_words)
+            if found is None:
+                out.append((doc_id, print_, 0, 0, 0, first, shift, low, high))
+            else:
+                out += [(doc_id, print_, at + s, at + e, n, first, shift, low, high) for s, e, n in found]
+        columns = list(zip(*out, strict=True)) or [()] * 9
+        kinds = [pa.int64() if x.split()[1] == "long" else pa.int32() for x in _FOUND.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
+
+
+def _compared(texts: DataFrame, aligned: DataFrame, margin: int, min_words: int) -> DataFrame:
+    """_FOUND for alignments (doc_id, other, shift, low, high): the texts compared up to `margin` beyond the seeds."""
+    begin = F.greatest(F.lit(0), F.col("low") - margin, F.col("shift"))
+    aligned = aligned.select("doc_id", "other", "shift", "low", "high", begin.alias("from"), (F.col("high") + margin).alias("to"))
     # Each alignment takes its part of both texts.
     side = lambda own, start: F.struct(F.lit(own).alias("own"), F.col("doc_id" if own else "other").alias("id"), start.alias("at"))
     asked = aligned.withColumn("side", F.explode(F.array(side(True, F.col("from")), side(False, F.col("from") - F.col("shift")))))
@@ -223,12 +240,51 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, later
     # Whether the code point before a place (the first, or the one after the last) is blank or missing.
     open_at = lambda place: (place <= 0) | (place > F.length("text")) | F.substring(F.col("text"), place, F.lit(1)).isin([" ", *"\t\n\x0b\x0c\r"])
     edges = [F.when(F.col("side.own"), F.xxhash64("text")).alias("print"), open_at(F.col("from")).alias("begins"), open_at(F.col("to") + 1).alias("ends")]
-    taken = asked.join(held, F.col("side.id") == F.col("id")).select(*key, "from", "side.own", *edges, part.alias("part"))
-    taken = cut(taken)
-    left = taken.where("own").select(*key, "from", "print", "begins", "ends", F.col("part").alias("own"))
-    right = taken.where("not own").select(*key, F.col("part").alias("text"))
-    both = left.join(right, key).select("doc_id", "print", F.col("other").alias("first_doc"), "from", "begins", "ends", "own", "text")
-    found = both.mapInArrow(partial(_verify, min_words=min_words), "doc_id long, print long, start int, end int, n_words int, first_doc long")
+    ongoing = (F.col("side.at") + F.col("to") - F.col("from") < F.length("text")).alias("after")
+    taken = cut(asked.join(held, F.col("side.id") == F.col("id")).select(*key, "low", "high", "from", "side.own", *edges, ongoing, part.alias("part")))
+    left = taken.where("own").select(*key, "low", "high", "from", "print", "begins", "ends", F.col("after").alias("own_after"), F.col("part").alias("own"))
+    right = taken.where("not own").select(*key, F.col("after").alias("other_after"), F.col("part").alias("text"))
+    before = F.col("from") > F.greatest(F.lit(0), F.col("shift"))
+    both = left.join(right, key).select(*key, "low", "high", "print", "from", "begins", "ends", before.alias("before"), (F.col("own_after") & F.col("other_after")).alias("after"), "own", "text")
+    return both.mapInArrow(partial(_verify, min_words=min_words), _FOUND)
+
+
+def _all_compared(texts: DataFrame, aligned: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, print, start, end, n_words, first_doc): all alignments compared until the texts differ."""
+    margin, parts = MARGIN, []
+    while True:
+        found = cut(_compared(texts, aligned, margin, min_words))
+        parts.append(found.where("n_words > 0").select("doc_id", "print", "start", "end", "n_words", "first_doc"))
+        aligned = found.where("n_words = 0").select("doc_id", F.col("first_doc").alias("other"), "shift", "low", "high")
+        if aligned.isEmpty():
+            return reduce(DataFrame.union, parts)
+        margin *= GROWTH
+
+
+def _whole(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """The passages of texts that others equal: all of their words."""
+    for batch in batches:
+        out = []
+        for doc_id, print_, other, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "print", "other", "text")), strict=True):
+            first, last, words = whole_words(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0, len(text), True, True)
+            if words >= min_words:
+                out.append((doc_id, print_, first, last, words, other))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()], strict=True)], ["doc_id", "print", "start", "end", "n_words", "first_doc"])
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, later_only: bool) -> DataFrame:
+    """(doc_id, print, start, end, n_words, first_doc); print is the hash of the document's text."""
+    texts = one_text_each(ids_and_text(docs, id_col, text_col).where("doc_id is not null and text is not null"))
+    hashed = texts.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    equal = cut(hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
+    known = hashed.join(sized(equal), ["h1", "h2"], "left")
+    copies = known.where("first is not null" + (" and doc_id > first" if later_only else ""))
+    other = F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first"))
+    whole = copies.select("doc_id", F.col("h1").alias("print"), other.alias("other"), "text").mapInArrow(partial(_whole, min_words=min_words), "doc_id long, print long, start int, end int, n_words int, first_doc long")
+    single = known.where("first is null or first = doc_id").select("doc_id", "text")
+    aligned = cut(alignments(single, later_only))
+    found = _all_compared(single, aligned, min_words).union(whole)
     order = Window.partitionBy("doc_id", "print").orderBy("start", F.desc("end"), "first_doc")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("before", before).where("before is null or end > before").drop("before")
