@@ -15,8 +15,8 @@ keys are found by searchsorted.  Pairs number at most what the vocabularies allo
 more than MAP_PAIRS is not shipped: links are joined with it instead.
 
 Texts are encoded once, their ids written to the shared folder (two bytes an id for these
-vocabularies).  Texts of over PIECE characters are encoded in pieces cut at a space between
-two letters, where both tokenizers always cut: A's pattern never has a space behind another
+vocabularies).  Texts of over PART characters are encoded in parts cut at a space between two
+letters, where both tokenizers always cut: A's pattern never has a space behind another
 character in one match, and no piece of B's vocabulary has (checked when it is read).
 
 Defined cases: null and empty texts, and texts whose tokens' bytes aren't a space and the
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import cut, ids_and_text, scratch, small_batches
 
 #: Characters of a text that are encoded at once, about.
-PIECE = 1 << 16
+PART = 1 << 16
 #: Pairs that a partition counts before it hands them on.
 PARTIAL = 1 << 20
 #: Pairs to a shard of the sorted table, about, and shards at most.
@@ -58,6 +58,9 @@ GROUP_BYTES = 4 << 20
 _SPACE = "▁"
 _CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 _SHIFT = 32
+# The byte-level splitter of such files, and the pattern it stands for.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Pair:
@@ -90,6 +93,7 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=pair.b_file)
         letters = byte_of_letter()
+        model, before = json.loads(pair.a_file)["model"], json.loads(pair.a_file)["pre_tokenizer"]
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         added = {t["content"] for t in json.loads(pair.a_file).get("added_tokens", [])}
@@ -98,6 +102,14 @@ class Tokenizers:
         self.b_bytes = [self._b_bytes(i) for i in range(self.b.get_piece_size())]
         #: Whether no piece has a space behind another character, so that texts can be cut at one.
         self.cuts = not any(b" " in x.lstrip(b" ") for x in self.b_bytes)
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+        in_order = all(vocabulary.get(m) == len(letters) + i for i, m in enumerate(merged)) and len(merged) + len(letters) == len(model["vocab"])
+        plain = model.get("ignore_merges") is False and before == BYTE_LEVEL and json.loads(pair.a_file)["normalizer"] is None
+        self.ranked = None
+        if in_order and plain:
+            from tiktoken import Encoding
+
+            self.ranked = Encoding("a", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for i in model["vocab"].values()}, special_tokens={})
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.kinds = tuple(np.dtype("<u2") if len(side) <= 1 << 16 else np.dtype("<u4") for side in (self.a_bytes, self.b_bytes))
         # An id with what follows it in the text form of groups.
@@ -110,24 +122,33 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return b"" if self.b.is_control(i) or self.b.is_unknown(i) else piece.replace(_SPACE, " ").encode()
 
-    def pieces(self, text: str) -> list[str]:
-        """The text in pieces that may be encoded one by one, without the spaces between them."""
-        out, at = [], 0
-        while self.cuts and len(text) - at > PIECE and (found := _CUT.search(text, at + PIECE)):
-            out.append(text[at : found.start()])
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in parts of some PART characters that may be encoded one by one, without the spaces between them."""
+        at = 0
+        while self.cuts and len(text) - at > PART and (found := _CUT.search(text, at + PART)):
+            yield text[at : found.start()]
             at = found.end()
-        return [*out, text[at:]]
+        yield text[at:]
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of both sides, or None if their bytes aren't a space and the text."""
-        own = self.pieces(text)
-        a = np.concatenate([np.array(self.a.encode(" " + p, add_special_tokens=False).ids, np.int64) for p in own])
-        b = np.concatenate([np.array(self.b.encode(p, num_threads=1) if len(own) == 1 else self.b.encode(p), np.int64) for p in own])
+    def _a_ids(self, text: str) -> list[int]:
+        """A's ids of a space and a text.  If A's ids are in the order of its merges they are ranks, by which merging is faster."""
+        if self.ranked and len(text) <= 2 * PART:
+            return self.ranked.encode_ordinary(" " + text)
+        return self.a.encode(" " + text, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> tuple[bytes, bytes] | None:
+        """The packed ids of both sides, or None if their bytes aren't a space and the text."""
+        parts = list(self.parts(text))
         whole = b" " + text.encode()
-        for ids, size, side in ((a, self.a_size, self.a_bytes), (b, self.b_size, self.b_bytes)):
-            if int(size[ids].sum()) != len(whole) or b"".join(map(side.__getitem__, ids.tolist())) != whole or not size[ids].all():
+        out = []
+        for ids_of, size, side, kind in ((self._a_ids, self.a_size, self.a_bytes, self.kinds[0]), (self.b.encode, self.b_size, self.b_bytes, self.kinds[1])):
+            ids = [ids_of(p) for p in parts]
+            own = np.concatenate([np.array(x, kind) for x in ids])
+            sizes = size[own]
+            if sizes.sum() != len(whole) or not sizes.all() or b"".join(side[i] for x in ids for i in x) != whole:
                 return None
-        return a, b
+            out.append(own.tobytes())
+        return out[0], out[1]
 
 
 _workers: dict[str, Tokenizers] = {}
@@ -140,34 +161,41 @@ def _tokenizers(pair: Pair) -> Tokenizers:
     return _workers[pair.name]
 
 
-def links(a: list[np.ndarray], b: list[np.ndarray], a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For documents laid end to end: the links' A and B tokens (their numbers), the group of each token, and where each document's links end.
+class Links:
+    """What documents' tokens share, documents laid end to end: both sides of one have the same bytes.
 
-    Both sides of a document have the same bytes, so documents' ends are ends of both sides.
+    Token ends are marks on the bytes; a stretch between neighbouring marks is a link of the
+    A and the B token it lies in, and marks of both sides end groups.
     """
-    ends_a, ends_b = np.cumsum(a_size[np.concatenate(a)]), np.cumsum(b_size[np.concatenate(b)])
-    ends = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
-    both = ends[:-1] == ends[1:]
-    shared = ends[:-1][both]
-    stretches = ends[np.concatenate((~both, [True]))]
-    doc_ends = ends_a[np.cumsum([len(x) for x in a]) - 1]
-    return (
-        np.searchsorted(ends_a, stretches), np.searchsorted(ends_b, stretches), np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b),
-        np.searchsorted(stretches, doc_ends, "right"), shared, doc_ends,
-    )
-
-
-def group_texts(t: Tokenizers, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all groups as texts, each with the mark behind it, in the order of the text form, and the last place of each B token."""
-    last_a = np.concatenate((a_group[1:] != a_group[:-1], [True]))
-    last_b = np.concatenate((b_group[1:] != b_group[:-1], [True]))
-    # Before an A token stand all B tokens of earlier groups, before a B token all A tokens of its group and earlier ones.
-    at_a = np.arange(len(a)) + np.searchsorted(b_group, a_group, "left")
-    at_b = np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")
-    out = np.empty(len(a) + len(b), object)
-    out[at_a] = t.a_texts[a + len(t.a_bytes) * last_a]
-    out[at_b] = t.b_texts[b + len(t.b_bytes) * last_b]
-    return out, at_b
+
+    def __init__(self, a: list[np.ndarray], b: list[np.ndarray], t: Tokenizers):
+        self.a, self.b = np.concatenate(a), np.concatenate(b)
+        ends_a, ends_b = np.cumsum(t.a_size[self.a]), np.cumsum(t.b_size[self.b])
+        marks = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+        marks[ends_a] = 1
+        marks[ends_b] |= 2
+        at = np.flatnonzero(marks)
+        kind = marks[at]
+        is_a, is_b, both = kind & 1, kind >> 1, kind == 3
+        through_a, through_b, through = np.cumsum(is_a, dtype=np.int64), np.cumsum(is_b, dtype=np.int64), np.cumsum(both, dtype=np.int64)
+        #: The links' keys, in order.
+        self.keys = self.a[through_a - is_a] << _SHIFT | self.b[through_b - is_b]
+        group = through - both
+        self.a_group, self.b_group = group[is_a.view(bool)], group[is_b.view(bool)]
+        #: How many tokens of each side the groups so far have.
+        self.a_through, self.b_through = through_a[both], through_b[both]
+        docs = np.searchsorted(at, ends_a[np.cumsum([len(x) for x in a]) - 1])
+        #: Where each document's links and groups end.
+        self.ends, self.group_ends = docs + 1, through[docs]
+
+    def texts(self, t: Tokenizers) -> np.ndarray:
+        """The ids of all groups as texts, each with the mark behind it, in the order of the text form."""
+        last_a, last_b = (np.concatenate((g[1:] != g[:-1], [True])) for g in (self.a_group, self.b_group))
+        before = np.concatenate(([0], self.b_through[:-1]))
+        out = np.empty(len(self.a) + len(self.b), object)
+        out[np.arange(len(self.a)) + before[self.a_group]] = t.a_texts[self.a + len(t.a_bytes) * last_a]
+        out[np.arange(len(self.b)) + self.a_through[self.b_group]] = t.b_texts[self.b + len(t.b_bytes) * last_b]
+        return out
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], pair) -> Iterator[pa.RecordBatch]:
@@ -176,8 +204,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], pair) -> Iterator[pa.RecordBatch
         sides: tuple[list, list] = ([], [])
         for text in batch.column("text"):
             found = t.encode(text.as_py()) if text.is_valid and len(text.as_buffer()) else None
-            for side, ids, kind in zip(sides, found or (None, None), t.kinds, strict=True):
-                side.append(None if ids is None else ids.astype(kind).tobytes())
+            for side, ids in zip(sides, found or (None, None), strict=True):
+                side.append(ids)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(s, pa.binary()) for s in sides)], ["doc_id", "a", "b"])
 
 
@@ -197,10 +225,6 @@ def _documents(batch: pa.RecordBatch, t: Tokenizers) -> Iterator[tuple[list[int]
         yield at, a, b
 
 
-def _keys(a: list[np.ndarray], b: list[np.ndarray], link_a: np.ndarray, link_b: np.ndarray) -> np.ndarray:
-    return np.concatenate(a)[link_a] << _SHIFT | np.concatenate(b)[link_b]
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal neighbouring keys as one."""
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
@@ -224,8 +248,8 @@ def _partial_counts(batches: Iterator[pa.RecordBatch], pair) -> Iterator[pa.Reco
 
     for batch in batches:
         for _, a, b in _documents(batch, t):
-            link_a, link_b, *_, ends, _, _ = links(a, b, t.a_size, t.b_size)
-            own = [np.unique(k) for k in np.split(_keys(a, b, link_a, link_b), ends[:-1])]
+            found = Links(a, b, t)
+            own = [np.unique(k) for k in np.split(found.keys, found.ends[:-1])]
             held.append(np.unique(np.concatenate(own), return_counts=True))
             size += len(held[-1][0])
             if size > 2 * PARTIAL:
@@ -309,11 +333,11 @@ def _digested(batch: pa.RecordBatch, t: Tokenizers, counted=None) -> pa.RecordBa
     numbers = np.zeros((len(_NAMES), batch.num_rows), np.int64)
     digests, keys_of = [""] * batch.num_rows, [b""] * batch.num_rows
     for at, a, b in _documents(batch, t):
-        link_a, link_b, a_group, b_group, ends, shared, doc_ends = links(a, b, t.a_size, t.b_size)
-        keys = _keys(a, b, link_a, link_b)
+        found = Links(a, b, t)
+        keys, ends = found.keys, found.ends
         n_links = np.diff(ends, prepend=0)
         n_a, n_b = ([len(x) for x in side] for side in (a, b))
-        numbers[:4, at] = n_a, n_b, np.diff(np.searchsorted(shared, doc_ends, "right"), prepend=0), n_links
+        numbers[:4, at] = n_a, n_b, np.diff(found.group_ends, prepend=0), n_links
         if counted:
             counts, is_best = counted(keys)
             starts = ends - n_links
@@ -321,8 +345,7 @@ def _digested(batch: pa.RecordBatch, t: Tokenizers, counted=None) -> pa.RecordBa
         else:
             for i, own in zip(at, np.split(keys, ends[:-1]), strict=True):
                 keys_of[i] = own.astype("<i8").tobytes()
-        texts, _ = group_texts(t, np.concatenate(a), np.concatenate(b), a_group, b_group)
-        first = 0
+        texts, first = found.texts(t), 0
         for i, n in zip(at, np.cumsum(np.add(n_a, n_b)).tolist(), strict=True):
             digests[i] = hashlib.sha256(b"".join(texts[first:n].tolist())[:-1]).hexdigest()
             first = n
@@ -399,9 +422,9 @@ def alignments(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: st
                 if found is None:
                     out.append(None)
                     continue
-                a, b = found
-                _, _, a_group, b_group, *_ = links([a], [b], t.a_size, t.b_size)
-                sides = (np.split(x, np.flatnonzero(np.diff(g)) + 1) for x, g in ((a, a_group), (b, b_group)))
+                a, b = (np.frombuffer(x, k).astype(np.int64) for x, k in zip(found, t.kinds, strict=True))
+                own = Links([a], [b], t)
+                sides = (np.split(x, np.flatnonzero(np.diff(g)) + 1) for x, g in ((a, own.a_group), (b, own.b_group)))
                 out.append([{"a": x.tolist(), "b": y.tolist()} for x, y in zip(*sides, strict=True)])
             yield pa.array(out, pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])))
 
