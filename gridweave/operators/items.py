@@ -73,9 +73,16 @@ def _leaf_items(text: Column, k: int, leaf: S.Content, atoms: Atoms) -> Column:
 
 def item_arrays(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid: str = "grid") -> DataFrame:
     """(table_id, items): what items() gives for each table, as an array in the same order, without places in the text; null for tables that don't match."""
+    return arrays_of(match(_named(tables, table_id, grid), pattern), pattern)
+
+
+def _named(tables: DataFrame, table_id: str, grid: str) -> DataFrame:
+    return tables.select(F.col(f"`{table_id}`").alias("table_id"), F.col(f"`{grid}`").alias("grid"))
+
+
+def arrays_of(placed: DataFrame, pattern: S.Table) -> DataFrame:
+    """item_arrays for matched tables (table_id, grid, cells)."""
     atoms = Atoms(pattern)
-    named = tables.select(F.col(f"`{table_id}`").alias("table_id"), F.col(f"`{grid}`").alias("grid"))
-    placed = match(named, pattern)
     kinds = F.array(*(F.lit(a.kind) for a in atoms.atoms))
     tags = F.array(*(F.array(*map(F.lit, a.tags)).cast("array<string>") for a in atoms.atoms))
 
@@ -102,12 +109,15 @@ def items(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid:
     seq orders a table's items as the pattern meets them; start and end are the code points
     of the text that the item was extracted from.
     """
-    atoms = Atoms(pattern)
-    named = tables.select(F.col(f"`{table_id}`").alias("table_id"), F.col(f"`{grid}`").alias("grid"))
     # An outer one, so that no filter on the cells is derived, for which they would be matched twice.
-    placed = match(named, pattern).select("table_id", "grid", F.posexplode_outer("cells").alias("place", "cell")).where("cell is not null")
+    placed = match(_named(tables, table_id, grid), pattern).select("table_id", "grid", F.posexplode_outer("cells").alias("place", "cell")).where("cell is not null")
     text = F.coalesce(F.get(F.get("grid", F.col("cell.row")), F.col("cell.col")), F.lit(""))
-    cells = placed.select("table_id", "place", "cell.*", text.alias("text"))
+    return items_of(placed.select("table_id", "place", "cell.*", text.alias("text")), pattern)
+
+
+def items_of(cells: DataFrame, pattern: S.Table) -> DataFrame:
+    """The items of cells (table_id, place, row, col, leaf, subtable, subrow, text); place orders a table's cells."""
+    atoms = Atoms(pattern)
     given = [(k, _leaf_items(F.col("text"), k, leaf, atoms)) for k, leaf in enumerate(atoms.leaves)]
     made = reduce(lambda a, kv: a.when(F.col("leaf") == kv[0], kv[1]), given[1:], F.when(F.col("leaf") == given[0][0], given[0][1])) if given else F.array()
     out = cells.select("table_id", "place", "row", "col", "subtable", "subrow", F.posexplode(made).alias("n", "item"))

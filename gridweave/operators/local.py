@@ -61,8 +61,12 @@ def _with(item: Column, **columns: Column) -> Column:
 
 def records(tables: DataFrame, pattern: S.Table, options: R.Options, table_id: str, grid: str) -> DataFrame:
     """(table_id, rec_no, members) of all matching tables."""
+    return records_of_items(item_arrays(tables, pattern, table_id, grid), pattern, options)
+
+
+def records_of_items(out: DataFrame, pattern: S.Table, options: R.Options) -> DataFrame:
+    """(table_id, rec_no, members) of tables (table_id, items)."""
     atoms = Atoms(pattern).atoms
-    out = item_arrays(tables, pattern, table_id, grid)
     items = F.col("items")
     get = lambda item: lambda n: item[n]
 

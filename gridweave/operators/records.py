@@ -367,9 +367,14 @@ def records_of(tables: DataFrame, pattern: S.Table, options: Options | None = No
 
 
 def _by_rows(tables: DataFrame, pattern: S.Table, options: Options, table_id: str, grid: str, keep: bool) -> DataFrame:
+    return records_of_items(items(tables, pattern, table_id, grid), pattern, options, keep)
+
+
+def records_of_items(found: DataFrame, pattern: S.Table, options: Options, keep: bool) -> DataFrame:
+    """(table_id, rec_no, members) of items as rows."""
     atoms = Atoms(pattern).atoms
     hold = (lambda df: df.persist()) if keep and any(isinstance(p, S.Lookup) for a in atoms for x in a.actions for p in x.providers) else (lambda df: df)
-    found = hold(items(tables, pattern, table_id, grid).repartition("table_id"))
+    found = hold(found.repartition("table_id"))
     named = attributed(valued(found, atoms), atoms)
     if has_strings(atoms) or has_found_attributes(atoms):
         named = hold(named)

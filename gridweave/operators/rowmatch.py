@@ -147,7 +147,7 @@ class Automaton:
         letters = F.lit(ALPHABET[: self.classes])
         return F.array_join(F.transform(numbers, lambda n: F.substring(letters, n.cast("int") + 1, F.lit(1))), "")
 
-    def _row_class(self, text: Column) -> Column:
+    def row_class(self, text: Column) -> Column:
         def hold(guard: int, sequence: Sequence) -> Column:
             own = text.rlike(sequence.pattern)
             return own & text.rlike(f"^[{_chars(self.classes, lambda x: x & guard)}]*$") if guard else own
@@ -171,6 +171,19 @@ class Automaton:
         constant = F.get(F.array(*(F.lit(x if isinstance(x, int) else -1) for x in self.leaves)), unit)
         return reduce(lambda a, nx: F.when(unit == nx[0], of(nx[1])).otherwise(a), [(n, x) for n, x in enumerate(self.leaves) if not isinstance(x, int)], constant)
 
+    def row_cells(self, text: Column, row: Column, at: Column) -> Column:
+        """The cells of a row (unit, nth) with the classes `text`, those without a leaf too."""
+        first, *others = [(i, s.taken(text)) for i, (_, s) in enumerate(self.rows)]
+        taken = reduce(lambda a, ie: a.when(row["unit"] == ie[0], ie[1]), others, F.when(row["unit"] == first[0], first[1])) if others else first[1]
+        return F.transform(taken, lambda c, col: F.struct(
+            at.cast("int").alias("row"), col.cast("int").alias("col"), self._leaf_of(c["unit"], F.substring(text, col + 1, F.lit(1))).cast("int").alias("leaf"),
+            row["nth"].alias("subtable"), c["nth"].alias("subrow"),
+        ))
+
+    def classes_of_row(self, cells: Column) -> Column:
+        """The string of one row's cells."""
+        return self._class_of(F.get(self.shape.numbers(F.array(cells)), F.lit(0)))
+
     def cells(self, grid: Column) -> Column:
         """The cells with a leaf, in order; null if the table doesn't match."""
         width = F.size(F.get(grid, F.lit(0)))
@@ -178,23 +191,12 @@ class Automaton:
         guard = self.shape.guard
         all_hold = (lambda texts: F.forall(texts, lambda t: t.rlike(f"^[{_chars(self.classes, lambda x: x & guard)}]*$"))) if guard else None
 
-        def of_row(texts: Column, row: Column, at: Column) -> Column:
-            def of_cells(text: Column) -> Column:
-                first, *others = [(i, s.taken(text)) for i, (_, s) in enumerate(self.rows)]
-                taken = reduce(lambda a, ie: a.when(row["unit"] == ie[0], ie[1]), others, F.when(row["unit"] == first[0], first[1])) if others else first[1]
-                return F.transform(taken, lambda c, col: F.struct(
-                    at.cast("int").alias("row"), col.cast("int").alias("col"), self._leaf_of(c["unit"], F.substring(text, col + 1, F.lit(1))).cast("int").alias("leaf"),
-                    row["nth"].alias("subtable"), c["nth"].alias("subrow"),
-                ))
-
-            return _bound(F.get(texts, at), of_cells)
-
         def of_texts(texts: Column) -> Column:
             def of_table(table: Column) -> Column:
-                found = F.flatten(F.transform(self.table.taken(table), lambda row, at: of_row(texts, row, at)))
+                found = F.flatten(F.transform(self.table.taken(table), lambda row, at: _bound(F.get(texts, at), lambda text: self.row_cells(text, row, at))))
                 return F.when(table.rlike(self.table.pattern), F.filter(found, lambda c: c["leaf"] >= 0))
 
-            matched = _bound(F.array_join(F.transform(texts, self._row_class), ""), of_table)
+            matched = _bound(F.array_join(F.transform(texts, self.row_class), ""), of_table)
             return F.when(all_hold(texts), matched) if all_hold else matched
 
         texts = F.transform(self.shape.numbers(grid), self._class_of)

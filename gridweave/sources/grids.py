@@ -42,6 +42,23 @@ def read_csv_grids(spark: SparkSession, path: str, strict: bool = True) -> DataF
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("table_id"), csv_grid(F.col("value"), strict).alias("grid"))
 
 
+def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(table_id, part, row, cells): one table for each file, row by row, for `extract_rows`.
+
+    Files may be of any size: they are read in splits, `part` and `row` order a file's rows.
+    Lines are rows, so texts with line breaks aren't for this; empty lines are left out.
+    """
+    lines = spark.read.text(path).where("value <> ''")
+    place = F.col("_metadata.file_block_start").cast("long").alias("part")
+    read = lines.select(F.input_file_name().alias("table_id"), place, F.monotonically_increasing_id().alias("row"), F.col("value"))
+    # Lines without a quote are split in the JVM; a quoted text's marks are doubled within it.
+    quoted = F.col("value").contains('"')
+    texts = F.regexp_extract_all(F.col("value"), F.lit(r'(?:^|,)("(?:[^"]|"")*+"|[^,]*+)'), F.lit(1))
+    bare = lambda t: F.when(t.startswith('"') & t.endswith('"') & (F.length(t) > 1), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t)
+    cells = F.when(quoted, F.transform(texts, bare)).otherwise(F.split("value", ",", -1))
+    return read.select("table_id", "part", "row", cells.alias("cells"))
+
+
 def read_csv_records(spark: SparkSession, path: str, schema: list[str] | None = None) -> DataFrame:
     """Records from CSV files, all of one schema: given, or from the first row of each.  What a short row lacks is empty."""
     read = spark.read.options(multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE")
