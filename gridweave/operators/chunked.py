@@ -184,7 +184,7 @@ def within_rows(pattern: S.Table, options: R.Options) -> bool:
 
 def extract_rows(
     rows: DataFrame, pattern: S.Table | str, schema: list[str], bindings: Bindings | None = None, options: R.Options | None = None,
-    table_id: str = "table_id", part: str | None = None, row: str = "row", cells: str = "cells", keep: bool = True,
+    table_id: str = "table_id", part: str | None = None, row: str = "row", cells: str = "cells", keep: bool = True, widths: dict[str, int] | None = None,
 ) -> DataFrame:
     """The records of tables given row by row: what `extract` gives for the same tables as grids.
 
@@ -228,7 +228,7 @@ def extract_rows(
         found_items = items_of(cell.select("table_id", place.alias("place"), F.col("number").cast("int").alias("row"), "c.col", "c.leaf", "c.subtable", "c.subrow", F.coalesce(F.get("cells", F.col("c.col")), F.lit("")).alias("text")), pattern)
         made = R.checked(R.records_of_items(found_items, pattern, options, keep), options)
         out = wide_members(made, schema) if R.static_names(Atoms(pattern).atoms) else wide(R.fields(made, options), schema)
-    return applied(R.named_again(out), pattern.settings)
+    return applied(R.named_again(out), pattern.settings, widths=widths)
 
 
 def _lacks(k: int, leaf: S.Compound, text):

@@ -47,12 +47,16 @@ def extract(
     grid: str = "grid",
     keep: bool = True,
     local_cells: int = LOCAL_CELLS,
+    widths: dict[str, int] | None = None,
 ) -> DataFrame:
     """The records of all tables that match: table_id, rec_no and a string column for each attribute.
 
     tables has a row for each table: an id and the grid, array<array<string>>.  Rows whose
     ids are null or repeated are tables of their own, each with records from 0 on.  With a
     schema nothing runs before the result is used; without, one job finds the attributes.
+    Settings that split fields look at the data once more, unless `widths` names the number
+    of parts of each field that splits (others stay one); then more parts are an error.
+    Cells may be structs with a field `text`; tests bound with whole=True see the others.
     Tables that don't match give no records.  If no table gives any, the only attribute is
     the template's first.  With options of on_error="null" the last column is _error.
     """
@@ -68,7 +72,7 @@ def extract(
     out = named_again(out)
     if missing:
         out = transforms.with_missing(out, missing)
-    return transforms.applied(out, pattern.settings)
+    return transforms.applied(out, pattern.settings, widths=widths)
 
 
 def matching(tables: DataFrame, pattern: S.Table | str, bindings: Bindings | None = None, grid: str = "grid") -> DataFrame:

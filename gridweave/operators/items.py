@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import text as T
-from gridweave.operators.match import Shape, match, segments
+from gridweave.operators.match import Shape, cell_text, is_formatted, match, segments
 from gridweave.plans import spec as S
 
 #: Room for the items of one cell in an item's sequence number.
@@ -83,6 +83,7 @@ def _named(tables: DataFrame, table_id: str, grid: str) -> DataFrame:
 def arrays_of(placed: DataFrame, pattern: S.Table) -> DataFrame:
     """item_arrays for matched tables (table_id, grid, cells)."""
     atoms = Atoms(pattern)
+    text_of = cell_text(is_formatted(placed, "grid"))
     kinds = F.array(*(F.lit(a.kind) for a in atoms.atoms))
     tags = F.array(*(F.array(*map(F.lit, a.tags)).cast("array<string>") for a in atoms.atoms))
 
@@ -96,7 +97,7 @@ def arrays_of(placed: DataFrame, pattern: S.Table) -> DataFrame:
             own = [number.alias("seq"), *(i[c].alias(c) for c in ("atom", "idx", "s")), F.get(kinds, i["atom"]).alias("kind"), F.get(tags, i["atom"]).alias("tags")]
             return F.struct(*own, *(cell[c].alias(c) for c in ("row", "col", "subtable", "subrow")))
 
-        text = F.coalesce(F.get(F.get("grid", cell["row"]), cell["col"]), F.lit(""))
+        text = F.coalesce(text_of(F.get(F.get("grid", cell["row"]), cell["col"])), F.lit(""))
         return F.transform(F.element_at(F.transform(F.array(text), of_text), 1), item)
 
     nothing = F.array().cast("array<struct<seq:bigint,atom:int,idx:int,s:string,kind:string,tags:array<string>,row:int,col:int,subtable:int,subrow:int>>")
@@ -111,7 +112,8 @@ def items(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid:
     """
     # An outer one, so that no filter on the cells is derived, for which they would be matched twice.
     placed = match(_named(tables, table_id, grid), pattern).select("table_id", "grid", F.posexplode_outer("cells").alias("place", "cell")).where("cell is not null")
-    text = F.coalesce(F.get(F.get("grid", F.col("cell.row")), F.col("cell.col")), F.lit(""))
+    text_of = cell_text(is_formatted(placed, "grid"))
+    text = F.coalesce(text_of(F.get(F.get("grid", F.col("cell.row")), F.col("cell.col"))), F.lit(""))
     return items_of(placed.select("table_id", "place", "cell.*", text.alias("text")), pattern)
 
 

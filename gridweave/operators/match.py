@@ -18,6 +18,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridweave.functions import text as T
 from gridweave.operators.rowmatch import CELLS, Automaton
@@ -46,7 +47,8 @@ def test_column(test: S.Test, text: Column) -> Column:
 class Shape:
     """A pattern reduced to what matching needs: numbers of tests and of leaf contents."""
 
-    def __init__(self, table: S.Table):
+    def __init__(self, table: S.Table, formatted: bool = False):
+        self.formatted = formatted
         self.tests: list[S.Test] = []
         self.leaves: list[S.Atom | S.Delimited | S.Compound] = []
         self.guard = self._test(table.guard)
@@ -85,9 +87,13 @@ class Shape:
     def numbers(self, grid: Column) -> Column:
         """The grid with each cell's tests packed into a number."""
 
-        def of(text: Column) -> Column:
-            text = F.coalesce(text, F.lit(""))
-            bits = [F.when(test_column(t, text), 1 << i).otherwise(0).cast("long") for i, t in enumerate(self.tests) if not self._python(t)]
+        def of(cell: Column) -> Column:
+            text = F.coalesce(cell["text"] if self.formatted else cell, F.lit(""))
+            given = lambda t: cell if isinstance(t.call, S.Whole) else text
+            if not self.formatted and any(isinstance(t.call, S.Whole) for t in self.tests):
+                raise S.PatternError("a test of whole cells asks for cells that are structs")
+            held = lambda t: F.coalesce(test_column(t, given(t)), F.lit(t.negated))
+            bits = [F.when(held(t), 1 << i).otherwise(0).cast("long") for i, t in enumerate(self.tests) if not self._python(t)]
             return reduce(Column.bitwiseOR, bits, F.lit(0).cast("long"))
 
         return F.transform(grid, lambda row: F.transform(row, of))
@@ -196,21 +202,33 @@ def _matcher(shape: Shape, calls):
     return F.arrow_udf(called, CELLS)
 
 
+def is_formatted(tables: DataFrame, grid: str) -> bool:
+    """Whether a grid's cells are structs, with the text and what else there is to a cell."""
+    kind = tables.schema[grid].dataType
+    return isinstance(kind.elementType.elementType, StructType)
+
+
+def cell_text(formatted: bool) -> Callable[[Column], Column]:
+    return (lambda cell: cell["text"]) if formatted else (lambda cell: cell)
+
+
 def match(tables: DataFrame, pattern: S.Table, grid: str = "grid", in_python: bool = False) -> DataFrame:
     """The tables with a column `cells`: the cells that have content and where in the pattern they are; null for tables that don't match.
 
     in_python: match regular patterns there, too.
     """
-    shape = Shape(pattern)
+    shape = Shape(pattern, is_formatted(tables, grid))
     automaton = Automaton(shape)
+    text_of = cell_text(shape.formatted)
+    texts = F.transform(F.col(grid), lambda row: F.transform(row, text_of)) if shape.formatted else F.col(grid)
     if automaton.possible and not in_python:
         out = tables.withColumn("cells", automaton.cells(F.col(grid)))
     else:
-        out = tables.withColumn("cells", _matcher(shape, shape.calls)(shape.numbers(F.col(grid)), F.col(grid)))
+        out = tables.withColumn("cells", _matcher(shape, shape.calls)(shape.numbers(F.col(grid)), texts))
     required = [(k, leaf) for k, leaf in enumerate(shape.leaves) if isinstance(leaf, S.Compound)]
     if required:
         # A text without one of its delimiters fails the whole table.
-        text = lambda c: F.coalesce(F.get(F.get(F.col(grid), c["row"]), c["col"]), F.lit(""))
+        text = lambda c: F.coalesce(text_of(F.get(F.get(F.col(grid), c["row"]), c["col"])), F.lit(""))
         fits = lambda c: reduce(lambda a, kv: a & ((c["leaf"] != kv[0]) | segments(text(c), kv[1])["ok"]), required, F.lit(True))
         out = out.withColumn("cells", F.when(F.forall("cells", fits), F.col("cells")))
     return out

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.operators import transforms
+from gridweave.operators.chunked import extract_rows
 from gridweave.operators.extract import extract, matching
 from gridweave.operators.items import items
 from gridweave.operators.records import Options
 from gridweave.plans import dsl as d
+from gridweave.plans import fluent
 from gridweave.plans.rtl import Bindings, compile_pattern
-from gridweave.sources.grids import cells, csv_grid, dealt, grid_of_rows, grid_of_text
+from gridweave.sources.grids import cells, csv_grid, dealt, fill_merged, grid_of_rows, grid_of_text
 from gridweave.sources.sinks import csv_line
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,3 +378,156 @@ def kinds_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = d.table(d.row(d.cell(d.AUX), d.cell(d.val(d.avp("BOTH"), d.rec(aux)))))
     pattern = pattern.with_transformations(d.field_splitting("BOTH", "/", ["NAME", "SEGMENT"]), d.schema_reordering("NAME", "SEGMENT"))
     return _named(extract(grids, pattern, ["BOTH", "$a_2"]), "name", "segment", "source")
+
+
+@_query("""select case n_regionkey when 0 then null when 3 then 1 else n_regionkey end as table_id, (row_number() over (partition by n_regionkey, way order by n_nationkey) - 1)::int as number,
+    n_nationkey::varchar as key, n_name as name, way from nation cross join (select unnest(['arrays', 'rows']) as way)""")
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables without an id, and two of one id: each has its own records, as arrays and as rows."""
+    grids = grid_of_rows(_read(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"])
+    region = F.col("table_id")
+    grids = grids.withColumn("table_id", F.when(region == 3, 1).when(region != 0, region))
+    made = lambda way, n: extract(grids, "[ [VAL : 'KEY'->AVP, RT->REC] [VAL : 'NAME'->AVP] ]+", ["KEY", "NAME"], local_cells=n).withColumn("way", F.lit(way))
+    return made("arrays", 64).union(made("rows", 0)).toDF("table_id", "number", "key", "name", "way")
+
+
+@_query("""select conv_id as table_id, turn::varchar as turn, coalesce(lag(role) over w || '<', '') || coalesce(lag(role, 2) over w || '<', '') || role as roles,
+    coalesce(first_value(role) over w, '') as first from conversations window w as (partition by conv_id order by turn)""")
+def few_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest above and the first of a column, as lists carried along it."""
+    turns = _read(spark, sf_dir, "conversations").withColumn("first", F.col("role"))
+    grids = grid_of_rows(turns, ["conv_id"], ["turn"], ["turn", "role", "first"])
+    pattern = """[ [VAL : 'TURN'->AVP, RT*->REC] [VAL : -AV{2}->PREFIX('<'), 'ROLES'->AVP] [VAL : 'FIRST'->AVP] ]
+        [ [VAL : 'TURN'->AVP, RT*->REC] [VAL : -AV{2}->PREFIX('<'), 'ROLES'->AVP] [VAL : (COL&R0)->FILL, 'FIRST'->AVP] ]*"""
+    return _named(extract(grids, pattern, ["TURN", "ROLES", "FIRST"], local_cells=0), "turn", "roles", "first")
+
+
+@_query("""with l as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as i from events),
+    k as (select user_id, string_agg(event_type, '/' order by i) as kinds from l where i <= 40 group by 1)
+    select user_id as table_id, event_id::varchar as event, kinds from l join k using (user_id) where i = 1""")
+def all_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of a column for its head: a list for each line, collected once."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    events = _read(spark, sf_dir, "events").select("user_id", "event_id", "event_type").withColumn("i", number).where("i <= 40")
+    grids = grid_of_rows(events, ["user_id"], ["event_id"], ["event_id", "event_type"])
+    found = extract(grids, "[ [VAL : 'EVENT'->AVP, RT->REC] [VAL : BW*->SUFFIX('/'), 'KINDS'->AVP] ] [ [] [AUX] ]*", ["EVENT", "KINDS"], local_cells=0)
+    return _named(found, "event", "kinds")
+
+
+@_query("""select 'orders' as table_id, (row_number() over (order by o_orderkey) - 1)::int as number, o_orderkey::varchar as orderkey, o_orderstatus as status, o_orderpriority as priority from orders""")
+def tall_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as one table, given row by row."""
+    rows = _read(spark, sf_dir, "orders").select(F.lit("orders").alias("t"), "o_orderkey", F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("cells"))
+    pattern = "[ [VAL : 'KEY'->AVP, RT*->REC] [VAL : 'STATUS'->AVP] [VAL : 'PRIORITY'->AVP] ]+"
+    return extract_rows(rows, pattern, ["KEY", "STATUS", "PRIORITY"], table_id="t", row="o_orderkey").toDF("table_id", "number", "orderkey", "status", "priority")
+
+
+@_query("""select o_custkey % 50 as table_id, o_orderkey::varchar as orderkey, o_orderstatus as status, l_partkey::varchar as part from orders join lineitem on l_orderkey = o_orderkey""")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of sections, row by row: an order's head, then its lines, each with what its section's head says."""
+    from pyspark.sql import Window
+
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 50).alias("t"))
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", number.alias("n")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    place = F.col("o_orderkey") * 1000
+    text = lambda c: F.col(c).cast("string")
+    heads = lines.select("t", "o_orderkey", "o_orderstatus").distinct().select("t", place.alias("row"), F.array(F.lit("order"), text("o_orderkey"), "o_orderstatus").alias("cells"))
+    rows = heads.union(lines.select("t", (place + F.col("n")).alias("row"), F.array(F.lit("line"), text("l_partkey"), F.lit("")).alias("cells")))
+    pattern = """{ [ ['order' ? SKIP] [VAL#'o' : 'ORDER'->AVP] [VAL#'s' : 'STATUS'->AVP] ] [ ['line' ? SKIP] [VAL : 'PART'->AVP, (ST&#'o', ST&#'s')->REC] [BLANK ? SKIP] ]+ }+"""
+    found = extract_rows(rows, pattern, ["ORDER", "STATUS", "PART"], table_id="t", row="row")
+    return _named(found, "orderkey", "status", "part")
+
+
+@_query("""select o_orderkey as table_id, o_orderkey::varchar as orderkey, o_orderstatus || '+' || o_orderpriority as next, o_custkey::varchar as last from orders""")
+def relative_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns from one to two after the anchor's."""
+    orders = _read(spark, sf_dir, "orders").select("*", F.lit("r").alias("range"), F.col("o_custkey").cast("string").alias("last"))
+    grids = grid_of_rows(orders, ["o_orderkey"], ["o_orderkey"], ["o_orderkey", "range", "o_orderstatus", "o_orderpriority", "last"])
+    pattern = "[ [VAL : 'KEY'->AVP, (ROW&C1, ROW&C+4..*)->REC] [VAL : (ROW&C+1..2)*->FILL('+'), 'NEXT'->AVP] [VAL] [VAL] [VAL : 'LAST'->AVP] ]"
+    return _named(extract(grids, pattern, ["KEY", "NEXT", "LAST"]), "orderkey", "next", "last")
+
+
+@_query("""select n_regionkey as table_id, n_name as name, coalesce(lead(n_name) over (partition by n_regionkey order by n_nationkey), '') as next from nation""")
+def row_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of rows after the anchor's, which is its first row alone."""
+    grids = grid_of_rows(_read(spark, sf_dir, "nation").withColumn("copy", F.col("n_name")), ["n_regionkey"], ["n_nationkey"], ["n_name", "copy"])
+    return _named(extract(grids, "[ [VAL : RT->REC] [VAL : (COL&R+1..2)*->FILL('+')] ]+", ["$a_1", "$a_2"]), "name", "next")
+
+
+@_query("""with ok as (select o_custkey from orders group by 1 having bool_and(contains(o_orderpriority, '-U') or contains(o_orderpriority, '-H') or contains(o_orderpriority, '-L')))
+    select o_custkey as table_id, split_part(o_orderpriority, '-', 1) as number, split_part(o_orderpriority, '-', 2) as name from orders join ok using (o_custkey)""")
+def late_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text without a delimiter fails its whole table, other tables are whole."""
+    word = F.regexp_replace("o_orderpriority", "-([UHL])", "=$1")
+    grids = grid_of_rows(_read(spark, sf_dir, "orders").withColumn("word", word), ["o_custkey"], ["o_orderkey"], ["word"])
+    return _named(extract(grids, "[ [VAL : 'NUMBER'->AVP, CL->REC '=' VAL : 'NAME'->AVP] ]+", ["NUMBER", "NAME"]), "number", "name")
+
+
+@_query("""select s_suppkey as table_id, reverse(s_name) as name, s_nationkey::varchar as nation from supplier where s_nationkey % 2 = 0""")
+def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test of cells and an extractor that are Python functions."""
+    grids = grid_of_rows(_read(spark, sf_dir, "supplier"), ["s_suppkey"], ["s_suppkey"], ["s_name", "s_nationkey"])
+    even = Bindings().cell("even", lambda text: text[-1:] in tuple("02468"))
+    name = d.val(d.avp("NAME"), d.rec(d.RT)).extract(lambda text: text[::-1])
+    own = compile_pattern("[ [VAL] [EXT('even') ? VAL : 'NATION'->AVP] ]", even)
+    cell = own.subtables[0].rows[0].subrows[0].cells[1]
+    pattern = d.table(d.row(d.cell(name), d.cell(cell.guard, d.val(d.avp("NATION")))))
+    return _named(extract(grids, pattern, ["NAME", "NATION"]), "name", "nation")
+
+
+@_query("select o_orderkey as table_id, o_orderkey::varchar as orderkey, o_orderstatus as status, o_orderpriority as priority from orders")
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named parts of a pattern's text."""
+    grids = grid_of_rows(_read(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    pattern = "$K=[VAL : RT*->REC] $V=[VAL] [ [$K] [$V] [$V] ]"
+    return _named(extract(grids, pattern, ["$a_1", "$a_2", "$a_3"]), "orderkey", "status", "priority")
+
+
+@_query("select n_regionkey as table_id, n_nationkey::varchar as key, n_name as name from nation")
+def class_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern put together level by level from classes."""
+    grids = grid_of_rows(_read(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"])
+    row = fluent.RowPattern.of(fluent.ONE_OR_MORE, fluent.CellPattern.of(d.val(d.rec(d.RT))), fluent.CellPattern.of(d.VAL))
+    return _named(extract(grids, fluent.TablePattern.of(row), ["$a_1", "$a_2"]), "key", "name")
+
+
+@_query("""select o_orderkey as table_id, case when o_orderstatus <> 'F' then o_orderkey::varchar end as orderkey, case when o_orderstatus <> 'F' then o_orderstatus end as status, o_orderstatus = 'F' as wrong from orders""")
+def wrong_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with an attribute twice are told of in a field, the others are whole."""
+    grids = grid_of_rows(_read(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    found = extract(grids, "[ [VAL : 'KEY'->AVP, RT->REC] ['F' ? VAL : 'KEY'->AVP | VAL : 'STATUS'->AVP] ]", ["KEY", "STATUS"], options=Options(on_error="null"))
+    return found.select("table_id", F.col("KEY").alias("orderkey"), F.col("STATUS").alias("status"), F.col("_error").isNotNull().alias("wrong"))
+
+
+@_query("""select p_partkey as table_id, split_part(p_name, ' ', 1) as first, split_part(p_name, ' ', 2) as second, p_type as type from part""")
+def declared_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPLIT with declared widths: no look at the data before the result is used."""
+    grids = grid_of_rows(_read(spark, sf_dir, "part").withColumn("type", F.replace("p_type", F.lit(" "), F.lit("_"))), ["p_partkey"], ["p_partkey"], ["p_name", "type"])
+    found = extract(grids, "<SPLIT(' ')> [ [VAL : 'NAME'->AVP, RT->REC] [VAL : 'TYPE'->AVP] ]", ["NAME", "TYPE"], widths={"NAME": 2})
+    return _named(found.withColumn("$a_3", F.replace("`$a_3`", F.lit("_"), F.lit(" "))), "first", "second", "type")
+
+
+@_query("""select o_custkey as table_id, o_orderkey::varchar as orderkey, o_orderstatus as status from orders where o_orderpriority = '1-URGENT'""")
+def formatted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with a font: urgent orders' keys are bold, and only rows that begin with a bold cell give records."""
+    cell = lambda text, bold: F.struct(F.col(text).cast("string").alias("text"), bold.alias("bold"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    rows = dealt(_read(spark, sf_dir, "orders"), "o_custkey").select("o_custkey", F.struct("o_orderkey", F.array(cell("o_orderkey", urgent), cell("o_orderstatus", F.lit(False))).alias("cells")).alias("row"))
+    grids = rows.groupBy(F.col("o_custkey").alias("table_id")).agg(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["cells"]).alias("grid"))
+    bold = Bindings().cell("bold", lambda c: c["bold"], whole=True)
+    found = extract(grids, "[ [EXT('bold') ? VAL : 'KEY'->AVP, RT->REC | SKIP] [VAL : 'STATUS'->AVP] ]+", ["KEY", "STATUS"], bindings=bold)
+    return _named(found, "orderkey", "status")
+
+
+@_query("select r_regionkey as table_id, r_name as region, n_name as nation from region join nation on n_regionkey = r_regionkey")
+def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region's name stands once, in a cell merged over the rows of its nations."""
+    nations = _read(spark, sf_dir, "nation").join(F.broadcast(_read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    grids = grid_of_rows(nations, ["r_regionkey"], ["n_nationkey"], ["r_name", "n_name"])
+    once = F.transform("grid", lambda row, i: F.when(i == 0, row).otherwise(F.array(F.lit(""), row[1])))
+    region = F.array(F.struct(F.lit(0).alias("top"), F.lit(0).alias("left"), (F.size("grid") - 1).alias("bottom"), F.lit(0).alias("right")))
+    filled = grids.withColumn("regions", region).withColumn("grid", once).withColumn("grid", fill_merged(F.col("grid"), F.col("regions")))
+    return _named(extract(filled, "[ [VAL : 'REGION'->AVP, RT->REC] [VAL : 'NATION'->AVP] ]+", ["REGION", "NATION"]), "region", "nation")

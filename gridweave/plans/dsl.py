@@ -1,8 +1,7 @@
 """Patterns built in Python, with the vocabulary of the text form.
 
     table(
-        row(skip(), cell(VAL, avp("AIRLINE")).one_or_more()),
-        row(cell(VAL, avp("AIRPORT")), cell(VAL, rec(COL, ROW, CL)).one_or_more()).one_or_more(),
+        row(cell(val(avp("PART"), rec(RT))), cell(not_blank(), val(avp("COLOUR")))).one_or_more(),
     )
 
 Elements take an optional guard first, then optional inherited acts(...), then their

@@ -1,7 +1,7 @@
 """Patterns written as text.
 
-    [ [] [VAL : 'AIRLINE'->AVP]+ ]
-    [ [VAL : 'AIRPORT'->AVP] [VAL : (COL, ROW, CL)->REC]+ ]+
+    { [ [VAL#'line' : 'LINE'->AVP] [BLANK ? SKIP] ]
+      [ [VAL : 'STOP'->AVP] [VAL : 'TIME'->AVP, (LT, ST&#'line')->REC] ]+ }+
 
 Reads the text into the values of `spec`.  Keywords don't mind case; actions written before
 the content of a table, subtable, row, subrow or cell are inherited by all its atoms.
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 from itertools import product
 
 from gridweave.plans import spec as S
-from gridweave.plans.spec import PatternError
+from gridweave.plans.spec import PatternError, Whole
 
 _TOKEN = re.compile(
     r"""(?P<blank>[ \t\r\n﻿]+|//[^\r\n]*)|(?P<string>"(?:`['"]|""|[^"])*"|'(?:`['"]|''|[^'])*'|“(?:`['"]|[^”″])*[”″])"""
@@ -33,7 +33,10 @@ class Bindings:
     pairs: dict[str, Callable] = field(default_factory=dict)
     columnar: frozenset[str] = frozenset()
 
-    def cell(self, name: str, call: Callable, columnar: bool = False) -> Bindings:
+    def cell(self, name: str, call: Callable, columnar: bool = False, whole: bool = False) -> Bindings:
+        """A test of a cell's text; if columnar, of the Column of the texts, with `whole` of that of the cells, structs with formatting."""
+        if whole:
+            call, columnar = Whole(call), True
         return replace(self, cells=self._with(self.cells, name, call), columnar=self.columnar | ({name} if columnar else set()))
 
     def pair(self, name: str, call: Callable, columnar: bool = False) -> Bindings:

@@ -97,6 +97,16 @@ Term = Test | Spatial | Place | SameText | PairTest
 Condition = tuple[tuple[Term, ...], ...]
 
 
+@dataclass(frozen=True)
+class Whole:
+    """A test of a whole cell, a struct, instead of its text."""
+
+    call: Callable
+
+    def __call__(self, cell):
+        return self.call(cell)
+
+
 @dataclass(frozen=True)
 class Lookup:
     """Items of the table that meet the condition, in order, at most `most` of them."""

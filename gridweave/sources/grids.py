@@ -42,6 +42,21 @@ def read_csv_grids(spark: SparkSession, path: str, strict: bool = True) -> DataF
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("table_id"), csv_grid(F.col("value"), strict).alias("grid"))
 
 
+def fill_merged(grid: Column, regions: Column) -> Column:
+    """The grid with the first cell of each merged region in all of its cells.
+
+    regions: array of structs (top, left, bottom, right), both ends included.  Of regions
+    that overlap the first counts; cells may be texts or structs.
+    """
+
+    def cell(own: Column, row: Column, col: Column) -> Column:
+        covers = F.filter(regions, lambda r: (r["top"] <= row) & (r["left"] <= col) & (r["bottom"] >= row) & (r["right"] >= col))
+        region = F.get(covers, F.lit(0))
+        return F.when(F.size(covers) > 0, F.get(F.get(grid, region["top"]), region["left"])).otherwise(own)
+
+    return F.transform(grid, lambda cells, row: F.transform(cells, lambda own, col: cell(own, row, col)))
+
+
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """(table_id, part, row, cells): one table for each file, row by row, for `extract_rows`.
 

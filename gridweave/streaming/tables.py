@@ -2,7 +2,7 @@
 
 A table is one row, so its records depend on that row alone: every micro-batch is extracted
 by itself with the batch operators, and appended.  The schema must be given, as it can't be
-found from tables yet to come.
+found from tables yet to come, and so must `widths` if a setting splits fields.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ def extract_stream(tables: DataFrame, pattern: S.Table | str, schema: list[str],
     wrote for a number is exactly-once.
     """
     pattern = compile_pattern(pattern) if isinstance(pattern, str) else pattern
+    if options.get("widths") is None and any(s[0] == "SPLIT" or s[0] == "FIELD" and not s[3] for s in pattern.settings):
+        raise ValueError("a stream of records has one schema: give the widths of fields that split")
+    options = {"widths": {}} | options
 
     def batch(rows: DataFrame, number: int) -> None:
         sink(extract(rows, pattern, schema, keep=False, **options), number)
