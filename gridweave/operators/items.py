@@ -28,13 +28,19 @@ class Atoms:
                 self.atoms.append(atom)
 
 
-def _item(text: Column, atom: S.Atom, number: int, index: Column, start: Column, end: Column) -> Column:
+def _item(text: Column, atom: S.Atom, number: int, index: Column, start: Column | None, end: Column | None) -> Column:
+    if start is None or end is None:
+        return F.struct(F.lit(number).alias("atom"), index.cast("int").alias("idx"), T.extracted(text, atom.extract).alias("s"))
     return F.struct(F.lit(number).alias("atom"), index.cast("int").alias("idx"), T.extracted(text, atom.extract).alias("s"), start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
-def _parts(text: Column, content: S.Delimited, number: int, offset: Column) -> Column:
-    """The parts of a delimited text that aren't blank, each with its place in the list."""
+def _parts(text: Column, content: S.Delimited, number: int, offset: Column | None) -> Column:
+    """The parts of a delimited text that aren't blank, each with its place in the list, and in the text if the text's offset is given."""
     width = len(content.by)
+    if offset is None:
+        placed = F.transform(T.split(text, content.by), lambda p, i: F.struct(p.alias("text"), i.alias("i")))
+        kept = F.filter(placed, lambda x: ~T.is_blank(T.trimmed(x["text"])))
+        return F.transform(kept, lambda x: _item(T.trimmed(x["text"]), content.atom, number, x["i"], None, None))
 
     start = F.struct(offset.cast("int").alias("at"), F.array().cast("array<int>").alias("starts"))
     step = lambda a, p: F.struct((a["at"] + F.length(p) + width).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
@@ -49,22 +55,22 @@ def _parts(text: Column, content: S.Delimited, number: int, offset: Column) -> C
     return F.element_at(F.transform(F.array(T.split(text, content.by)), parts), 1)
 
 
-def _leaf_items(text: Column, k: int, leaf: S.Content, atoms: Atoms) -> Column:
+def _leaf_items(text: Column, k: int, leaf: S.Content, atoms: Atoms, spans: bool) -> Column:
     zero = F.lit(0)
     match leaf:
         case S.Atom():
-            return F.array(_item(text, leaf, atoms.number[k, 0], zero, zero, F.length(text)))
+            return F.array(_item(text, leaf, atoms.number[k, 0], zero, zero if spans else None, F.length(text)))
         case S.Delimited():
-            return _parts(text, leaf, atoms.number[k, 0], zero)
+            return _parts(text, leaf, atoms.number[k, 0], zero if spans else None)
     places = segments(text, leaf)["places"]
     out = []
     for i, (_, segment) in enumerate(leaf.segments):
         place = F.get(places, F.lit(i))
         part = F.substring(text, place["from"] + 1, place["to"] - place["from"])
         if isinstance(segment, S.Delimited):
-            out.append(_parts(part, segment, atoms.number[k, i], place["from"]))
+            out.append(_parts(part, segment, atoms.number[k, i], place["from"] if spans else None))
         else:
-            out.append(F.array(_item(part, segment, atoms.number[k, i], zero, place["from"], place["to"])))
+            out.append(F.array(_item(part, segment, atoms.number[k, i], zero, place["from"] if spans else None, place["to"])))
     # Every segment, and every part of a delimited one, takes the next index; skipped ones too.
     numbered = F.transform(F.concat(*out), lambda x, i: x.withField("idx", i.cast("int")))
     skipped = [atoms.number[k, i] for i, (_, s) in enumerate(leaf.segments) if isinstance(s, S.Atom) and s.kind == S.SKIP]
@@ -89,7 +95,7 @@ def arrays_of(placed: DataFrame, pattern: S.Table) -> DataFrame:
 
     def of_cell(cell: Column, place: Column) -> Column:
         def of_text(text: Column) -> Column:
-            given = [(k, _leaf_items(text, k, leaf, atoms)) for k, leaf in enumerate(atoms.leaves)]
+            given = [(k, _leaf_items(text, k, leaf, atoms, False)) for k, leaf in enumerate(atoms.leaves)]
             return reduce(lambda a, kv: a.when(cell["leaf"] == kv[0], kv[1]), given[1:], F.when(cell["leaf"] == given[0][0], given[0][1]))
 
         def item(i: Column, n: Column) -> Column:
@@ -104,23 +110,23 @@ def arrays_of(placed: DataFrame, pattern: S.Table) -> DataFrame:
     return placed.select("table_id", (F.flatten(F.transform("cells", of_cell)) if atoms.leaves else nothing).alias("items"))
 
 
-def items(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid: str = "grid") -> DataFrame:
+def items(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid: str = "grid", spans: bool = True) -> DataFrame:
     """(table_id, seq, atom, idx, s, kind, tags, row, col, subtable, subrow, start, end) for every item of the matching tables.
 
-    seq orders a table's items as the pattern meets them; start and end are the code points
-    of the text that the item was extracted from.
+    seq orders a table's items as the pattern meets them; start and end, if spans are asked
+    for, are the code points of the text that the item was extracted from.
     """
     # An outer one, so that no filter on the cells is derived, for which they would be matched twice.
     placed = match(_named(tables, table_id, grid), pattern).select("table_id", "grid", F.posexplode_outer("cells").alias("place", "cell")).where("cell is not null")
     text_of = cell_text(is_formatted(placed, "grid"))
     text = F.coalesce(text_of(F.get(F.get("grid", F.col("cell.row")), F.col("cell.col"))), F.lit(""))
-    return items_of(placed.select("table_id", "place", "cell.*", text.alias("text")), pattern)
+    return items_of(placed.select("table_id", "place", "cell.*", text.alias("text")), pattern, spans)
 
 
-def items_of(cells: DataFrame, pattern: S.Table) -> DataFrame:
+def items_of(cells: DataFrame, pattern: S.Table, spans: bool = False) -> DataFrame:
     """The items of cells (table_id, place, row, col, leaf, subtable, subrow, text); place orders a table's cells."""
     atoms = Atoms(pattern)
-    given = [(k, _leaf_items(F.col("text"), k, leaf, atoms)) for k, leaf in enumerate(atoms.leaves)]
+    given = [(k, _leaf_items(F.col("text"), k, leaf, atoms, spans)) for k, leaf in enumerate(atoms.leaves)]
     made = reduce(lambda a, kv: a.when(F.col("leaf") == kv[0], kv[1]), given[1:], F.when(F.col("leaf") == given[0][0], given[0][1])) if given else F.array()
     out = cells.select("table_id", "place", "row", "col", "subtable", "subrow", F.posexplode(made).alias("n", "item"))
     kinds = F.array(*(F.lit(a.kind) for a in atoms.atoms))
@@ -128,5 +134,16 @@ def items_of(cells: DataFrame, pattern: S.Table) -> DataFrame:
     atom = F.col("item.atom")
     return out.select(
         "table_id", (F.col("place").cast("long") * STRIDE + F.col("n")).alias("seq"), "item.atom", "item.idx", "item.s",
-        F.get(kinds, atom).alias("kind"), F.get(tags, atom).alias("tags"), "row", "col", "subtable", "subrow", "item.start", "item.end",
+        F.get(kinds, atom).alias("kind"), F.get(tags, atom).alias("tags"), "row", "col", "subtable", "subrow", *(("item.start", "item.end") if spans else ()),
     )
+
+
+def most_items(pattern: S.Table, grid: Column, text_of) -> Column | None:
+    """How many items the delimited cells of a grid have at most; None if the pattern has no such cells."""
+    contents = [p for leaf in Shape(pattern).leaves for p in (leaf.segments if isinstance(leaf, S.Compound) else [(None, leaf)])]
+    marks = sorted({c.by for _, c in contents if isinstance(c, S.Delimited) and c.by})
+    if not marks:
+        return None
+    cells = F.transform(F.flatten(grid), lambda c: F.coalesce(text_of(c), F.lit("")))
+    count = lambda c, by: ((F.length(c) - F.length(F.replace(c, F.lit(by), F.lit("")))) / len(by)).cast("long") + 1
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda n, c: n + F.greatest(*(count(c, m) for m in marks), F.lit(0).cast("long")))

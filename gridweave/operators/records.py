@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.operators.items import Atoms, items
+from gridweave.operators.items import Atoms, items, most_items
 from gridweave.operators.lookups import with_operands
+from gridweave.operators.match import cell_text, is_formatted
 from gridweave.plans import spec as S
 
 #: The field that says what is wrong with a record, if errors don't fail the query.
@@ -344,8 +345,8 @@ def named_again(df: DataFrame) -> DataFrame:
 def records(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """(table_id, rec_no, members) of all matching tables; members not named by the pattern have no attribute yet.
 
-    A table of up to `local_cells` cells stays one row: its items and records are arrays, and
-    nothing is shuffled.  The items of larger tables become rows, which lookups join.  Both
+    A table of up to `local_cells` cells, and parts of delimited cells, stays one row: its
+    items and records are arrays, and nothing is shuffled.  The items of larger tables become rows, which lookups join.  Both
     give the same; 0 has all tables done as rows.  keep: the items are persisted where
     several joins read them.  Every input row is a table, whatever its id.
     """
@@ -362,12 +363,15 @@ def records_of(tables: DataFrame, pattern: S.Table, options: Options | None = No
         return checked(_by_rows(tables, pattern, options, table_id, grid, keep), options)
     cells = F.size(F.col(grid)) * F.coalesce(F.size(F.get(F.col(grid), F.lit(0))), F.lit(0))
     small = F.coalesce(cells <= local_cells, F.lit(True))
+    made = most_items(pattern, F.col(grid), cell_text(is_formatted(tables, grid)))
+    if made is not None:  # delimited cells may have many items each
+        small = small & F.coalesce(made <= local_cells, F.lit(True))
     own = local.records(tables.where(small), pattern, options, table_id, grid)
     return checked(own.union(_by_rows(tables.where(~small), pattern, options, table_id, grid, keep)), options)
 
 
 def _by_rows(tables: DataFrame, pattern: S.Table, options: Options, table_id: str, grid: str, keep: bool) -> DataFrame:
-    return records_of_items(items(tables, pattern, table_id, grid), pattern, options, keep)
+    return records_of_items(items(tables, pattern, table_id, grid, spans=False), pattern, options, keep)
 
 
 def records_of_items(found: DataFrame, pattern: S.Table, options: Options, keep: bool) -> DataFrame:
