@@ -60,8 +60,11 @@ class Mix:
     pieces: DataFrame
 
 
+WORD = r"[^\x20\x09-\x0D]++"
+
+
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def starts(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...], size: str, count: int) -> DataFrame:
@@ -266,8 +269,15 @@ def mixed_texts(docs: DataFrame, made: Mix, seed: int = 0, id_col: str = "doc_id
     """
     doc_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     texts = docs.select(key_hash(doc_id, text, seed).alias("hash"), doc_id.alias("doc_id"), text.alias("text")).groupBy("hash", "doc_id").agg(F.min("text").alias("text"))
-    placed = shuffled(made.pieces, seed).withColumn("hash", F.col("doc.hash")).withColumn("doc_id", F.col("doc.doc_id"))
-    met = placed.join(texts, (placed["hash"] == texts["hash"]) & placed["doc_id"].eqNullSafe(texts["doc_id"]))
-    words = F.regexp_extract_all(texts["text"], F.lit(r"[^\x20\x09-\x0D]++"), F.lit(0))
-    part = F.when((F.col("first_word") == 0) & (F.col("words") == word_count(texts["text"])), texts["text"]).otherwise(F.array_join(F.slice(words, F.col("first_word").cast("int") + 1, F.col("words").cast("int")), " "))
-    return met.select("shard", "position", placed["doc_id"], "pass", part.alias("text"))
+    placed = shuffled(made.pieces, seed).select(F.col("doc.hash").alias("of"), F.col("doc.doc_id").alias("id"), F.struct("shard", "position", "pass", "first_word", "words").alias("piece"))
+    by_doc = placed.groupBy("of", "id").agg(F.collect_list("piece").alias("pieces"))
+    met = by_doc.join(texts, (F.col("of") == F.col("hash")) & F.col("id").eqNullSafe(F.col("doc_id")))
+
+    def parts(words: Column) -> Column:
+        """A document's pieces with their texts; the document is split into words once."""
+        whole = lambda p: (p["first_word"] == 0) & (p["words"] == F.size(words))
+        part = lambda p: F.array_join(F.slice(words, p["first_word"].cast("int") + 1, p["words"].cast("int")), " ")
+        return F.transform("pieces", lambda p: F.struct(p["shard"].alias("shard"), p["position"].alias("position"), p["pass"].alias("pass"), F.when(whole(p), F.col("text")).otherwise(part(p)).alias("text")))
+
+    cut_up = _bound(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), parts)
+    return met.select("doc_id", F.explode(cut_up).alias("p")).select("p.shard", "p.position", "doc_id", "p.pass", "p.text")
