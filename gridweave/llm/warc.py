@@ -2,9 +2,10 @@
 
 Writing: of captures with equal payloads of at least REVISIT_BYTES bytes the one with the
 smallest id becomes a response record, the others revisit records without the payload.
-Records are built as columns, dealt to archives of about ARCHIVE_BYTES of payload, and
-written by Spark's text writer, whose separator is the two line ends that close a record, so
-archives go to any store Spark writes to.
+Records are built as columns, dealt to partitions of about PART_BYTES of payload, and written
+by Spark's text writer, whose separator is the two line ends that close a record, so archives
+go to any store Spark writes to.  A partition is rolled into archives by number of records:
+as many as have ARCHIVE_BYTES on average, for rows are dealt at random.
 
 Reading: each archive is parsed by its records' Content-Length; a response's payload is
 held against its digest.  Each archive gives one locally sorted run of captures.  Runs are
@@ -39,6 +40,7 @@ from gridweave.llm.common import cut, sized
 REVISIT_BYTES = 100
 RECORDS_A_FILE = 2000
 ARCHIVE_BYTES = 16 << 20
+PART_BYTES = 1 << 30
 #: About how many rows a key range has, unless there would be more than MAX_RANGES.
 RANGE_ROWS = 2000
 MAX_RANGES = 1 << 14
@@ -79,12 +81,13 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return known.select("deal", F.concat(header.cast("binary"), body).cast("string").alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, archive_bytes: int = ARCHIVE_BYTES, payload_col: str = "html", **options) -> None:
+def write_archives(pages: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, archive_bytes: int = ARCHIVE_BYTES, payload_col: str = "html", part_bytes: int = PART_BYTES, **options) -> None:
     """Write the pages as gzip-compressed WARC files under `path`, of about so many bytes of payload and so many records at most."""
-    total = pages.agg(F.sum(F.octet_length(F.col(f"`{payload_col}`")))).first()[0] or 0
-    archives = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // archive_bytes))
-    dealt = records(pages, payload_col=payload_col, **options).repartition(archives, "deal").select("record")
-    dealt.write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+    count, total = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(f"`{payload_col}`"))), F.lit(0))).first()
+    parts = max(pages.sparkSession.sparkContext.defaultParallelism, -(-total // part_bytes))
+    roll = max(1, min(records_a_file, archive_bytes * count // max(1, total)))
+    dealt = records(pages, payload_col=payload_col, **options).repartition(parts, "deal").select("record")
+    dealt.write.option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", roll).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
