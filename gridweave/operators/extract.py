@@ -46,7 +46,7 @@ def extract(
     table_id: str = "table_id",
     grid: str = "grid",
     keep: bool = True,
-    local_cells: int = LOCAL_CELLS,
+    local_cells: int | None = LOCAL_CELLS,
     widths: dict[str, int] | None = None,
 ) -> DataFrame:
     """The records of all tables that match: table_id, rec_no and a string column for each attribute.

@@ -342,24 +342,27 @@ def named_again(df: DataFrame) -> DataFrame:
     return df.withColumn("table_id", F.col("table_id.id"))
 
 
-def records(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
+def records(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int | None = LOCAL_CELLS) -> DataFrame:
     """(table_id, rec_no, members) of all matching tables; members not named by the pattern have no attribute yet.
 
     A table of up to `local_cells` cells, and parts of delimited cells, stays one row: its
     items and records are arrays, and nothing is shuffled.  The items of larger tables become rows, which lookups join.  Both
-    give the same; 0 has all tables done as rows.  keep: the items are persisted where
+    give the same; 0 has all tables done as rows, None all as arrays, with half the plan, for
+    tables known to be small.  keep: the items are persisted where
     several joins read them.  Every input row is a table, whatever its id.
     """
     return named_again(records_of(identified(tables, table_id, grid), pattern, options, keep, local_cells))
 
 
-def records_of(tables: DataFrame, pattern: S.Table, options: Options | None = None, keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
+def records_of(tables: DataFrame, pattern: S.Table, options: Options | None = None, keep: bool = True, local_cells: int | None = LOCAL_CELLS) -> DataFrame:
     """What `records` gives for tables (table_id, grid) of different ids."""
     from gridweave.operators import local
 
     options = options or Options()
     table_id, grid = "table_id", "grid"
-    if local_cells <= 0 or not local.possible(pattern):
+    if local_cells is None and local.possible(pattern):
+        return checked(local.records(tables, pattern, options, table_id, grid), options)
+    if not local_cells or local_cells < 0 or not local.possible(pattern):
         return checked(_by_rows(tables, pattern, options, table_id, grid, keep), options)
     cells = F.size(F.col(grid)) * F.coalesce(F.size(F.get(F.col(grid), F.lit(0))), F.lit(0))
     small = F.coalesce(cells <= local_cells, F.lit(True))
@@ -389,6 +392,6 @@ def records_of_items(found: DataFrame, pattern: S.Table, options: Options, keep:
     return joined(out) if any(x.op == "JOIN" for a in atoms for x in a.actions) else numbered(out)
 
 
-def record_fields(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int = LOCAL_CELLS) -> DataFrame:
+def record_fields(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int | None = LOCAL_CELLS) -> DataFrame:
     """The records of all matching tables in long form: (table_id, rec_no, pos, attr, val, visit)."""
     return named_again(fields(records_of(identified(tables, table_id, grid), pattern, options, keep, local_cells), options or Options()))
