@@ -11,6 +11,9 @@ The automaton is rebuilt once per Python worker from the broadcast ranks (their
 fixed by the vocabulary file).  Pieces are memoised, up to twice MEMO entries per worker.
 
 Defined cases: null counts as empty, which has no tokens and decodes to the empty string.
+Each row is encoded by itself: repeated rows have equal ids, null and repeated doc_ids don't
+matter, an empty table gives an empty result, and a very long text is split and packed in
+steps of _STEP pieces, a single long piece in time linear in it.
 """
 
 from __future__ import annotations

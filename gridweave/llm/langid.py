@@ -13,6 +13,9 @@ languages out.  At most MAX_GRAMS n-grams a language are kept.  Prediction reads
 
 Defined cases: null texts and texts without a letter are UNKNOWN with score 0, as is any
 text when no language could be learned.  Ties go to the language that sorts first.
+Rows without an id share one hash, so those of a language are in the sample all or none; a
+repeated row is as many rows, in the sample and in the result; an empty table gives an empty
+result.  Very long texts are read whole, a piece at a time.
 """
 
 from __future__ import annotations

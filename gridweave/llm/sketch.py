@@ -10,7 +10,9 @@ Everything is a row-wise expression; no step explodes shingles or shuffles texts
 
 Defined cases: null counts as empty; a text without words has the empty sketch; fewer words
 than a shingle are one shingle.  Two empty sketches resemble each other fully, an empty one
-resembles no other.
+resembles no other.  Rows of one id follow each other in the order of their texts, repeated
+rows too; rows without an id come last (see `neighbours`); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ prior is the share of toxic among all labelled training rows.
 
 Defined cases: null and empty texts have no features and score as such; of several labels
 of a document the greatest counts; without a toxic training row, or without a feature, every
-score is the prior.
+score is the prior.  Rows without an id have no label and are never fitted on, but scored;
+rows of one id have that id's label each, and are in the sample all or none; repeated rows
+have equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
