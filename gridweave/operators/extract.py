@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.operators import transforms
-from gridweave.operators.items import Atoms
-from gridweave.operators.records import ERROR, LOCAL_CELLS, Options, fields, identified, named_again, records_of, static_names
+from gridweave.operators.items import Atoms, item_arrays
+from gridweave.operators.lookups import kinds_for
+from gridweave.operators.records import ERROR, LOCAL_CELLS, Options, fields, identified, literals_of, named_again, records_of, static_names
 from gridweave.plans import spec as S
 from gridweave.plans.rtl import Bindings, compile_pattern
 
@@ -81,3 +82,21 @@ def matching(tables: DataFrame, pattern: S.Table | str, bindings: Bindings | Non
 
     pattern = compile_pattern(pattern, bindings) if isinstance(pattern, str) else pattern
     return match(tables, pattern, grid).withColumn("matched", F.col("cells").isNotNull()).drop("cells")
+
+
+def inspected(tables: DataFrame, pattern: S.Table | str, bindings: Bindings | None = None, table_id: str = "table_id", grid: str = "grid") -> DataFrame:
+    """(table_id, matched, items, actions, constants) for each table: what matching makes of it.
+
+    items: how many each kind has; actions: how many actions their items have, inherited ones
+    that a kind doesn't allow left out; constants: how many different texts the pattern's
+    actions name.  Zero for tables that don't match.
+    """
+    pattern = compile_pattern(pattern, bindings) if isinstance(pattern, str) else pattern
+    atoms = Atoms(pattern).atoms
+    found = item_arrays(tables, pattern, table_id, grid)
+    items = F.coalesce("items", F.array())
+    of_kind = lambda kind: F.size(F.filter(items, lambda i: i["kind"] == kind))
+    acts = F.array(*(F.lit(sum(not x.inherited or a.kind in kinds_for(x.op)[0] for x in a.actions)) for a in atoms), F.lit(0))
+    total = F.aggregate(items, F.lit(0), lambda n, i: n + F.get(acts, i["atom"]))
+    kinds = F.struct(*(of_kind(k).alias(k.lower()) for k in (S.VAL, S.ATTR, S.AUX)))
+    return found.select("table_id", F.col("items").isNotNull().alias("matched"), kinds.alias("items"), total.alias("actions"), F.when(F.col("items").isNotNull(), len(literals_of(atoms))).otherwise(0).alias("constants"))

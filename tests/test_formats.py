@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.operators.extract import extract
+from gridweave.operators.extract import extract, inspected
 from gridweave.plans import spec as S
 from gridweave.plans.rtl import Bindings
 from gridweave.sources.grids import fill_merged
@@ -68,3 +68,10 @@ def test_streams_have_one_schema(spark, tmp_path):
     extract_stream(source, SPLIT, ["A", "B"], parquet_sink(str(tmp_path / "out")), str(tmp_path / "check"), widths={"A": 2}).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("table_id").collect()
     assert [tuple(r)[2:5] for r in got] == [("a", "b", "c"), ("d", "", "e")]
+
+
+def test_inspection(spark):
+    df = spark.createDataFrame([(1, [["a", "b,c"], ["d", ""]]), (2, [["x"]]), (None, None)], "table_id int, grid array<array<string>>")
+    pattern = "'N'->AVP [ [VAL : ('q', RT)->REC] [(ATTR : LT->FILL){','}] ]+"
+    got = {r.table_id: tuple(r)[1:] for r in inspected(df, pattern).collect()}
+    assert got == {1: (True, (2, 2, 0), 6, 2), 2: (False, (0, 0, 0), 0, 0), None: (False, (0, 0, 0), 0, 0)}
