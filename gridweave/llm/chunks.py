@@ -241,11 +241,12 @@ def _compared(texts: DataFrame, aligned: DataFrame, margin: int, min_words: int)
     open_at = lambda place: (place <= 0) | (place > F.length("text")) | F.substring(F.col("text"), place, F.lit(1)).isin([" ", *"\t\n\x0b\x0c\r"])
     edges = [F.when(F.col("side.own"), F.xxhash64("text")).alias("print"), open_at(F.col("from")).alias("begins"), open_at(F.col("to") + 1).alias("ends")]
     ongoing = (F.col("side.at") + F.col("to") - F.col("from") < F.length("text")).alias("after")
-    taken = cut(asked.join(held, F.col("side.id") == F.col("id")).select(*key, "low", "high", "from", "side.own", *edges, ongoing, part.alias("part")))
-    left = taken.where("own").select(*key, "low", "high", "from", "print", "begins", "ends", F.col("after").alias("own_after"), F.col("part").alias("own"))
-    right = taken.where("not own").select(*key, F.col("after").alias("other_after"), F.col("part").alias("text"))
+    taken = asked.join(held, F.col("side.id") == F.col("id")).select(*key, "low", "high", "from", "side.own", *edges, ongoing, part.alias("part"))
+    # Both sides of an alignment meet by one shuffle of their parts.
+    own, other = (lambda c: F.first(F.when(F.col("own"), F.col(c)), ignorenulls=True)), (lambda c: F.first(F.when(~F.col("own"), F.col(c)), ignorenulls=True))
+    met = taken.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("low", "high", "from")), *(own(c).alias(c) for c in ("print", "begins", "ends")), (own("after") & other("after")).alias("after"), own("part").alias("left"), other("part").alias("text"))
     before = F.col("from") > F.greatest(F.lit(0), F.col("shift"))
-    both = left.join(right, key).select(*key, "low", "high", "print", "from", "begins", "ends", before.alias("before"), (F.col("own_after") & F.col("other_after")).alias("after"), "own", "text")
+    both = met.select(*key, "low", "high", "print", "from", "begins", "ends", before.alias("before"), "after", F.col("left").alias("own"), "text")
     return both.mapInArrow(partial(_verify, min_words=min_words), _FOUND)
 
 
