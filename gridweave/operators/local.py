@@ -6,6 +6,8 @@ of a lookup grows with the square of the items, which the limit on cells bounds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,12 +87,12 @@ def records_of_items(out: DataFrame, pattern: S.Table, options: R.Options) -> Da
         out = out.withColumn("items", F.transform(items, lambda i: _with(i, val=i["s"])))
     out = out.withColumn("items", F.transform(items, lambda i: _with(i, attr=attribute(i))))
 
-    join = R.joins_by_key(pattern) if options.actions_by == "row" else None
+    groups = R.grouping(pattern, options)
     literals = R.literals_of(atoms)
     has = [n for n, a in enumerate(atoms) if R.first_record(a) is not None]
     places = ("row", "col") if options.actions_by == "row" else ("col", "row")
     nothing = F.array().cast(R.JOINS)
-    has_joins = not join and any(x.op == "JOIN" for a in atoms for x in a.actions)
+    has_joins = not groups and any(x.op == "JOIN" for a in atoms for x in a.actions)
 
     def record(item: Column) -> Column:
         x = get(item)
@@ -98,16 +100,16 @@ def records_of_items(out: DataFrame, pattern: S.Table, options: R.Options) -> Da
         own = [x(places[0]).alias("o1"), x(places[1]).alias("o2"), x("seq").alias("seq"), R.by_atom(atoms, lambda a: R.members_of(a, x, found, literals), F.array().cast(R.MEMBERS), x).alias("members")]
         if has_joins:
             own.append(R.by_atom(atoms, lambda a: R.joins_of(a, found), nothing, x).alias("joins"))
-        if join:
-            own += [x(n).alias(n) for n in ("subtable", "col", "s")]
+        if groups:
+            own += [x(n).alias(n) for n in groups.by]
         return F.struct(*own)
 
     made = F.array_sort(F.transform(F.filter(items, lambda i: i["atom"].isin(has)), record))
     out = out.select("table_id", made.alias("records"))
-    if join:
-        all_, same = F.col("records"), lambda a, b: (a["subtable"] == b["subtable"]) & (a["col"] == b["col"]) & (a["s"] == b["s"])
+    if groups:
+        all_, same = F.col("records"), lambda a, b: reduce(Column.__and__, (a[n] == b[n] for n in groups.by), F.lit(True))
         heads = F.filter(all_, lambda r: ~F.exists(all_, lambda q: same(q, r) & (q["seq"] < r["seq"])))
-        out = out.withColumn("records", F.transform(heads, lambda r: F.struct(r["seq"].alias("seq"), R.merged_members(r, F.filter(all_, lambda q: same(q, r) & (q["seq"] > r["seq"])), join.drop).alias("members"))))
+        out = out.withColumn("records", F.transform(heads, lambda r: F.struct(r["seq"].alias("seq"), R.merged_members(r, F.filter(all_, lambda q: same(q, r) & (q["seq"] > r["seq"])), groups.drop).alias("members"))))
     elif has_joins:
-        return R.joined_tables(out)
+        return R.joined_tables(out).select("table_id", "rec_no", "members")
     return out.select("table_id", F.posexplode_outer("records").alias("rec_no", "r")).where("r is not null").select("table_id", "rec_no", "r.members")

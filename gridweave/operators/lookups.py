@@ -113,6 +113,12 @@ def condition_of(condition: S.Condition, a, c) -> Column:
     return reduce(Column.__and__, [*map(equal, sorted(shared)), c("seq") != a("seq"), either])
 
 
+def common_columns(lookup: S.Lookup) -> set[str]:
+    """The columns in which an item and all that the lookup finds for it are equal."""
+    branches = [set().union(*map(_keys, branch)) for branch in lookup.condition]
+    return {own for own, other, offset in set.intersection(*branches) if own == other and not offset} if branches else set()
+
+
 def join_condition(condition: S.Condition) -> Column:
     """The condition of the self-join."""
     a, c = (lambda n: F.col(ANCHOR + n)), (lambda n: F.col(n))

@@ -3,7 +3,8 @@
 Strings are filled and extended first, then attributes are given, then records are made,
 then joined.  Except for joins everything is an expression on the item and its operands, or
 one join for attributes and values; a join of records, where an earlier one decides what is
-left for a later one, is folded within each table.
+left for a later one, is a group if all of a line find each other, and else folded within
+each line that the joins of a table can't leave.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.operators.items import Atoms, items, most_items
-from gridweave.operators.lookups import with_operands
+from gridweave.operators.lookups import common_columns, with_operands
 from gridweave.operators.match import cell_text, is_formatted
 from gridweave.plans import spec as S
 
@@ -162,21 +163,47 @@ def joins_of(atom: S.Atom, found) -> Column | None:
     return F.array(*(F.struct(F.coalesce(others(act), F.array().cast("array<bigint>")).alias("found"), drop(act).alias("drop")) for act in acts))
 
 
-def joins_by_key(pattern: S.Table) -> S.Action | None:
-    """The JOIN of a pattern whose records all come from one atom, one to a cell, and each take in all those below with their string.
+@dataclass(frozen=True)
+class Grouping:
+    """Joins whose records fall into groups by some columns; the first of a group takes in the others."""
+
+    by: tuple[str, ...]
+    drop: tuple[int, ...]
+
+
+#: What cells have in common that all find each other so, or of which each finds all behind it.
+_GROUPS = {"BW": ("subtable", "col"), "SC": ("subtable", "col"), "RT": ("row", "subrow"), "SR": ("row", "subrow"), "COL": ("col",), "ROW": ("row",), "ST": ("subtable",), "NCL": ()}
+
 
-    Such records fall into groups by line and string, of which the first takes in the others.
+def grouping(pattern: S.Table, options: Options) -> Grouping | None:
+    """The groups that the pattern's joins make, if a record finds all others of its line, or of those with its string, or all behind it.
+
+    For that every record is the only one of its cell and has the same unlimited JOIN.  The
+    first record of a line then leaves no other for a later one.
     """
     anchors = [(c, a) for c in S.contents(pattern) for a in S.atoms_of(c) if first_record(a) is not None]
-    makers = [a for _, a in anchors]
-    joins = [x for a in makers for x in a.actions if x.op == "JOIN"]
-    if len(makers) != 1 or len(joins) != 1 or not isinstance(anchors[0][0], S.Atom | S.Conditional) or len(joins[0].providers) != 1:
+    joins = [[x for x in a.actions if x.op == "JOIN"] for _, a in anchors]
+    if options.actions_by != "row" or not anchors or any(len(own) != 1 for own in joins) or not all(isinstance(c, S.Atom | S.Conditional) for c, _ in anchors):
+        return None
+    providers, drop = joins[0][0].providers, joins[0][0].drop
+    if len(providers) != 1 or any((own[0].providers, own[0].drop) != (providers, drop) for own in joins):
         return None
-    lookup = joins[0].providers[0]
+    lookup = providers[0]
     if not isinstance(lookup, S.Lookup) or lookup.most is not None or lookup.order != S.ROW_MAJOR or len(lookup.condition) != 1:
         return None
-    terms = list(lookup.condition[0])
-    return joins[0] if len(terms) == 2 and S.Spatial("BW") in terms and S.SameText() in terms else None
+    terms = lookup.condition[0]
+    text = ("s",) if S.SameText() in terms else ()
+    places = [t for t in terms if t != S.SameText()]
+    if not places:
+        return Grouping(text, drop)
+    by = _GROUPS.get(places[0].name) if isinstance(places[0], S.Spatial) and len(places) == 1 else None
+    return None if by is None else Grouping(by + text, drop)
+
+
+def join_lines(atoms: list[S.Atom]) -> list[str]:
+    """Columns in which a record and all that its joins find are equal: no join leaves such a line."""
+    lookups = [p for a in atoms if first_record(a) is not None for x in a.actions if x.op == "JOIN" for p in x.providers if isinstance(p, S.Lookup)]
+    return sorted(set.intersection(*map(common_columns, lookups))) if lookups else []
 
 
 def merged_members(first: Column, others: Column, drop: tuple[int, ...]) -> Column:
@@ -192,27 +219,28 @@ def merged_members(first: Column, others: Column, drop: tuple[int, ...]) -> Colu
     return F.element_at(F.transform(F.array(every), fresh), 1)
 
 
-def made(named: DataFrame, atoms: list[S.Atom], options: Options, join: S.Action | None = None) -> DataFrame:
+def made(named: DataFrame, atoms: list[S.Atom], options: Options, groups: Grouping | None = None) -> DataFrame:
     """(table_id, o1, o2, seq, members, joins): the records in the order of their anchors, members with attribute and value.
 
-    With `join`, a join by key, these have columns subtable, col and s instead of joins.
+    With groups these have the columns that make them instead of joins; without, `joins` and
+    those of `join_lines`.
     """
     literals = literals_of(atoms)
     has = [n for n, a in enumerate(atoms) if first_record(a) is not None]
     places = ("row", "col") if options.actions_by == "row" else ("col", "row")
-    full = with_operands(named, atoms, ("REC",) if join else ("REC", "JOIN"), ("seq", "attr", "val"), F.col("atom").isin(has) if has else F.lit(False))
+    full = with_operands(named, atoms, ("REC",) if groups else ("REC", "JOIN"), ("seq", "attr", "val"), F.col("atom").isin(has) if has else F.lit(False))
     members = by_atom(atoms, lambda a: members_of(a, F.col, _in_ops, literals), F.array().cast(MEMBERS))
-    rest = ["subtable", "col", "s"] if join else [by_atom(atoms, lambda a: joins_of(a, _in_ops), F.array().cast(JOINS)).alias("joins")]
+    rest = list(groups.by) if groups else [by_atom(atoms, lambda a: joins_of(a, _in_ops), F.array().cast(JOINS)).alias("joins"), *join_lines(atoms)]
     return full.select("table_id", F.col(places[0]).alias("o1"), F.col(places[1]).alias("o2"), "seq", members.alias("members"), *rest)
 
 
-def joined_by_key(records: DataFrame, join: S.Action) -> DataFrame:
-    """(table_id, rec_no, members) after a join by key: a group for each line and string."""
+def joined_by_groups(records: DataFrame, groups: Grouping) -> DataFrame:
+    """(table_id, rec_no, members) after a join by groups."""
     row = F.struct("o1", "o2", "seq", "members")
-    groups = records.groupBy("table_id", "subtable", "col", "s").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    found = records.groupBy("table_id", *groups.by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     first = F.col("rows")[0]
     others = F.slice("rows", 2, F.greatest(F.lit(1), F.size("rows")))
-    return numbered(groups.select("table_id", first["o1"].alias("o1"), first["o2"].alias("o2"), first["seq"].alias("seq"), merged_members(first, others, join.drop).alias("members")))
+    return numbered(found.select("table_id", first["o1"].alias("o1"), first["o2"].alias("o2"), first["seq"].alias("seq"), merged_members(first, others, groups.drop).alias("members")))
 
 
 def _fold(records: list[dict]) -> list[dict]:
@@ -228,11 +256,11 @@ def _fold(records: list[dict]) -> list[dict]:
                     own += [m for i, m in enumerate(alive.pop(other)) if i not in join["drop"]]
             seen: set[str] = set()
             alive[record["seq"]] = [m for m in own if m["attr"] is None or not (m["attr"] in seen or seen.add(m["attr"]))]
-    return [{"seq": r["seq"], "members": alive[r["seq"]]} for r in records if r["seq"] in alive]
+    return [{**r, "members": alive[r["seq"]]} for r in records if r["seq"] in alive]
 
 
 def joined_tables(tables: DataFrame) -> DataFrame:
-    """(table_id, rec_no, members) after the joins of tables (table_id, records), the records in order."""
+    """(table_id, rec_no, o1, o2, seq, members) after the joins of tables, or of lines of them, (table_id, records), the records in order."""
     member = pa.struct([("seq", pa.int64()), ("attr", pa.string()), ("val", pa.string())])
 
     def joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +268,18 @@ def joined_tables(tables: DataFrame) -> DataFrame:
             found = [_fold(t.as_py() or []) for t in batch.column("records")]
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])
             numbers = pa.array([i for f in found for i in range(len(f))], pa.int32())
+            places = [pa.array([r[n] for f in found for r in f], pa.int64()) for n in ("o1", "o2", "seq")]
             members = pa.array([r["members"] for f in found for r in f], pa.list_(member))
-            yield pa.RecordBatch.from_arrays([batch.column("table_id").take(pa.array(at)), numbers, members], ["table_id", "rec_no", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("table_id").take(pa.array(at)), numbers, *places, members], ["table_id", "rec_no", "o1", "o2", "seq", "members"])
 
     kind = tables.schema["table_id"].dataType.simpleString()
-    return tables.select("table_id", "records").mapInArrow(joined_batches, f"table_id {kind}, rec_no int, members {MEMBERS}")
+    return tables.select("table_id", "records").mapInArrow(joined_batches, f"table_id {kind}, rec_no int, o1 long, o2 long, seq long, members {MEMBERS}")
 
 
-def joined(records: DataFrame) -> DataFrame:
-    """(table_id, rec_no, members) after the joins."""
-    return joined_tables(records.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("o1", "o2", "seq", "members", "joins"))).alias("records")))
+def joined(records: DataFrame, lines: list[str]) -> DataFrame:
+    """(table_id, rec_no, members) after the joins, which are folded line by line."""
+    row = F.struct("o1", "o2", "seq", "members", "joins")
+    return numbered(joined_tables(records.groupBy("table_id", *lines).agg(F.sort_array(F.collect_list(row)).alias("records"))))
 
 
 def numbered(records: DataFrame) -> DataFrame:
@@ -385,11 +415,11 @@ def records_of_items(found: DataFrame, pattern: S.Table, options: Options, keep:
     named = attributed(valued(found, atoms), atoms)
     if has_strings(atoms) or has_found_attributes(atoms):
         named = hold(named)
-    join = joins_by_key(pattern) if options.actions_by == "row" else None
-    out = made(named, atoms, options, join)
-    if join:
-        return joined_by_key(out, join)
-    return joined(out) if any(x.op == "JOIN" for a in atoms for x in a.actions) else numbered(out)
+    groups = grouping(pattern, options)
+    out = made(named, atoms, options, groups)
+    if groups:
+        return joined_by_groups(out, groups)
+    return joined(out, join_lines(atoms)) if any(x.op == "JOIN" for a in atoms for x in a.actions) else numbered(out)
 
 
 def record_fields(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int | None = LOCAL_CELLS) -> DataFrame:

@@ -15,7 +15,7 @@ from gridweave.operators import transforms
 from gridweave.operators.chunked import extract_rows
 from gridweave.operators.extract import extract, matching
 from gridweave.operators.items import items
-from gridweave.operators.records import Options
+from gridweave.operators.records import Options, records
 from gridweave.plans import dsl as d
 from gridweave.plans import fluent
 from gridweave.plans.rtl import Bindings, compile_pattern
@@ -125,6 +125,26 @@ def join_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(found, "flag", *(f"part{i}" for i in range(1, 14)))
 
 
+@_query("""with r as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)
+    select o_custkey as table_id, max(case when n = 1 then o_orderkey::varchar end) as first_order, string_agg(o_orderstatus, '' order by n) as statuses, count(*) as orders from r group by 1""")
+def join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each order of a customer, all joined into the first, whatever its key."""
+    grids = grid_of_rows(_read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    found = records(grids, compile_pattern("[ [VAL : RT->REC, ST*->JOIN(0)] [VAL] ]+"))
+    rest = F.slice("members", 2, F.size("members"))
+    return found.select("table_id", F.col("members")[0]["val"].alias("first_order"), F.array_join(F.transform(rest, lambda m: m["val"]), "").alias("statuses"), F.size(rest).cast("long").alias("orders"))
+
+
+@_query("""with r as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders)
+    select o_custkey as table_id, max(case when n % 2 = 0 then o_orderkey::varchar end) as first_order, max(case when n % 2 = 0 then o_orderstatus end) as status,
+    max(case when n % 2 = 1 then o_orderstatus end) as next_status from r group by o_custkey, n // 2""")
+def join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order takes in the next one of its customer, unless it was taken in itself."""
+    grids = grid_of_rows(_read(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    found = extract(grids, "[ [VAL : RT->REC, BW->JOIN(0)] [VAL] ]+", ["$a_1", "$a_2", "$a_3"])
+    return _named(found, "first_order", "status", "next_status")
+
+
 @_query("select p_partkey as table_id, split_part(p_brand, '#', 1) as make, split_part(p_brand, '#', 2) as number from part")
 def compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     grids = grid_of_rows(_read(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey"], ["p_brand"])
