@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -294,9 +294,10 @@ class Shards:
             if not os.path.exists(counts):
                 own = pq.read_table(f"{root}/{name}", columns=["key", "n"])
                 for path, column in ((keys, "key"), (counts, "n")):  # counts last: they say that both are there
-                    with tempfile.NamedTemporaryFile(dir=root, delete=False) as f:
+                    # Named like the file it becomes: a relative root may lie on another mount than its absolute path.
+                    with open(unfinished := f"{path}.{uuid.uuid4().hex}", "wb") as f:
                         np.save(f, own.column(column).to_numpy())
-                    os.replace(f.name, path)
+                    os.replace(unfinished, path)
             part = tuple(np.load(p, mmap_mode="r") for p in (keys, counts))
             if len(part[0]):
                 self.parts.append(part)

@@ -131,3 +131,26 @@ def test_long_runs(pair):
     a = tokenizers.Tokenizer.from_file(A)
     for text in (" " * 130_000, "x" * 130_000, "^" * 300_000, "é" * 70_000, "a" + " " * 200_000 + "b", "\n" * 131_000):
         assert t._a_ids(text) == a.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_shards_under_a_relative_root_stay_on_its_mount(tmp_path, monkeypatch):
+    """An executor's root is "./": what is renamed must not be named by another way to the same folder."""
+    import errno
+    import os
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    moved = os.replace
+
+    def by_one_mount(source, target):
+        if os.path.isabs(source) != os.path.isabs(target):
+            raise OSError(errno.EXDEV, "Invalid cross-device link", source, None, target)
+        moved(source, target)
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(os, "replace", by_one_mount)
+    pq.write_table(pa.table({"key": [3, 5, 9], "n": [1, 4, 2]}), "part-0.parquet")
+    assert align.Shards(["part-0.parquet"], ".").counts(np.array([5, 9])).tolist() == [4, 2]
+    assert sorted(os.listdir()) == ["part-0.parquet", "part-0.parquet.key.npy", "part-0.parquet.n.npy"]
