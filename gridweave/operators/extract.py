@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from gridweave.operators import transforms
 from gridweave.operators.items import Atoms, item_arrays
 from gridweave.operators.lookups import kinds_for
-from gridweave.operators.records import ERROR, LOCAL_CELLS, Options, fields, identified, literals_of, named_again, records_of, static_names
+from gridweave.operators.records import ERROR, LOCAL_CELLS, Options, fields, identified, literals_of, named_again, parts_of, records_of, static_names
 from gridweave.plans import spec as S
 from gridweave.plans.rtl import Bindings, compile_pattern
 
@@ -63,14 +64,22 @@ def extract(
     """
     options = options or Options()
     pattern = compile_pattern(pattern, bindings) if isinstance(pattern, str) else pattern
-    found = records_of(identified(tables, table_id, grid), pattern, options, keep, local_cells)
+    tables = identified(tables, table_id, grid)
+    arrays, rows = None, None
     if schema is None:
+        found = records_of(tables, pattern, options, keep, local_cells)
         found = found.persist() if keep else found
         schema = attributes(fields(found, options)) or [options.template.replace("%i", "1")]
+        rows = found
+    else:
+        arrays, rows = parts_of(tables, pattern, options, keep, local_cells)
     if options.on_error == "null":
         schema = [*(a for a in schema if a != ERROR), ERROR]
-    out = wide_members(found, schema) if static_names(Atoms(pattern).atoms) else wide(fields(found, options), schema)
-    out = named_again(out)
+    static = static_names(Atoms(pattern).atoms)
+    parts = [wide_members(arrays(not static), schema)] if arrays else []
+    if rows is not None:
+        parts.append(wide_members(rows, schema) if static else wide(fields(rows, options), schema))
+    out = named_again(reduce(DataFrame.union, parts))
     if missing:
         out = transforms.with_missing(out, missing)
     return transforms.applied(out, pattern.settings, widths=widths)

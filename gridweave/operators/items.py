@@ -138,6 +138,17 @@ def items_of(cells: DataFrame, pattern: S.Table, spans: bool = False) -> DataFra
     )
 
 
+def most_cells(pattern: S.Table) -> int | None:
+    """How many cells a table that matches has at most; None if the pattern sets no bound."""
+
+    def most(elements, of) -> int | None:
+        each = [(e.times.high, of(e)) for e in elements]
+        return None if any(n is None or m is None for n, m in each) else sum(n * m for n, m in each)
+
+    # Two rows may be of different elements, but all are of one length: the sum is no less.
+    return most(pattern.subtables, lambda t: most(t.rows, lambda r: most(r.subrows, lambda s: most(s.cells, lambda c: 1))))
+
+
 def most_items(pattern: S.Table, grid: Column, text_of) -> Column | None:
     """How many items the delimited cells of a grid have at most; None if the pattern has no such cells."""
     contents = [p for leaf in Shape(pattern).leaves for p in (leaf.segments if isinstance(leaf, S.Compound) else [(None, leaf)])]

@@ -49,7 +49,7 @@ def _finder(items: Column, x, atoms: list[S.Atom], ops: tuple[str, ...], carry:
         entries = F.transform(F.filter(items, fits), entry)
         if lookup.most == 1:
             return F.transform(F.filter(F.array(F.array_min(entries)), lambda e: e.isNotNull()), lambda e: e["found"])
-        ordered = F.array_sort(entries)
+        ordered = F.sort_array(entries)
         return F.transform(ordered if lookup.most is None else F.slice(ordered, 1, lookup.most), lambda e: e["found"])
 
     return found
@@ -61,13 +61,26 @@ def _with(item: Column, **columns: Column) -> Column:
     return item
 
 
-def records(tables: DataFrame, pattern: S.Table, options: R.Options, table_id: str, grid: str) -> DataFrame:
-    """(table_id, rec_no, members) of all matching tables."""
-    return records_of_items(item_arrays(tables, pattern, table_id, grid), pattern, options)
+def records(tables: DataFrame, pattern: S.Table, options: R.Options, table_id: str, grid: str, named: bool = False) -> DataFrame:
+    """(table_id, rec_no, members) of all matching tables, checked.  named: every member has its attribute, records without any are left out."""
+    made = arrays_of_records(item_arrays(tables, pattern, table_id, grid), pattern, options)
+    sound = F.transform("records", lambda r: F.struct(R.checked_members(r["members"], options).alias("members")))
+    if not named:
+        return _each(made.withColumn("records", sound))
+    return _each(made.withColumn("records", R.named_arrays(sound, options))).where(F.size("members") > 0)
 
 
 def records_of_items(out: DataFrame, pattern: S.Table, options: R.Options) -> DataFrame:
     """(table_id, rec_no, members) of tables (table_id, items)."""
+    return _each(arrays_of_records(out, pattern, options))
+
+
+def _each(made: DataFrame) -> DataFrame:
+    return made.select("table_id", F.posexplode_outer("records").alias("rec_no", "r")).where("r is not null").select("table_id", "rec_no", "r.members")
+
+
+def arrays_of_records(out: DataFrame, pattern: S.Table, options: R.Options) -> DataFrame:
+    """(table_id, records) of tables (table_id, items): an array of structs with the members."""
     atoms = Atoms(pattern).atoms
     items = F.col("items")
     get = lambda item: lambda n: item[n]
@@ -104,12 +117,12 @@ def records_of_items(out: DataFrame, pattern: S.Table, options: R.Options) -> Da
             own += [x(n).alias(n) for n in groups.by]
         return F.struct(*own)
 
-    made = F.array_sort(F.transform(F.filter(items, lambda i: i["atom"].isin(has)), record))
+    made = F.sort_array(F.transform(F.filter(items, lambda i: i["atom"].isin(has)), record))
     out = out.select("table_id", made.alias("records"))
     if groups:
         all_, same = F.col("records"), lambda a, b: reduce(Column.__and__, (a[n] == b[n] for n in groups.by), F.lit(True))
         heads = F.filter(all_, lambda r: ~F.exists(all_, lambda q: same(q, r) & (q["seq"] < r["seq"])))
         out = out.withColumn("records", F.transform(heads, lambda r: F.struct(r["seq"].alias("seq"), R.merged_members(r, F.filter(all_, lambda q: same(q, r) & (q["seq"] > r["seq"])), groups.drop).alias("members"))))
     elif has_joins:
-        return R.joined_tables(out).select("table_id", "rec_no", "members")
-    return out.select("table_id", F.posexplode_outer("records").alias("rec_no", "r")).where("r is not null").select("table_id", "rec_no", "r.members")
+        return R.joined_arrays(out)
+    return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.operators.items import Atoms, items, most_items
+from gridweave.operators.items import Atoms, items, most_cells, most_items
 from gridweave.operators.lookups import common_columns, with_operands
 from gridweave.operators.match import cell_text, is_formatted
 from gridweave.plans import spec as S
@@ -28,6 +28,7 @@ ERROR = "_error"
 _STRING_OPS = ("FILL", "PREFIX", "SUFFIX")
 _MEMBER = "struct<seq:bigint,attr:string,val:string>"
 MEMBERS = f"array<{_MEMBER}>"
+_ARROW_MEMBER = pa.struct([("seq", pa.int64()), ("attr", pa.string()), ("val", pa.string())])
 JOINS = "array<struct<found:array<bigint>,drop:array<int>>>"
 
 
@@ -243,34 +244,83 @@ def joined_by_groups(records: DataFrame, groups: Grouping) -> DataFrame:
     return numbered(found.select("table_id", first["o1"].alias("o1"), first["o2"].alias("o2"), first["seq"].alias("seq"), merged_members(first, others, groups.drop).alias("members")))
 
 
-def _fold(records: list[dict]) -> list[dict]:
-    """Let each record, in order, take in those its joins found, as far as both are still there."""
-    alive = {r["seq"]: r["members"] for r in records}
-    for record in records:
-        for join in record["joins"] or []:
-            if record["seq"] not in alive:
+def _fold(seqs: list[int], joins: list[tuple[list[int], list[int]]], joins_of: list[int], members: list[range], attrs: list[str | None] | None) -> list[tuple[int, list[int]]]:
+    """Let each record, in order, take in those its joins found, as far as both are still there.
+
+    Members are numbers, attrs theirs, if any has one.  The records left, each with its members.
+    """
+    alive = dict(zip(seqs, map(list, members), strict=True))
+    at = 0
+    for seq, n in zip(seqs, joins_of, strict=True):
+        for found, drop in joins[at : at + n]:
+            if seq not in alive:
                 break
-            own = alive[record["seq"]]
-            for other in join["found"]:
-                if other in alive and other != record["seq"]:
-                    own += [m for i, m in enumerate(alive.pop(other)) if i not in join["drop"]]
-            seen: set[str] = set()
-            alive[record["seq"]] = [m for m in own if m["attr"] is None or not (m["attr"] in seen or seen.add(m["attr"]))]
-    return [{**r, "members": alive[r["seq"]]} for r in records if r["seq"] in alive]
+            own = alive[seq]
+            for other in found:
+                if other in alive and other != seq:
+                    taken = alive.pop(other)
+                    own += [m for i, m in enumerate(taken) if i not in drop] if drop else taken
+            if attrs:
+                seen: set[str] = set()
+                alive[seq] = [m for m in own if attrs[m] is None or not (attrs[m] in seen or seen.add(attrs[m]))]
+        at += n
+    return [(i, alive[seq]) for i, seq in enumerate(seqs) if seq in alive]
+
+
+def _lengths(lists: pa.Array) -> list[int]:
+    return lists.value_lengths().fill_null(0).to_pylist()
+
+
+def _folded(tables: pa.Array) -> tuple[list[int], pa.Array, pa.Array]:
+    """How many records each table has after its joins, those records' numbers, and their members.  Only numbers become Python's, texts stay where they are."""
+    records = tables.flatten()
+    seqs = records.field("seq").to_pylist()
+    members, joins = records.field("members"), records.field("joins")
+    flat, each = members.flatten(), joins.flatten()
+    attr = flat.field("attr")
+    attrs = attr.to_pylist() if attr.null_count < len(attr) else None
+    ends = np.cumsum([0, *_lengths(members)]).tolist()
+    own = [range(a, b) for a, b in zip(ends, ends[1:], strict=False)]
+    pairs = list(zip(each.field("found").to_pylist(), each.field("drop").to_pylist(), strict=True))
+    n_joins = _lengths(joins)
+    join_ends = np.cumsum([0, *n_joins]).tolist()
+    counts, kept, order, sizes, at = [], [], [], [0], 0
+    for n in _lengths(tables):
+        left = _fold(seqs[at : at + n], pairs[join_ends[at] : join_ends[at + n]], n_joins[at : at + n], own[at : at + n], attrs)
+        counts.append(len(left))
+        for i, taken in left:
+            kept.append(at + i)
+            order += taken
+            sizes.append(len(order))
+        at += n
+    return counts, pa.array(kept, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat.take(pa.array(order, pa.int64())))
+
+
+def joined_arrays(tables: DataFrame) -> DataFrame:
+    """(table_id, records: array<struct<members>>) after the joins of tables (table_id, records), the records in order."""
+    kind = pa.list_(pa.struct([("members", pa.list_(_ARROW_MEMBER))]))
+
+    def joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, _, members = _folded(batch.column("records"))
+            made = pa.StructArray.from_arrays([members.cast(pa.list_(_ARROW_MEMBER))], ["members"])
+            yield pa.RecordBatch.from_arrays([batch.column("table_id"), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), made).cast(kind)], ["table_id", "records"])
+
+    given = tables.schema["table_id"].dataType.simpleString()
+    return tables.select("table_id", "records").mapInArrow(joined_batches, f"table_id {given}, records array<struct<members:{MEMBERS}>>")
 
 
 def joined_tables(tables: DataFrame) -> DataFrame:
     """(table_id, rec_no, o1, o2, seq, members) after the joins of tables, or of lines of them, (table_id, records), the records in order."""
-    member = pa.struct([("seq", pa.int64()), ("attr", pa.string()), ("val", pa.string())])
 
     def joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_fold(t.as_py() or []) for t in batch.column("records")]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            numbers = pa.array([i for f in found for i in range(len(f))], pa.int32())
-            places = [pa.array([r[n] for f in found for r in f], pa.int64()) for n in ("o1", "o2", "seq")]
-            members = pa.array([r["members"] for f in found for r in f], pa.list_(member))
-            yield pa.RecordBatch.from_arrays([batch.column("table_id").take(pa.array(at)), numbers, *places, members], ["table_id", "rec_no", "o1", "o2", "seq", "members"])
+            counts, kept, members = _folded(batch.column("records"))
+            records = batch.column("records").flatten()
+            at = np.repeat(np.arange(len(counts)), counts)
+            numbers = pa.array([i for n in counts for i in range(n)], pa.int32())
+            places = [records.field(n).take(kept).cast(pa.int64()) for n in ("o1", "o2", "seq")]
+            yield pa.RecordBatch.from_arrays([batch.column("table_id").take(pa.array(at)), numbers, *places, members.cast(pa.list_(_ARROW_MEMBER))], ["table_id", "rec_no", "o1", "o2", "seq", "members"])
 
     kind = tables.schema["table_id"].dataType.simpleString()
     return tables.select("table_id", "records").mapInArrow(joined_batches, f"table_id {kind}, rec_no int, o1 long, o2 long, seq long, members {MEMBERS}")
@@ -325,16 +375,58 @@ def fields(records: DataFrame, options: Options) -> DataFrame:
     return named.select("table_id", "rec_no", "pos", "attr", F.coalesce(wrong.cast("string"), F.col("val")).alias("val"), met_at.alias("visit"))
 
 
-def checked(records: DataFrame, options: Options) -> DataFrame:
-    """The records; one with two members of the same attribute is an error."""
-    names = F.transform(F.filter("members", lambda m: m["attr"].isNotNull()), lambda m: m["attr"])
+def checked_members(members: Column, options: Options) -> Column:
+    """The members of a record; two of the same attribute are an error."""
+    names = F.transform(F.filter(members, lambda m: m["attr"].isNotNull()), lambda m: m["attr"])
     twice = F.size(names) != F.size(F.array_distinct(names))
     message = F.concat(F.lit("an attribute occurs twice in a record: "), F.array_join(names, ", "))
     if options.on_error == "null":
         wrong = F.array(F.struct(F.lit(None).cast("long").alias("seq"), F.lit(ERROR).alias("attr"), message.alias("val")))
     else:
         wrong = F.raise_error(message)
-    return records.withColumn("members", F.when(twice, wrong.cast(MEMBERS)).otherwise(F.col("members")))
+    return F.when(twice, wrong.cast(MEMBERS)).otherwise(members)
+
+
+def checked(records: DataFrame, options: Options) -> DataFrame:
+    """The records; one with two members of the same attribute is an error."""
+    return records.withColumn("members", checked_members(F.col("members"), options))
+
+
+def _bound(value: Column, then) -> Column:
+    """An expression of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def named_arrays(records: Column, options: Options) -> Column:
+    """The records (array of struct with members) of one table with the names that `fields` gives; members without one are left out."""
+    anchor = lambda r: F.get(r["members"], F.lit(0))
+    visit = ("n", "p") if options.schema_by == "record" else ("p", "n")
+
+    def of_records(own: Column) -> Column:
+        given = F.transform(own, lambda r: anchor(r)["attr"])
+        place = lambda n, m, p: F.struct(m["seq"].alias("seq"), *((n if v == "n" else p).alias(v) for v in visit))
+        unnamed = lambda r, n: F.filter(F.transform(r["members"], lambda m, p: F.when((p > 0) & m["attr"].isNull(), place(n, m, p))), lambda x: x.isNotNull())
+        met = _bound(F.sort_array(F.flatten(F.transform(own, unnamed))), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (x["seq"] != F.get(all_, i - 1)["seq"])))
+        places = F.map_from_entries(F.transform(met, lambda x: F.struct(x["seq"], x["p"])))
+        low = F.array_min(given)
+        # The anchors of tables in which none is named share a name wherever they are members.
+        lone = F.when(low.isNull(), F.transform(own, lambda r: anchor(r)["seq"]))
+        return _bound(F.struct(low.alias("low"), F.array_max(given).alias("high"), lone.alias("lone"), places.alias("places")), lambda known: F.transform(own, lambda r: F.struct(_named_members(r["members"], known, options).alias("members"))))
+
+    return _bound(records, of_records)
+
+
+def _named_members(members: Column, known: Column, options: Options) -> Column:
+    first = options.name(F.lit(1))
+    other = lambda m: F.when(F.coalesce(F.array_contains(known["lone"], m["seq"]), F.lit(False)), first).otherwise(options.name(F.element_at(known["places"], m["seq"]) + 1))
+    attr = lambda m, p: F.when(m["attr"].isNotNull(), m["attr"]).when(p == 0, F.when(known["low"].isNull(), first)).otherwise(other(m))
+    differ, message = F.coalesce(known["low"] != known["high"], F.lit(False)), F.concat(F.lit("anchors have different attributes: "), known["low"], F.lit(", "), known["high"])
+    member = lambda a, v: F.struct(F.lit(None).cast("long").alias("seq"), a.alias("attr"), v.alias("val"))
+    named = F.filter(F.transform(members, lambda m, p: member(attr(m, p), m["val"])), lambda m: m["attr"].isNotNull())
+    if options.on_error != "null":
+        return F.when(differ, F.raise_error(message).cast(MEMBERS)).otherwise(named)
+    told = F.filter(F.transform(members, lambda m, p: F.when((m["attr"] == ERROR) | (p == 0) & m["attr"].isNotNull(), member(F.lit(ERROR), F.when(m["attr"] == ERROR, m["val"]).otherwise(message)))), lambda m: m.isNotNull())
+    return F.when(differ, told).otherwise(named)
 
 
 def static_names(atoms: list[S.Atom]) -> bool:
@@ -386,21 +478,28 @@ def records(tables: DataFrame, pattern: S.Table, options: Options | None = None,
 
 def records_of(tables: DataFrame, pattern: S.Table, options: Options | None = None, keep: bool = True, local_cells: int | None = LOCAL_CELLS) -> DataFrame:
     """What `records` gives for tables (table_id, grid) of different ids."""
+    parts = parts_of(tables, pattern, options or Options(), keep, local_cells)
+    return reduce(DataFrame.union, [p for p in (parts[0] and parts[0](False), parts[1]) if p is not None])
+
+
+def parts_of(tables: DataFrame, pattern: S.Table, options: Options, keep: bool = True, local_cells: int | None = LOCAL_CELLS):
+    """The records of the tables done as arrays, a function of whether their members are to be named, and of those done as rows; None for no such part."""
     from gridweave.operators import local
 
-    options = options or Options()
     table_id, grid = "table_id", "grid"
+    arrays = lambda own: lambda named: local.records(own, pattern, options, table_id, grid, named)
     if local_cells is None and local.possible(pattern):
-        return checked(local.records(tables, pattern, options, table_id, grid), options)
+        return arrays(tables), None
     if not local_cells or local_cells < 0 or not local.possible(pattern):
-        return checked(_by_rows(tables, pattern, options, table_id, grid, keep), options)
+        return None, checked(_by_rows(tables, pattern, options, table_id, grid, keep), options)
+    made = most_items(pattern, F.col(grid), cell_text(is_formatted(tables, grid)))
+    if made is None and (most_cells(pattern) or local_cells + 1) <= local_cells:
+        return arrays(tables), None  # larger tables don't match
     cells = F.size(F.col(grid)) * F.coalesce(F.size(F.get(F.col(grid), F.lit(0))), F.lit(0))
     small = F.coalesce(cells <= local_cells, F.lit(True))
-    made = most_items(pattern, F.col(grid), cell_text(is_formatted(tables, grid)))
     if made is not None:  # delimited cells may have many items each
         small = small & F.coalesce(made <= local_cells, F.lit(True))
-    own = local.records(tables.where(small), pattern, options, table_id, grid)
-    return checked(own.union(_by_rows(tables.where(~small), pattern, options, table_id, grid, keep)), options)
+    return arrays(tables.where(small)), checked(_by_rows(tables.where(~small), pattern, options, table_id, grid, keep), options)
 
 
 def _by_rows(tables: DataFrame, pattern: S.Table, options: Options, table_id: str, grid: str, keep: bool) -> DataFrame:
