@@ -130,7 +130,10 @@ class Carried:
 def _chunks(rows: DataFrame, automaton: Automaton, carried: Carried) -> DataFrame:
     """(table_id, part, chunk, rows): the rows of a chunk in order, with their cells' and their own class."""
     text = automaton.classes_of_row(F.col("cells"))
-    classed = rows.withColumn("text", text).withColumn("char", automaton.row_class(F.col("text"))).withColumn("chunk", F.shiftright("row", CHUNK_BITS))
+    # Chunks are of rows that follow each other, however far apart their numbers are: dealt by ranges, a row's place is its partition's and its own.
+    ranged = rows.repartitionByRange("table_id", "part", "row").sortWithinPartitions("table_id", "part", "row", "cells")
+    placed = ranged.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))
+    classed = placed.withColumn("text", text).withColumn("char", automaton.row_class(F.col("text")))
     row = F.struct("row", "char", "text", "cells")
     return classed.groupBy("table_id", "part", "chunk").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min(F.size("cells")).alias("least"), F.max(F.size("cells")).alias("most"))
 
@@ -139,7 +142,8 @@ def placed_rows(rows: DataFrame, pattern: S.Table) -> DataFrame:
     """(table_id, part, chunk, row, number, unit, subtable, text, cells): the rows of tables that match, numbered from 0, and what each is."""
     automaton = Automaton(Shape(pattern))
     carried = Carried(automaton)
-    chunks = _chunks(rows, automaton, carried)
+    # Persisted, as ranges found anew may be others.
+    chunks = _chunks(rows, automaton, carried).persist()
     moved = F.aggregate("rows", F.lit(carried.states), lambda a, r: carried.step(a, r["char"]))
     one = F.struct("part", "chunk", moved.alias("moves"), F.size("rows").cast("long").alias("n"), "least", "most")
     tables = chunks.groupBy("table_id").agg(F.array_sort(F.collect_list(one)).alias("chunks"))
@@ -198,7 +202,8 @@ def extract_rows(
     # A struct is never null, so that rows without an id meet in joins, too.
     named = rows.select(F.struct(F.col(f"`{table_id}`").alias("id")).alias("table_id"), (F.col(f"`{part}`") if part else F.lit(0)).cast("long").alias("part"), F.col(f"`{row}`").cast("long").alias("row"), F.col(f"`{cells}`").alias("cells"))
     placed = placed_rows(named, pattern)
-    placed = placed.persist() if keep else placed
+    compound = any(isinstance(leaf, S.Compound) for leaf in automaton.shape.leaves)
+    placed = placed.persist() if keep and compound else placed
     own = F.struct("unit", F.col("subtable").alias("nth"))
     compounds = [(k, leaf) for k, leaf in enumerate(automaton.shape.leaves) if isinstance(leaf, S.Compound)]
     found = F.filter(automaton.row_cells(F.col("text"), own, F.lit(0)), lambda c: c["leaf"] >= 0)

@@ -327,6 +327,32 @@ def paired(items: DataFrame, lookup: S.Lookup, wanted: str | None, carry: tuple[
     return items.join(grouped, ["table_id", "seq"], "left")
 
 
+def first_elsewhere(items: DataFrame, lookup: S.Lookup, scope: Scope, wanted: str | None, carry: tuple[str, ...], name: str) -> DataFrame:
+    """The items with what a lookup of one item in another cell of the line finds: the first one earlier, or else the first one later, as running minima."""
+    out = items.withColumn("cell_no", _cell_number(lookup)).withColumn("own_entry", F.when(_fits(scope, wanted), _entry(carry)))
+    line = Window.partitionBy("table_id", *scope.same)
+    before = lambda order: F.min("own_entry").over(line.orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
+    earlier, later = _sides(lookup, scope)
+    if later:
+        # The next fitting item behind is the least of those met from the line's end; the first earlier one goes before it.
+        out = out.withColumn("later", before(F.col("cell_no").desc()))
+    if earlier:
+        out = out.withColumn("earlier", before(F.col("cell_no")))
+    best = F.coalesce(*(F.col(c) for c, asked in (("earlier", earlier), ("later", later)) if asked))
+    return out.withColumn(name, F.when(best.isNotNull(), F.array(best["found"]))).drop("cell_no", "own_entry", "earlier", "later")
+
+
+def _by_line(lookup: S.Lookup) -> Scope | None:
+    """The scope of a lookup whose finds are carried along a line."""
+    scope = scope_of(lookup)
+    return scope if scope and lookup.most is not None and lookup.most <= FEW else None
+
+
+def joins_itself(lookup: S.Lookup) -> bool:
+    """Whether the lookup reads the items more than once."""
+    return one_on_a_line(lookup) is None and _by_line(lookup) is None
+
+
 def looked_up(items: DataFrame, lookup: S.Lookup, wanted: str | None, carry: tuple[str, ...], name: str, atoms: list[int]) -> DataFrame:
     """The items with a column of what the lookup finds for those of some atoms, in order; null or empty for nothing."""
     if one_on_a_line(lookup):
@@ -335,7 +361,9 @@ def looked_up(items: DataFrame, lookup: S.Lookup, wanted: str | None, carry: tup
     scope = scope_of(lookup)
     if scope is None:
         return paired(items, lookup, wanted, carry, name, atoms)
-    if lookup.most is not None and lookup.most <= FEW:
+    if lookup.most == 1 and not scope.by_item:
+        return first_elsewhere(items, lookup, scope, wanted, carry, name)
+    if _by_line(lookup):
         return few(items, lookup, scope, wanted, carry, name)
     return shared_lines(items, lookup, scope, wanted, carry, name, atoms)
 

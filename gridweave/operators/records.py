@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.operators.items import Atoms, items, most_cells, most_items
-from gridweave.operators.lookups import common_columns, with_operands
+from gridweave.operators.lookups import common_columns, joins_itself, with_operands
 from gridweave.operators.match import cell_text, is_formatted
 from gridweave.plans import spec as S
 
@@ -509,8 +509,11 @@ def _by_rows(tables: DataFrame, pattern: S.Table, options: Options, table_id: st
 def records_of_items(found: DataFrame, pattern: S.Table, options: Options, keep: bool) -> DataFrame:
     """(table_id, rec_no, members) of items as rows."""
     atoms = Atoms(pattern).atoms
-    hold = (lambda df: df.persist()) if keep and any(isinstance(p, S.Lookup) for a in atoms for x in a.actions for p in x.providers) else (lambda df: df)
-    found = hold(found.repartition("table_id"))
+    lookups = [p for a in atoms for x in a.actions for p in x.providers if isinstance(p, S.Lookup)]
+    # Lookups along lines by windows read the items once, others join them with themselves.
+    hold = (lambda df: df.persist()) if keep and any(joins_itself(p) for p in lookups) else (lambda df: df)
+    lines = sorted(set.intersection(*map(common_columns, lookups))) if lookups else []
+    found = hold(found.repartition("table_id", *lines))
     named = attributed(valued(found, atoms), atoms)
     if has_strings(atoms) or has_found_attributes(atoms):
         named = hold(named)
