@@ -66,9 +66,8 @@ def gear(data: np.ndarray) -> np.ndarray:
     h = _GEAR[data]
     shift = 1
     while shift < _MEMORY:
-        older = np.zeros_like(h)
-        older[shift:] = h[:-shift] << np.uint32(shift)
-        h = h + older
+        older = h[:-shift] << np.uint32(shift)
+        h[shift:] += older
         shift *= 2
     return h
 
@@ -81,8 +80,9 @@ def borders(text: bytes) -> np.ndarray:
         lead = min(at, _MEMORY - 1)
         h = gear(data[at - lead : at + _PIECE])[lead:]
         ends.append(np.flatnonzero(h < _LIMIT) + at + 1)
-    found = np.concatenate([*ends, [len(data)]]) if len(data) else np.empty(0, np.int64)
-    found = np.unique(found)
+    found = np.concatenate(ends) if ends else np.empty(0, np.int64)
+    if len(data) and (not len(found) or found[-1] < len(data)):
+        found = np.append(found, len(data))
     starts = np.concatenate(([0], found[:-1])) if len(found) else found
     if (found - starts > MAX_BYTES).any():
         # A stretch without a border is cut every MAX_BYTES from its start.
@@ -95,9 +95,12 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, start and end (code points) of each chunk."""
     ends = borders(text)
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
     digests = map(xxhash.xxh3_64_intdigest, map(text.__getitem__, map(slice, starts.tolist(), ends.tolist())))
-    return np.fromiter(digests, np.uint64, len(ends)), points[starts], points[ends]
+    found = np.fromiter(digests, np.uint64, len(ends))
+    if text.isascii():  # a byte is a code point
+        return found, starts, ends
+    points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+    return found, points[starts], points[ends]
 
 
 def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
