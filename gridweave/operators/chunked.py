@@ -7,7 +7,8 @@ says in what state each chunk begins, and then each chunk's rows are placed by t
 Of a whole table only the chunks' transition tables meet in one row, some bytes each.
 
 A pattern whose lookups all stay within a row is worked on row by row; the items of others
-are dealt by table as in `records`, and sorted and carried along there, not held.
+are dealt by table as in `records`, and by line where all lookups keep to one, and sorted
+and carried along there.  Chunks are persisted, whatever `keep` says.
 
 Only patterns that say at each row what it is can be carried so (`Carried`): where a row
 could be one more of an element that may be given back or the next element, the decision is
