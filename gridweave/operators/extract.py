@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.operators import transforms
+from gridweave.operators import fixed, transforms
 from gridweave.operators.items import Atoms, item_arrays
 from gridweave.operators.lookups import kinds_for
 from gridweave.operators.records import ERROR, LOCAL_CELLS, Options, fields, identified, literals_of, named_again, parts_of, records_of, static_names
@@ -76,7 +76,10 @@ def extract(
     if options.on_error == "null":
         schema = [*(a for a in schema if a != ERROR), ERROR]
     static = static_names(Atoms(pattern).atoms)
-    parts = [wide_members(arrays(not static), schema)] if arrays else []
+    # Where the pattern alone tells places and names, a record's columns are read off its cells.
+    layout = fixed.layout_of(tables, pattern) if arrays and rows is None else None
+    known = fixed.wide(tables, layout, options, schema) if layout else None
+    parts = [known if known is not None else wide_members(arrays(not static), schema)] if arrays else []
     if rows is not None:
         parts.append(wide_members(rows, schema) if static else wide(fields(rows, options), schema))
     out = named_again(reduce(DataFrame.union, parts))

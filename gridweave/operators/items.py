@@ -79,10 +79,10 @@ def _leaf_items(text: Column, k: int, leaf: S.Content, atoms: Atoms, spans: bool
 
 def item_arrays(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid: str = "grid") -> DataFrame:
     """(table_id, items): what items() gives for each table, as an array in the same order, without places in the text; null for tables that don't match."""
-    return arrays_of(match(_named(tables, table_id, grid), pattern), pattern)
+    return arrays_of(match(named_tables(tables, table_id, grid), pattern), pattern)
 
 
-def _named(tables: DataFrame, table_id: str, grid: str) -> DataFrame:
+def named_tables(tables: DataFrame, table_id: str, grid: str) -> DataFrame:
     return tables.select(F.col(f"`{table_id}`").alias("table_id"), F.col(f"`{grid}`").alias("grid"))
 
 
@@ -117,7 +117,7 @@ def items(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid:
     for, are the code points of the text that the item was extracted from.
     """
     # An outer one, so that no filter on the cells is derived, for which they would be matched twice.
-    placed = match(_named(tables, table_id, grid), pattern).select("table_id", "grid", F.posexplode_outer("cells").alias("place", "cell")).where("cell is not null")
+    placed = match(named_tables(tables, table_id, grid), pattern).select("table_id", "grid", F.posexplode_outer("cells").alias("place", "cell")).where("cell is not null")
     text_of = cell_text(is_formatted(placed, "grid"))
     text = F.coalesce(text_of(F.get(F.get("grid", F.col("cell.row")), F.col("cell.col"))), F.lit(""))
     return items_of(placed.select("table_id", "place", "cell.*", text.alias("text")), pattern, spans)

@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.operators import fixed
 from gridweave.operators import records as R
-from gridweave.operators.items import Atoms, item_arrays
+from gridweave.operators.items import Atoms, item_arrays, named_tables
 from gridweave.operators.lookups import condition_of, uses, wanted_kind
 from gridweave.plans import spec as S
 
@@ -63,7 +64,9 @@ def _with(item: Column, **columns: Column) -> Column:
 
 def records(tables: DataFrame, pattern: S.Table, options: R.Options, table_id: str, grid: str, named: bool = False) -> DataFrame:
     """(table_id, rec_no, members) of all matching tables, checked.  named: every member has its attribute, records without any are left out."""
-    made = arrays_of_records(item_arrays(tables, pattern, table_id, grid), pattern, options)
+    tables = named_tables(tables, table_id, grid)
+    layout = fixed.layout_of(tables, pattern)
+    made = fixed.arrays_of_records(tables, layout, options) if layout else arrays_of_records(item_arrays(tables, pattern), pattern, options)
     sound = F.transform("records", lambda r: F.struct(R.checked_members(r["members"], options).alias("members")))
     if not named:
         return _each(made.withColumn("records", sound))
@@ -87,7 +90,7 @@ def arrays_of_records(out: DataFrame, pattern: S.Table, options: R.Options) -> D
 
     def valued(item: Column) -> Column:
         x = get(item)
-        return R.by_atom(atoms, lambda a: R.value_of(a, x, _finder(items, x, atoms, R._STRING_OPS, ("s",))), x("s"), x)
+        return R.by_atom(atoms, lambda a: R.value_of(a, x, R.strings_of(_finder(items, x, atoms, R._STRING_OPS, ("s",)))), x("s"), x)
 
     def attribute(item: Column) -> Column:
         x = get(item)

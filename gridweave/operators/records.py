@@ -73,11 +73,16 @@ def _in_ops(atom: S.Atom, act: int, prov: int) -> Column:
     return F.transform(F.filter("ops", lambda o: (o["act"] == act) & (o["prov"] == prov)), lambda o: o["found"])
 
 
+def strings_of(found):
+    """found, but of what a provider found the first strings only."""
+    return lambda atom, act, prov: F.coalesce(F.transform(found(atom, act, prov), lambda o: o["s"]), F.array().cast("array<string>"))
+
+
 def _strings(atom: S.Atom, act: int, found) -> Column:
-    """The strings that a string action joins."""
+    """The strings that a string action joins; found gives those of a provider."""
     each = []
     for prov, p in enumerate(atom.actions[act].providers):
-        each.append(F.array(F.lit(p.text)) if isinstance(p, S.Literal) else F.coalesce(F.transform(found(atom, act, prov), lambda o: o["s"]), F.array().cast("array<string>")))
+        each.append(F.array(F.lit(p.text)) if isinstance(p, S.Literal) else found(atom, act, prov))
     return F.concat(*each) if each else F.array().cast("array<string>")
 
 
@@ -90,7 +95,7 @@ def has_found_attributes(atoms: list[S.Atom]) -> bool:
 
 
 def value_of(atom: S.Atom, x, found) -> Column | None:
-    """An item's string after the FILL, PREFIX and SUFFIX actions, which read other items' first strings."""
+    """An item's string after the FILL, PREFIX and SUFFIX actions, which read other items' first strings; found gives these."""
     acts = [(i, a) for i, a in enumerate(atom.actions) if a.op in _STRING_OPS]
     if not acts or atom.kind not in (S.VAL, S.ATTR):
         return None
@@ -120,7 +125,7 @@ def valued(found: DataFrame, atoms: list[S.Atom]) -> DataFrame:
     """The items with `val`, their final string."""
     if not has_strings(atoms):
         return found.withColumn("val", F.col("s"))
-    value = by_atom(atoms, lambda a: value_of(a, F.col, _in_ops), F.col("s"))
+    value = by_atom(atoms, lambda a: value_of(a, F.col, strings_of(_in_ops)), F.col("s"))
     return with_operands(found, atoms, _STRING_OPS, ("s",)).withColumn("val", value).drop("ops")
 
 
