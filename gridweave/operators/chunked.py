@@ -17,21 +17,24 @@ made by rows to come, and PatternError says so.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.operators import local
 from gridweave.operators import records as R
 from gridweave.operators.extract import wide, wide_members
-from gridweave.operators.items import Atoms, arrays_of, items_of
-from gridweave.operators.match import Shape, segments
-from gridweave.operators.rowmatch import ALPHABET, Automaton
+from gridweave.operators.items import STRIDE, Atoms, arrays_of, items_of, leaf_items
+from gridweave.operators.match import Shape, segments, test_column
+from gridweave.operators.rowmatch import ALPHABET, CELLS, Automaton
 from gridweave.operators.transforms import applied
 from gridweave.plans import spec as S
 from gridweave.plans.rtl import Bindings, compile_pattern
 
 #: Rows to a chunk at most, as a power of two.
-CHUNK_BITS = 12
+CHUNK_BITS = 10
 MAX_STATES = 120
 #: States' letters: the start, none, then positions.
 _START, _DEAD = ALPHABET[0], ALPHABET[1]
@@ -122,52 +125,134 @@ class Carried:
             empty = empty and e
         return first, last, empty
 
-    def step(self, state: Column, char: Column) -> Column:
-        """The next states of a string of states."""
-        table = F.create_map(*(F.lit(x) for kv in self.next.items() for x in kv))
-        return F.call_function("translate", state, F.lit(self.states), F.element_at(table, char))
+    def step(self, state: Column, code: Column) -> Column:
+        """The next states of a string of states, by a row's number."""
+        return F.call_function("translate", state, F.lit(self.states), F.get(F.array(*(F.lit(self.next[c]) for c in ALPHABET[: self.rows])), code))
 
 
-def _chunks(rows: DataFrame, automaton: Automaton, carried: Carried) -> DataFrame:
-    """(table_id, part, chunk, rows): the rows of a chunk in order, with their cells' and their own class."""
-    text = automaton.classes_of_row(F.col("cells"))
+#: A row's number and its place in a chunk are one number; no pattern has so many kinds of rows.
+_CODES = 256
+#: So is what is known of a row: the number of its row element, of which there are fewer, and the subtables begun so far.
+_UNITS = 8
+
+
+def layouts_of(shape: Shape) -> list[list[tuple[int, int, int]]] | None:
+    """The cells (tests, leaf, subrow) of each row of the pattern; None if any may be repeated or left out, or has its content by a test."""
+    out = []
+    for r in (r for t in shape.subtables for r in t[2]):
+        if any(s[1] != (1, 1) or any(c[1] != (1, 1) or not isinstance(c[2], int) for c in s[2]) for s in r[2]):
+            return None
+        out.append([(r[0] | c[0], c[2], n) for n, s in enumerate(r[2]) for c in s[2]])
+    return None if any(isinstance(t.call, S.Whole) for t in shape.tests) else out
+
+
+def _text(col: int) -> Column:
+    return F.coalesce(F.get("cells", F.lit(col)), F.lit(""))
+
+
+def _row_number(shape: Shape, layouts: list[list[tuple[int, int, int]]]) -> Column:
+    """What Automaton.row_number gives, by the tests that a row's cells must meet each."""
+
+    def hold(cells: list[tuple[int, int, int]]) -> Column:
+        tests = [F.coalesce(test_column(t, _text(col)), F.lit(t.negated)) for col, (own, *_) in enumerate(cells) for i, t in enumerate(shape.tests) if own >> i & 1]
+        return reduce(Column.__and__, tests, F.size("cells") == len(cells))
+
+    return reduce(Column.__add__, (F.when(hold(cells), 1 << i).otherwise(0) for i, cells in enumerate(layouts)))
+
+
+def _by_unit(each: list[Column]) -> Column:
+    return reduce(lambda a, ie: a.when(F.col("unit") == ie[0], ie[1]), list(enumerate(each))[1:], F.when(F.col("unit") == 0, each[0]))
+
+
+def _laid_out(layouts: list[list[tuple[int, int, int]]]) -> Column:
+    """What Automaton.row_cells gives, but for cells without a leaf."""
+    cell = lambda col, leaf, subrow: F.struct(F.lit(0).alias("row"), F.lit(col).alias("col"), F.lit(leaf).alias("leaf"), F.col("subtable"), F.lit(subrow).alias("subrow"))
+    return _by_unit([F.array(*(cell(col, leaf, subrow) for col, (_, leaf, subrow) in enumerate(cells) if leaf >= 0)).cast(CELLS) for cells in layouts])
+
+
+def _items(matched: DataFrame, layouts: list[list[tuple[int, int, int]]], pattern: S.Table) -> DataFrame:
+    """The items of rows, each row's in one array."""
+    atoms = Atoms(pattern)
+    kind = "array<struct<col:int,n:int,atom:int,idx:int,s:string,subrow:int>>"
+
+    def of_cell(col: int, leaf: int, subrow: int) -> Column:
+        own = leaf_items(_text(col), leaf, atoms.leaves[leaf], atoms, False)
+        item = lambda x, n: F.struct(F.lit(col).alias("col"), n.alias("n"), *(x[c].alias(c) for c in ("atom", "idx", "s")), F.lit(subrow).alias("subrow"))
+        return F.array(item(own[0], F.lit(0))) if isinstance(atoms.leaves[leaf], S.Atom) else F.transform(own, item)
+
+    def of_row(cells: list[tuple[int, int, int]]) -> Column:
+        own = [of_cell(col, leaf, subrow) for col, (_, leaf, subrow) in enumerate(cells) if leaf >= 0]
+        return F.concat(*own).cast(kind) if own else F.array().cast(kind)
+
+    each = matched.select("table_id", "number", "subtable", F.size("cells").alias("width"), F.explode(_by_unit(list(map(of_row, layouts)))).alias("i"))
+    place = F.col("number") * F.col("width") + F.col("i.col")
+    return each.select("table_id", (place * STRIDE + F.col("i.n")).alias("seq"), "i.atom", "i.idx", "i.s", F.col("number").cast("int").alias("row"), "i.col", "subtable", "i.subrow")
+
+
+def _rows(rows: DataFrame, automaton: Automaton) -> DataFrame:
+    """(table_id, chunk, at, code, cells): the rows in order, each with its chunk and its place there; with `text`, the cells' classes, if the pattern's rows don't tell their cells."""
     # Chunks are of rows that follow each other, however far apart their numbers are: dealt by ranges, a row's place is its partition's and its own.
     ranged = rows.repartitionByRange("table_id", "part", "row").sortWithinPartitions("table_id", "part", "row", "cells")
-    placed = ranged.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))
-    classed = placed.withColumn("text", text).withColumn("char", automaton.row_class(F.col("text")))
-    row = F.struct("row", "char", "text", "cells")
-    return classed.groupBy("table_id", "part", "chunk").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min(F.size("cells")).alias("least"), F.max(F.size("cells")).alias("most"))
+    placed = ranged.select("table_id", F.monotonically_increasing_id().alias("place"), "cells")
+    layouts = layouts_of(automaton.shape)
+    text = [] if layouts else ["text"]
+    placed = placed if layouts else placed.withColumn("text", automaton.classes_of_row(F.col("cells")))
+    code = _row_number(automaton.shape, layouts) if layouts else automaton.row_number(F.col("text"))
+    at = F.col("place").bitwiseAND((1 << CHUNK_BITS) - 1).cast("int")
+    return placed.select("table_id", F.shiftright("place", CHUNK_BITS).alias("chunk"), at.alias("at"), code.alias("code"), "cells", *text)
 
 
-def placed_rows(rows: DataFrame, pattern: S.Table) -> DataFrame:
-    """(table_id, part, chunk, row, number, unit, subtable, text, cells): the rows of tables that match, numbered from 0, and what each is."""
-    automaton = Automaton(Shape(pattern))
-    carried = Carried(automaton)
-    # Persisted, as ranges found anew may be others.
-    chunks = _chunks(rows, automaton, carried).persist()
-    moved = F.aggregate("rows", F.lit(carried.states), lambda a, r: carried.step(a, r["char"]))
-    one = F.struct("part", "chunk", moved.alias("moves"), F.size("rows").cast("long").alias("n"), "least", "most")
-    tables = chunks.groupBy("table_id").agg(F.array_sort(F.collect_list(one)).alias("chunks"))
+def _chunks(rows: DataFrame, automaton: Automaton, carried: Carried) -> DataFrame:
+    """(table_id, chunk, first, rows, moves, least, most): of a chunk's rows, as given or as `_rows` gives them, only the numbers, in order, and where these lead from each state."""
+    each = rows if "code" in rows.columns else _rows(rows, automaton)
+    packed = F.sort_array(F.collect_list(F.col("at") * _CODES + F.col("code")))
+    width = F.size("cells")
+    found = each.groupBy("table_id", "chunk").agg(F.min("at").alias("first"), packed.alias("packed"), F.min(width).alias("least"), F.max(width).alias("most"))
+    numbers = found.select("table_id", "chunk", "first", F.transform("packed", lambda c: (c % _CODES).cast("int")).alias("rows"), "least", "most")
+    return numbers.withColumn("moves", F.aggregate("rows", F.lit(carried.states), carried.step))
+
+
+def _chunks_begun(chunks: DataFrame, carried: Carried) -> DataFrame:
+    """(table_id, chunk, start): in what state each chunk of a table that matches begins."""
+    tables = chunks.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "moves", "least", "most"))).alias("chunks"))
     after = lambda state, moves: F.substring(moves, F.instr(F.lit(carried.states), state), F.lit(1))
     begin = F.struct(F.lit(_START).alias("state"), F.lit("").alias("starts"))
     carry = F.aggregate("chunks", begin, lambda a, c: F.struct(after(a["state"], c["moves"]).alias("state"), F.concat(a["starts"], a["state"]).alias("starts")))
     even = (F.array_min(F.transform("chunks", lambda c: c["least"])) == F.array_max(F.transform("chunks", lambda c: c["most"]))) & (F.col("chunks")[0]["least"] > 0)
     matched = tables.withColumn("carry", carry).where(even & F.col("carry.state").isin(list(carried.accepting)))
-    starts = matched.select("table_id", "carry.starts", F.posexplode("chunks").alias("k", "c")).select("table_id", "c.part", "c.chunk", F.substring("starts", F.col("k") + 1, F.lit(1)).alias("start"))
-    states = F.aggregate("rows", F.struct(F.col("start").alias("state"), F.lit("").alias("all")), lambda a, r: _then(carried.step(a["state"], r["char"]), a), lambda a: a["all"])
-    known = chunks.join(starts, ["part", "chunk"] + ["table_id"]).withColumn("states", states)
-    before = Window.partitionBy("table_id").orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    news = lambda text: F.length(F.regexp_replace(text, f"[^{carried.new}]", ""))
-    sizes = known.select("table_id", "part", "chunk", F.size("rows").alias("n"), news(F.col("states")).alias("news"))
-    offsets = sizes.select("table_id", "part", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("news").over(before), F.lit(0)).alias("news_before"))
-    row = F.arrays_zip("rows", F.regexp_extract_all("states", F.lit("."), F.lit(0)).alias("letters"))
-    each = known.select("table_id", "part", "chunk", F.posexplode(row).alias("i", "r")).select("table_id", "part", "chunk", "i", F.col("r.rows").alias("r"), F.col("r.letters").alias("state"))
-    units = F.create_map(*(F.lit(x) for kv in carried.unit.items() for x in kv))
-    so_far = F.sum(F.col("state").isin(list(carried.new)).cast("int")).over(Window.partitionBy("table_id", "part", "chunk").orderBy("i"))
-    numbered = each.withColumn("so_far", so_far).join(offsets, ["table_id", "part", "chunk"])
-    return numbered.select(
-        "table_id", "part", "chunk", "r.row", (F.col("rows_before") + F.col("i")).alias("number"), F.element_at(units, F.col("state")).alias("unit"),
-        (F.col("news_before") + F.col("so_far") - 1).cast("int").alias("subtable"), "r.text", "r.cells",
+    return matched.select("table_id", "carry.starts", F.posexplode("chunks").alias("k", "c")).select("table_id", "c.chunk", F.substring("starts", F.col("k") + 1, F.lit(1)).alias("start"))
+
+
+def _known(states: Column, carried: Carried) -> Column:
+    """For each letter of a string of states: how many subtables began so far, and the row element."""
+    begun = F.regexp_extract_all(states, F.lit(f"^[^{carried.new}]+|[{carried.new}][^{carried.new}]*"), F.lit(0))
+    lead = F.when(states.rlike(f"^[{carried.new}]"), 1).otherwise(0)
+    so_far = F.flatten(F.transform(begun, lambda s, k: F.array_repeat(k + lead, F.length(s))))
+    units = F.translate(states, "".join(carried.unit), "".join(map(str, carried.unit.values())))
+    return F.zip_with(so_far, F.regexp_extract_all(units, F.lit("."), F.lit(0)), lambda n, unit: n * _UNITS + unit.cast("int"))
+
+
+def placed_rows(rows: DataFrame, pattern: S.Table) -> DataFrame:
+    """(table_id, chunk, number, unit, subtable, cells, and `text` as in _rows): the rows of tables that match, numbered from 0, and what each is."""
+    automaton = Automaton(Shape(pattern))
+    carried = Carried(automaton)
+    # Persisted, as ranges found anew may be others.  On disk, as these are all rows: memory is for what sorts and joins them.
+    each = _rows(rows, automaton).persist(StorageLevel.DISK_ONLY)
+    chunks = _chunks(each, automaton, carried).persist(StorageLevel.DISK_ONLY)
+    states = F.aggregate("rows", F.struct(F.col("start").alias("state"), F.lit("").alias("all")), lambda a, c: _then(carried.step(a["state"], c), a), lambda a: a["all"])
+    begun = chunks.join(_chunks_begun(chunks, carried), ["table_id", "chunk"]).withColumn("states", states)
+    known = begun.select("table_id", "chunk", "first", _known(F.col("states"), carried).alias("known")).persist(StorageLevel.DISK_ONLY)
+    before = Window.partitionBy("table_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    news = F.shiftright(F.element_at("known", -1), _UNITS.bit_length() - 1)
+    sizes = known.select("table_id", "chunk", F.size("known").cast("long").alias("n"), news.cast("long").alias("news"))
+    offsets = sizes.select("table_id", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("news").over(before), F.lit(0)).alias("news_before"))
+    # Chunks are hashed, so that rows meet them unsorted: some bytes for each row of a partition.
+    placed = each.drop("code").join(known.join(offsets, ["table_id", "chunk"]).hint("shuffle_hash"), ["table_id", "chunk"])
+    i = F.col("at") - F.col("first")
+    own = F.get("known", i)
+    return placed.select(
+        "table_id", "chunk", (F.col("rows_before") + i).alias("number"), (own % _UNITS).alias("unit"),
+        (F.col("news_before") + F.shiftright(own, _UNITS.bit_length() - 1) - 1).cast("int").alias("subtable"), "cells", *(c for c in each.columns if c == "text"),
     )
 
 
@@ -206,8 +291,9 @@ def extract_rows(
     compound = any(isinstance(leaf, S.Compound) for leaf in automaton.shape.leaves)
     placed = placed.persist() if keep and compound else placed
     own = F.struct("unit", F.col("subtable").alias("nth"))
+    layouts = layouts_of(automaton.shape)
     compounds = [(k, leaf) for k, leaf in enumerate(automaton.shape.leaves) if isinstance(leaf, S.Compound)]
-    found = F.filter(automaton.row_cells(F.col("text"), own, F.lit(0)), lambda c: c["leaf"] >= 0)
+    found = _laid_out(layouts) if layouts else F.filter(automaton.row_cells(F.col("text"), own, F.lit(0)), lambda c: c["leaf"] >= 0)
     matched = placed.withColumn("found", found)
     if compounds:
         # A text without one of its delimiters fails its whole table.
@@ -218,22 +304,27 @@ def extract_rows(
         failed = matched.where(wrong).select("table_id").distinct()
         matched = matched.join(failed, "table_id", "left_anti")
     if within_rows(pattern, options):
-        key = F.struct("table_id", "part", "chunk", "number")
+        key = F.struct("table_id", "chunk", "number")
         members = local.records_of_items(arrays_of(matched.select(key.alias("table_id"), F.array("cells").alias("grid"), F.col("found").alias("cells")), pattern), pattern, options)
         each = members.select("table_id.*", F.col("rec_no").alias("n"), "members")
         each = each.persist() if keep else each
-        sizes = each.groupBy("table_id", "part", "chunk").count()
-        before = Window.partitionBy("table_id").orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select("table_id", "part", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-        within = F.row_number().over(Window.partitionBy("table_id", "part", "chunk").orderBy("number", "n")) - 1
-        made = each.withColumn("within", within).join(offsets, ["table_id", "part", "chunk"]).select("table_id", (F.col("before") + F.col("within")).cast("int").alias("rec_no"), "members")
+        sizes = each.groupBy("table_id", "chunk").count()
+        before = Window.partitionBy("table_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select("table_id", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+        within = F.row_number().over(Window.partitionBy("table_id", "chunk").orderBy("number", "n")) - 1
+        made = each.withColumn("within", within).join(offsets, ["table_id", "chunk"]).select("table_id", (F.col("before") + F.col("within")).cast("int").alias("rec_no"), "members")
         out = wide_members(R.checked(made, options), schema)
     else:
-        cell = matched.select("table_id", "number", "cells", F.explode("found").alias("c"))
-        place = F.col("number") * F.size("cells") + F.col("c.col")
-        found_items = items_of(cell.select("table_id", place.alias("place"), F.col("number").cast("int").alias("row"), "c.col", "c.leaf", "c.subtable", "c.subrow", F.coalesce(F.get("cells", F.col("c.col")), F.lit("")).alias("text")), pattern)
-        made = R.checked(R.records_of_items(found_items, pattern, options, keep), options)
-        out = wide_members(made, schema) if R.static_names(Atoms(pattern).atoms) else wide(R.fields(made, options), schema)
+        if layouts:
+            found_items = _items(matched, layouts, pattern)
+        else:
+            cell = matched.select("table_id", "number", "cells", F.explode("found").alias("c"))
+            place = F.col("number") * F.size("cells") + F.col("c.col")
+            found_items = items_of(cell.select("table_id", place.alias("place"), F.col("number").cast("int").alias("row"), "c.col", "c.leaf", "c.subtable", "c.subrow", F.coalesce(F.get("cells", F.col("c.col")), F.lit("")).alias("text")), pattern)
+        out = R.wide_of_items(found_items, pattern, options, keep, schema)
+        if out is None:
+            made = R.checked(R.records_of_items(found_items, pattern, options, keep), options)
+            out = wide_members(made, schema) if R.static_names(Atoms(pattern).atoms) else wide(R.fields(made, options), schema)
     return applied(R.named_again(out), pattern.settings, widths=widths)
 
 

@@ -28,6 +28,13 @@ class Atoms:
                 self.atoms.append(atom)
 
 
+def kind_and_tags(atoms: Atoms, number: Column) -> tuple[Column, Column]:
+    """An atom's kind and tags by its number."""
+    kinds = F.array(*(F.lit(a.kind) for a in atoms.atoms))
+    tags = F.array(*(F.array(*map(F.lit, a.tags)).cast("array<string>") for a in atoms.atoms))
+    return F.get(kinds, number), F.get(tags, number)
+
+
 def _item(text: Column, atom: S.Atom, number: int, index: Column, start: Column | None, end: Column | None) -> Column:
     if start is None or end is None:
         return F.struct(F.lit(number).alias("atom"), index.cast("int").alias("idx"), T.extracted(text, atom.extract).alias("s"))
@@ -55,7 +62,7 @@ def _parts(text: Column, content: S.Delimited, number: int, offset: Column | Non
     return F.element_at(F.transform(F.array(T.split(text, content.by)), parts), 1)
 
 
-def _leaf_items(text: Column, k: int, leaf: S.Content, atoms: Atoms, spans: bool) -> Column:
+def leaf_items(text: Column, k: int, leaf: S.Content, atoms: Atoms, spans: bool) -> Column:
     zero = F.lit(0)
     match leaf:
         case S.Atom():
@@ -90,17 +97,16 @@ def arrays_of(placed: DataFrame, pattern: S.Table) -> DataFrame:
     """item_arrays for matched tables (table_id, grid, cells)."""
     atoms = Atoms(pattern)
     text_of = cell_text(is_formatted(placed, "grid"))
-    kinds = F.array(*(F.lit(a.kind) for a in atoms.atoms))
-    tags = F.array(*(F.array(*map(F.lit, a.tags)).cast("array<string>") for a in atoms.atoms))
 
     def of_cell(cell: Column, place: Column) -> Column:
         def of_text(text: Column) -> Column:
-            given = [(k, _leaf_items(text, k, leaf, atoms, False)) for k, leaf in enumerate(atoms.leaves)]
+            given = [(k, leaf_items(text, k, leaf, atoms, False)) for k, leaf in enumerate(atoms.leaves)]
             return reduce(lambda a, kv: a.when(cell["leaf"] == kv[0], kv[1]), given[1:], F.when(cell["leaf"] == given[0][0], given[0][1]))
 
         def item(i: Column, n: Column) -> Column:
             number = place.cast("long") * STRIDE + n
-            own = [number.alias("seq"), *(i[c].alias(c) for c in ("atom", "idx", "s")), F.get(kinds, i["atom"]).alias("kind"), F.get(tags, i["atom"]).alias("tags")]
+            kind, tags = kind_and_tags(atoms, i["atom"])
+            own = [number.alias("seq"), *(i[c].alias(c) for c in ("atom", "idx", "s")), kind.alias("kind"), tags.alias("tags")]
             return F.struct(*own, *(cell[c].alias(c) for c in ("row", "col", "subtable", "subrow")))
 
         text = F.coalesce(text_of(F.get(F.get("grid", cell["row"]), cell["col"])), F.lit(""))
@@ -126,15 +132,13 @@ def items(tables: DataFrame, pattern: S.Table, table_id: str = "table_id", grid:
 def items_of(cells: DataFrame, pattern: S.Table, spans: bool = False) -> DataFrame:
     """The items of cells (table_id, place, row, col, leaf, subtable, subrow, text); place orders a table's cells."""
     atoms = Atoms(pattern)
-    given = [(k, _leaf_items(F.col("text"), k, leaf, atoms, spans)) for k, leaf in enumerate(atoms.leaves)]
+    given = [(k, leaf_items(F.col("text"), k, leaf, atoms, spans)) for k, leaf in enumerate(atoms.leaves)]
     made = reduce(lambda a, kv: a.when(F.col("leaf") == kv[0], kv[1]), given[1:], F.when(F.col("leaf") == given[0][0], given[0][1])) if given else F.array()
     out = cells.select("table_id", "place", "row", "col", "subtable", "subrow", F.posexplode(made).alias("n", "item"))
-    kinds = F.array(*(F.lit(a.kind) for a in atoms.atoms))
-    tags = F.array(*(F.array(*map(F.lit, a.tags)).cast("array<string>") for a in atoms.atoms))
-    atom = F.col("item.atom")
+    kind, tags = kind_and_tags(atoms, F.col("item.atom"))
     return out.select(
         "table_id", (F.col("place").cast("long") * STRIDE + F.col("n")).alias("seq"), "item.atom", "item.idx", "item.s",
-        F.get(kinds, atom).alias("kind"), F.get(tags, atom).alias("tags"), "row", "col", "subtable", "subrow", *(("item.start", "item.end") if spans else ()),
+        kind.alias("kind"), tags.alias("tags"), "row", "col", "subtable", "subrow", *(("item.start", "item.end") if spans else ()),
     )
 
 

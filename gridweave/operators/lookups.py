@@ -327,19 +327,38 @@ def paired(items: DataFrame, lookup: S.Lookup, wanted: str | None, carry: tuple[
     return items.join(grouped, ["table_id", "seq"], "left")
 
 
-def first_elsewhere(items: DataFrame, lookup: S.Lookup, scope: Scope, wanted: str | None, carry: tuple[str, ...], name: str) -> DataFrame:
-    """The items with what a lookup of one item in another cell of the line finds: the first one earlier, or else the first one later, as running minima."""
+def unordered(lookup: S.Lookup) -> bool:
+    """Whether the lookup asks for the first item in any other cell of a line."""
+    scope = scope_of(lookup)
+    return scope is not None and lookup.most == 1 and not scope.by_item and scope.before and scope.after
+
+
+def firsts_elsewhere(items: DataFrame, asked: list[tuple[S.Lookup, str | None, str]], carry: tuple[str, ...]) -> DataFrame:
+    """The items with what such lookups (lookup, kind, name) find, those along one line together.
+
+    The line's first cell finds the first one behind it, all others find the first cell's: no order is needed.
+    """
+    lines: dict[tuple[str, ...], list[tuple[S.Lookup, str | None, str]]] = {}
+    for lookup, wanted, name in asked:
+        lines.setdefault(scope_of(lookup).same, []).append((lookup, wanted, name))
+    for same, own in lines.items():
+        line = Window.partitionBy("table_id", *same)
+        items = items.withColumns({f"own_{n}": F.when(_fits(scope_of(p), wanted), F.struct(_cell_number(p).alias("cell_no"), "idx", "seq", F.struct(*carry).alias("found"))) for p, wanted, n in own})
+        items = items.withColumns({f"first_{n}": F.min(f"own_{n}").over(line) for *_, n in own})
+        items = items.withColumns({f"second_{n}": F.min(F.when(F.col(f"own_{n}.cell_no") != F.col(f"first_{n}.cell_no"), F.col(f"own_{n}"))).over(line) for *_, n in own})
+        best = lambda p, n: F.when(F.col(f"first_{n}.cell_no") == _cell_number(p), F.col(f"second_{n}")).otherwise(F.col(f"first_{n}"))
+        items = items.withColumns({n: F.when(best(p, n).isNotNull(), F.array(best(p, n)["found"])) for p, _, n in own}).drop(*(f"{k}_{n}" for *_, n in own for k in ("own", "first", "second")))
+    return items
+
+
+def first_to_one_side(items: DataFrame, lookup: S.Lookup, scope: Scope, wanted: str | None, carry: tuple[str, ...], name: str) -> DataFrame:
+    """The items with what a lookup of one item in another cell of the line, to one side of it, finds, as a running minimum."""
     out = items.withColumn("cell_no", _cell_number(lookup)).withColumn("own_entry", F.when(_fits(scope, wanted), _entry(carry)))
-    line = Window.partitionBy("table_id", *scope.same)
-    before = lambda order: F.min("own_entry").over(line.orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
-    earlier, later = _sides(lookup, scope)
-    if later:
-        # The next fitting item behind is the least of those met from the line's end; the first earlier one goes before it.
-        out = out.withColumn("later", before(F.col("cell_no").desc()))
-    if earlier:
-        out = out.withColumn("earlier", before(F.col("cell_no")))
-    best = F.coalesce(*(F.col(c) for c, asked in (("earlier", earlier), ("later", later)) if asked))
-    return out.withColumn(name, F.when(best.isNotNull(), F.array(best["found"]))).drop("cell_no", "own_entry", "earlier", "later")
+    # The next fitting item behind is the least of those met from the line's end.
+    order = F.col("cell_no") if _sides(lookup, scope)[0] else F.col("cell_no").desc()
+    line = Window.partitionBy("table_id", *scope.same).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("best", F.min("own_entry").over(line))
+    return out.withColumn(name, F.when(F.col("best").isNotNull(), F.array(F.col("best.found")))).drop("cell_no", "own_entry", "best")
 
 
 def _by_line(lookup: S.Lookup) -> Scope | None:
@@ -354,7 +373,7 @@ def joins_itself(lookup: S.Lookup) -> bool:
 
 
 def looked_up(items: DataFrame, lookup: S.Lookup, wanted: str | None, carry: tuple[str, ...], name: str, atoms: list[int]) -> DataFrame:
-    """The items with a column of what the lookup finds for those of some atoms, in order; null or empty for nothing."""
+    """The items with a column of what a lookup that isn't `unordered` finds for those of some atoms, in order; null or empty for nothing."""
     if one_on_a_line(lookup):
         best = F.col("best.found")
         return nearest(items, lookup, wanted, carry).withColumn(name, F.when(F.col("best").isNotNull(), F.array(best))).drop("best")
@@ -362,7 +381,7 @@ def looked_up(items: DataFrame, lookup: S.Lookup, wanted: str | None, carry: tup
     if scope is None:
         return paired(items, lookup, wanted, carry, name, atoms)
     if lookup.most == 1 and not scope.by_item:
-        return first_elsewhere(items, lookup, scope, wanted, carry, name)
+        return first_to_one_side(items, lookup, scope, wanted, carry, name)
     if _by_line(lookup):
         return few(items, lookup, scope, wanted, carry, name)
     return shared_lines(items, lookup, scope, wanted, carry, name, atoms)
@@ -373,6 +392,17 @@ def _served(name: str, act: int, prov: int) -> Column:
     return F.transform(name, lambda f: F.struct(F.lit(act).alias("act"), F.lit(prov).alias("prov"), f.alias("found")))
 
 
+def with_finds(items: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], carry: tuple[str, ...]) -> tuple[DataFrame, list[tuple[str, dict[int, list[tuple[int, int]]]]]]:
+    """The items with a column for each lookup of these operations, and its name with the numbers of the actions and providers of each atom that use it."""
+    asked = uses(atoms, ops)
+    names = [f"found_{i}" for i in range(len(asked))]
+    items = firsts_elsewhere(items, [(lookup, wanted, name) for (lookup, wanted), name in zip(asked, names, strict=True) if unordered(lookup)], carry)
+    for name, ((lookup, wanted), by_atom) in zip(names, asked.items(), strict=True):
+        if not unordered(lookup):
+            items = looked_up(items, lookup, wanted, carry, name, list(by_atom))
+    return items, list(zip(names, asked.values(), strict=True))
+
+
 def with_operands(items: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], carry: tuple[str, ...], only: Column | None = None) -> DataFrame:
     """The items (`only` some of them) with a column `ops` of what the providers of these operations found.
 
@@ -380,10 +410,8 @@ def with_operands(items: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], c
     provider are in its order.
     """
     parts: dict[int, list[Column]] = {}
-    names = []
-    for i, ((lookup, wanted), by_atom) in enumerate(uses(atoms, ops).items()):
-        names.append(name := f"found_{i}")
-        items = looked_up(items, lookup, wanted, carry, name, list(by_atom))
+    items, found = with_finds(items, atoms, ops, carry)
+    for name, by_atom in found:
         for n, at in by_atom.items():
             parts.setdefault(n, []).extend(_served(name, act, prov) for act, prov in at)
     if only is not None:
@@ -391,5 +419,5 @@ def with_operands(items: DataFrame, atoms: list[S.Atom], ops: tuple[str, ...], c
     kinds = ",".join(f"{c}:{items.schema[c].dataType.simpleString()}" for c in carry)
     kind = f"array<struct<act:int,prov:int,found:struct<{kinds}>>>"
     each = [(n, F.concat(*(F.coalesce(p.cast(kind), F.array().cast(kind)) for p in own))) for n, own in parts.items()]
-    found = reduce(lambda a, ne: a.when(F.col("atom") == ne[0], ne[1]), each[1:], F.when(F.col("atom") == each[0][0], each[0][1])) if each else F.lit(None).cast(kind)
-    return items.withColumn("ops", found).drop(*names)
+    served = reduce(lambda a, ne: a.when(F.col("atom") == ne[0], ne[1]), each[1:], F.when(F.col("atom") == each[0][0], each[0][1])) if each else F.lit(None).cast(kind)
+    return items.withColumn("ops", served).drop(*(name for name, _ in found))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.operators.items import Atoms, items, most_cells, most_items
-from gridweave.operators.lookups import common_columns, joins_itself, with_operands
+from gridweave.operators.items import Atoms, items, kind_and_tags, most_cells, most_items
+from gridweave.operators.lookups import common_columns, joins_itself, unordered, wanted_kind, with_finds, with_operands
 from gridweave.operators.match import cell_text, is_formatted
 from gridweave.plans import spec as S
 
@@ -511,17 +511,30 @@ def _by_rows(tables: DataFrame, pattern: S.Table, options: Options, table_id: st
     return records_of_items(items(tables, pattern, table_id, grid, spans=False), pattern, options, keep)
 
 
-def records_of_items(found: DataFrame, pattern: S.Table, options: Options, keep: bool) -> DataFrame:
-    """(table_id, rec_no, members) of items as rows."""
-    atoms = Atoms(pattern).atoms
+def named_items(found: DataFrame, pattern: S.Table, keep: bool) -> DataFrame:
+    """The items, dealt by table or line, with `val` and `attr`."""
+    numbered_atoms = Atoms(pattern)
+    atoms = numbered_atoms.atoms
     lookups = [p for a in atoms for x in a.actions for p in x.providers if isinstance(p, S.Lookup)]
     # Lookups along lines by windows read the items once, others join them with themselves.
     hold = (lambda df: df.persist()) if keep and any(joins_itself(p) for p in lookups) else (lambda df: df)
     lines = sorted(set.intersection(*map(common_columns, lookups))) if lookups else []
-    found = hold(found.repartition("table_id", *lines))
+    # Dealt and sorted without what their atoms tell.
+    found = found.drop("kind", "tags").repartition("table_id", *lines)
+    if lookups and all(map(unordered, lookups)):
+        found = found.sortWithinPartitions("table_id", *lines)
+    kind, tags = kind_and_tags(numbered_atoms, F.col("atom"))
+    found = hold(found.withColumn("kind", kind).withColumn("tags", tags))
     named = attributed(valued(found, atoms), atoms)
     if has_strings(atoms) or has_found_attributes(atoms):
         named = hold(named)
+    return named
+
+
+def records_of_items(found: DataFrame, pattern: S.Table, options: Options, keep: bool) -> DataFrame:
+    """(table_id, rec_no, members) of items as rows."""
+    atoms = Atoms(pattern).atoms
+    named = named_items(found, pattern, keep)
     groups = grouping(pattern, options)
     out = made(named, atoms, options, groups)
     if groups:
@@ -529,6 +542,61 @@ def records_of_items(found: DataFrame, pattern: S.Table, options: Options, keep:
     return joined(out, join_lines(atoms)) if any(x.op == "JOIN" for a in atoms for x in a.actions) else numbered(out)
 
 
+def told_members(atoms: list[S.Atom]) -> dict[int, list[tuple[str, tuple[int, int] | None]]] | None:
+    """For each atom that makes records the attributes of their members, each with the action and provider that finds it, None for its own.
+
+    None if the pattern doesn't tell them: if there are joins, or members of other kinds than
+    one item, or if two might have one attribute.
+    """
+    if not static_names(atoms) or has_found_attributes(atoms) or any(x.op == "JOIN" for a in atoms for x in a.actions):
+        return None
+    attr = [next((x.providers[0].text for x in a.actions if x.op == "AVP"), None) for a in atoms]
+    out = {}
+    for n, a in enumerate(atoms):
+        if (act := first_record(a)) is None:
+            continue
+        own: list[tuple[str, tuple[int, int] | None]] = [(attr[n], None)]
+        for prov, p in enumerate(a.actions[act].providers):
+            if not isinstance(p, S.Lookup) or p.most != 1 or len(p.condition) != 1:
+                return None
+            tags = [t for t in p.condition[0] if isinstance(t, S.Test) and t.kind == "tag"]
+            fits = [attr[m] for m, c in enumerate(atoms) if c.kind == wanted_kind(p, "REC") and all((t.arg in c.tags) != t.negated for t in tags)]
+            own += [(name, (act, prov)) for name in dict.fromkeys(fits)]
+        if len({name for name, _ in own}) < len(own):
+            return None
+        out[n] = own
+    return out
+
+
+def wide_of_items(found: DataFrame, pattern: S.Table, options: Options, keep: bool, schema: list[str]) -> DataFrame | None:
+    """(table_id, rec_no and the schema's columns) of items as rows, without lists of members, if the pattern tells these; else None."""
+    atoms = Atoms(pattern).atoms
+    told = told_members(atoms)
+    if told is None or not schema:
+        return None
+    full, finds = with_finds(named_items(found, pattern, keep), atoms, ("REC",), ("attr", "val"))
+    by = {(n, act, prov): name for name, by_atom in finds for n, at in by_atom.items() for act, prov in at}
+
+    def value(name: str) -> Column:
+        def of(n: int) -> Column | None:
+            at = next((at for attr, at in told[n] if attr == name), False)
+            if at is False:
+                return None
+            if at is None:
+                return F.col("val")
+            one = F.get(F.col(by[n, *at]), F.lit(0))
+            return F.when(one["attr"] == name, one["val"])
+
+        own = [(n, v) for n in told if (v := of(n)) is not None]
+        return reduce(lambda a, nv: a.when(F.col("atom") == nv[0], nv[1]), own[1:], F.when(F.col("atom") == own[0][0], own[0][1])) if own else F.lit(None).cast("string")
+
+    places = ("row", "col") if options.actions_by == "row" else ("col", "row")
+    names = [f"c{i}" for i in range(len(schema))]
+    made = full.where(F.col("atom").isin(list(told))).select("table_id", *places, "seq", *(value(a).alias(c) for a, c in zip(schema, names, strict=True)))
+    rec_no = F.row_number().over(Window.partitionBy("table_id").orderBy(*places, "seq")) - 1
+    return made.select("table_id", rec_no.alias("rec_no"), *names).toDF("table_id", "rec_no", *schema)
+
+
 def record_fields(tables: DataFrame, pattern: S.Table, options: Options | None = None, table_id: str = "table_id", grid: str = "grid", keep: bool = True, local_cells: int | None = LOCAL_CELLS) -> DataFrame:
     """The records of all matching tables in long form: (table_id, rec_no, pos, attr, val, visit)."""
     return named_again(fields(records_of(identified(tables, table_id, grid), pattern, options, keep, local_cells), options or Options()))

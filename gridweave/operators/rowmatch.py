@@ -147,13 +147,18 @@ class Automaton:
         letters = F.lit(ALPHABET[: self.classes])
         return F.array_join(F.transform(numbers, lambda n: F.substring(letters, n.cast("int") + 1, F.lit(1))), "")
 
-    def row_class(self, text: Column) -> Column:
+    def row_number(self, text: Column) -> Column:
+        """Which rows of the pattern a row's string can be, as bits of a number."""
+
         def hold(guard: int, sequence: Sequence) -> Column:
             own = text.rlike(sequence.pattern)
             return own & text.rlike(f"^[{_chars(self.classes, lambda x: x & guard)}]*$") if guard else own
 
         bits = [F.when(hold(g, s), 1 << i).otherwise(0) for i, (g, s) in enumerate(self.rows)]
-        return F.substring(F.lit(ALPHABET[: 1 << len(bits)]), reduce(Column.__add__, bits) + 1, F.lit(1))
+        return reduce(Column.__add__, bits)
+
+    def row_class(self, text: Column) -> Column:
+        return F.substring(F.lit(ALPHABET[: 1 << len(self.rows)]), self.row_number(text) + 1, F.lit(1))
 
     def _leaf_of(self, unit: Column, char: Column) -> Column:
         """What a unit makes of a cell of a class: the number of its leaf, -1 for none."""

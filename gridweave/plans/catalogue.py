@@ -450,14 +450,17 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 50).alias("t"))
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", number.alias("n")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    place = F.col("o_orderkey") * 1000
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    order = Window.partitionBy("o_orderkey", "t").orderBy("o_orderstatus", "l_linenumber", "l_partkey")
+    numbered = lines.select("*", F.row_number().over(order).alias("n"), F.col("o_orderstatus").eqNullSafe(F.lag("o_orderstatus").over(order)).alias("same"))
+    row = lambda number, *texts: F.struct(number.alias("row"), F.array(*texts).alias("cells"))
     text = lambda c: F.col(c).cast("string")
-    heads = lines.select("t", "o_orderkey", "o_orderstatus").distinct().select("t", place.alias("row"), F.array(F.lit("order"), text("o_orderkey"), "o_orderstatus").alias("cells"))
-    rows = heads.union(lines.select("t", (place + F.col("n")).alias("row"), F.array(F.lit("line"), text("l_partkey"), F.lit("")).alias("cells")))
+    head = row(F.col("n") * 2 - 1, F.lit("order"), text("o_orderkey"), F.col("o_orderstatus"))
+    line = row(F.col("n") * 2, F.lit("line"), text("l_partkey"), F.lit(""))
+    own = F.when((F.col("n") > 1) & F.col("same"), F.array(line)).otherwise(F.array(head, line))
+    rows = numbered.select("t", F.col("o_orderkey").alias("part"), F.explode(own).alias("r")).select("t", "part", "r.*")
     pattern = """{ [ ['order' ? SKIP] [VAL#'o' : 'ORDER'->AVP] [VAL#'s' : 'STATUS'->AVP] ] [ ['line' ? SKIP] [VAL : 'PART'->AVP, (ST&#'o', ST&#'s')->REC] [BLANK ? SKIP] ]+ }+"""
-    found = extract_rows(rows, pattern, ["ORDER", "STATUS", "PART"], table_id="t", row="row")
+    found = extract_rows(rows, pattern, ["ORDER", "STATUS", "PART"], table_id="t", part="part", row="row")
     return _named(found, "orderkey", "status", "part")
 
 
