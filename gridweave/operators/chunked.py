@@ -4,11 +4,13 @@ A row's cells give its class without looking at other rows.  The pattern's list
 is an automaton over these classes; its transition table for a chunk of rows, from every
 state at once, needs no other chunk.  The chunks' tables are put together in order, which
 says in what state each chunk begins, and then each chunk's rows are placed by themselves.
-Of a whole table only the chunks' transition tables meet in one row, some bytes each.
+Of a whole table only the chunks' transition tables meet in one row, some bytes each; of a
+chunk's rows only numbers do, while the rows with their cells stay rows, and meet what is
+known of their chunk by a join.
 
 A pattern whose lookups all stay within a row is worked on row by row; the items of others
 are dealt by table as in `records`, and by line where all lookups keep to one, and sorted
-and carried along there.  Chunks are persisted, whatever `keep` says.
+and carried along there.  Rows and chunks are persisted on disk, whatever `keep` says.
 
 Only patterns that say at each row what it is can be carried so (`Carried`): where a row
 could be one more of an element that may be given back or the next element, the decision is

@@ -6,6 +6,8 @@ of items: a row, a column, a subtable, a cell, the whole table, or the items of
 in these; what else they ask of an item its own string, tags and place tell.  Of such
 
 - one item to one side is a running minimum or maximum along the line (`nearest`);
+- the first item in any other cell is the line's first one, or for that one's cell the first
+  behind it: two minima of the line, in no order (`firsts_elsewhere`);
 - a few items are bounded lists carried along the line: the first so many of it that lie
   before an item, and the next so many behind it (`few`);
 - all items, or many, are a list for each line, collected once and shared by its items,
