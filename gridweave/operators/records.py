join_by_key: items of grouped joins are read once, so they aren't cached

Symptom: the query read and shuffled its whole input twice, once for small tables and once for the cached items of large ones.
Evidence: quick tool run on sf0.1 lines (600,000), before: 1,200,000 rows read, 19 MB shuffle written, 0.02 GB disk, 2810 CPU seconds a GB (JVM 2589, GC 132). The cached relation has a plan of its own, so the source's exchange could not be reused; a join by groups looks nothing up, so no second reader needed the cache.
Fix: only lookups that are made decide whether items are persisted; joins by groups no longer count.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 4280 -> 2439 s, shuffle 1.27 -> 0.63 GB, spill 0.00 -> 0.00 GB, read 0.81 -> 0.41 GB, longest task 29 -> 19 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 16391 -> 11341 s, shuffle 7.74 -> 3.87 GB, spill 0.00 -> 0.00 GB, read 5.21 -> 2.60 GB, longest task 88 -> 64 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 3217 -> 2687 s, shuffle 1.34 -> 0.71 GB, spill 0.00 -> 0.00 GB, read 0.96 -> 0.39 GB, longest task 45 -> 42 s, most memory of a task 1476 -> 1476 MB.

@@ -511,13 +511,14 @@ def _by_rows(tables: DataFrame, pattern: S.Table, options: Options, table_id: st
     return records_of_items(items(tables, pattern, table_id, grid, spans=False), pattern, options, keep)
 
 
-def named_items(found: DataFrame, pattern: S.Table, keep: bool) -> DataFrame:
-    """The items, dealt by table or line, with `val` and `attr`."""
+def named_items(found: DataFrame, pattern: S.Table, keep: bool, grouped: bool = False) -> DataFrame:
+    """The items, dealt by table or line, with `val` and `attr`.  grouped: joins are groups, for which nothing is looked up."""
     numbered_atoms = Atoms(pattern)
     atoms = numbered_atoms.atoms
     lookups = [p for a in atoms for x in a.actions for p in x.providers if isinstance(p, S.Lookup)]
     # Lookups along lines by windows read the items once, others join them with themselves.
-    hold = (lambda df: df.persist()) if keep and any(joins_itself(p) for p in lookups) else (lambda df: df)
+    sought = [p for a in atoms for x in a.actions if not (grouped and x.op == "JOIN") for p in x.providers if isinstance(p, S.Lookup)]
+    hold = (lambda df: df.persist()) if keep and any(map(joins_itself, sought)) else (lambda df: df)
     lines = sorted(set.intersection(*map(common_columns, lookups))) if lookups else []
     # Dealt and sorted without what their atoms tell.
     found = found.drop("kind", "tags").repartition("table_id", *lines)
@@ -534,8 +535,8 @@ def named_items(found: DataFrame, pattern: S.Table, keep: bool) -> DataFrame:
 def records_of_items(found: DataFrame, pattern: S.Table, options: Options, keep: bool) -> DataFrame:
     """(table_id, rec_no, members) of items as rows."""
     atoms = Atoms(pattern).atoms
-    named = named_items(found, pattern, keep)
     groups = grouping(pattern, options)
+    named = named_items(found, pattern, keep, groups is not None)
     out = made(named, atoms, options, groups)
     if groups:
         return joined_by_groups(out, groups)
