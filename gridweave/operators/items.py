@@ -98,6 +98,19 @@ def arrays_of(placed: DataFrame, pattern: S.Table) -> DataFrame:
     atoms = Atoms(pattern)
     text_of = cell_text(is_formatted(placed, "grid"))
 
+    text_at = lambda cell: F.coalesce(text_of(F.get(F.get("grid", cell["row"]), cell["col"])), F.lit(""))
+    places = ("row", "col", "subtable", "subrow")
+
+    def of_atom(cell: Column, place: Column) -> Column:
+        """The item of a cell, if no cell has more than one."""
+        number = F.get(F.array(*(F.lit(atoms.number[k, 0]) for k in range(len(atoms.leaves)))), cell["leaf"])
+        given = [(k, T.extracted(text_at(cell), leaf.extract)) for k, leaf in enumerate(atoms.leaves)]
+        alike = all(leaf.extract == atoms.leaves[0].extract for leaf in atoms.leaves)
+        s = given[0][1] if alike else reduce(lambda a, kv: a.when(cell["leaf"] == kv[0], kv[1]), given[1:], F.when(cell["leaf"] == given[0][0], given[0][1]))
+        kind, tags = kind_and_tags(atoms, number)
+        own = [(place.cast("long") * STRIDE).alias("seq"), number.alias("atom"), F.lit(0).alias("idx"), s.alias("s"), kind.alias("kind"), tags.alias("tags")]
+        return F.struct(*own, *(cell[c].alias(c) for c in places))
+
     def of_cell(cell: Column, place: Column) -> Column:
         def of_text(text: Column) -> Column:
             given = [(k, leaf_items(text, k, leaf, atoms, False)) for k, leaf in enumerate(atoms.leaves)]
@@ -107,12 +120,13 @@ def arrays_of(placed: DataFrame, pattern: S.Table) -> DataFrame:
             number = place.cast("long") * STRIDE + n
             kind, tags = kind_and_tags(atoms, i["atom"])
             own = [number.alias("seq"), *(i[c].alias(c) for c in ("atom", "idx", "s")), kind.alias("kind"), tags.alias("tags")]
-            return F.struct(*own, *(cell[c].alias(c) for c in ("row", "col", "subtable", "subrow")))
+            return F.struct(*own, *(cell[c].alias(c) for c in places))
 
-        text = F.coalesce(text_of(F.get(F.get("grid", cell["row"]), cell["col"])), F.lit(""))
-        return F.transform(F.element_at(F.transform(F.array(text), of_text), 1), item)
+        return F.transform(F.element_at(F.transform(F.array(text_at(cell)), of_text), 1), item)
 
     nothing = F.array().cast("array<struct<seq:bigint,atom:int,idx:int,s:string,kind:string,tags:array<string>,row:int,col:int,subtable:int,subrow:int>>")
+    if atoms.leaves and all(isinstance(leaf, S.Atom) for leaf in atoms.leaves):
+        return placed.select("table_id", F.transform("cells", of_atom).alias("items"))
     return placed.select("table_id", (F.flatten(F.transform("cells", of_cell)) if atoms.leaves else nothing).alias("items"))
 
 

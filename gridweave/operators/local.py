@@ -27,8 +27,8 @@ def possible(pattern: S.Table) -> bool:
     return not python and not calls
 
 
-def _finder(items: Column, x, atoms: list[S.Atom], ops: tuple[str, ...], carry: tuple[str, ...]):
-    """found(atom, act, prov): what a provider finds among the items for item x, in order."""
+def _finder(items: Column, x, atoms: list[S.Atom], ops: tuple[str, ...], carry: tuple[str, ...], get):
+    """found(atom, act, prov): what a provider finds among the items for item x, in order; get(item) gives an item's columns."""
     allowed = {(n, act, prov): lookup for (lookup, _), by_atom in uses(atoms, ops).items() for n, at in by_atom.items() for act, prov in at}
     numbers = {id(a): n for n, a in enumerate(atoms)}
     nothing = F.array().cast("array<struct<" + ",".join(f"{c}:{'bigint' if c == 'seq' else 'string'}" for c in carry) + ">>")
@@ -43,10 +43,10 @@ def _finder(items: Column, x, atoms: list[S.Atom], ops: tuple[str, ...], carry:
         places = ("col", "row") if lookup.order.endswith("^") else ("row", "col")
 
         def fits(c: Column) -> Column:
-            meets = condition_of(lookup.condition, x, lambda n: c[n])
+            meets = condition_of(lookup.condition, x, get(c))
             return meets if len(kinds) == len(atoms) else c["atom"].isin(kinds) & meets
 
-        entry = lambda c: F.struct(*((c[p] * sign).alias(f"o{i}") for i, p in enumerate(places, 1)), c["idx"].alias("o3"), c["seq"].alias("o4"), F.struct(*(c[n].alias(n) for n in carry)).alias("found"))
+        entry = lambda c: F.struct(*((c[p] * sign).alias(f"o{i}") for i, p in enumerate(places, 1)), c["idx"].alias("o3"), c["seq"].alias("o4"), F.struct(*(get(c)(n).alias(n) for n in carry)).alias("found"))
         entries = F.transform(F.filter(items, fits), entry)
         if lookup.most == 1:
             return F.transform(F.filter(F.array(F.array_min(entries)), lambda e: e.isNotNull()), lambda e: e["found"])
@@ -86,22 +86,29 @@ def arrays_of_records(out: DataFrame, pattern: S.Table, options: R.Options) -> D
     """(table_id, records) of tables (table_id, items): an array of structs with the members."""
     atoms = Atoms(pattern).atoms
     items = F.col("items")
-    get = lambda item: lambda n: item[n]
+    # Items are written down anew only where a value or an attribute is what lookups find; else these are read off the item.
+    strings, found_attributes = R.has_strings(atoms), R.has_found_attributes(atoms)
+
+    def get(item: Column):
+        def of(n: str) -> Column:
+            if n == "attr" and not found_attributes:
+                return attribute(item)
+            return item["s"] if n == "val" and not strings else item[n]
+
+        return of
 
     def valued(item: Column) -> Column:
         x = get(item)
-        return R.by_atom(atoms, lambda a: R.value_of(a, x, R.strings_of(_finder(items, x, atoms, R._STRING_OPS, ("s",)))), x("s"), x)
+        return R.by_atom(atoms, lambda a: R.value_of(a, x, R.strings_of(_finder(items, x, atoms, R._STRING_OPS, ("s",), get))), x("s"), x)
 
     def attribute(item: Column) -> Column:
         x = get(item)
-        return R.by_atom(atoms, lambda a: R.attribute_of(a, _finder(items, x, atoms, ("AVP",), ("val",))), F.lit(None).cast("string"), x)
+        return R.by_atom(atoms, lambda a: R.attribute_of(a, _finder(items, x, atoms, ("AVP",), ("val",), get)), F.lit(None).cast("string"), x)
 
-    # Items are written down anew only where others read what was changed.
-    if R.has_strings(atoms):
+    if strings:
         out = out.withColumn("items", F.transform(items, lambda i: _with(i, val=valued(i))))
-    else:
-        out = out.withColumn("items", F.transform(items, lambda i: _with(i, val=i["s"])))
-    out = out.withColumn("items", F.transform(items, lambda i: _with(i, attr=attribute(i))))
+    if found_attributes:
+        out = out.withColumn("items", F.transform(items, lambda i: _with(i, attr=attribute(i))))
 
     groups = R.grouping(pattern, options)
     literals = R.literals_of(atoms)
@@ -112,7 +119,7 @@ def arrays_of_records(out: DataFrame, pattern: S.Table, options: R.Options) -> D
 
     def record(item: Column) -> Column:
         x = get(item)
-        found = _finder(items, x, atoms, ("REC", "JOIN"), ("seq", "attr", "val"))
+        found = _finder(items, x, atoms, ("REC", "JOIN"), ("seq", "attr", "val"), get)
         own = [x(places[0]).alias("o1"), x(places[1]).alias("o2"), x("seq").alias("seq"), R.by_atom(atoms, lambda a: R.members_of(a, x, found, literals), F.array().cast(R.MEMBERS), x).alias("members")]
         if has_joins:
             own.append(R.by_atom(atoms, lambda a: R.joins_of(a, found), nothing, x).alias("joins"))
@@ -124,8 +131,8 @@ def arrays_of_records(out: DataFrame, pattern: S.Table, options: R.Options) -> D
     out = out.select("table_id", made.alias("records"))
     if groups:
         all_, same = F.col("records"), lambda a, b: reduce(Column.__and__, (a[n] == b[n] for n in groups.by), F.lit(True))
-        heads = F.filter(all_, lambda r: ~F.exists(all_, lambda q: same(q, r) & (q["seq"] < r["seq"])))
-        out = out.withColumn("records", F.transform(heads, lambda r: F.struct(r["seq"].alias("seq"), R.merged_members(r, F.filter(all_, lambda q: same(q, r) & (q["seq"] > r["seq"])), groups.drop).alias("members"))))
+        heads = F.filter(all_, lambda r: ~F.exists(all_, lambda q: (q["seq"] < r["seq"]) & same(q, r)))
+        out = out.withColumn("records", F.transform(heads, lambda r: F.struct(r["seq"].alias("seq"), R.merged_members(r, F.filter(all_, lambda q: (q["seq"] > r["seq"]) & same(q, r)), groups.drop).alias("members"))))
     elif has_joins:
         return R.joined_arrays(out)
     return out

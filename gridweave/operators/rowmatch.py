@@ -86,6 +86,10 @@ class Sequence:
 
     def taken(self, text: Column) -> Column:
         """For each character the number of the unit that took it (`unit`) and of the repetition, over all elements (`nth`)."""
+        if all(e.times == (1, 1) and all(times == (1, 1) for times, *_ in e.units) for e in self.elements):
+            # Each unit takes one character, whatever the string that matched.
+            units = [(unit, nth) for nth, e in enumerate(self.elements) for *_, unit in e.units]
+            return F.array(*(F.struct(F.lit(unit).alias("unit"), F.lit(nth).alias("nth")) for unit, nth in units))
         alone = len(self.elements) == 1
         finds = []
         for i, e in enumerate(self.elements):
