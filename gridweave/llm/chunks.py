op5: a text is measured once and gone through once for each part

Symptom: cutting texts' parts around alignments was the query's costliest stage, all of it JVM time.
Evidence: quick tool run, 0.1 GB, before: 995 CPU seconds a GB (JVM 600, Python 372, GC 18); stage of the join with texts 23 s, 21 of JVM CPU, 86 MB in the largest task. For each part it hashed the whole text, counted its characters three times and walked to three places in it, then sorted all parts for a sum that never merged anything before the shuffle.
Fix: hash and length are columns of the text, made before the join; one substring takes the part with a character on either side; parts are dealt by alignment before they are put together.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 2016 -> 1469 s, shuffle 4.07 -> 4.00 GB, spill 0.00 -> 0.00 GB, read 4.83 -> 4.83 GB, longest task 49 -> 23 s, most memory of a task 438 -> 370 MB; at 6 GB of input CPU 15881 -> 11091 s, shuffle 47.14 -> 45.85 GB, spill 0.05 -> 0.00 GB, read 48.35 -> 48.35 GB, longest task 59 -> 43 s, most memory of a task 1016 -> 814 MB; with hot keys, at 0.6 GB of input CPU 876 -> 935 s, shuffle 1.13 -> 1.04 GB, spill 0.00 -> 0.00 GB, read 1.25 -> 1.25 GB, longest task 14 -> 12 s, most memory of a task 545 -> 169 MB.

@@ -237,15 +237,21 @@ def _compared(texts: DataFrame, aligned: DataFrame, margin: int, min_words: int)
     side = lambda own, start: F.struct(F.lit(own).alias("own"), F.col("doc_id" if own else "other").alias("id"), start.alias("at"))
     asked = aligned.withColumn("side", F.explode(F.array(side(True, F.col("from")), side(False, F.col("from") - F.col("shift")))))
     ids = cut(asked.select(F.col("side.id").alias("doc_id")).distinct())
-    held = texts.join(sized(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-    part = F.substring(F.col("text"), F.col("side.at") + 1, F.col("to") - F.col("from"))
+    # What is known of a text as a whole is found once for each text, and a text is gone through once for each part: to that and a code point on either side.
+    held = texts.join(sized(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("print"), F.length("text").alias("points"))
+    at = F.col("side.at")
+    around = F.substring(F.col("text"), F.greatest(at, F.lit(1)), F.col("to") - F.col("from") + 1 + F.least(F.lit(1), at))
     key = ["doc_id", "other", "shift"]
-    # Whether the code point before a place (the first, or the one after the last) is blank or missing.
-    open_at = lambda place: (place <= 0) | (place > F.length("text")) | F.substring(F.col("text"), place, F.lit(1)).isin([" ", *"\t\n\x0b\x0c\r"])
-    edges = [F.when(F.col("side.own"), F.xxhash64("text")).alias("print"), open_at(F.col("from")).alias("begins"), open_at(F.col("to") + 1).alias("ends")]
-    ongoing = (F.col("side.at") + F.col("to") - F.col("from") < F.length("text")).alias("after")
-    taken = asked.join(held, F.col("side.id") == F.col("id")).select(*key, "low", "high", "from", "side.own", *edges, ongoing, part.alias("part"))
-    # Both sides of an alignment meet by one shuffle of their parts.
+    taken = asked.join(held, F.col("side.id") == F.col("id")).select(*key, "low", "high", "from", "to", "side.own", "print", "points", F.col("side.at").alias("at"), around.alias("around"))
+    # Whether the code point on either side of a part is blank or missing.
+    led, size = F.least(F.lit(1), F.col("at")), F.col("to") - F.col("from")
+    blank = lambda place: F.substring(F.col("around"), place, F.lit(1)).isin([" ", *"\t\n\x0b\x0c\r"])
+    begins, ends = (F.col("at") <= 0) | blank(F.lit(1)), (F.col("at") + size >= F.col("points")) | blank(led + size + 1)
+    ongoing = (F.col("at") + size < F.col("points")).alias("after")
+    part = F.substring(F.col("around"), led + 1, size)
+    taken = taken.select(*key, "low", "high", "from", "own", "print", begins.alias("begins"), ends.alias("ends"), ongoing, part.alias("part"))
+    # Both sides of an alignment meet by one shuffle of their parts, which has nothing to sort or sum up before.
+    taken = taken.repartition(*key)
     own, other = (lambda c: F.first(F.when(F.col("own"), F.col(c)), ignorenulls=True)), (lambda c: F.first(F.when(~F.col("own"), F.col(c)), ignorenulls=True))
     met = taken.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("low", "high", "from")), *(own(c).alias(c) for c in ("print", "begins", "ends")), (own("after") & other("after")).alias("after"), own("part").alias("left"), other("part").alias("text"))
     before = F.col("from") > F.greatest(F.lit(0), F.col("shift"))
