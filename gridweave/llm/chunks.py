op5: texts are cut and compared many at a time

Symptom: of each text and each alignment Python spent most of its time on calls into numpy, not on the data.
Evidence: quick tool run, 0.1 GB, before: 918 CPU seconds a GB (JVM 481, Python 411, GC 21); the two cutting stages 22 and 16 s, the comparing stage 16 s. 10,010 texts alone: 3.6 CPU seconds for some 40 numpy calls a text.
Fix: texts are laid one after the other with 31 silent bytes between, some 256 kB at once, and hashed, cut and put into windows together; parts of alignments are compared in one go, with marks between that differ, and only stretches that are long enough are looked at for words.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 2016 -> 1469 s, shuffle 4.07 -> 4.00 GB, spill 0.00 -> 0.00 GB, read 4.83 -> 4.83 GB, longest task 49 -> 23 s, most memory of a task 438 -> 370 MB; at 6 GB of input CPU 15881 -> 11091 s, shuffle 47.14 -> 45.85 GB, spill 0.05 -> 0.00 GB, read 48.35 -> 48.35 GB, longest task 59 -> 43 s, most memory of a task 1016 -> 814 MB; with hot keys, at 0.6 GB of input CPU 876 -> 935 s, shuffle 1.13 -> 1.04 GB, spill 0.00 -> 0.00 GB, read 1.25 -> 1.25 GB, longest task 14 -> 12 s, most memory of a task 545 -> 169 MB.

@@ -55,15 +55,20 @@ GROWTH = 16
 _ROWS = 200_000
 _PIECE = 1 << 20
 _MEMORY = 32
+#: Between texts that are cut together, up to about so many bytes or code points of them at once.
+_GAP = bytes(_MEMORY - 1)
+_TOGETHER = 1 << 18
 _LIMIT = np.uint32((1 << 32) // MEAN_BYTES)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: One random number for each byte value, from a fixed seed.
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: the sum of the last 32 bytes' gears, each shifted by its age."""
+def gear(data: np.ndarray, silent: np.ndarray | None = None) -> np.ndarray:
+    """The rolling hash after each byte: the sum of the last 32 bytes' gears, each shifted by its age; `silent` bytes have none."""
     h = _GEAR[data]
+    if silent is not None:
+        h[silent] = 0
     shift = 1
     while shift < _MEMORY:
         older = h[:-shift] << np.uint32(shift)
@@ -72,75 +77,123 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+class Laid:
+    """Texts laid one after the other, with so many silent bytes between them that no hash reaches from one to the next."""
+
+    def __init__(self, texts: list[bytes]):
+        self.joined = _GAP.join(texts)
+        self.data = np.frombuffer(self.joined, np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.stops = np.cumsum(sizes + len(_GAP)) - len(_GAP)
+        self.begins = self.stops - sizes
+        self.silent = np.zeros(len(self.data), bool)
+        self.silent[(self.stops[:-1, None] + np.arange(len(_GAP))).ravel()] = True
+
+    def text_of(self, ends: np.ndarray) -> np.ndarray:
+        """The number of the text in which each chunk ends."""
+        return np.searchsorted(self.stops, ends)
+
+    def starts_of(self, ends: np.ndarray) -> np.ndarray:
+        """Where the chunks with these ends, all there are, start."""
+        return np.maximum(self.begins[self.text_of(ends)], np.concatenate(([0], ends[:-1]))) if len(ends) else ends
+
+    def borders(self) -> np.ndarray:
+        """The chunk ends, the last of each text being its end."""
+        is_end = np.zeros(len(self.data) + 1, bool)
+        is_end[self.stops[self.stops > self.begins]] = True
+        for at in range(0, len(self.data), _PIECE):
+            lead = min(at, _MEMORY - 1)
+            piece = slice(at - lead, at + _PIECE)
+            h = gear(self.data[piece], self.silent[piece])[lead:]
+            is_end[at + 1 : at + 1 + len(h)] |= (h < _LIMIT) & ~self.silent[at : at + _PIECE]
+        ends = np.flatnonzero(is_end)
+        # A stretch without a border is cut every MAX_BYTES from its start.
+        starts = self.starts_of(ends)
+        cuts = np.maximum(0, ends - starts - 1) // MAX_BYTES
+        nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts) + 1
+        return np.sort(np.concatenate([ends, np.repeat(starts, cuts) + MAX_BYTES * nth]))
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the text, digest, start and end (code points) of each chunk."""
+        ends = self.borders()
+        starts, text = self.starts_of(ends), self.text_of(ends)
+        digests = map(xxhash.xxh3_64_intdigest, map(self.joined.__getitem__, map(slice, starts.tolist(), ends.tolist())))
+        found = np.fromiter(digests, np.uint64, len(ends))
+        begins = self.begins[text]
+        if self.joined.isascii():  # a byte is a code point
+            return text, found, starts - begins, ends - begins
+        points = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
+        return text, found, points[starts] - points[begins], points[ends] - points[begins]
+
+    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the text, digest, start, end (code points) of the windows kept, and whether it is the text's first with its digest."""
+        text, digests, starts, ends = self.chunks()
+        at = np.arange(len(text))
+        first_chunk, last_chunk = np.searchsorted(text, text), np.searchsorted(text, text, "right") - 1
+        mixed = np.zeros(len(text), np.uint64)
+        for i in range(WINDOW):
+            nth = np.minimum(at + i, last_chunk)
+            mixed = np.where(at + i <= last_chunk, mixed * np.uint64(_MIX[0]) + digests[nth], mixed)
+        # A text of fewer chunks is one window.
+        window = np.flatnonzero((at == first_chunk) | (at + WINDOW - 1 <= last_chunk))
+        text, mixed = text[window], mixed[window]
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(_MIX[1])
+        kept = np.zeros(len(text), bool)
+        same, smaller = text[1:] == text[:-1], mixed[1:] < mixed[:-1]
+        kept[1:] |= same & smaller
+        kept[:-1] |= same & ~smaller
+        beside = np.concatenate(([False], same, [False]))
+        kept |= ~(beside[1:] | beside[:-1])
+        window, text, found = window[kept], text[kept], mixed[kept]
+        order = np.lexsort((found, text))
+        first = np.zeros(len(text), bool)
+        again = (text[order][1:] == text[order][:-1]) & (found[order][1:] == found[order][:-1])
+        first[order[np.concatenate(([True], ~again))[: len(order)]]] = True
+        return text, found, starts[window], ends[np.minimum(window + WINDOW - 1, last_chunk[window])], first
+
+
 def borders(text: bytes) -> np.ndarray:
     """The chunk ends of a text, the last being its length."""
-    data = np.frombuffer(text, np.uint8)
-    ends = []
-    for at in range(0, len(data), _PIECE):
-        lead = min(at, _MEMORY - 1)
-        h = gear(data[at - lead : at + _PIECE])[lead:]
-        ends.append(np.flatnonzero(h < _LIMIT) + at + 1)
-    found = np.concatenate(ends) if ends else np.empty(0, np.int64)
-    if len(data) and (not len(found) or found[-1] < len(data)):
-        found = np.append(found, len(data))
-    starts = np.concatenate(([0], found[:-1])) if len(found) else found
-    if (found - starts > MAX_BYTES).any():
-        # A stretch without a border is cut every MAX_BYTES from its start.
-        extra = [np.arange(s + MAX_BYTES, e, MAX_BYTES) for s, e in zip(starts.tolist(), found.tolist(), strict=True) if e - s > MAX_BYTES]
-        found = np.sort(np.concatenate([found, *extra]))
-    return found
+    return Laid([text]).borders()
 
 
 def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, start and end (code points) of each chunk."""
-    ends = borders(text)
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    digests = map(xxhash.xxh3_64_intdigest, map(text.__getitem__, map(slice, starts.tolist(), ends.tolist())))
-    found = np.fromiter(digests, np.uint64, len(ends))
-    if text.isascii():  # a byte is a code point
-        return found, starts, ends
-    points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
-    return found, points[starts], points[ends]
-
-
-def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, start, end (code points) of the windows kept, and whether it is the text's first with its digest."""
-    digests, starts, ends = chunks(text)
-    n = max(1, len(digests) - WINDOW + 1) if len(digests) else 0
-    mixed = np.zeros(n, np.uint64)
-    for i in range(min(WINDOW, len(digests))):
-        mixed = mixed * np.uint64(_MIX[0]) + digests[i : i + n]
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(_MIX[1])
-    kept = np.zeros(n, bool)
-    smaller = mixed[1:] < mixed[:-1]
-    kept[1:] |= smaller
-    kept[:-1] |= ~smaller
-    at = np.flatnonzero(kept) if n > 1 else np.arange(n)
-    found = mixed[at]
-    first = np.zeros(len(at), bool)
-    first[np.unique(found, return_index=True)[1]] = True
-    return found, starts[at], ends[np.minimum(at + WINDOW, len(ends)) - 1], first
+    return Laid([text]).chunks()[1:]
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: list[tuple] = []
-    size = 0
+    ids: list[int] = []
+    texts: list[bytes] = []
+    rows = size = 0
+
+    def cut_texts() -> int:
+        text, *columns = Laid(texts).seeds()
+        kept.append((np.array(ids, np.int64)[text], *columns))
+        ids.clear()
+        texts.clear()
+        return len(text)
 
     def out() -> pa.RecordBatch:
-        digests = np.concatenate([k[1] for k in kept]).view(np.int64)
-        ids = np.repeat(np.array([k[0] for k in kept], np.int64), [len(k[1]) for k in kept])
-        places = [np.concatenate([k[i] for k in kept]).astype(np.int32) for i in (2, 3)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, digests, *places, np.concatenate([k[4] for k in kept]))], ["doc_id", "digest", "start", "end", "first"])
+        doc_id, digest, start, end, first = (np.concatenate(c) for c in zip(*kept, strict=True))
+        kept.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_id, digest.view(np.int64), start.astype(np.int32), end.astype(np.int32), first)], ["doc_id", "digest", "start", "end", "first"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
             if text:
-                kept.append((doc_id, *seeds(text)))
-                size += len(kept[-1][1])
-                if size >= _ROWS:
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size >= _TOGETHER:
+                    rows, size = rows + cut_texts(), 0
+                if rows >= _ROWS:
                     yield out()
-                    kept, size = [], 0
+                    rows = 0
+    if texts:
+        cut_texts()
     if kept:
         yield out()
 
@@ -184,42 +237,66 @@ def whole_words(text: np.ndarray, begin: int, end: int, at_start: bool, at_end:
 
     at_start, at_end: whether a word can begin with the text's first code point and end with its last.
     """
-    blank = np.concatenate(([at_start], (text == 32) | ((text >= 9) & (text <= 13)), [at_end]))
-    starts = np.flatnonzero(blank[begin:end] & ~blank[begin + 1 : end + 1]) + begin
-    ends = np.flatnonzero(~blank[begin + 1 : end + 1] & blank[begin + 2 : end + 2]) + begin + 1
+    around = text[max(0, begin - 1) : end + 1]
+    blank = np.concatenate(([at_start] * (begin == 0), (around == 32) | ((around >= 9) & (around <= 13)), [at_end] * (end == len(text)))).astype(bool)
+    starts = np.flatnonzero(blank[:-2] & ~blank[1:-1]) + begin
+    ends = np.flatnonzero(~blank[1:-1] & blank[2:]) + begin + 1
     ends = ends[np.searchsorted(ends, starts[0], "right") :] if len(starts) else ends[:0]
     return (int(starts[0]), int(ends[-1]), len(ends)) if len(ends) else (0, 0, 0)
 
 
-def common(own: str, other: str, at_start: bool, at_end: bool, more_before: bool, more_after: bool, min_words: int) -> list[tuple[int, int, int]] | None:
-    """Stretches of two texts, laid side by side, that are equal and have enough whole words: start, end, words.
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
-    None if one reaches an end of these parts of texts beyond which both texts go on.
+
+def common(pairs: list[tuple[str, str, bool, bool, bool, bool]], min_words: int) -> list[list[tuple[int, int, int]] | None]:
+    """For each two texts, laid side by side, the stretches that are equal and have enough whole words: start, end, words.
+
+    pairs: both texts, whether a word can begin and end with the first one, whether both go on
+    before and after.  None for two with a stretch that reaches an end beyond which both go on.
     """
-    a, b = (np.frombuffer(x.encode("utf-32-le"), "<u4") for x in (own, other))
-    n = min(len(a), len(b))
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], a[:n] == b[:n], [0]))))
-    out = []
-    for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        if more_before and begin == 0 or more_after and end == n:
-            return None
-        if end - begin >= 2 * min_words - 1:
-            first, last, words = whole_words(a, begin, end, at_start, at_end)
-            if words >= min_words:
-                out.append((first, last, words))
+    sizes = np.array([min(len(p[0]), len(p[1])) for p in pairs])
+    # All pairs are compared at once, with marks between that differ, so that no stretch reaches from one to the next.
+    a, b = (_points(mark.join(p[k][:n] for p, n in zip(pairs, sizes.tolist(), strict=True))) for k, mark in ((0, "a"), (1, "b")))
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], a == b, [0]))))
+    begin, end = edges[::2], edges[1::2]
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    pair = np.searchsorted(starts, begin, "right") - 1
+    begin, end = begin - starts[pair], end - starts[pair]
+    more_before, more_after = (np.array([p[k] for p in pairs], bool) for k in (4, 5))
+    ongoing = more_before[pair] & (begin == 0) | more_after[pair] & (end == sizes[pair])
+    out: list[list[tuple[int, int, int]] | None] = [[] for _ in pairs]
+    for i in pair[ongoing].tolist():
+        out[i] = None
+    long = np.flatnonzero(end - begin >= 2 * min_words - 1)
+    for i, first, last in zip(pair[long].tolist(), begin[long].tolist(), end[long].tolist(), strict=True):
+        if out[i] is not None:
+            stretch = whole_words(_points(pairs[i][0]), first, last, *pairs[i][2:4])
+            out[i] += [stretch] if stretch[2] >= min_words else []
     return out
 
 
+def _together(sizes: list[int]) -> Iterator[slice]:
+    """Neighbours of about _TOGETHER in all."""
+    begin = size = 0
+    for i, n in enumerate(sizes, 1):
+        size += n
+        if size >= _TOGETHER or i == len(sizes):
+            yield slice(begin, i)
+            begin, size = i, 0
+
+
 _FOUND = "doc_id long, print long, start int, end int, n_words int, first_doc long, shift int, low int, high int"
 
 
 def _verify(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """The passages of alignments; an alignment that has to be compared farther out gives itself, without words."""
-    names = ("doc_id", "print", "other", "shift", "low", "high", "from", "begins", "ends", "before", "after", "own", "text")
+    names = ("doc_id", "print", "other", "shift", "low", "high", "from")
     for batch in batches:
         out = []
-        for doc_id, print_, first, shift, low, high, at, begins, ends, before, after, own, text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            found = common(own, text, begins, ends, before, after, min_words)
+        pairs = list(zip(*(batch.column(c).to_pylist() for c in ("own", "text", "begins", "ends", "before", "after")), strict=True))
+        each = (found for some in _together([len(p[0]) for p in pairs]) for found in common(pairs[some], min_words))
+        for (doc_id, print_, first, shift, low, high, at), found in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), each, strict=True):
             if found is None:
                 out.append((doc_id, print_, 0, 0, 0, first, shift, low, high))
             else:
